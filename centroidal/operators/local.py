@@ -22,6 +22,9 @@ GROUP_BYTES = 64 << 20
 # Up to this many buckets each gets a shuffle partition of its own.
 MAX_BUCKET_PARTITIONS = 8192
 
+# Relative difference of two sums of squares that is only summation order.
+ROUNDING = 1e-12
+
 _CHUNK_STEP = 1 << 31
 _LOCAL = (
     "bucket bigint, record_count bigint, centers array<array<double>>,"
@@ -42,7 +45,7 @@ def check_fit_arguments(k: int, max_iterations: int, tolerance: float) -> None:
 def suggested_buckets(rows: int, k: int, dimensions: int) -> int:
     """As many buckets as keep each within the group bounds and far above k rows."""
     fitting = min(GROUP_ROWS, max(1, GROUP_BYTES // (8 * dimensions)))
-    return max(1, rows // max(fitting, 32 * k))
+    return max(1, min(-(-rows // fitting), rows // (32 * k)))
 
 
 def _require_rows(name: str, rows: int, k: int) -> None:
@@ -254,10 +257,16 @@ def _fit_seeds_distributed(
 
 
 def best_of(fits: list[SeededFit]) -> SeededFit:
-    """Lowest squared error; the first of equals."""
+    """Lowest squared error; the first of equals.
+
+    Runs that reach the same optimum differ in the last bits of their error with
+    the order of summation, so errors within rounding count as equal; otherwise the
+    winner, and with it the numbering of the clusters, would change from run to run.
+    """
     if not fits:
         raise ValueError("no runs to choose from")
-    return min(fits, key=lambda fit: fit.sse)
+    lowest = min(fit.sse for fit in fits)
+    return next(fit for fit in fits if fit.sse <= lowest * (1 + ROUNDING))
 
 
 def best_run(runs: DataFrame, error: str = "sse", order: str = "run") -> DataFrame:

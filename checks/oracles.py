@@ -166,7 +166,7 @@ _pool_fit, _pool_last, _pool_assigned = fit_groups("p", "copies", LINE_D, LINE_K
 RESTART_STAGE = f"{LOCAL_STAGE}, {POOL}, {_pool_fit}, {group_totals('restart_totals', _pool_assigned)}"
 _global, _global_last = lloyd_rounds("w", "one", "seeded", LINE_D, GLOBAL_ROUNDS)
 FLAGSHIP = (
-    f"{RESTART_STAGE}, winner AS (SELECT g FROM restart_totals ORDER BY sse, g LIMIT 1), "
+    f"{RESTART_STAGE}, winner AS (SELECT min(g) AS g FROM restart_totals WHERE sse <= (SELECT min(sse) FROM restart_totals) * (1 + 1e-12)), "
     f"seeded AS MATERIALIZED (SELECT 0 AS g, cluster, c, 0::BIGINT AS n, 0.0::DOUBLE AS sse"
     f" FROM {_pool_last} WHERE g = (SELECT g FROM winner)), {POINTS_AS_ONE_GROUP}, {_global}, "
     + assignment("fin", "one", _global_last, LINE_D)
@@ -389,7 +389,7 @@ def sql() -> dict[str, str]:
         " ON f.g = c.g AND f.cluster = c.cluster GROUP BY c.g, c.cluster)"
         f" SELECT CAST(42 + t.g AS BIGINT) AS seed, {rnd('t.sse')} AS sse,"
         " (SELECT string_agg(CAST(s.n AS VARCHAR), ';' ORDER BY s.cluster) FROM sized s WHERE s.g = t.g) AS cluster_counts,"
-        " t.g = (SELECT g FROM totals ORDER BY sse, g LIMIT 1) AS best FROM totals t",
+        " t.g = (SELECT min(g) FROM totals WHERE sse <= (SELECT min(sse) FROM totals) * (1 + 1e-12)) AS best FROM totals t",
         "best_of_runs": f"WITH {EVENTS}, runs AS (SELECT size AS run, round(avg(sse), 1) AS sse FROM trials GROUP BY size)"
         " SELECT run, sse FROM runs ORDER BY sse, run LIMIT 1",
         "predict_labeled": f"{embedding_assigned} SELECT id AS record_id, label, cluster FROM fin",
