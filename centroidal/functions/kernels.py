@@ -9,8 +9,10 @@ import pyarrow as pa
 
 from centroidal.functions.keys import uniform_array
 
-# Up to this many coordinates a plain loop over the centres beats a matrix product.
-_DIRECT_LIMIT = 64
+# Ranks held at a time, so that they stay in the processor cache.
+_BLOCK_BYTES = 1 << 20
+# Up to this many clusters a product with the membership matrix beats counting by column.
+_ONE_HOT_LIMIT = 16
 
 
 def to_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -40,36 +42,43 @@ def _distances_to(points: np.ndarray, center: np.ndarray) -> np.ndarray:
 
 
 def nearest(points: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the nearest centre (lowest index on ties) and its squared distance.
+    """Index of the nearest centre (lowest index on ties) and its squared distance."""
+    labels = nearest_labels(points, centers)
+    return labels, _distances_to(points, centers[labels])
 
-    For larger models one matrix product narrows the choice.  Rows whose best two
-    centres lie within the rounding bound of that product are measured directly,
-    so the answer is always that of the direct formula.
+
+def nearest_labels(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Index of the nearest centre, lowest index on ties.
+
+    One matrix product ranks the centres.  Rows whose best two centres lie within the
+    rounding bound of that product are measured directly, so the answer is always
+    that of the direct formula.
     """
     rows, dimensions = points.shape
     k = len(centers)
     if centers.shape[1] != dimensions:
         raise ValueError(f"points have {dimensions} features but centers have {centers.shape[1]}")
-    if k * dimensions <= _DIRECT_LIMIT:
-        return _nearest_direct(points, centers)
-    labels = np.empty(rows, dtype=np.int64)
-    best = np.empty(rows)
+    labels = np.zeros(rows, dtype=np.int64)
     center_norms = np.einsum("ij,ij->i", centers, centers)
-    step = max(1, (4 << 20) // (8 * k))
+    step = max(1, _BLOCK_BYTES // (8 * k))
     for start in range(0, rows, step):
         block = points[start : start + step]
-        norms = np.einsum("ij,ij->i", block, block)
-        approximate = norms[:, None] - 2.0 * (block @ centers.T) + center_norms
-        choice = approximate.argmin(axis=1)
-        slack = 8.0 * (dimensions + 8) * np.finfo(float).eps * (norms + center_norms.max())
-        close = (approximate <= (approximate.min(axis=1) + slack)[:, None]).sum(axis=1) > 1
-        distance = _distances_to(block, centers[choice])
-        unsure = close | ~np.isfinite(norms)
-        if unsure.any():
-            choice[unsure], distance[unsure] = _nearest_direct(block[unsure], centers)
-        labels[start : start + step] = choice
-        best[start : start + step] = distance
-    return labels, best
+        # |x - c|^2 without |x|^2, which is the same for every centre of a row.
+        ranks = center_norms[:, None] - 2.0 * (centers @ block.T)
+        choice, best = labels[start : start + step], ranks[0].copy()
+        runner_up = np.full(len(block), np.inf)
+        for cluster in range(1, k):
+            rank = ranks[cluster]
+            closer = rank < best
+            np.minimum(runner_up, np.where(closer, best, rank), out=runner_up)
+            np.copyto(best, rank, where=closer)
+            choice[closer] = cluster
+        size = np.einsum("ij,ij->i", block, block).max() + center_norms.max()
+        slack = 16.0 * (dimensions + 8) * np.finfo(float).eps * size
+        unsure = ~(runner_up - best > slack)  # also true for NaN
+        if k > 1 and unsure.any():
+            choice[unsure] = _nearest_direct(block[unsure], centers)[0]
+    return labels
 
 
 def _nearest_direct(points: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,6 +94,8 @@ def _nearest_direct(points: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray
 
 def sums_by(labels: np.ndarray, points: np.ndarray, k: int) -> np.ndarray:
     """(k, d) coordinate sums of the points of each label."""
+    if k <= _ONE_HOT_LIMIT:
+        return (labels == np.arange(k)[:, None]).astype(np.float64) @ points
     return np.stack([np.bincount(labels, weights=column, minlength=k) for column in points.T], axis=1)
 
 
@@ -107,11 +118,15 @@ class Statistics:
         self.sums += sums_by(labels, points, k)
 
     def means(self, previous: np.ndarray) -> np.ndarray:
-        """Cluster means; a cluster without members keeps its previous centre."""
-        held = self.counts > 0
-        centers = previous.copy()
-        centers[held] = self.sums[held] / self.counts[held, None]
-        return centers
+        return means_of(self.counts, self.sums, previous)
+
+
+def means_of(counts: np.ndarray, sums: np.ndarray, previous: np.ndarray) -> np.ndarray:
+    """Cluster means; a cluster without members keeps its previous centre."""
+    held = counts > 0
+    centers = previous.copy()
+    centers[held] = sums[held] / counts[held, None]
+    return centers
 
 
 def max_shift(old: np.ndarray, new: np.ndarray) -> float:
@@ -128,7 +143,7 @@ def race_seeds(points: np.ndarray, keys: np.ndarray, k: int, seed: int) -> np.nd
     k-means++ law, and does not depend on row order.  When every row coincides with
     a chosen centre the smallest uniform among unchosen rows is taken.
     """
-    chosen = [int(np.lexsort((keys, uniform_array(keys, seed, 0)))[0])]
+    chosen = [_lowest(uniform_array(keys, seed, 0), keys)]
     free = np.ones(len(points), dtype=bool)
     free[chosen[0]] = False
     spread = _distances_to(points, points[chosen[0]])
@@ -139,14 +154,19 @@ def race_seeds(points: np.ndarray, keys: np.ndarray, k: int, seed: int) -> np.nd
             score = np.where(eligible, -np.log(u) / np.where(eligible, spread, 1.0), np.inf)
         else:
             score = np.where(free, u, np.inf)
-        tied = np.flatnonzero(score == score.min())
-        winner = int(tied[keys[tied].argmin()])
+        winner = _lowest(score, keys)
         chosen.append(winner)
         free[winner] = False
         np.minimum(spread, _distances_to(points, points[winner]), out=spread)
     return points[chosen]
 
 
+def _lowest(score: np.ndarray, keys: np.ndarray) -> int:
+    """Row of the lowest score, the lowest key among equals."""
+    tied = np.flatnonzero(score == score.min())
+    return int(tied[keys[tied].argmin()])
+
+
 @dataclass
 class LocalFit:
     centers: np.ndarray
@@ -167,10 +187,8 @@ def fit_group(
     centers = race_seeds(points, keys, k, seed)
     iterations, converged = 0, False
     while iterations < max_iterations and not converged:
-        labels, distances = nearest(points, centers)
-        statistics = Statistics.empty(k, points.shape[1])
-        statistics.add(points, labels, distances)
-        moved = statistics.means(centers)
+        labels = nearest_labels(points, centers)
+        moved = means_of(np.bincount(labels, minlength=k), sums_by(labels, points, k), centers)
         converged = max_shift(centers, moved) <= tolerance
         centers = moved
         iterations += 1

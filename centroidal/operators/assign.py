@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from centroidal.functions.kernels import nearest, to_matrix
-from centroidal.functions.vectors import UNROLL_LIMIT, nearest_center
+from centroidal.functions.vectors import UNROLL_LIMIT, nearest_center, squared_euclidean
 from centroidal.operators.points import validate_points
 
 Centers = np.ndarray | Sequence[Sequence[float]] | DataFrame
@@ -72,21 +72,31 @@ def assign(points: DataFrame, centers: Centers) -> DataFrame:
     )
 
 
+def _gap_by_arrow(centers: np.ndarray):
+    @arrow_udf("double")
+    def gap(features: pa.Array, cluster: pa.Array) -> pa.Array:
+        if len(features) == 0:
+            return pa.array([], pa.float64())
+        difference = to_matrix(features) - centers[cluster.to_numpy(zero_copy_only=False)]
+        return pa.array(np.einsum("ij,ij->i", difference, difference))
+
+    return gap
+
+
 def sse(points: DataFrame, centers: Centers, cluster: str = "cluster") -> DataFrame:
     """One row ``sse``: squared error of points that already carry a cluster id.
 
     A null or out-of-range cluster id is an error.
     """
     model = as_centers(centers)
-    lookup = F.array(*[F.array(*[F.lit(float(v)) for v in center]) for center in model])
-    index = F.col(cluster)
-    valid = F.coalesce((index >= 0) & (index < len(model)), F.lit(False))
-    center = F.when(valid, F.get(lookup, index.cast("int"))).otherwise(
-        F.raise_error(F.lit("cluster id is missing or out of range")).cast("array<double>")
-    )
-    features = F.col("features")
-    gaps = F.zip_with(features, center, lambda a, b: (a - b) * (a - b))
-    error = F.aggregate(gaps, F.lit(0.0), lambda total, gap: total + gap)
+    index = F.col(cluster).cast("int")
+    invalid = F.raise_error(F.lit("cluster id is missing or out of range")).cast("int")
+    valid = F.when(F.coalesce((index >= 0) & (index < len(model)), F.lit(False)), index).otherwise(invalid)
+    if model.size <= UNROLL_LIMIT:
+        lookup = F.array(*[F.array(*[F.lit(float(v)) for v in center]) for center in model])
+        error = squared_euclidean(F.col("features"), F.get(lookup, valid))
+    else:
+        error = _gap_by_arrow(model)(F.col("features"), valid)
     return points.agg(F.coalesce(F.sum(error), F.lit(0.0)).alias("sse"))
 
 

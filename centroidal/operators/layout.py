@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from centroidal.functions.keys import hash_bucket
 
+# Most rows of a narrow lookup table (an id and a few numbers or one text) to broadcast.
+BROADCAST_ROWS = 200_000
+
 
 def count_partition_records(df: DataFrame) -> DataFrame:
     """``(partition int, records bigint)``; empty partitions are listed with 0."""
@@ -38,6 +41,20 @@ def exact_partitions(df: DataFrame, n: int) -> DataFrame:
     return df.repartition(n) if current < n else df
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast hint for a side of known row count, withheld above the bound.
+
+    Without the hint Spark picks the join from the size it sees at run time.
+    """
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """At least one partition per core; a table with more than that is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return exact_partitions(df, max(cores, df.rdd.getNumPartitions()))
+
+
 @contextmanager
 def materialized(df: DataFrame, expected_rows: int | None = None) -> Iterator[tuple[DataFrame, int]]:
     """Cache and count ``df`` for the duration of a block; always released, also on failure."""

@@ -208,15 +208,10 @@ def _settled(previous: float, current: float, tolerance: float) -> bool:
     return abs(current - previous) <= max(tolerance, rounding)
 
 
-def lloyd_fit(
-    points: DataFrame, initial: Centers, *, max_iterations: int = 100, tolerance: float | None = 1e-6
-) -> LloydModel:
-    """Rounds until the change in squared error is at most ``tolerance``.
-
-    Two rounds are needed to see a change, so one round never converges.
-    ``tolerance=None`` runs exactly ``max_iterations`` rounds.  The caller decides
-    whether ``points`` is cached.
-    """
+def iterate(
+    points: DataFrame, initial: Centers, max_iterations: int, tolerance: float | None
+) -> tuple[list[Step], bool]:
+    """Rounds until the error settles, and whether it did."""
     check_loop_arguments(max_iterations, tolerance)
     centers = as_centers(initial)
     history: list[Step] = []
@@ -227,17 +222,29 @@ def lloyd_fit(
             converged = _settled(history[-1].sse, step.sse, tolerance)
         history.append(step)
         centers = step.centers
-    return finish(points, centers, history, converged)
+    return history, converged
 
 
-def finish(points: DataFrame, centers: np.ndarray, history: list[Step], converged: bool) -> LloydModel:
-    """Measure the returned centres; when the last round moved nothing it already did."""
+def finish(points: DataFrame, history: list[Step], converged: bool) -> LloydModel:
+    """Measure the last centres; when the last round moved nothing it already did."""
     last = history[-1]
     if last.max_center_shift == 0.0:
         error, counts = last.sse, last.counts
     else:
-        error, counts = measure_centers(points, centers)
-    return LloydModel(centers, len(history), converged, error, counts, tuple(history))
+        error, counts = measure_centers(points, last.centers)
+    return LloydModel(last.centers, len(history), converged, error, counts, tuple(history))
+
+
+def lloyd_fit(
+    points: DataFrame, initial: Centers, *, max_iterations: int = 100, tolerance: float | None = 1e-6
+) -> LloydModel:
+    """Rounds until the change in squared error is at most ``tolerance``.
+
+    Two rounds are needed to see a change, so one round never converges.
+    ``tolerance=None`` runs exactly ``max_iterations`` rounds.  The caller decides
+    whether ``points`` is cached.
+    """
+    return finish(points, *iterate(points, initial, max_iterations, tolerance))
 
 
 def measure_centers(points: DataFrame, centers: Centers) -> tuple[float, tuple[int, ...]]:

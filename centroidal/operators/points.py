@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from centroidal.functions.keys import salted_key
-from centroidal.operators.layout import written
+from centroidal.operators.layout import small, written
 
-# Rows that may be ordered by one reducer while a sample's cut-off is found.
-CUTOFF_ROWS = 100_000
-_KEY_BITS = 56
-_LEVEL_BITS = 14
+_KEY_RANGE = (1 << 56) - 1
 _POSITION_MASK = (1 << 33) - 1
 
 
@@ -116,7 +115,7 @@ def number_blocks(df: DataFrame, blocks: Sequence[Column], name: str = "record_i
     fields = [tagged.schema[n].dataType.simpleString() for n in names]
     schema = ", ".join(f"{n} {t}" for n, t in zip(names, fields)) + ", _shift bigint"
     lookup = df.sparkSession.createDataFrame(shifts, schema)
-    numbered = tagged.join(F.broadcast(lookup), names)  # one row per input split
+    numbered = tagged.join(small(lookup, len(shifts)), names)
     kept = [F.col(f"`{c}`") for c in df.columns]
     return numbered.select((F.col("_row") + F.col("_shift")).alias(name), *kept)
 
@@ -150,47 +149,55 @@ def assign_record_id(
         starts.append((size["_range"], offset))
         offset += size["n"]
     lookup = df.sparkSession.createDataFrame(starts, "_range int, _start bigint")
-    numbered = fixed.join(F.broadcast(lookup), "_range")  # one row per range
+    numbered = fixed.join(small(lookup, len(starts)), "_range")
     return numbered.select((F.col("_start") + F.col("_position")).alias(name), *[F.col(f"`{c}`") for c in df.columns])
 
 
 def exact_sample(df: DataFrame, n: int, seed: int = 42, *, record_id: str = "record_id") -> DataFrame:
     """Exactly ``min(n, rows)`` rows without replacement, in their original order.
 
-    The sample is the n smallest ``(hash(seed, id), id)``.  Its cut-off is found by
-    counting hash prefixes, level by level, until the group that holds the n-th row
-    is small enough to order; the sample itself is then a plain filter over the
-    scan, with no shuffle and no row limit, whatever n is.
+    The sample is the n smallest ``(hash(seed, id), id)``, so it is a plain filter
+    once the n-th smallest is known: no shuffle and no row limit, whatever n is.
+    Hashes are uniform, which tells beforehand where the n-th lies to within a few
+    square roots of n; one scan counts the rows below that interval and returns the
+    hashes inside it.  Should the interval miss, it is widened.
+
+    Record ids must be unique (``assign_record_id`` makes them so): rows that share
+    an id can only be taken together.
     """
     if n <= 0:
         raise ValueError("the sample size must be positive")
+    rows = df.count()
+    if rows <= n:
+        return df
     hashed = df.withColumn("_hash", salted_key(F.col(record_id), seed))
-    prefix, depth, wanted = 0, 0, n
+    deviations = 8.0
     while True:
-        inside = hashed.where(F.shiftright("_hash", _KEY_BITS - depth) == prefix) if depth else hashed
-        next_depth = min(depth + _LEVEL_BITS, _KEY_BITS)
-        counts = (
-            inside.groupBy(F.shiftright("_hash", _KEY_BITS - next_depth).alias("prefix"))
-            .agg(F.count(F.lit(1)).alias("n"))
-            .collect()  # at most 2^14 rows
-        )
-        if depth == 0 and sum(row["n"] for row in counts) <= n:
-            return df
-        for row in sorted(counts, key=lambda r: r["prefix"]):
-            if row["n"] >= wanted:
-                prefix, size = row["prefix"], row["n"]
-                break
-            wanted -= row["n"]
-        depth = next_depth
-        if size <= CUTOFF_ROWS or depth == _KEY_BITS:
+        below, inside = _interval(hashed, record_id, n, rows, deviations)
+        if below < n <= below + sum(row["n"] for row in inside):
             break
-    last = (
-        hashed.where(F.shiftright("_hash", _KEY_BITS - depth) == prefix)
-        .select("_hash", F.col(record_id).alias("id"))
-        .orderBy("_hash", "id")
-        .limit(wanted)
-        .agg(F.max(F.struct("_hash", "id")).alias("cut"))
-        .first()["cut"]
+        deviations *= 8.0
+    inside.sort(key=lambda row: (row["entry"]["_hash"], row["entry"]["id"]))
+    reached = itertools.accumulate((row["n"] for row in inside), initial=below)
+    position = next(i for i, total in enumerate(reached) if total >= n) - 1
+    last = inside[position]["entry"]
+    if position + 1 < len(inside) and inside[position + 1]["entry"]["_hash"] == last["_hash"]:
+        cut = F.struct(F.lit(last["_hash"]).cast("bigint"), F.lit(last["id"]).cast(df.schema[record_id].dataType))
+        return hashed.where(F.struct(F.col("_hash"), F.col(record_id)) <= cut).drop("_hash")
+    return hashed.where(F.col("_hash") <= last["_hash"]).drop("_hash")
+
+
+def _interval(hashed: DataFrame, record_id: str, n: int, rows: int, deviations: float) -> tuple[int, list[Row]]:
+    """Rows below, and ``(entry (_hash, id), n)`` inside, the interval that should hold the n-th hash."""
+    margin = deviations * (math.sqrt(n) + 1.0)
+    low = int(max(0.0, (n - margin) / rows) * _KEY_RANGE)
+    high = int(min(1.0, (n + margin) / rows) * _KEY_RANGE)
+    entry = F.when(F.col("_hash") >= low, F.struct("_hash", F.col(record_id).alias("id")))
+    found = (
+        hashed.where(F.col("_hash") <= high)
+        .groupBy(entry.alias("entry"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .collect()  # about 2 * margin rows, and one for all rows below
     )
-    cut = F.struct(F.lit(last["_hash"]).cast("bigint"), F.lit(last["id"]).cast(df.schema[record_id].dataType))
-    return hashed.where(F.struct(F.col("_hash"), F.col(record_id)) <= cut).drop("_hash")
+    below = sum(row["n"] for row in found if row["entry"] is None)
+    return below, [row for row in found if row["entry"] is not None]

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from centroidal.operators.layout import small
 from centroidal.operators.points import assign_record_id
 
 # A category dictionary up to this many entries travels as a small local table and
@@ -25,7 +26,7 @@ def map_category(df: DataFrame, label: str, mapping: Mapping[str, str], out: str
     """Left join with a fixed mapping; unmapped labels give null (see ``require_mapped``)."""
     table = df.sparkSession.createDataFrame(list(mapping.items()), f"`{label}` string, `{out}` string")
     columns = [F.col(f"`{c}`") for c in df.columns if c != out]
-    return df.join(F.broadcast(table), label, "left").select(*columns, out)  # size of the mapping
+    return df.join(small(table, len(mapping)), label, "left").select(*columns, out)
 
 
 def unmapped_labels(df: DataFrame, label: str, category: str = "category") -> DataFrame:
@@ -69,8 +70,11 @@ def category_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def category_codes(values: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(column, value, code int)``: rank of each value among the sorted values of its column."""
+def category_codes(values: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, int | None]:
+    """``(column, value, code int)`` and its row count, None when too many to count cheaply.
+
+    The code is the rank of a value among the sorted values of its column.
+    """
     spark = values.sparkSession
     few = values.select("column", "value").limit(DICTIONARY_ROWS + 1).collect()
     if len(few) <= DICTIONARY_ROWS:
@@ -79,23 +83,24 @@ def category_codes(values: DataFrame, columns: Sequence[str]) -> DataFrame:
             # Byte order, which is also Spark's string order.
             ordered = sorted((r["value"] for r in few if r["column"] == column), key=lambda v: v.encode())
             rows += [(column, value, code) for code, value in enumerate(ordered)]
-        return spark.createDataFrame(rows, "column string, value string, code int")
+        return spark.createDataFrame(rows, "column string, value string, code int"), len(rows)
     ranked = assign_record_id(values.select("column", "value"), ["column", "value"], name="position")
     first = ranked.groupBy("column").agg(F.min("position").alias("first"))
-    return ranked.join(F.broadcast(first), "column").select(  # one row per encoded column
+    codes = ranked.join(small(first, len(columns)), "column").select(
         "column", "value", (F.col("position") - F.col("first")).cast("int").alias("code")
     )
+    return codes, None
 
 
 def ordinal_encode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Replace text columns by the rank of their value among the sorted distinct values."""
-    codes = category_codes(category_values(df, columns), columns)
+    codes, entries = category_codes(category_values(df, columns), columns)
     encoded = df
     for column in columns:
         key, code = f"_key_{column}", f"_code_{column}"
         lookup = codes.where(F.col("column") == column).select(F.col("value").alias(key), F.col("code").alias(code))
+        lookup = lookup if entries is None else small(lookup, entries)
         text = F.coalesce(F.col(column).cast("string"), F.lit(_MISSING))
-        # No hint: a local dictionary is broadcast by its known size, a large one is not.
         encoded = encoded.withColumn(key, text).join(lookup, key, "left").withColumn(column, F.col(code))
     return encoded.select(*[F.col(f"`{c}`") for c in df.columns])
 
@@ -152,7 +157,7 @@ def nested_prefixes(
     largest = df.where(F.col(record_id) < max(sizes))
     member = F.explode(F.filter(F.array(*[F.lit(s).cast("bigint") for s in sorted(sizes)]), lambda s: F.col(record_id) < s))
     tagged = largest.select(member.alias("size"), "*")
-    moments = F.broadcast(column_moments(tagged, columns, ["size"]))  # one row per size
+    moments = small(column_moments(tagged, columns, ["size"]), len(sizes))
     scaled = {
         c: _z_score(F.col(c), *[F.col(f"{part}_{c}") for part in ("mean", "std", "min", "max")]).alias(c)
         for c in columns

@@ -12,13 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from centroidal.operators.assign import centers_frame, predict
-from centroidal.operators.lloyd import (
-    LloydModel,
-    check_loop_arguments,
-    finish,
-    lloyd_fit,
-    measure_centers,
-)
+from centroidal.operators.lloyd import LloydModel, check_loop_arguments, finish, iterate
 from centroidal.operators.local import (
     SeededFit,
     aggregate_candidates,
@@ -122,13 +116,12 @@ def parallel_kmeans(
         )
         seeded = perf_counter()
 
-        refinement = lloyd_fit(
-            points,
-            initialization.centers,
-            max_iterations=global_max_iterations,
-            tolerance=global_cost_tolerance,
+        history, converged = iterate(
+            points, initialization.centers, global_max_iterations, global_cost_tolerance
         )
         refined = perf_counter()
+        refinement = finish(points, history, converged)
+        measured = perf_counter()
     except BaseException:
         local.unpersist()
         raise
@@ -150,7 +143,8 @@ def parallel_kmeans(
             "center_aggregation_seconds": seeded - pooled,
             "initialization_seconds": seeded - start,
             "global_clustering_seconds": refined - seeded,
-            "total_runtime_seconds": refined - start,
+            "final_evaluation_seconds": measured - refined,
+            "total_runtime_seconds": measured - start,
         },
     )
 

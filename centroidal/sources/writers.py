@@ -91,7 +91,7 @@ def write_sample(
     points: DataFrame, path: str, dimensions: int, n: int = 1000, seed: int = 42, *, record_id: str = "record_id"
 ) -> str:
     """CSV with header of an exact sample, features with 5 decimals."""
-    sample = exact_sample(points, n, seed, record_id=record_id).orderBy(record_id)
+    sample = exact_sample(points, n, seed, record_id=record_id)  # a filter: file order is kept
     columns = [F.format_string("%.5f", F.col("features")[i]).alias(f"f{i}") for i in range(dimensions)]
     sample.select(*columns, "label").write.mode("errorifexists").option("header", True).csv(path)
     return path

@@ -21,6 +21,7 @@ from checks.tables import (
     DROPPED_CLASS,
     MEASURES,
     PRIORITY_CLASS,
+    cached_lines,
     embedding_points,
     event_trials,
     line_points,
@@ -172,8 +173,8 @@ def _model_frame(spark, centers, counts, error) -> DataFrame:
 
 
 def _lines_fit(spark, sf):
-    pts = line_points(spark, sf)
-    return lloyd.lloyd_fit(pts, starting_centers(pts, LINE_K), max_iterations=GLOBAL_ROUNDS, tolerance=None)
+    with cached_lines(spark, sf) as (pts, _):
+        return lloyd.lloyd_fit(pts, starting_centers(pts, LINE_K), max_iterations=GLOBAL_ROUNDS, tolerance=None)
 
 
 def lloyd_fit(spark, sf):
@@ -247,22 +248,18 @@ def candidate_restarts(spark, sf):
     return runs.select("seed", "record_count", _r("sse").alias("sse"))
 
 
-def _parallel_lines(spark, sf):
-    pts = line_points(spark, sf)
-    return clustering.parallel_kmeans(
-        pts,
-        LINE_K,
-        n_buckets=_buckets(pts.count()),
-        local_max_iterations=LOCAL_ROUNDS,
-        global_max_iterations=GLOBAL_ROUNDS,
-        local_tolerance=0.0,
-        global_cost_tolerance=None,
-        aggregation_restarts=RESTARTS,
-    )
+FLAGSHIP = {
+    "local_max_iterations": LOCAL_ROUNDS,
+    "global_max_iterations": GLOBAL_ROUNDS,
+    "local_tolerance": 0.0,
+    "global_cost_tolerance": None,
+    "aggregation_restarts": RESTARTS,
+}
 
 
 def parallel_kmeans(spark, sf):
-    model = _parallel_lines(spark, sf)
+    with cached_lines(spark, sf) as (pts, rows):
+        model = clustering.parallel_kmeans(pts, LINE_K, n_buckets=_buckets(rows), **FLAGSHIP)
     model.release()
     return _model_frame(spark, model.centers, model.cluster_counts, model.sse)
 
@@ -299,17 +296,8 @@ def predict_labeled(spark, sf):
 
 
 def labeled_run(spark, sf):
-    pts = line_points(spark, sf)
-    run = clustering.labeled_run(
-        pts,
-        LINE_K,
-        n_buckets=_buckets(pts.count()),
-        local_max_iterations=LOCAL_ROUNDS,
-        global_max_iterations=GLOBAL_ROUNDS,
-        local_tolerance=0.0,
-        global_cost_tolerance=None,
-        aggregation_restarts=RESTARTS,
-    )
+    with cached_lines(spark, sf) as (pts, rows):
+        run = clustering.labeled_run(pts, LINE_K, n_buckets=_buckets(rows), **FLAGSHIP)
     run.model.release()
     return run.predictions.groupBy("label", "cluster").agg(F.count(F.lit(1)).alias("n"))
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from contextlib import AbstractContextManager
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from centroidal.functions.keys import salted_key
 from centroidal.functions.vectors import pack
-from centroidal.operators.points import exact_sample
+from centroidal.operators.layout import materialized, spread
 from centroidal.operators.prepare import standardize
 
 MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -55,10 +58,19 @@ def line_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scaled.select("record_id", pack(*MEASURES).alias("features"), "label")
 
 
+def cached_lines(spark: SparkSession, sf_dir: str) -> AbstractContextManager[tuple[DataFrame, int]]:
+    """The order lines as cached points for jobs that read them many times, and their number."""
+    return materialized(spread(line_points(spark, sf_dir)))
+
+
 def starting_centers(points: DataFrame, k: int, seed: int = 42) -> np.ndarray:
-    """k sampled rows in id order: a reproducible start that no label influences."""
-    rows = exact_sample(points.select("record_id", "features"), k, seed).orderBy("record_id").collect()
-    return np.array([row["features"] for row in rows])
+    """The k rows of smallest salted hash, in id order: a start that no label influences.
+
+    One scan: every task keeps its best k rows.
+    """
+    hashed = points.select("record_id", "features", salted_key(F.col("record_id"), seed).alias("hash"))
+    rows = hashed.orderBy("hash", "record_id").limit(k).collect()
+    return np.array([row["features"] for row in sorted(rows, key=lambda row: row["record_id"])])
 
 
 def noisy_orders(spark: SparkSession, sf_dir: str) -> DataFrame:

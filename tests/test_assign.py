@@ -76,6 +76,16 @@ def test_sse_of_given_assignment(spark, known):
             A.sse(known.withColumn("cluster", bad), CENTERS).collect()
 
 
+def test_sse_of_a_large_model(spark, make_points):
+    rng = np.random.default_rng(2)
+    vectors, centers = rng.normal(size=(40, 60)), rng.normal(size=(3, 60))
+    given = make_points(vectors.tolist()).withColumn("cluster", (F.col("record_id") % 3).cast("int"))
+    wanted = ((vectors - centers[np.arange(40) % 3]) ** 2).sum()
+    assert A.sse(given, centers).first().sse == pytest.approx(wanted)
+    with pytest.raises(PySparkException, match="out of range"):
+        A.sse(given.withColumn("cluster", F.lit(3)), centers).collect()
+
+
 @pytest.mark.parametrize(
     "centers", [[], [(0.0,)], [(0.0, 0.0), (1.0,)], [(float("nan"), 0.0)], [(0.0, 0.0)] * 5]
 )

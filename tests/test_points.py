@@ -68,10 +68,8 @@ def test_ids_follow_an_order_even_when_one_key_dominates(spark):
     assert [(r.k, r.v) for r in rows] == sorted((r.k, r.v) for r in rows)
 
 
-@pytest.mark.parametrize("limit", [100_000, 10])
-@pytest.mark.parametrize("n", [1, 37, 999, 1000, 5000])
-def test_exact_sample_is_the_smallest_hashes(spark, monkeypatch, n, limit):
-    monkeypatch.setattr(P, "CUTOFF_ROWS", limit)  # forces several levels
+@pytest.mark.parametrize("n", [1, 37, 500, 999, 1000, 5000])
+def test_exact_sample_is_the_smallest_hashes(spark, n):
     frame = spark.range(1000).withColumnRenamed("id", "record_id")
     sample = P.exact_sample(frame, n, 7)
     hashed = frame.withColumn("h", salted_key(F.col("record_id"), 7)).orderBy("h", "record_id").limit(n)
@@ -93,6 +91,29 @@ def test_sample_of_text_ids(spark):
     assert P.exact_sample(frame, 20).count() == 20
 
 
+@pytest.mark.parametrize("n", [1, 100, 400, 1500])
+def test_sample_is_exact_when_one_id_holds_a_third_of_the_rows(spark, n):
+    frame = spark.range(3000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("record_id"))
+    # Rows of one id share one hash and can only be taken together.
+    hot = 1000
+    taken = P.exact_sample(frame, n).count()
+    assert n <= taken < n + hot
+
+
+def test_interval_is_widened_until_it_holds_the_rank(spark, monkeypatch):
+    tried = []
+    original = P._interval
+
+    def narrow(hashed, record_id, n, rows, deviations):
+        tried.append(deviations)
+        return original(hashed, record_id, n, rows, deviations / 4000.0)
+
+    monkeypatch.setattr(P, "_interval", narrow)
+    frame = spark.range(2000).withColumnRenamed("id", "record_id")
+    assert P.exact_sample(frame, 700).count() == 700
+    assert len(tried) > 1
+
+
 def test_sample_size_must_be_positive(spark):
     with pytest.raises(ValueError):
         P.exact_sample(spark.range(3).withColumnRenamed("id", "record_id"), 0)

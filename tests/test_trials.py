@@ -5,7 +5,9 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from centroidal.operators import trials as T
+from centroidal.plans.experiments import run_trials
 from centroidal.sources.readers import read_quality_table
+from tests.fixtures import PIPELINE
 from tests.test_sources import HEADER, trial
 
 BODY = (
@@ -78,3 +80,17 @@ def test_repeated_role_is_rejected(spark, tmp_path):
 def test_zero_time_gives_no_speedup(spark, tmp_path):
     rows = T.quality_comparison(quality(spark, tmp_path, BODY.replace("0.9978", "0"))).collect()
     assert all(r.speedup is None for r in rows)
+
+
+def test_repeated_runs_become_trial_rows(make_points):
+    points = make_points(PIPELINE)
+    rows = run_trials(points, 2, dataset_name="pairs", repetitions=3, warmups=1, n_buckets=1)
+    found = rows.orderBy("random_seed").collect()
+    assert [r.random_seed for r in found] == [42, 43, 44]
+    assert len({r.experiment_id for r in found}) == 3
+    assert all(r.converged and sorted(r.cluster_counts) == [6, 6] and r.num_records == 12 for r in found)
+    assert all(r.total_runtime_seconds >= r.initialization_seconds > 0 for r in found)
+    assert T.summarize_trials(rows, ["dataset_name"]).first().repetitions == 3
+    for bad in ({"repetitions": 0}, {"warmups": -1}, {"dataset_name": " "}, {"local_tolerance": float("inf")}):
+        with pytest.raises(ValueError):
+            run_trials(points, 2, **{"dataset_name": "d", "repetitions": 1, "n_buckets": 1, **bad})
