@@ -464,6 +464,27 @@ def sql() -> dict[str, str]:
             f" label AS true_label, cluster AS predicted_cluster FROM f{r}"
             for r in (1, 2)
         ),
+        "exact_partitions": " UNION ALL ".join(
+            f"SELECT {n} AS wanted, {n}::BIGINT AS partitions, count(*) AS records FROM lineitem" for n in (1, 6, 11)
+        ),
+        "quality_table_round_trip": "SELECT o_orderpriority AS dataset,"
+        " CASE WHEN o_orderstatus = 'P' THEN 'traditional_kmeans' ELSE 'parallel_kmeans' END AS algorithm,"
+        " CASE WHEN o_orderstatus = 'F' THEN 'local[2]' ELSE 'local[1]' END AS master,"
+        f" {rnd('avg(o_totalprice) / 1000000')} AS purity, {rnd('min(o_totalprice) / 1000000')} AS ari,"
+        f" {rnd('max(o_totalprice) / 1000000')} AS nmi, {rnd('avg(o_totalprice) / 1000')} AS elapsed_seconds,"
+        " 6::BIGINT AS members, true AS converged FROM orders GROUP BY o_orderpriority, o_orderstatus",
+        "prepare_kdd_files": "WITH kept AS (SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1"
+        " WHEN '3-MEDIUM' THEN 2 WHEN '5-LOW' THEN 3 END AS label, o_totalprice, o_orderstatus,"
+        " year(o_orderdate) AS y, o_custkey FROM orders WHERE o_orderpriority <> '4-NOT SPECIFIED'),"
+        " coded AS (SELECT label, o_totalprice AS a, dense_rank() OVER (ORDER BY o_orderstatus) AS b,"
+        " dense_rank() OVER (ORDER BY y) AS c, o_custkey AS e FROM kept),"
+        " z AS (SELECT label, " + ", ".join(f"{scaled(v)} AS {v}" for v in "abce") + " FROM coded)"
+        f" SELECT CAST(label AS BIGINT) AS label, count(*) AS n, {rnd('avg(abs(a) + abs(b) + abs(c) + abs(e))')} AS mean_size,"
+        f" {rnd('avg(a)')} AS m0, {rnd('avg(b)')} AS m1, {rnd('avg(c)')} AS m2, 0.0::DOUBLE AS m3, {rnd('avg(e)')} AS m4"
+        " FROM z GROUP BY label",
+        "trial_runs": f"SELECT 'vectors-n' || count(*) || '-k{EMBEDDING_K}-r' || (i + 1) AS experiment_id,"
+        " CAST(42 + i AS BIGINT) AS random_seed, count(*) AS num_records, 64 AS num_features,"
+        f" {EMBEDDING_K} AS num_clusters, count(*) AS members FROM embeddings, range(2) AS r(i) GROUP BY i",
         "trial_summary": f"WITH {EVENTS} SELECT configuration, count(*) AS repetitions,"
         " count(*) FILTER (converged) AS converged_runs,"
         f" {rnd('avg(CAST(converged AS INTEGER))')} AS convergence_rate, {mean_std('iterations')}, {mean_std('sse')},"

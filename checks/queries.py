@@ -13,10 +13,13 @@ from centroidal.functions.vectors import pack, squared_euclidean, unpack
 from centroidal.operators import assign as assigning
 from centroidal.operators import generate, lloyd, local, points, prepare, quality, seeding, trials
 from centroidal.operators.layout import count_partition_records, scratch_path, with_bucket
+from centroidal.operators.layout import exact_partitions as exactly
 from centroidal.plans import clustering
-from centroidal.plans.preparation import prepare_table
-from centroidal.sources import readers, writers
+from centroidal.plans.experiments import run_trials
+from centroidal.plans.preparation import prepare_kdd, prepare_table
+from centroidal.sources import kdd, readers, writers
 from checks.tables import (
+    ATTACK_OF_PRIORITY,
     CLASS_NAMES,
     DROPPED_CLASS,
     MEASURES,
@@ -544,9 +547,70 @@ def write_predictions(spark, sf):
     return spark.read.parquet(path)
 
 
+def exact_partitions(spark, sf):
+    placed = [exact_partition_counts(table(spark, sf, "lineitem"), n) for n in (1, 6, 11)]
+    return placed[0].unionByName(placed[1]).unionByName(placed[2])
+
+
+def exact_partition_counts(df: DataFrame, n: int) -> DataFrame:
+    counts = count_partition_records(exactly(df, n))
+    return counts.agg(F.lit(n).alias("wanted"), F.count(F.lit(1)).alias("partitions"), F.sum("records").alias("records"))
+
+
+def quality_table_round_trip(spark, sf):
+    path = scratch_path(spark, "quality")
+    fixed = {
+        "records": F.lit(1000), "features": F.lit(4), "clusters": F.lit(3), "sse": F.lit(1.5),
+        "cluster_counts": F.lit("1;2;3"), "iterations": F.lit(4), "converged": F.lit("True"),
+    }
+    measured = order_measurements(spark, sf).withColumns(fixed)
+    measured.coalesce(1).write.option("header", True).csv(path)  # a few rows; the header is per file
+    back = readers.read_quality_table(spark, path)
+    return back.select(
+        "dataset",
+        "algorithm",
+        "master",
+        *[_r(c).alias(c) for c in ("purity", "ari", "nmi", "elapsed_seconds")],
+        F.aggregate("cluster_counts", F.lit(0).cast("bigint"), lambda total, n: total + n).alias("members"),
+        "converged",
+    )
+
+
+def prepare_kdd_files(spark, sf):
+    """Orders written as gzip connection records, then prepared from the files to a saved dataset."""
+    orders = table(spark, sf, "orders")
+    attack = F.create_map(*[F.lit(v) for pair in ATTACK_OF_PRIORITY.items() for v in pair])
+    given = {
+        "duration": F.col("o_totalprice"),
+        "protocol_type": F.col("o_orderstatus"),
+        "service": F.year("o_orderdate").cast("string"),
+        "flag": F.lit("SF"),
+        "src_bytes": F.col("o_custkey"),
+    }
+    columns = [given.get(name, F.lit(float(i))).alias(name) for i, name in enumerate(kdd.COLUMNS)]
+    path, directory = scratch_path(spark, "connections"), scratch_path(spark, "prepared")
+    raw = orders.select(*columns, F.concat(F.lit(" "), attack[F.col("o_orderpriority")], F.lit(".")).alias("label"))
+    raw.write.option("compression", "gzip").option("ignoreLeadingWhiteSpace", False).csv(path)
+    prepare_kdd(readers.read_kdd_csv(spark, path), directory)
+    saved = readers.load_dataset(spark, "kdd99", directory)
+    total = F.aggregate("features", F.lit(0.0), lambda a, b: a + F.abs(b))
+    return saved.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"),
+        _r(F.avg(total)).alias("mean_size"),
+        *[_r(F.avg(F.col("features")[i])).alias(f"m{i}") for i in range(5)],
+    )
+
+
 # --- trials ----------------------------------------------------------------------------
 
 
+def trial_runs(spark, sf):
+    pts = embedding_points(spark, sf)
+    runs = run_trials(pts, EMBEDDING_K, dataset_name="vectors", repetitions=2, n_buckets=2, global_max_iterations=3)
+    members = F.aggregate("cluster_counts", F.lit(0).cast("bigint"), lambda total, n: total + n)
+    return runs.select("experiment_id", "random_seed", "num_records", "num_features", "num_clusters", members.alias("members"))
+
+
 def trial_summary(spark, sf):
     measures = ("iterations", "sse", "total_runtime_seconds")
     found = trials.summarize_trials(event_trials(spark, sf), ["configuration"], measures)
@@ -636,6 +700,7 @@ ALL: tuple[Query, ...] = (
     normalize_label, map_category, unmapped_labels, drop_class, drop_report, ordinal_encode, encode_label,
     standardize, validate_points, class_histogram, nested_prefixes, exact_sample, record_ids, prep_summary,
     prepare_orders, points_csv_round_trip, labeled_csv_round_trip, parquet_round_trip, features_labels_split,
-    write_sample, trials_round_trip, write_predictions, trial_summary, convergence_rate, speedup,
+    write_sample, trials_round_trip, write_predictions, exact_partitions, quality_table_round_trip,
+    prepare_kdd_files, trial_runs, trial_summary, convergence_rate, speedup,
     quality_comparison, balanced_sizes, zero_spread_blobs, diagonal_blobs, uniform_blobs, size_ladder,
 )

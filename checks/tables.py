@@ -24,6 +24,14 @@ PRIORITY_CLASS = {
 }
 CLASS_NAMES = ("fast", "normal", "slow")
 DROPPED_CLASS = "none"
+# Attack names the priorities stand for where orders act as connection records.
+ATTACK_OF_PRIORITY = {
+    "1-URGENT": "smurf",
+    "2-HIGH": "normal",
+    "3-MEDIUM": "satan",
+    "4-NOT SPECIFIED": "rootkit",
+    "5-LOW": "guess_passwd",
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
