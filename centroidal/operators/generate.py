@@ -19,6 +19,11 @@ CENTER_BOX = (-10.0, 10.0)
 # ----------------------------------------------------------------------------------------
 
 
+def _quotient(dividend: Column, divisor: int) -> Column:
+    """Integer quotient of a non-negative bigint; the division has no remainder left to round."""
+    return ((dividend - F.pmod(dividend, F.lit(divisor).cast("bigint"))) / divisor).cast("bigint")
+
+
 def balanced_label(position: Column, rows: int, k: int) -> Column:
     """Cluster of a 0-based position when rows are cluster-ordered and sizes differ by at most 1.
 
@@ -26,8 +31,8 @@ def balanced_label(position: Column, rows: int, k: int) -> Column:
     """
     small, remainder = divmod(rows, k)
     edge = remainder * (small + 1)
-    in_large = F.floor(F.try_divide(position, F.lit(small + 1)))
-    in_small = F.floor(F.try_divide(position - edge, F.lit(max(small, 1)))) + remainder
+    in_large = _quotient(position, small + 1)
+    in_small = _quotient(position - edge, max(small, 1)) + remainder
     return F.when(position < edge, in_large).otherwise(in_small).cast("int")
 
 
@@ -36,7 +41,7 @@ def mixed_label(position: Column, k: int, seed: int) -> Column:
 
     Any prefix of the table is then balanced, so prefixes can serve as smaller tables.
     """
-    block = F.floor(position / k)
+    block = _quotient(position, k)
     turn = F.floor(uniform(row_key(block), seed, 0) * k)
     return F.pmod(position + turn, F.lit(k)).cast("int")
 

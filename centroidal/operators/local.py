@@ -48,9 +48,9 @@ def suggested_buckets(rows: int, k: int, dimensions: int) -> int:
     return max(1, min(-(-rows // fitting), rows // (32 * k)))
 
 
-def _require_rows(name: str, rows: int, k: int) -> None:
+def _require_rows(name: str, rows: int, k: int, advice: str = "") -> None:
     if rows < k:
-        raise ValueError(f"{name} has {rows} records, fewer than k={k}")
+        raise ValueError(f"{name} has {rows} records, fewer than k={k}{advice}")
 
 
 def _result_columns(records: int, fit: LocalFit) -> dict[str, pa.Array]:
@@ -128,7 +128,7 @@ def _fit_partitions(points: DataFrame, k: int, max_iterations: int, tolerance: f
             held.append(block)
             rows += len(block)
         if rows:
-            _require_rows(f"partition {partition}", rows, k)
+            _require_rows(f"partition {partition}", rows, k, "; use n_buckets or fewer partitions")
             if len({block.shape[1] for block in held}) > 1:
                 raise ValueError("points have different numbers of features")
             yield result(number, np.concatenate(held_keys), np.concatenate(held))

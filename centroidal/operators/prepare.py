@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from centroidal.operators.layout import small
@@ -168,39 +168,33 @@ def nested_prefixes(
 
 
 def prep_summary(
-    spark: SparkSession,
-    raw: DataFrame,
-    *,
-    category: str,
-    dropped: str,
-    features: int,
-    expected_rows: int,
+    raw: DataFrame, *, category: str, dropped: str, features: int, expected_rows: int
 ) -> DataFrame:
     """``(metric, value bigint)``: rows before and after, features, rows per kept class, delta.
 
     One pass over the raw rows counts every class; the rest follows from the counts.
     """
     counts = raw.groupBy(F.col(category).alias("category")).agg(F.count(F.lit(1)).alias("rows"))
-    kept = F.col("category").eqNullSafe(F.lit(dropped)) == F.lit(False)
-    final = F.coalesce(F.sum(F.when(kept, F.col("rows"))), F.lit(0))
+    gone = F.col("category").eqNullSafe(F.lit(dropped))
+    entry = F.struct(F.concat(F.lit("rows_"), "category").alias("metric"), F.col("rows").alias("value"))
     totals = counts.agg(
         F.coalesce(F.sum("rows"), F.lit(0)).alias("raw"),
-        F.coalesce(F.sum(F.when(~kept, F.col("rows"))), F.lit(0)).alias("gone"),
-        final.alias("final"),
-        F.count_if(kept).alias("classes"),
+        F.coalesce(F.sum(F.when(gone, F.col("rows"))), F.lit(0)).alias("gone"),
+        F.count_if(~gone).alias("classes"),
+        F.collect_list(F.when(~gone, entry)).alias("per_class"),  # one entry per class
     )
-    metrics = F.array(
+    final = F.col("raw") - F.col("gone")
+    overall = F.array(
         *[
             F.struct(F.lit(name).alias("metric"), value.cast("bigint").alias("value"))
             for name, value in (
                 ("rows_raw", F.col("raw")),
                 ("rows_dropped", F.col("gone")),
-                ("rows_final", F.col("final")),
+                ("rows_final", final),
                 ("features", F.lit(features)),
                 ("classes", F.col("classes")),
-                ("difference_to_expected", F.col("final") - expected_rows),
+                ("difference_to_expected", final - expected_rows),
             )
         ]
     )
-    per_class = counts.where(kept).select(F.concat(F.lit("rows_"), "category").alias("metric"), F.col("rows").alias("value"))
-    return totals.select(F.explode(metrics).alias("m")).select("m.metric", "m.value").unionByName(per_class)
+    return totals.select(F.explode(F.concat(overall, "per_class")).alias("m")).select("m.metric", "m.value")

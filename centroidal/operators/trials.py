@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # --- fixed values: the column names of the trial and quality tables -------------------
@@ -65,15 +65,16 @@ def speedup(
 ) -> DataFrame:
     """Add speed-up and runtime reduction against the base configuration of equal size.
 
-    The base time of a size is one conditional aggregate over the summary, which has
-    one row per configuration; times that are not positive give null.
+    ``summary`` has one row per size and configuration, so the window over a size
+    holds as many rows as there are configurations, and the trials are read once.
+    Times that are not positive give null.
     """
-    base_time = F.max(F.when(F.col(configuration) == base, F.col(seconds))).alias("base_seconds")
-    bases = summary.groupBy(size).agg(base_time)
+    same_size = Window.partitionBy(size)
+    base_time = F.max(F.when(F.col(configuration) == base, F.col(seconds))).over(same_size)
     positive = F.when(F.col(seconds) > 0, F.col(seconds))
     base_positive = F.when(F.col("base_seconds") > 0, F.col("base_seconds"))
     return (
-        summary.join(bases, size, "left")
+        summary.withColumn("base_seconds", base_time)
         .withColumn("speedup", F.try_divide(F.col("base_seconds"), positive))
         .withColumn("runtime_reduction_percent", (1.0 - F.try_divide(positive, base_positive)) * 100.0)
         .drop("base_seconds")

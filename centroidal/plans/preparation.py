@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from centroidal.functions.vectors import pack
+from centroidal.operators.layout import written
 from centroidal.operators.points import validate_points
 from centroidal.operators.prepare import (
     drop_class,
@@ -49,7 +50,6 @@ def prepare_table(
     cleaned = raw.withColumn(label, normalize_label(F.col(label)))
     mapped = require_mapped(map_category(cleaned, label, mapping), label)
     summary = prep_summary(
-        raw.sparkSession,
         mapped,
         category="category",
         dropped=dropped,
@@ -79,8 +79,11 @@ def preprocess_kdd(raw: DataFrame) -> Prepared:
 
 
 def prepare_kdd(raw: DataFrame, directory: str, name: str = "kdd99") -> tuple[str, DataFrame]:
-    """Preprocess, validate and save; returns the path and the summary table."""
-    prepared = preprocess_kdd(raw)
+    """Preprocess, validate and save; returns the path and the summary table.
+
+    The text is parsed once, into a typed table that the later passes read by column.
+    """
+    prepared = preprocess_kdd(written(raw, "connections"))
     validate_points(
         prepared.points,
         name=name,

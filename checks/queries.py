@@ -435,7 +435,7 @@ def record_ids(spark, sf):
 
 def prep_summary(spark, sf):
     return prepare.prep_summary(
-        spark, _mapped_orders(spark, sf), category="category", dropped=DROPPED_CLASS, features=4, expected_rows=10_000
+        _mapped_orders(spark, sf), category="category", dropped=DROPPED_CLASS, features=4, expected_rows=10_000
     )
 
 

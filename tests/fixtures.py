@@ -10,7 +10,7 @@ def _group(at):
     return [(at - 0.2, at), (at, at - 0.2), (at, at), (at, at + 0.2), (at + 0.2, at), (at + 0.2, at + 0.2)]
 
 
-PIPELINE = _group(1.0) + _group(9.0)
+TWELVE = _group(1.0) + _group(9.0)
 DEMO = _group(1.0) + _group(5.0) + _group(9.0) + _group(13.0)
 RESTARTS = [
     (-0.7317086365368399, -1.7628963352893607), (1.9693375952864272, -1.603458695675816),

@@ -9,13 +9,13 @@ from centroidal.operators.seeding import keyed
 from centroidal.plans import clustering as P
 from centroidal.sources.readers import read_points_csv
 from centroidal.sources.writers import write_points_csv
-from tests.fixtures import DEMO, PIPELINE
+from tests.fixtures import DEMO, TWELVE
 
 
 @pytest.mark.parametrize("n_buckets", [None, 1])
 def test_two_clusters(make_points, n_buckets):
     model = P.parallel_kmeans(
-        make_points(PIPELINE).coalesce(1), 2, n_buckets=n_buckets, local_tolerance=1e-12, global_cost_tolerance=1e-12
+        make_points(TWELVE).coalesce(1), 2, n_buckets=n_buckets, local_tolerance=1e-12, global_cost_tolerance=1e-12
     )
     assert model.converged
     assert np.allclose(sorted(map(tuple, model.centers)), [(1 + 1 / 30,) * 2, (9 + 1 / 30,) * 2])
@@ -123,7 +123,7 @@ def test_best_initialization_wins(make_points):
 
 def test_labeled_run_checks_and_predicts(make_points):
     labels = [0] * 6 + [1] * 6
-    run = P.labeled_run(make_points(PIPELINE, labels), 2, n_buckets=1)
+    run = P.labeled_run(make_points(TWELVE, labels), 2, n_buckets=1)
     rows = run.predictions.orderBy("record_id").collect()
     assert [r.record_id for r in rows] == list(range(12)) and [r.label for r in rows] == labels
     assert len({(r.label, r.cluster) for r in rows}) == 2

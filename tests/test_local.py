@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 from centroidal.functions.kernels import fit_group
 from centroidal.operators import local as C
 from centroidal.operators.seeding import keyed, kmeanspp_seeds
-from tests.fixtures import PIPELINE, RESTARTS, RESTARTS_SSE, STEP
+from tests.fixtures import TWELVE, RESTARTS, RESTARTS_SSE, STEP
 
 
 def test_one_result_per_bucket(make_points):
-    rows = C.partition_kmeans(make_points(PIPELINE * 4), 2, n_buckets=3).collect()
+    rows = C.partition_kmeans(make_points(TWELVE * 4), 2, n_buckets=3).collect()
     assert sum(r.record_count for r in rows) == 48
     assert {r.bucket for r in rows} == {0, 1, 2}
     assert all(len(r.centers) == 2 and r.converged for r in rows)
@@ -24,7 +24,7 @@ def test_one_result_per_non_empty_partition(spark, make_points):
 
 def test_buckets_do_not_depend_on_the_layout(make_points):
     def result(partitions):
-        found = C.partition_kmeans(make_points(PIPELINE * 5, partitions=partitions), 3, n_buckets=4)
+        found = C.partition_kmeans(make_points(TWELVE * 5, partitions=partitions), 3, n_buckets=4)
         return sorted(map(tuple, found.select("bucket", "record_count", "sse").collect()))
 
     assert result(1) == result(7)
@@ -63,7 +63,7 @@ def test_nonfinite_points_fail(make_points, bad):
 
 
 def test_candidates_are_numbered(make_points):
-    pool = C.collect_candidates(C.partition_kmeans(make_points(PIPELINE * 4), 2, n_buckets=3))
+    pool = C.collect_candidates(C.partition_kmeans(make_points(TWELVE * 4), 2, n_buckets=3))
     rows = pool.orderBy("record_id").collect()
     assert [r.record_id for r in rows] == list(range(6))
     assert [(r.bucket, r.cluster) for r in rows] == [(b, c) for b in range(3) for c in range(2)]

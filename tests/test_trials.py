@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from centroidal.operators import trials as T
 from centroidal.plans.experiments import run_trials
 from centroidal.sources.readers import read_quality_table
-from tests.fixtures import PIPELINE
+from tests.fixtures import TWELVE
 from tests.test_sources import HEADER, trial
 
 BODY = (
@@ -83,7 +83,7 @@ def test_zero_time_gives_no_speedup(spark, tmp_path):
 
 
 def test_repeated_runs_become_trial_rows(make_points):
-    points = make_points(PIPELINE)
+    points = make_points(TWELVE)
     rows = run_trials(points, 2, dataset_name="pairs", repetitions=3, warmups=1, n_buckets=1)
     found = rows.orderBy("random_seed").collect()
     assert [r.random_seed for r in found] == [42, 43, 44]
