@@ -112,36 +112,42 @@ def encode_label(category: Column, names: Sequence[str]) -> Column:
 
 
 def column_moments(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """``mean_c, std_c, min_c, max_c`` of every column, population deviation, one scan."""
-    aggregates = []
-    for c in columns:
-        value = F.col(c).cast("double")
-        aggregates += [
-            F.avg(value).alias(f"mean_{c}"),
-            F.stddev_pop(value).alias(f"std_{c}"),
-            F.min(value).alias(f"min_{c}"),
-            F.max(value).alias(f"max_{c}"),
-        ]
-    return df.groupBy(*by).agg(*aggregates)
-
+    """``(by..., column int, mean, std, low, high)``, population deviation, one scan.
 
-def _z_score(value: Column, mean: Column, std: Column, low: Column, high: Column) -> Column:
-    # A constant column is recognised by its range: the mean of equal doubles need
-    # not equal them in the last bit.
-    return F.when(low == high, F.lit(0.0)).otherwise(F.try_divide(value.cast("double") - mean, std))
+    ``column`` is the position in ``columns``.  One row per value feeds four aggregates
+    with partial results per column; four aggregates per column side by side would be
+    more code than the JVM compiles well for a wide table.
+    """
+    values = F.array(*[F.col(c).cast("double") for c in columns])
+    return (
+        df.select(*by, F.posexplode(values).alias("column", "value"))
+        .groupBy(*by, "column")
+        .agg(
+            F.avg("value").alias("mean"),
+            F.stddev_pop("value").alias("std"),
+            F.min("value").alias("low"),
+            F.max("value").alias("high"),
+        )
+    )
 
 
 def standardize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """z-score with the population deviation; constant columns become 0."""
-    moments = column_moments(df, columns).first()  # one row
-    if moments[f"min_{columns[0]}"] is None:
+    """z-score with the population deviation; constant columns become 0.
+
+    A constant column is recognised by its range: the mean of equal doubles need not
+    equal them in the last bit.
+    """
+    moments = {columns[row["column"]]: row for row in column_moments(df, columns).collect()}  # one row per column
+    if not moments:
         return df
 
     def scaled(c: str) -> Column:
-        literals = [F.lit(moments[f"{part}_{c}"]) for part in ("mean", "std", "min", "max")]
-        return _z_score(F.col(c), *literals)
+        found, value = moments[c], F.col(f"`{c}`").cast("double")
+        if found["low"] == found["high"] or not found["std"]:
+            return F.when(value.isNotNull(), F.lit(0.0))
+        return (value - F.lit(found["mean"])) / F.lit(found["std"])
 
-    return df.select(*[scaled(c).alias(c) if c in columns else F.col(f"`{c}`") for c in df.columns])
+    return df.select(*[scaled(c).alias(c) if c in moments else F.col(f"`{c}`") for c in df.columns])
 
 
 def nested_prefixes(
@@ -157,13 +163,21 @@ def nested_prefixes(
     largest = df.where(F.col(record_id) < max(sizes))
     member = F.explode(F.filter(F.array(*[F.lit(s).cast("bigint") for s in sorted(sizes)]), lambda s: F.col(record_id) < s))
     tagged = largest.select(member.alias("size"), "*")
-    moments = small(column_moments(tagged, columns, ["size"]), len(sizes))
-    scaled = {
-        c: _z_score(F.col(c), *[F.col(f"{part}_{c}") for part in ("mean", "std", "min", "max")]).alias(c)
-        for c in columns
-    }
-    return tagged.join(moments, "size").select(
-        "size", *[scaled[c] if c in scaled else F.col(f"`{c}`") for c in df.columns]
+    per_size = (
+        column_moments(tagged, columns, ["size"])
+        .groupBy("size")
+        .agg(F.array_sort(F.collect_list(F.struct("column", "mean", "std", "low", "high"))).alias("_moments"))
+    )
+
+    def scaled(position: int, c: str) -> Column:
+        found = F.col("_moments")[position]
+        value = F.col(f"`{c}`").cast("double")
+        moving = F.try_divide(value - found["mean"], found["std"])
+        return F.when(found["low"] == found["high"], F.lit(0.0)).otherwise(moving).alias(c)
+
+    position = {c: i for i, c in enumerate(columns)}
+    return tagged.join(small(per_size, len(sizes)), "size").select(
+        "size", *[scaled(position[c], c) if c in position else F.col(f"`{c}`") for c in df.columns]
     )
 
 
