@@ -6,10 +6,12 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
-from centroidal.functions.keys import row_key, uniform
+from centroidal.functions.keys import row_key, uniform, uniform_array
 from centroidal.operators.assign import as_centers, centers_frame
 from centroidal.operators.prepare import nested_prefixes
 
@@ -56,14 +58,6 @@ def uniform_centers(k: int, dimensions: int, seed: int = 42) -> np.ndarray:
     return np.random.default_rng(seed).uniform(*CENTER_BOX, size=(k, dimensions))
 
 
-def gaussian(key: Column, seed: int, index: int) -> Column:
-    """Standard normal number ``index`` of a row: one half of a Box-Muller pair."""
-    pair = index // 2
-    radius = F.sqrt(-2.0 * F.ln(uniform(key, seed, 2 * pair + 1)))
-    angle = 2.0 * math.pi * uniform(key, seed, 2 * pair + 2)
-    return radius * (F.cos(angle) if index % 2 == 0 else F.sin(angle))
-
-
 def check_blob_arguments(rows: int, dimensions: int, k: int, spread: float, separation: float = 1.0) -> None:
     if min(rows, dimensions, k) <= 0:
         raise ValueError("rows, features and clusters must be positive")
@@ -75,23 +69,37 @@ def check_blob_arguments(rows: int, dimensions: int, k: int, spread: float, sepa
         raise ValueError("the separation must be finite and positive")
 
 
+def _coordinates(centers: np.ndarray, spread: float, seed: int):
+    dimensions = centers.shape[1]
+
+    @arrow_udf("array<double>")
+    def place(key: pa.Array, label: pa.Array) -> pa.Array:
+        keys = key.to_numpy(zero_copy_only=False)
+        values = centers[label.to_numpy(zero_copy_only=False)]
+        for pair in range((dimensions + 1) // 2 if spread else 0):  # Box-Muller gives two at a time
+            radius = spread * np.sqrt(-2.0 * np.log(uniform_array(keys, seed, 2 * pair + 1)))
+            angle = 2.0 * np.pi * uniform_array(keys, seed, 2 * pair + 2)
+            values[:, 2 * pair] += radius * np.cos(angle)
+            if 2 * pair + 1 < dimensions:
+                values[:, 2 * pair + 1] += radius * np.sin(angle)
+        offsets = np.arange(0, values.size + 1, dimensions, dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel()))
+
+    return place
+
+
 def blobs_from_ids(
     ids: DataFrame, label: Column, centers: Sequence[Sequence[float]] | np.ndarray, spread: float, seed: int
 ) -> DataFrame:
     """``(record_id, features, label)`` for a table of record ids.
 
-    The centre is taken from a literal array by label; noise is computed per row, so
-    the table is the same however it is partitioned, chunked or retried.
+    Noise is a function of the seed and the record id, so the table is the same
+    however it is partitioned, chunked or retried.  It is drawn for whole Arrow
+    batches: as a column expression it would outgrow the JIT.
     """
-    model = as_centers(centers)
-    lookup = F.array(*[F.array(*[F.lit(float(v)) for v in center]) for center in model])
     placed = ids.select("record_id", label.alias("label"), row_key(F.col("record_id")).alias("key"))
-    center = F.get(lookup, F.col("label"))
-    coordinates = [
-        F.get(center, F.lit(i)) + (gaussian(F.col("key"), seed, i) * spread if spread else F.lit(0.0))
-        for i in range(model.shape[1])
-    ]
-    return placed.select("record_id", F.array(*coordinates).alias("features"), "label")
+    place = _coordinates(as_centers(centers), float(spread), seed)
+    return placed.select("record_id", place("key", "label").alias("features"), "label")
 
 
 def diagonal_blobs(

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from centroidal.functions.keys import row_key, uniform
-from centroidal.functions.vectors import pack, squared_euclidean, unpack
+from centroidal.functions.vectors import nearest_center, pack, squared_euclidean, unpack
 from centroidal.operators import assign as assigning
 from centroidal.operators import generate, lloyd, local, points, prepare, quality, seeding, trials
 from centroidal.operators.layout import count_partition_records, scratch_path, with_bucket
@@ -356,10 +356,10 @@ def quality_of_text_labels(spark, sf):
 def cross_check(spark, sf):
     pts = line_points(spark, sf)
     start = starting_centers(pts, LINE_K)
-    compiled = quality.run_fingerprint(assigning.assign(pts, start))
-    batched = assigning._best_by_arrow(start)(F.col("features"))
-    again = pts.withColumn("best", batched).select("features", "best.cluster", "best.distance_sq")
-    return quality.cross_check(compiled, quality.run_fingerprint(again))
+    batched = quality.run_fingerprint(assigning.assign(pts, start))
+    compiled = pts.withColumn("best", nearest_center(F.col("features"), start.tolist()))
+    again = compiled.select("features", "best.cluster", "best.distance_sq")
+    return quality.cross_check(batched, quality.run_fingerprint(again))
 
 
 # --- preparation -----------------------------------------------------------------------

@@ -4,7 +4,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from centroidal.functions.keys import row_key, uniform, uniform_array
-from centroidal.functions.vectors import pack, squared_euclidean, unpack
+from centroidal.functions.vectors import nearest_center, pack, squared_euclidean, unpack
 from centroidal.operators import assign as A
 
 IDS, POINTS, LABELS = (100, 101, 102, 103), [(0, 0), (1, 0), (10, 10), (11, 10)], [5, 5, 9, 9]
@@ -43,9 +43,9 @@ def test_compiled_and_arrow_paths_agree(spark, make_points):
     rng = np.random.default_rng(0)
     pts = make_points(rng.normal(size=(300, 5)).tolist())
     centers = rng.normal(size=(7, 5))
-    compiled = A.assign(pts, centers).select("record_id", "cluster", "distance_sq")
-    arrow = pts.withColumn("b", A._best_by_arrow(centers)(F.col("features")))
-    arrow = arrow.select("record_id", "b.cluster", "b.distance_sq")
+    compiled = pts.withColumn("b", nearest_center(F.col("features"), centers.tolist()))
+    compiled = compiled.select("record_id", "b.cluster", "b.distance_sq")
+    arrow = A.assign(pts, centers).select("record_id", "cluster", "distance_sq")
     joined = compiled.join(arrow.withColumnsRenamed({"cluster": "c2", "distance_sq": "d2"}), "record_id")
     assert joined.where("cluster = c2 and abs(distance_sq - d2) < 1e-9").count() == 300
 
