@@ -13,6 +13,8 @@ from centroidal.functions.keys import uniform_array
 _BLOCK_BYTES = 1 << 20
 # Up to this many clusters a product with the membership matrix beats counting by column.
 _ONE_HOT_LIMIT = 16
+# Margin for the rounding of accumulated distance bounds.
+_SURE = 1.0 + 1e-9
 
 
 def to_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -48,7 +50,12 @@ def nearest(points: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def nearest_labels(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
-    """Index of the nearest centre, lowest index on ties.
+    """Index of the nearest centre, lowest index on ties."""
+    return _two_nearest(points, centers)[0]
+
+
+def _two_nearest(points: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nearest centre, an upper bound of its distance and a lower bound of any other's.
 
     One matrix product ranks the centres.  Rows whose best two centres lie within the
     rounding bound of that product are measured directly, so the answer is always
@@ -59,13 +66,15 @@ def nearest_labels(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
     if centers.shape[1] != dimensions:
         raise ValueError(f"points have {dimensions} features but centers have {centers.shape[1]}")
     labels = np.zeros(rows, dtype=np.int64)
+    own, other = np.empty(rows), np.empty(rows)
     center_norms = np.einsum("ij,ij->i", centers, centers)
     step = max(1, _BLOCK_BYTES // (8 * k))
     for start in range(0, rows, step):
-        block = points[start : start + step]
+        part = slice(start, start + step)
+        block = points[part]
         # |x - c|^2 without |x|^2, which is the same for every centre of a row.
         ranks = center_norms[:, None] - 2.0 * (centers @ block.T)
-        choice, best = labels[start : start + step], ranks[0].copy()
+        choice, best = labels[part], ranks[0].copy()
         runner_up = np.full(len(block), np.inf)
         for cluster in range(1, k):
             rank = ranks[cluster]
@@ -73,12 +82,15 @@ def nearest_labels(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
             np.minimum(runner_up, np.where(closer, best, rank), out=runner_up)
             np.copyto(best, rank, where=closer)
             choice[closer] = cluster
-        size = np.einsum("ij,ij->i", block, block).max() + center_norms.max()
-        slack = 16.0 * (dimensions + 8) * np.finfo(float).eps * size
+        norms = np.einsum("ij,ij->i", block, block)
+        slack = 16.0 * (dimensions + 8) * np.finfo(float).eps * (norms.max() + center_norms.max())
+        own[part] = np.sqrt(np.maximum(best + norms + slack, 0.0))
+        other[part] = np.sqrt(np.maximum(runner_up + norms - slack, 0.0))
         unsure = ~(runner_up - best > slack)  # also true for NaN
         if k > 1 and unsure.any():
             choice[unsure] = _nearest_direct(block[unsure], centers)[0]
-    return labels
+            other[part][unsure] = 0.0
+    return labels, own, other
 
 
 def _nearest_direct(points: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -184,13 +196,37 @@ def fit_group(
         raise ValueError("features contain NaN or infinite values")
     order = np.argsort(keys, kind="stable")  # sums must not depend on arrival order
     points, keys = points[order], keys[order]
-    centers = race_seeds(points, keys, k, seed)
+    return _settle(points, race_seeds(points, keys, k, seed), max_iterations, tolerance)
+
+
+def _settle(points: np.ndarray, centers: np.ndarray, max_iterations: int, tolerance: float) -> LocalFit:
+    """Lloyd rounds that measure a point again only when its label could have changed.
+
+    After a round every centre is off by at most its own step, so a point whose own
+    centre is surely nearer than any other keeps its label.  The labels, and hence
+    the sums, are those of measuring every point in every round.
+    """
+    k = len(centers)
+    labels = np.zeros(len(points), dtype=np.int64)
+    own, other = np.full(len(points), np.inf), np.zeros(len(points))
+
+    def relabel() -> None:
+        open_ = np.flatnonzero(~(own * _SURE < other))
+        if len(open_) == len(points):
+            labels[:], own[:], other[:] = _two_nearest(points, centers)
+        elif len(open_):
+            labels[open_], own[open_], other[open_] = _two_nearest(points[open_], centers)
+
     iterations, converged = 0, False
     while iterations < max_iterations and not converged:
-        labels = nearest_labels(points, centers)
+        relabel()
         moved = means_of(np.bincount(labels, minlength=k), sums_by(labels, points, k), centers)
+        steps = np.sqrt(_distances_to(centers, moved))
+        own += steps[labels]
+        other -= steps.max()
         converged = max_shift(centers, moved) <= tolerance
         centers = moved
         iterations += 1
-    labels, distances = nearest(points, centers)
-    return LocalFit(centers, np.bincount(labels, minlength=k), iterations, converged, float(distances.sum()))
+    relabel()
+    error = float(_distances_to(points, centers[labels]).sum())
+    return LocalFit(centers, np.bincount(labels, minlength=k), iterations, converged, error)

@@ -4,7 +4,18 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from centroidal.functions.kernels import Statistics, _nearest_direct, fit_group, max_shift, nearest, race_seeds, to_matrix
+from centroidal.functions.kernels import (
+    Statistics,
+    _nearest_direct,
+    _settle,
+    fit_group,
+    max_shift,
+    means_of,
+    nearest,
+    race_seeds,
+    sums_by,
+    to_matrix,
+)
 from centroidal.functions.keys import uniform_array
 from tests.fixtures import TWO_BLOBS
 
@@ -79,6 +90,24 @@ def test_same_seed_same_fit_and_row_order_is_irrelevant():
     assert (first.centers == second.centers).all() and first.sse == second.sse
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 120), st.integers(1, 8), st.integers(1, 6), st.integers(0, 1000), st.booleans(), st.sampled_from([0, 1e6]))
+def test_skipping_settled_points_changes_nothing(n, k, d, seed, on_grid, offset):
+    rng = np.random.default_rng(seed)
+    points = rng.normal(size=(n, d)) * 3 + offset
+    if on_grid:
+        points = np.round(points)
+    centers = points[rng.integers(0, n, k)].copy()
+    fit = _settle(points, centers, 30, 0.0)
+    for _ in range(fit.iterations):
+        labels = _nearest_direct(points, centers)[0]
+        centers = means_of(np.bincount(labels, minlength=k), sums_by(labels, points, k), centers)
+    labels, distances = _nearest_direct(points, centers)
+    assert (fit.centers == centers).all()
+    assert (fit.counts == np.bincount(labels, minlength=k)).all()
+    assert fit.sse == pytest.approx(distances.sum())
+
+
 def test_iteration_limit_reports_not_converged():
     points = np.random.default_rng(0).normal(size=(200, 2))
     fit = fit_group(points, keys_for(200), 5, 1, 0.0, 1)
