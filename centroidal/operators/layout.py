@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import cache
 
 import pyarrow as pa
 from pyspark import StorageLevel, TaskContext
@@ -75,6 +76,11 @@ def with_bucket(df: DataFrame, n_buckets: int, record_id: str = "record_id") ->
     return df.withColumn("bucket", hash_bucket(F.col(record_id), n_buckets))
 
 
+@cache
+def _local_scratch() -> str:
+    return tempfile.mkdtemp(prefix="centroidal-")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for an intermediate table in the cluster's shared checkpoint folder.
 
@@ -82,12 +88,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     local session gets a temporary folder and a cluster gets an error, because a
     machine-local folder is not visible to the other executors.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="centroidal-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_scratch()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

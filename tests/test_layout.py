@@ -1,3 +1,5 @@
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,3 +51,15 @@ def test_written_tables_go_to_the_shared_folder(spark):
     assert Y.scratch_path(spark, "x").startswith(folder)
     back = Y.written(spark.range(5), "numbers")
     assert back.count() == 5 and folder in back.inputFiles()[0]
+
+
+@pytest.mark.parametrize("master, allowed", [("local[4]", True), ("spark://host:7077", False)])
+def test_without_a_shared_folder_only_a_local_session_may_write(master, allowed):
+    session = SimpleNamespace(
+        conf=SimpleNamespace(get=lambda name, default: default), sparkContext=SimpleNamespace(master=master)
+    )
+    if allowed:
+        assert "centroidal-" in Y.scratch_path(session, "x")
+    else:
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            Y.scratch_path(session, "x")
