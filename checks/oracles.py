@@ -14,7 +14,7 @@ from checks.queries import (
     LINE_K,
     LOCAL_ROUNDS,
     MEASURES,
-    POOL_ROUNDS,
+    WHOLE_ROUNDS,
     PREFIX_PARTS,
     RESTARTS,
     ROWS_PER_BUCKET,
@@ -162,7 +162,8 @@ POOL = (
     f"pool AS MATERIALIZED (SELECT CAST(g AS BIGINT) * {LINE_K} + cluster AS id, g AS bucket, cluster, c AS x FROM {_local_last}), "
     f"copies AS MATERIALIZED (SELECT CAST(r.g AS INTEGER) AS g, {key_of('id')} AS key, x FROM pool, range({RESTARTS}) AS r(g))"
 )
-_pool_fit, _pool_last, _pool_assigned = fit_groups("p", "copies", LINE_D, LINE_K, "(42 + g)", POOL_ROUNDS)
+# The limit on local rounds holds for the pool as well.
+_pool_fit, _pool_last, _pool_assigned = fit_groups("p", "copies", LINE_D, LINE_K, "(42 + g)", LOCAL_ROUNDS)
 RESTART_STAGE = f"{LOCAL_STAGE}, {POOL}, {_pool_fit}, {group_totals('restart_totals', _pool_assigned)}"
 _global, _global_last = lloyd_rounds("w", "one", "seeded", LINE_D, GLOBAL_ROUNDS)
 FLAGSHIP = (
@@ -332,7 +333,7 @@ def sql() -> dict[str, str]:
         f" FROM pts, range({RESTARTS}) AS r(g))"
     )
     emb_seeds, emb_start = seeds_of("e", "runs", EMBEDDING_D, EMBEDDING_K, "(42 + g)")
-    emb_fit, emb_fit_last, emb_fit_assigned = fit_groups("e", "runs", EMBEDDING_D, EMBEDDING_K, "(42 + g)", POOL_ROUNDS)
+    emb_fit, emb_fit_last, emb_fit_assigned = fit_groups("e", "runs", EMBEDDING_D, EMBEDDING_K, "(42 + g)", WHOLE_ROUNDS)
 
     queries = {
         "sq_distance": f"WITH {EMBEDDINGS}, lead AS (SELECT label, arg_min(x, id) AS y FROM pts GROUP BY label)"
