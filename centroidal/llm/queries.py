@@ -10,11 +10,13 @@ from centroidal.llm.sharding import op10_shards
 from centroidal.llm.simhash import op7_simhash
 from centroidal.llm.streaming_bpe import op4_bpe
 from centroidal.llm.token_counts import op8_token_counts
+from centroidal.llm.toxicity import op9_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4_bpe,
     "op7_simhash": op7_simhash,
     "op8_token_counts": op8_token_counts,
+    "op9_toxicity": op9_toxicity,
     "op10_shards": op10_shards,
 }
 ORACLE_SQL: dict[str, str] = {}
