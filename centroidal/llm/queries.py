@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from centroidal.llm.language_id import op6_language_id
 from centroidal.llm.sharding import op10_shards
 from centroidal.llm.simhash import op7_simhash
 from centroidal.llm.streaming_bpe import op4_bpe
@@ -14,6 +15,7 @@ from centroidal.llm.toxicity import op9_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4_bpe,
+    "op6_language_id": op6_language_id,
     "op7_simhash": op7_simhash,
     "op8_token_counts": op8_token_counts,
     "op9_toxicity": op9_toxicity,
