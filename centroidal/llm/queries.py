@@ -10,10 +10,12 @@ from centroidal.llm.language_id import op6_language_id
 from centroidal.llm.sharding import op10_shards
 from centroidal.llm.simhash import op7_simhash
 from centroidal.llm.streaming_bpe import op4_bpe
+from centroidal.llm.substring_dedup import op1_substring_dedup
 from centroidal.llm.token_counts import op8_token_counts
 from centroidal.llm.toxicity import op9_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op4_bpe": op4_bpe,
     "op6_language_id": op6_language_id,
     "op7_simhash": op7_simhash,
