@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from centroidal.llm.decontamination import op2_decontamination
 from centroidal.llm.language_id import op6_language_id
 from centroidal.llm.sharding import op10_shards
 from centroidal.llm.simhash import op7_simhash
@@ -16,6 +17,7 @@ from centroidal.llm.toxicity import op9_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_decontamination": op2_decontamination,
     "op4_bpe": op4_bpe,
     "op6_language_id": op6_language_id,
     "op7_simhash": op7_simhash,
