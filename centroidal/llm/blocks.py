@@ -18,8 +18,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from centroidal.llm.common import ids_and_texts
-
 BLOCK_BYTES = 4_000_000  # of text in a block, on average
 LETTERS = "block int, shard int, letter binary"
 
@@ -33,12 +31,18 @@ def partitions_of(df: DataFrame) -> int:
 
 
 def dealt(docs: DataFrame, total: int) -> DataFrame:
-    """``(doc_id, text, block)``: equal rows share a block; nothing else about a row decides."""
-    plain = ids_and_texts(docs)
+    """Add ``block`` and deal out by it: equal ids and texts share a block, and nothing else decides."""
     n = partitions_of(docs)
     blocks = max(4 * n, -(-total // BLOCK_BYTES))
     block = F.pmod(F.xxhash64(F.lit("block"), "doc_id", F.xxhash64("text")), F.lit(blocks)).cast("int")
-    return plain.withColumn("block", block).repartition(max(n, blocks // 8), "block")
+    return docs.withColumn("block", block).repartition(max(n, blocks // 8), "block")
+
+
+def with_carried(docs: DataFrame, others: list[str]) -> DataFrame:
+    """``(doc_id, text, carried)`` with the other columns in a struct."""
+    held = [F.col(f"`{c}`") for c in others] or [F.lit(True).alias("none")]
+    doc_id, text = F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")
+    return docs.select(doc_id, text, F.struct(*held).alias("carried"))
 
 
 def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, pa.Table]]:
@@ -60,11 +64,11 @@ def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, p
         yield current, pa.Table.from_batches(held)
 
 
-def block_rows(rows: pa.Table) -> tuple[list[int | None], list[str | None]]:
-    """Ids and texts of a block in an order that any task finds again; null ids come last."""
-    pairs = list(zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist()))
-    pairs.sort(key=lambda p: (p[0] is None, p[0] or 0, p[1] is not None, p[1] or ""))
-    return [p[0] for p in pairs], [p[1] for p in pairs]
+def block_rows(rows: pa.Table) -> tuple[list[int], list[int | None], list[str | None]]:
+    """Places, ids and texts of a block's rows in an order that any task finds again; null ids come last."""
+    ids, texts = rows.column("doc_id").to_pylist(), rows.column("text").to_pylist()
+    order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i] is not None, texts[i] or ""))
+    return order, [ids[i] for i in order], [texts[i] for i in order]
 
 
 def letters_of(dealt_docs: DataFrame, write: Callable[[int, pa.Table], Iterator[tuple[int, bytes]]]) -> DataFrame:

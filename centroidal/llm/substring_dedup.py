@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from centroidal.llm.blocks import answered, block_rows, dealt, letters_of, partitions_of, read_back, text_bytes
+from centroidal.llm.blocks import answered, block_rows, dealt, letters_of, partitions_of, read_back, text_bytes, with_carried
 from centroidal.llm.common import documents, ids_and_texts
 
 SENTENCES = 3
@@ -71,7 +71,7 @@ class _Block:
     """A block's texts, their spans, and its distinct spans by shard."""
 
     def __init__(self, rows: pa.Table, shards: int, least_sentences: int, least_words: int):
-        self.ids, self.texts = block_rows(rows)
+        self.order, self.ids, self.texts = block_rows(rows)
         self.parts = [sentences(t) for t in self.texts]
         self.spans = [Spans(p, least_sentences, least_words) for p in self.parts]
         hashes = np.concatenate([s.hashes for s in self.spans]) if self.spans else np.zeros((0, 2), np.uint64)
@@ -113,13 +113,14 @@ def _first_elsewhere(blocks: list[int], letters: list[bytes]) -> list[bytes]:
 
 
 def deduplicated(docs: DataFrame, least_sentences: int = SENTENCES, least_words: int = WORDS) -> DataFrame:
-    """``(doc_id, n_sentences, n_removed, text)``, one row per row of ``docs``.
+    """``(doc_id, n_sentences, n_removed, text)`` and the struct ``carried`` of all other columns.
 
-    ``text`` is the text without the removed sentences, or the text itself where none is.
-    Texts shorter than a span, empty and null texts stay as they are.  A repeated row is a
-    later occurrence of all its spans; rows with a null id come after all others.
+    One row per row of ``docs``.  ``text`` is the text without the removed sentences, or the
+    text itself where none is.  Texts shorter than a span, empty and null texts stay as they
+    are.  A repeated row is a later occurrence of all its spans; rows with a null id come
+    after all others.
     """
-    plain = ids_and_texts(docs)
+    plain = with_carried(docs, [c for c in docs.columns if c not in ("doc_id", "text")])
     total = text_bytes(plain)
     shards = max(partitions_of(docs), -(-total // SHARD_BYTES))
     by_block = dealt(plain, total)
@@ -144,12 +145,16 @@ def deduplicated(docs: DataFrame, least_sentences: int = SENTENCES, least_words:
             texts.append("".join(p for k, p in enumerate(parts) if k not in out) if out else text)
             removed.append(len(out))
             counts.append(n)
-        columns = [pa.array(own.ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string())]
-        return pa.Table.from_arrays(columns, ["doc_id", "n_sentences", "n_removed", "text"])
+        columns = [own.ids, counts, removed, texts]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+        arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
+        carried = rows.column("carried").combine_chunks().take(pa.array(own.order, pa.int64()))
+        return pa.Table.from_arrays([*arrays, carried], ["doc_id", "n_sentences", "n_removed", "text", "carried"])
 
     replies = answered(letters_of(by_block, write), _first_elsewhere, shards)
-    return read_back(by_block, replies, read, "doc_id bigint, n_sentences bigint, n_removed bigint, text string")
+    kept = plain.schema["carried"].dataType.simpleString()
+    return read_back(by_block, replies, read, f"doc_id bigint, n_sentences bigint, n_removed bigint, text string, carried {kept}")
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    return deduplicated(documents(spark, sf_dir))
+    return deduplicated(ids_and_texts(documents(spark, sf_dir))).drop("carried")

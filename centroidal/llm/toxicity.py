@@ -243,6 +243,17 @@ def toxicity(docs: DataFrame, model: Model | None) -> DataFrame:
     )
 
 
+def without_toxic(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of ``docs`` that are not predicted to be toxic, with all their columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [score(model, t) < THRESHOLD for _, _, texts in text_slices(batch) for t in texts]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return toxicity(docs, fit(sample(docs, table(spark, sf_dir, "labels"))))

@@ -1,4 +1,78 @@
-STAGES = []
+"""A corpus cleaned and encoded in five stages, each of which calls one corpus operator.
+
+Every stage but the last returns the columns of ``documents``.  Rows without an id cannot be
+named in a decision that is joined by id, so such decisions leave them in.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from centroidal.llm.common import documents, table, written
+from centroidal.llm.decontamination import leaks
+from centroidal.llm.simhash import near_duplicates
+from centroidal.llm.streaming_bpe import VOCABULARY, bpe_round_trips
+from centroidal.llm.substring_dedup import deduplicated
+from centroidal.llm.tokenizer import vocabulary_file
+from centroidal.llm.toxicity import fit, sample, without_toxic
+
+# No SQL: a compressor, a fingerprint and a tokenizer decide; tests hold it against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def toxic_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are predicted to be toxic go; learned from the labels of what is there."""
+    return without_toxic(docs, fit(sample(docs, table(spark, sf_dir, "labels"))))
+
+
+def one_of_each_group_stays(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near duplicates the document with the smallest id stays; rows alike in id and text are one."""
+    found = near_duplicates(docs).filter("doc_id is not null")
+    goes = found.filter("doc_id != component_id").select("doc_id").distinct()
+    dealt = docs.repartition("doc_id").filter("doc_id is not null").dropDuplicates(["doc_id", "text"])
+    return dealt.join(written(goes, "near-duplicates"), "doc_id", "left_anti").select(docs.columns).union(
+        docs.filter("doc_id is null")
+    )
+
+
+def repeated_sentences_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of sentence spans go, and documents of which nothing else is left."""
+    found = deduplicated(docs).filter("n_removed = 0 or n_removed < n_sentences")
+    changed = F.col("n_removed") > 0
+
+    def column(name: str):
+        if name in ("doc_id", "text"):
+            return F.col(name)
+        own = F.col(f"carried.`{name}`")
+        return (F.when(changed, F.length("text")).otherwise(own) if name == "n_chars" else own).cast(docs.schema[name].dataType).alias(name)
+
+    return found.select([column(c) for c in docs.columns])
+
+
+def benchmark_leaks_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, also with other numbers, names or units, go."""
+    leaked = leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(written(leaked, "leaks"), "doc_id", "left_anti").select(docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of the text decoded from them."""
+    return bpe_round_trips(docs, vocabulary_file(VOCABULARY))
+
+
+STAGES = [
+    ("toxicity", toxic_documents_go),
+    ("near duplicates", one_of_each_group_stays),
+    ("repeated sentences", repeated_sentences_go),
+    ("benchmark leaks", benchmark_leaks_go),
+    ("byte pairs", encoded),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages, applied to ``documents``; each result is written before the next stage reads it."""
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -32,7 +32,7 @@ def plain(rows, least_sentences=3, least_words=12):
 
 def found(spark, rows, **options):
     docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id bigint, text string, block int, shard string")
-    return sorted(map(tuple, dedup.deduplicated(docs, **options).collect()), key=repr)
+    return sorted(map(tuple, dedup.deduplicated(docs, **options).drop("carried").collect()), key=repr)
 
 
 def passages(seed, docs=120):
@@ -64,6 +64,12 @@ def test_odd_rows(spark):
     assert found(spark, []) == []
 
 
+def test_other_columns_are_carried(spark):
+    docs = spark.createDataFrame([(1, "a", "b c.", None), (2, None, "", 4)], "doc_id bigint, block string, text string, shard int")
+    found = {r.doc_id: r.carried for r in dedup.deduplicated(docs).collect()}
+    assert tuple(found[1]) == ("a", None) and tuple(found[2]) == (None, 4)
+
+
 def test_small_table_of_documents(spark):
     docs = documents(spark, "/root/testdata/sf0.001")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
