@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 BLOCK_BYTES = 4_000_000  # of text in a block, on average
 LETTERS = "block int, shard int, letter binary"
@@ -114,7 +115,7 @@ def answered(letters: DataFrame, answer: Callable[[list[int], list[bytes]], list
 
 
 def read_back(
-    dealt_docs: DataFrame, replies: DataFrame, read: Callable[[int, pa.Table, dict[int, bytes]], pa.Table], schema: str
+    dealt_docs: DataFrame, replies: DataFrame, read: Callable[[int, pa.Table, dict[int, bytes]], pa.Table], schema: StructType | str
 ) -> DataFrame:
     """Give each block its rows and the answers to its letters, by shard."""
 

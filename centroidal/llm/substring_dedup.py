@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 from centroidal.llm.blocks import answered, block_rows, dealt, letters_of, partitions_of, read_back, text_bytes, with_carried
 from centroidal.llm.common import documents, ids_and_texts
@@ -152,8 +153,8 @@ def deduplicated(docs: DataFrame, least_sentences: int = SENTENCES, least_words:
         return pa.Table.from_arrays([*arrays, carried], ["doc_id", "n_sentences", "n_removed", "text", "carried"])
 
     replies = answered(letters_of(by_block, write), _first_elsewhere, shards)
-    kept = plain.schema["carried"].dataType.simpleString()
-    return read_back(by_block, replies, read, f"doc_id bigint, n_sentences bigint, n_removed bigint, text string, carried {kept}")
+    schema = StructType().add("doc_id", "bigint").add("n_sentences", "bigint").add("n_removed", "bigint").add("text", "string")
+    return read_back(by_block, replies, read, schema.add(plain.schema["carried"]))
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
