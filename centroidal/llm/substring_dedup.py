@@ -153,7 +153,7 @@ def deduplicated(docs: DataFrame, least_sentences: int = SENTENCES, least_words:
         return pa.Table.from_arrays([*arrays, carried], ["doc_id", "n_sentences", "n_removed", "text", "carried"])
 
     replies = answered(letters_of(by_block, write), _first_elsewhere, shards)
-    schema = StructType().add("doc_id", "bigint").add("n_sentences", "bigint").add("n_removed", "bigint").add("text", "string")
+    schema = StructType.fromDDL("doc_id bigint, n_sentences bigint, n_removed bigint, text string")
     return read_back(by_block, replies, read, schema.add(plain.schema["carried"]))
 
 
