@@ -14,10 +14,12 @@ from centroidal.llm.streaming_bpe import op4_bpe
 from centroidal.llm.substring_dedup import op1_substring_dedup
 from centroidal.llm.token_counts import op8_token_counts
 from centroidal.llm.toxicity import op9_toxicity
+from centroidal.llm.vector_search import OP3_SQL, op3_exact_top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_decontamination": op2_decontamination,
+    "op3_exact_top_k": op3_exact_top_k,
     "op4_bpe": op4_bpe,
     "op6_language_id": op6_language_id,
     "op7_simhash": op7_simhash,
@@ -25,4 +27,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_shards": op10_shards,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_exact_top_k": OP3_SQL}
