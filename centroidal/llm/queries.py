@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from centroidal.llm.decontamination import op2_decontamination
+from centroidal.llm.language_model import op5_language_model
 from centroidal.llm.language_id import op6_language_id
 from centroidal.llm.sharding import op10_shards
 from centroidal.llm.simhash import op7_simhash
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_exact_top_k": op3_exact_top_k,
     "op4_bpe": op4_bpe,
+    "op5_language_model": op5_language_model,
     "op6_language_id": op6_language_id,
     "op7_simhash": op7_simhash,
     "op8_token_counts": op8_token_counts,
