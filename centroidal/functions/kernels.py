@@ -153,14 +153,16 @@ def race_seeds(points: np.ndarray, keys: np.ndarray, k: int, seed: int) -> np.nd
 
     The winner of such a race is row i with probability d2_i / sum(d2), the
     k-means++ law, and does not depend on row order.  When every row coincides with
-    a chosen centre the smallest uniform among unchosen rows is taken.
+    a chosen centre the smallest uniform among unchosen rows is taken.  Rows that share
+    a key are one candidate: once it is chosen none of them is offered again.
     """
     chosen = [_lowest(uniform_array(keys, seed, 0), keys)]
-    free = np.ones(len(points), dtype=bool)
-    free[chosen[0]] = False
+    free = keys != keys[chosen[0]]
     spread = _distances_to(points, points[chosen[0]])
     for draw in range(1, k):
         u = uniform_array(keys, seed, draw)
+        if not free.any():
+            raise ValueError(f"k={k} exceeds the number of different record ids")
         eligible = free & (spread > 0)
         if eligible.any():
             score = np.where(eligible, -np.log(u) / np.where(eligible, spread, 1.0), np.inf)
@@ -168,7 +170,7 @@ def race_seeds(points: np.ndarray, keys: np.ndarray, k: int, seed: int) -> np.nd
             score = np.where(free, u, np.inf)
         winner = _lowest(score, keys)
         chosen.append(winner)
-        free[winner] = False
+        free &= keys != keys[winner]
         np.minimum(spread, _distances_to(points, points[winner]), out=spread)
     return points[chosen]
 

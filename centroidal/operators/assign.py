@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from centroidal.functions.kernels import nearest, to_matrix
-from centroidal.functions.vectors import UNROLL_LIMIT, nearest_center, squared_euclidean
+from centroidal.functions.vectors import NOT_FINITE, UNROLL_LIMIT, is_finite, nearest_center, squared_euclidean
 from centroidal.operators.points import validate_points
 
 Centers = np.ndarray | Sequence[Sequence[float]] | DataFrame
@@ -40,13 +40,20 @@ def centers_frame(spark: SparkSession, centers: Centers) -> DataFrame:
     return spark.createDataFrame(rows, "cluster int, center array<double>")
 
 
+def _finite(features: pa.Array) -> np.ndarray:
+    block = to_matrix(features)
+    if not np.isfinite(block).all():
+        raise ValueError(NOT_FINITE)
+    return block
+
+
 def _best_by_arrow(centers: np.ndarray):
     @arrow_udf("struct<distance_sq:double,cluster:int>")
     def best(features: pa.Array) -> pa.Array:
         if len(features) == 0:
             labels, distances = np.empty(0, np.int64), np.empty(0)
         else:
-            labels, distances = nearest(to_matrix(features), centers)
+            labels, distances = nearest(_finite(features), centers)
         return pa.StructArray.from_arrays(
             [pa.array(distances), pa.array(labels.astype(np.int32))], names=["distance_sq", "cluster"]
         )
@@ -77,7 +84,7 @@ def _gap_by_arrow(centers: np.ndarray):
     def gap(features: pa.Array, cluster: pa.Array) -> pa.Array:
         if len(features) == 0:
             return pa.array([], pa.float64())
-        difference = to_matrix(features) - centers[cluster.to_numpy(zero_copy_only=False)]
+        difference = _finite(features) - centers[cluster.to_numpy(zero_copy_only=False)]
         return pa.array(np.einsum("ij,ij->i", difference, difference))
 
     return gap
@@ -94,7 +101,10 @@ def sse(points: DataFrame, centers: Centers, cluster: str = "cluster") -> DataFr
     valid = F.when(F.coalesce((index >= 0) & (index < len(model)), F.lit(False)), index).otherwise(invalid)
     if model.size <= UNROLL_LIMIT:
         lookup = F.array(*[F.array(*[F.lit(float(v)) for v in center]) for center in model])
-        error = squared_euclidean(F.col("features"), F.get(lookup, valid))
+        finite = F.forall("features", is_finite)
+        error = F.when(finite, squared_euclidean(F.col("features"), F.get(lookup, valid))).otherwise(
+            F.raise_error(F.lit(NOT_FINITE)).cast("double")
+        )
     else:
         error = _gap_by_arrow(model)(F.col("features"), valid)
     return points.agg(F.coalesce(F.sum(error), F.lit(0.0)).alias("sse"))

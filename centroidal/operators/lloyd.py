@@ -201,15 +201,12 @@ def check_loop_arguments(max_iterations: int, tolerance: float | None) -> None:
         raise ValueError("the tolerance cannot be negative")
 
 
-def _settled(previous: float, current: float, tolerance: float) -> bool:
-    # Two sums closer than their own rounding error cannot be told apart; without
-    # this floor a table of 10^12 rows would never meet an absolute tolerance.
-    rounding = 8 * np.finfo(float).eps * max(abs(previous), abs(current))
-    return abs(current - previous) <= max(tolerance, rounding)
+def _settled(previous: float, current: float, tolerance: float, relative: float = 0.0) -> bool:
+    return abs(current - previous) <= max(tolerance, relative * max(abs(previous), abs(current)))
 
 
 def iterate(
-    points: DataFrame, initial: Centers, max_iterations: int, tolerance: float | None
+    points: DataFrame, initial: Centers, max_iterations: int, tolerance: float | None, relative_tolerance: float = 0.0
 ) -> tuple[list[Step], bool]:
     """Rounds until the error settles, and whether it did."""
     check_loop_arguments(max_iterations, tolerance)
@@ -219,7 +216,7 @@ def iterate(
     while len(history) < max_iterations and not converged:
         step = lloyd_step(points, centers)
         if tolerance is not None and history:
-            converged = _settled(history[-1].sse, step.sse, tolerance)
+            converged = _settled(history[-1].sse, step.sse, tolerance, relative_tolerance)
         history.append(step)
         centers = step.centers
     return history, converged
@@ -236,15 +233,24 @@ def finish(points: DataFrame, history: list[Step], converged: bool) -> LloydMode
 
 
 def lloyd_fit(
-    points: DataFrame, initial: Centers, *, max_iterations: int = 100, tolerance: float | None = 1e-6
+    points: DataFrame,
+    initial: Centers,
+    *,
+    max_iterations: int = 100,
+    tolerance: float | None = 1e-6,
+    relative_tolerance: float = 0.0,
 ) -> LloydModel:
     """Rounds until the change in squared error is at most ``tolerance``.
 
+    A table of very many rows may never meet an absolute tolerance, as the error's own
+    rounding is larger; ``relative_tolerance`` (off by default) also accepts a change of
+    that share of the error.
+
     Two rounds are needed to see a change, so one round never converges.
     ``tolerance=None`` runs exactly ``max_iterations`` rounds.  The caller decides
     whether ``points`` is cached.
     """
-    return finish(points, *iterate(points, initial, max_iterations, tolerance))
+    return finish(points, *iterate(points, initial, max_iterations, tolerance, relative_tolerance))
 
 
 def measure_centers(points: DataFrame, centers: Centers) -> tuple[float, tuple[int, ...]]:

@@ -19,11 +19,6 @@ from centroidal.operators.seeding import keyed, kmeanspp_seeds
 # What one task holds at a time: at most this many rows and this many feature bytes.
 GROUP_ROWS = 100_000
 GROUP_BYTES = 64 << 20
-# Up to this many buckets each gets a shuffle partition of its own.
-MAX_BUCKET_PARTITIONS = 8192
-
-# Relative difference of two sums of squares that is only summation order.
-ROUNDING = 1e-12
 
 _CHUNK_STEP = 1 << 31
 _LOCAL = (
@@ -71,18 +66,21 @@ def partition_kmeans(
     max_iterations: int = 100,
     tolerance: float = 1e-6,
     random_seed: int = 42,
+    group_rows: int | None = None,
 ) -> DataFrame:
     """One row per non-empty group with the k centres of its own k-means.
 
-    ``n_buckets=None`` fits every partition where it lies: no shuffle, partitions
-    larger than a group bound are taken in successive groups.  With ``n_buckets``
+    ``n_buckets=None`` fits every partition where it lies: no shuffle.  A partition of
+    more than ``group_rows`` rows (by default what the group bounds allow) gives several
+    groups, cut after exactly so many rows; the last has at least k.  With ``n_buckets``
     the groups are hash buckets of the record id, which costs one shuffle of the
-    features and makes the result independent of the physical layout.  A group of
+    features and makes the result independent of the physical layout; a bucket beyond the group bounds is
+    an error.  A group of
     fewer than k records is an error naming the group.
     """
     check_fit_arguments(k, max_iterations, tolerance)
     if n_buckets is None:
-        return _fit_partitions(points, k, max_iterations, tolerance, random_seed)
+        return _fit_partitions(points, k, max_iterations, tolerance, random_seed, group_rows)
     if n_buckets <= 0:
         raise ValueError("the number of buckets must be positive")
 
@@ -90,20 +88,25 @@ def partition_kmeans(
         bucket = key[0].as_py()
         _require_rows(f"bucket {bucket}", group.num_rows, k)
         block = to_matrix(group.column("features"))
+        if len(block) > GROUP_ROWS or block.nbytes > GROUP_BYTES:
+            raise ValueError(
+                f"bucket {bucket} has {len(block)} records of {block.shape[1]} features, more than one task should hold;"
+                " use more buckets (see suggested_buckets)"
+            )
         keys = group.column("key").to_numpy()
         found = fit_group(block, keys, k, max_iterations, tolerance, random_seed + bucket)
         return pa.table({"bucket": pa.array([bucket], pa.int64()), **_result_columns(len(block), found)})
 
     record_id = F.col("record_id")
     bucketed = points.select(hash_bucket(record_id, n_buckets).alias("bucket"), row_key(record_id).alias("key"), "features")
-    if n_buckets <= MAX_BUCKET_PARTITIONS:
-        # One partition per bucket: no two fits queue in one task, and the grouping
-        # below needs no further shuffle.
-        bucketed = bucketed.repartitionById(n_buckets, F.col("bucket"))
-    return bucketed.groupBy("bucket").applyInArrow(fit, _LOCAL)
+    # One partition per bucket: no two fits queue in one task, and the grouping below
+    # needs no further shuffle.
+    return bucketed.repartitionById(n_buckets, F.col("bucket")).groupBy("bucket").applyInArrow(fit, _LOCAL)
 
 
-def _fit_partitions(points: DataFrame, k: int, max_iterations: int, tolerance: float, random_seed: int) -> DataFrame:
+def _fit_partitions(
+    points: DataFrame, k: int, max_iterations: int, tolerance: float, random_seed: int, group_rows: int | None
+) -> DataFrame:
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         partition = TaskContext.get().partitionId()
 
@@ -113,24 +116,24 @@ def _fit_partitions(points: DataFrame, k: int, max_iterations: int, tolerance: f
             columns = {"bucket": pa.array([group], pa.int64()), **_result_columns(len(block), found)}
             return pa.RecordBatch.from_pydict(columns)
 
-        number, held_keys, held = 0, [], []
-        rows, limit = 0, GROUP_ROWS
+        number, held_keys, held, rows = 0, [], [], 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             block = to_matrix(batch.column(1))
-            limit = max(min(GROUP_ROWS, GROUP_BYTES // (8 * block.shape[1])), k)
-            # A full group is only closed once k further rows are known to follow.
-            if rows >= limit and batch.num_rows >= k:
-                yield result(number, np.concatenate(held_keys), np.concatenate(held))
-                number, held_keys, held, rows = number + 1, [], [], 0
+            if held and block.shape[1] != held[0].shape[1]:
+                raise ValueError("points have different numbers of features")
+            limit = max(group_rows or min(GROUP_ROWS, GROUP_BYTES // (8 * block.shape[1])), k)
             held_keys.append(batch.column(0).to_numpy(zero_copy_only=False))
             held.append(block)
             rows += len(block)
+            # A full group is only closed once k further rows are known to follow.
+            while rows >= limit + k:
+                all_keys, all_rows = np.concatenate(held_keys), np.concatenate(held)
+                yield result(number, all_keys[:limit], all_rows[:limit])
+                number, held_keys, held, rows = number + 1, [all_keys[limit:]], [all_rows[limit:]], rows - limit
         if rows:
             _require_rows(f"partition {partition}", rows, k, "; use n_buckets or fewer partitions")
-            if len({block.shape[1] for block in held}) > 1:
-                raise ValueError("points have different numbers of features")
             yield result(number, np.concatenate(held_keys), np.concatenate(held))
 
     return keyed(points).mapInArrow(fit, _LOCAL)
@@ -199,18 +202,20 @@ def fit_seeds(
     dimensions: int,
     max_iterations: int = 100,
     tolerance: float = 1e-6,
+    distributed: bool | None = None,
 ) -> list[SeededFit]:
     """k-means of one table from each of r seeds, in seed order.
 
     A table within the group bounds is fitted by one task per seed; any larger one
     by batched distributed rounds in which each scan serves all seeds.  Both follow
-    the same definition and agree up to rounding.
+    the same definition and agree up to rounding; ``distributed=True`` asks for the rounds
+    whatever the size.
     """
     check_fit_arguments(k, max_iterations, tolerance)
     if not seeds:
         raise ValueError("at least one initialization is required")
     _require_rows("the table", rows, k)
-    if fits_one_group(rows, dimensions):
+    if not distributed and fits_one_group(rows, dimensions):
         found = restart_table(points, k, seeds, max_iterations, tolerance).collect()  # one row per seed
         by_seed = {row["seed"]: row for row in found}
         return [
@@ -256,17 +261,17 @@ def _fit_seeds_distributed(
     ]
 
 
-def best_of(fits: list[SeededFit]) -> SeededFit:
+def best_of(fits: list[SeededFit], tie_width: float = 0.0) -> SeededFit:
     """Lowest squared error; the first of equals.
 
-    Runs that reach the same optimum differ in the last bits of their error with
-    the order of summation, so errors within rounding count as equal; otherwise the
-    winner, and with it the numbering of the clusters, would change from run to run.
+    Runs that reach the same optimum can differ in the last bits of their error with the
+    order of summation.  ``tie_width`` is the relative difference up to which errors count
+    as equal; by default only equal numbers do.
     """
     if not fits:
         raise ValueError("no runs to choose from")
     lowest = min(fit.sse for fit in fits)
-    return next(fit for fit in fits if fit.sse <= lowest * (1 + ROUNDING))
+    return next(fit for fit in fits if fit.sse <= lowest * (1 + tie_width))
 
 
 def best_run(runs: DataFrame, error: str = "sse", order: str = "run") -> DataFrame:
@@ -285,8 +290,9 @@ def aggregate_candidates(
     max_iterations: int = 100,
     tolerance: float = 1e-6,
     random_seed: int = 42,
+    tie_width: float = 0.0,
 ) -> SeededFit:
-    """Re-cluster the unweighted candidates from consecutive seeds and keep the best."""
+    """Re-cluster the unweighted candidates from consecutive seeds and keep the best (see ``best_of``)."""
     if num_restarts <= 0:
         raise ValueError("the number of restarts must be positive")
     if rows < k:
@@ -301,5 +307,6 @@ def aggregate_candidates(
             dimensions=dimensions,
             max_iterations=max_iterations,
             tolerance=tolerance,
-        )
+        ),
+        tie_width,
     )

@@ -14,6 +14,8 @@ from centroidal.functions.keys import salted_key
 from centroidal.operators.layout import small, written
 
 _KEY_RANGE = (1 << 56) - 1
+# Widest interval, in square roots of the sample size, for the hash of the last row drawn.
+_MOST_DEVIATIONS = 5000.0
 _POSITION_MASK = (1 << 33) - 1
 
 
@@ -98,14 +100,16 @@ def number_blocks(df: DataFrame, blocks: Sequence[Column], name: str = "record_i
     """0-based contiguous row numbers over consecutive blocks of rows.
 
     A block is a run of rows inside one partition, named by the ``blocks`` columns
-    and ordered by them.  Only one count per block reaches the driver (as many as
-    the scan has splits); the rows are numbered where they lie, without a shuffle.
-    ``df`` must return the same rows in the same order when read twice: a scan or a
-    written table.
+    and ordered by them.  Where the blocks begin depends on how the table is split when
+    it is read, so the rows are written once with their block and place, and everything
+    follows from that copy: the ids cannot change or get lost when ``df`` would be split
+    in another way later.  Only one count per block reaches the driver; the rows are
+    numbered where they lie, without a shuffle.
     """
     names = [f"_block{i}" for i in range(len(blocks))]
-    tagged = df.select(
-        "*", *[b.alias(n) for b, n in zip(blocks, names)], F.monotonically_increasing_id().alias("_row")
+    tagged = written(
+        df.select("*", *[b.alias(n) for b, n in zip(blocks, names)], F.monotonically_increasing_id().alias("_row")),
+        "numbered",
     )
     sizes = tagged.groupBy(*names).agg(F.count(F.lit(1)).alias("n"), F.min("_row").alias("first")).collect()
     offset, shifts = 0, []
@@ -115,9 +119,10 @@ def number_blocks(df: DataFrame, blocks: Sequence[Column], name: str = "record_i
     fields = [tagged.schema[n].dataType.simpleString() for n in names]
     schema = ", ".join(f"{n} {t}" for n, t in zip(names, fields)) + ", _shift bigint"
     lookup = df.sparkSession.createDataFrame(shifts, schema)
-    numbered = tagged.join(small(lookup, len(shifts)), names)
+    numbered = tagged.join(small(lookup, len(shifts)), names, "left")
     kept = [F.col(f"`{c}`") for c in df.columns]
-    return numbered.select((F.col("_row") + F.col("_shift")).alias(name), *kept)
+    lost = F.raise_error(F.lit("a row is in none of the counted blocks")).cast("bigint")
+    return numbered.select(F.coalesce(F.col("_row") + F.col("_shift"), lost).alias(name), *kept)
 
 
 def assign_record_id(
@@ -162,8 +167,8 @@ def exact_sample(df: DataFrame, n: int, seed: int = 42, *, record_id: str = "rec
     square roots of n; one scan counts the rows below that interval and returns the
     hashes inside it.  Should the interval miss, it is widened.
 
-    Record ids must be unique (``assign_record_id`` makes them so): rows that share
-    an id can only be taken together.
+    Record ids must be unique (``assign_record_id`` makes them so).  Rows that share an
+    id can only be taken together, so if that would break the size it is an error.
     """
     if n <= 0:
         raise ValueError("the sample size must be positive")
@@ -177,9 +182,14 @@ def exact_sample(df: DataFrame, n: int, seed: int = 42, *, record_id: str = "rec
         if below < n <= below + sum(row["n"] for row in inside):
             break
         deviations *= 8.0
+        if deviations > _MOST_DEVIATIONS:
+            raise ValueError("the record ids repeat too often to draw an exact sample")
     inside.sort(key=lambda row: (row["entry"]["_hash"], row["entry"]["id"]))
     reached = itertools.accumulate((row["n"] for row in inside), initial=below)
-    position = next(i for i, total in enumerate(reached) if total >= n) - 1
+    position, total = next((i, total) for i, total in enumerate(reached) if total >= n)
+    position -= 1
+    if total != n:
+        raise ValueError(f"record id {inside[position]['entry']['id']} occurs {inside[position]['n']} times at the cut")
     last = inside[position]["entry"]
     if position + 1 < len(inside) and inside[position + 1]["entry"]["_hash"] == last["_hash"]:
         cut = F.struct(F.lit(last["_hash"]).cast("bigint"), F.lit(last["id"]).cast(df.schema[record_id].dataType))

@@ -13,6 +13,8 @@ from centroidal.operators.points import assign_record_id
 # A category dictionary up to this many entries travels as a small local table and
 # is broadcast; a larger one is ranked and joined as a distributed table.
 DICTIONARY_ROWS = 100_000
+# Unknown labels that an error names.
+NAMED_LABELS = 20
 _MISSING = "nan"  # text of a missing category
 
 
@@ -35,16 +37,22 @@ def unmapped_labels(df: DataFrame, label: str, category: str = "category") -> Da
 
 
 def require_mapped(df: DataFrame, label: str, category: str = "category") -> DataFrame:
-    """Raise ValueError naming the unmapped labels, else return ``df``."""
-    unknown = [row[0] for row in unmapped_labels(df, label, category).take(1000)]
-    if unknown:
-        raise ValueError(f"unknown labels: {unknown}")
+    """Raise ValueError if there are unmapped labels, else return ``df``.
+
+    The error says how many there are and names the first of them; all are rows of
+    ``unmapped_labels``.
+    """
+    unmapped = unmapped_labels(df, label, category)
+    named = [row[0] for row in unmapped.take(NAMED_LABELS)]
+    if named:
+        total = unmapped.count()
+        raise ValueError(f"{total} unknown labels (unmapped_labels has them all), the first are: {named}")
     return df
 
 
 def drop_class(df: DataFrame, category: str, dropped: str) -> DataFrame:
-    """Rows of every other class."""
-    return df.where(F.col(category) != dropped)
+    """Rows of every other class, and rows without one."""
+    return df.where(~F.col(category).eqNullSafe(dropped))
 
 
 def drop_report(df: DataFrame, category: str, dropped: str) -> DataFrame:

@@ -111,17 +111,21 @@ def cardinalities(df: DataFrame, label: str = "label", cluster: str = "cluster")
     return evaluate_quality(df, label, cluster).select("num_records", "num_classes", "num_clusters")
 
 
-def run_fingerprint(assignments: DataFrame, features: str = "features") -> DataFrame:
-    """One row ``records, features, clusters, cluster_counts, sse`` of an assigned table."""
+def run_fingerprint(assignments: DataFrame, k: int, features: str = "features") -> DataFrame:
+    """One row ``records, features, clusters, cluster_counts, sse`` of an assigned table.
+
+    ``clusters`` is k, and ``cluster_counts`` has the size of every cluster 0..k-1, also 0.
+    """
     per_cluster = assignments.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("n"), F.sum("distance_sq").alias("sse"), F.max(F.size(features)).alias("features")
     )
-    ordered = F.array_sort(F.collect_list(F.struct("cluster", "n")))  # one entry per cluster
+    sizes = F.map_from_entries(F.collect_list(F.struct(F.col("cluster").cast("int"), "n")))  # one entry per cluster
+    every = F.sequence(F.lit(0), F.lit(k - 1))
     return per_cluster.agg(
         F.sum("n").alias("records"),
         F.max("features").alias("features"),
-        F.count(F.lit(1)).alias("clusters"),
-        F.transform(ordered, lambda entry: entry["n"]).alias("cluster_counts"),
+        F.lit(k).cast("bigint").alias("clusters"),
+        F.transform(every, lambda c: F.coalesce(F.element_at(sizes, c), F.lit(0)).cast("bigint")).alias("cluster_counts"),
         F.sum("sse").alias("sse"),
     )
 

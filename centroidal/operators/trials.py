@@ -75,7 +75,7 @@ def speedup(
     base_positive = F.when(F.col("base_seconds") > 0, F.col("base_seconds"))
     return (
         summary.withColumn("base_seconds", base_time)
-        .withColumn("speedup", F.try_divide(F.col("base_seconds"), positive))
+        .withColumn("speedup", F.try_divide(base_positive, positive))
         .withColumn("runtime_reduction_percent", (1.0 - F.try_divide(positive, base_positive)) * 100.0)
         .drop("base_seconds")
     )

@@ -62,6 +62,7 @@ def parallel_kmeans(
     global_cost_tolerance: float | None = 1e-6,
     random_seed: int = 42,
     aggregation_restarts: int = 5,
+    tie_width: float = 0.0,
 ) -> ParallelModel:
     """k-means seeded by independent k-means of bounded groups.
 
@@ -113,6 +114,7 @@ def parallel_kmeans(
             max_iterations=local_max_iterations,
             tolerance=local_tolerance,
             random_seed=random_seed,
+            tie_width=tie_width,
         )
         seeded = perf_counter()
 
@@ -172,8 +174,13 @@ def multi_init_kmeans(
     max_iterations: int = 100,
     tolerance: float = 1e-6,
     random_seed: int = 42,
+    tie_width: float = 0.0,
+    distributed: bool | None = None,
 ) -> MultiInitModel:
-    """Whole-table k-means from consecutive seeds; lowest error wins, the first of equals."""
+    """Whole-table k-means from consecutive seeds; lowest error wins, the first of equals.
+
+    See ``best_of`` for ``tie_width`` and ``fit_seeds`` for ``distributed``.
+    """
     check_fit_arguments(k, max_iterations, tolerance)
     if num_initializations <= 0:
         raise ValueError("the number of initializations must be positive")
@@ -186,8 +193,9 @@ def multi_init_kmeans(
         dimensions=summary["features"],
         max_iterations=max_iterations,
         tolerance=tolerance,
+        distributed=distributed,
     )
-    return MultiInitModel(best_of(fits), tuple(fits), summary["rows"], summary["features"])
+    return MultiInitModel(best_of(fits, tie_width), tuple(fits), summary["rows"], summary["features"])
 
 
 @dataclass(frozen=True)

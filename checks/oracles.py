@@ -19,6 +19,7 @@ from checks.queries import (
     RESTARTS,
     ROWS_PER_BUCKET,
     SAMPLE_ROWS,
+    TIE_WIDTH,
 )
 from checks.tables import CLASS_NAMES, DROPPED_CLASS, PRIORITY_CLASS
 
@@ -174,6 +175,47 @@ FLAGSHIP = (
 )
 
 
+def runs_of(points: str) -> str:
+    """The points once for each seed."""
+    return (
+        f"WITH {points}, runs AS MATERIALIZED (SELECT CAST(r.g AS INTEGER) AS g, {key_of('id')} AS key, x"
+        f" FROM pts, range({RESTARTS}) AS r(g))"
+    )
+
+
+def best_of_seeds(points: str, d: int, k: int) -> str:
+    fit, last, assigned_ = fit_groups("e", "runs", d, k, "(42 + g)", WHOLE_ROUNDS)
+    return (
+        f"{runs_of(points)}, {fit}, {group_totals('totals', assigned_)},"
+        f" sized AS (SELECT c.g, c.cluster, count(f.d2) AS n FROM {last} c LEFT JOIN {assigned_} f"
+        " ON f.g = c.g AND f.cluster = c.cluster GROUP BY c.g, c.cluster)"
+        f" SELECT CAST(42 + t.g AS BIGINT) AS seed, {rnd('t.sse')} AS sse,"
+        " (SELECT string_agg(CAST(s.n AS VARCHAR), ';' ORDER BY s.cluster) FROM sized s WHERE s.g = t.g) AS cluster_counts,"
+        f" t.g = (SELECT min(g) FROM totals WHERE sse <= (SELECT min(sse) FROM totals) * (1 + {TIE_WIDTH})) AS best FROM totals t"
+    )
+
+
+def agreement(moved: str, k: int) -> str:
+    """Fingerprints of ``fin`` as it is and with other cluster numbers, compared field by field."""
+    sides = []
+    for name, cluster in (("l", "cluster"), ("r", moved)):
+        sides.append(
+            f"{name}_n AS (SELECT {cluster} AS c, count(*) AS n FROM fin GROUP BY 1), "
+            f"{name} AS (SELECT (SELECT count(*) FROM fin) AS records, (SELECT max(len(x)) FROM fin) AS features,"
+            f" {k} AS clusters, (SELECT list(coalesce(n, 0) ORDER BY i) FROM range({k}) AS t(i) LEFT JOIN {name}_n ON c = i)"
+            " AS counts, (SELECT sum(d2) FROM fin) AS sse)"
+        )
+    same = {
+        "same_records": "l.records = r.records",
+        "same_features": "l.features = r.features",
+        "same_clusters": "l.clusters = r.clusters",
+        "same_cluster_counts": "l.counts = r.counts",
+        "same_sse": "abs(l.sse - r.sse) <= greatest(1e-7 * greatest(l.sse, r.sse), 1e-6)",
+    }
+    fields = ", ".join(f"{test} AS {name}" for name, test in same.items())
+    return f"{', '.join(sides)} SELECT {fields}, {' AND '.join(same.values())} AS agree FROM l, r"
+
+
 def with_start(points: str, k: int, seed: int = 42) -> str:
     return f"WITH {points}, {POINTS_AS_ONE_GROUP}, {start_centers(k, seed)}"
 
@@ -328,12 +370,8 @@ def sql() -> dict[str, str]:
         f"{with_start(LINES, LINE_K)}, far AS MATERIALIZED (SELECT g, cluster, c, n, sse FROM c0 UNION ALL"
         f" SELECT 0, {LINE_K}, {far}, 0::BIGINT, 0.0::DOUBLE)"
     )
-    seed_runs = (
-        f"WITH {EMBEDDINGS}, runs AS MATERIALIZED (SELECT CAST(r.g AS INTEGER) AS g, {key_of('id')} AS key, x"
-        f" FROM pts, range({RESTARTS}) AS r(g))"
-    )
+    seed_runs = runs_of(EMBEDDINGS)
     emb_seeds, emb_start = seeds_of("e", "runs", EMBEDDING_D, EMBEDDING_K, "(42 + g)")
-    emb_fit, emb_fit_last, emb_fit_assigned = fit_groups("e", "runs", EMBEDDING_D, EMBEDDING_K, "(42 + g)", WHOLE_ROUNDS)
 
     queries = {
         "sq_distance": f"WITH {EMBEDDINGS}, lead AS (SELECT label, arg_min(x, id) AS y FROM pts GROUP BY label)"
@@ -385,12 +423,9 @@ def sql() -> dict[str, str]:
         "candidate_restarts": f"{RESTART_STAGE} SELECT CAST(42 + g AS BIGINT) AS seed, n AS record_count,"
         f" {rnd('sse')} AS sse FROM restart_totals",
         "parallel_kmeans": FLAGSHIP + model_rows(_global_last, LINE_D),
-        "multi_init_kmeans": f"{seed_runs}, {emb_fit}, {group_totals('totals', emb_fit_assigned)},"
-        f" sized AS (SELECT c.g, c.cluster, count(f.d2) AS n FROM {emb_fit_last} c LEFT JOIN {emb_fit_assigned} f"
-        " ON f.g = c.g AND f.cluster = c.cluster GROUP BY c.g, c.cluster)"
-        f" SELECT CAST(42 + t.g AS BIGINT) AS seed, {rnd('t.sse')} AS sse,"
-        " (SELECT string_agg(CAST(s.n AS VARCHAR), ';' ORDER BY s.cluster) FROM sized s WHERE s.g = t.g) AS cluster_counts,"
-        " t.g = (SELECT min(g) FROM totals WHERE sse <= (SELECT min(sse) FROM totals) * (1 + 1e-12)) AS best FROM totals t",
+        "parallel_kmeans_partitions": FLAGSHIP + model_rows(_global_last, LINE_D),
+        "multi_init_kmeans": best_of_seeds(EMBEDDINGS, EMBEDDING_D, EMBEDDING_K),
+        "multi_init_distributed": best_of_seeds(LINES, LINE_D, LINE_K),
         "best_of_runs": f"WITH {EVENTS}, runs AS (SELECT size AS run, round(avg(sse), 1) AS sse FROM trials GROUP BY size)"
         " SELECT run, sse FROM runs ORDER BY sse, run LIMIT 1",
         "predict_labeled": f"{embedding_assigned} SELECT id AS record_id, label, cluster FROM fin",
@@ -404,8 +439,9 @@ def sql() -> dict[str, str]:
         "quality_row": f"{line_assigned}, {quality('fin', 'label', 'cluster')} SELECT {QUALITY_COLUMNS} FROM q",
         "quality_of_text_labels": f"WITH {quality('orders', 'o_orderpriority', 'o_orderstatus')}"
         f" SELECT {QUALITY_COLUMNS} FROM q",
-        "cross_check": "SELECT true AS same_records, true AS same_features, true AS same_clusters,"
-        " true AS same_cluster_counts, true AS same_sse, count(*) > 0 AS agree FROM lineitem",
+        "cross_check": f"{line_assigned}, {agreement('cluster', LINE_K)}",
+        "cross_check_renumbered": f"{line_assigned}, "
+        + agreement(f"CASE WHEN cluster = 0 THEN {LINE_K} ELSE cluster END", LINE_K + 1),
         "normalize_label": f"WITH {ORDERS} SELECT record_id, label FROM clean",
         "map_category": f"WITH {ORDERS} SELECT record_id, label, category FROM mapped",
         "unmapped_labels": f"WITH {ORDERS} SELECT DISTINCT label FROM mapped WHERE category <> 'fast'",

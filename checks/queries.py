@@ -42,6 +42,7 @@ EMBEDDING_K = 10
 LOCAL_ROUNDS, GLOBAL_ROUNDS = 6, 8  # group and pool fits; distributed refinement
 WHOLE_ROUNDS = 8  # whole-table fits from several seeds
 RESTARTS = 3
+TIE_WIDTH = 1e-12  # errors of restarts that differ only by the order of summation
 ROWS_PER_BUCKET = 20_000
 FAR_AWAY = [1e6, 1e6, 1e6, 1e6]
 SAMPLE_ROWS = 1000
@@ -258,6 +259,7 @@ FLAGSHIP = {
     "local_tolerance": 0.0,
     "global_cost_tolerance": None,
     "aggregation_restarts": RESTARTS,
+    "tie_width": TIE_WIDTH,
 }
 
 
@@ -269,16 +271,28 @@ def parallel_kmeans(spark, sf):
 
 
 def parallel_kmeans_partitions(spark, sf):
-    """The shuffle-free form: groups are the partitions as they lie."""
-    pts = embedding_points(spark, sf)
-    model = clustering.parallel_kmeans(pts, EMBEDDING_K)
+    """The shuffle-free form: groups are the partitions as they lie, here one for each bucket."""
+    with cached_lines(spark, sf) as (pts, rows):
+        n = _buckets(rows)
+        placed = with_bucket(pts, n).repartitionById(n, F.col("bucket"))
+        model = clustering.parallel_kmeans(placed, LINE_K, **FLAGSHIP)
     model.release()
-    return _model_frame(spark, model.centers, model.cluster_counts, model.sse).select("cluster", "n", "total_sse")
+    return _model_frame(spark, model.centers, model.cluster_counts, model.sse)
 
 
 def multi_init_kmeans(spark, sf):
+    return _multi_init(spark, embedding_points(spark, sf), EMBEDDING_K)
+
+
+def multi_init_distributed(spark, sf):
+    """The same by distributed rounds over the lines, each of which serves all seeds."""
+    with cached_lines(spark, sf) as (pts, _):
+        return _multi_init(spark, pts, LINE_K, distributed=True)
+
+
+def _multi_init(spark, pts, k, **options):
     model = clustering.multi_init_kmeans(
-        embedding_points(spark, sf), EMBEDDING_K, num_initializations=RESTARTS, max_iterations=WHOLE_ROUNDS, tolerance=0.0
+        pts, k, num_initializations=RESTARTS, max_iterations=WHOLE_ROUNDS, tolerance=0.0, tie_width=TIE_WIDTH, **options
     )
     return model.runs_frame(spark).select(
         "seed",
@@ -354,13 +368,24 @@ def quality_of_text_labels(spark, sf):
     )
 
 
-def cross_check(spark, sf):
+def _two_assignments(spark, sf):
+    """The same assignment by Arrow batches and by compiled columns."""
     pts = line_points(spark, sf)
     start = starting_centers(pts, LINE_K)
-    batched = quality.run_fingerprint(assigning.assign(pts, start))
     compiled = pts.withColumn("best", nearest_center(F.col("features"), start.tolist()))
-    again = compiled.select("features", "best.cluster", "best.distance_sq")
-    return quality.cross_check(batched, quality.run_fingerprint(again))
+    return assigning.assign(pts, start), compiled.select("features", "best.cluster", "best.distance_sq")
+
+
+def cross_check(spark, sf):
+    left, right = _two_assignments(spark, sf)
+    return quality.cross_check(quality.run_fingerprint(left, LINE_K), quality.run_fingerprint(right, LINE_K))
+
+
+def cross_check_renumbered(spark, sf):
+    """Clusters with other numbers, one of them empty: the same sizes and error do not agree."""
+    left, right = _two_assignments(spark, sf)
+    moved = right.withColumn("cluster", F.when(F.col("cluster") == 0, LINE_K).otherwise(F.col("cluster")))
+    return quality.cross_check(quality.run_fingerprint(left, LINE_K + 1), quality.run_fingerprint(moved, LINE_K + 1))
 
 
 # --- preparation -----------------------------------------------------------------------
@@ -696,8 +721,9 @@ ALL: tuple[Query, ...] = (
     lloyd_step, empty_cluster_kept, max_center_shift, sse_of_assignment, evaluate_centers, cluster_sizes,
     lloyd_fit, lloyd_history, lloyd_fit_embeddings, kmeanspp_seeds, bucket_counts, partition_counts,
     bucket_local_kmeans, candidate_pool, candidate_restarts, parallel_kmeans, parallel_kmeans_partitions,
-    multi_init_kmeans, best_of_runs, predict_labeled, labeled_run,
+    multi_init_kmeans, multi_init_distributed, best_of_runs, predict_labeled, labeled_run,
     contingency, purity, ari, nmi, cardinalities, quality_row, quality_of_text_labels, cross_check,
+    cross_check_renumbered,
     normalize_label, map_category, unmapped_labels, drop_class, drop_report, ordinal_encode, encode_label,
     standardize, validate_points, class_histogram, nested_prefixes, exact_sample, record_ids, prep_summary,
     prepare_orders, points_csv_round_trip, labeled_csv_round_trip, parquet_round_trip, features_labels_split,

@@ -1,4 +1,7 @@
-"""Small point sets with known answers."""
+"""Small point sets with known answers.
+
+Fixed values: the inputs of worked examples, whose results are known.
+"""
 
 TWO_BLOBS = [(1, 1), (0.9, 1.1), (1.1, 0.9), (9, 9), (8.9, 9.1), (9.1, 8.9)]
 STEP = [(0.8, 1), (1, 0.8), (1, 1.2), (1.2, 1), (8.8, 9), (9, 8.8), (9, 9.2), (9.2, 9)]
@@ -12,6 +15,7 @@ def _group(at):
 
 TWELVE = _group(1.0) + _group(9.0)
 DEMO = _group(1.0) + _group(5.0) + _group(9.0) + _group(13.0)
+# Candidate centres, and the squared error of their best fit with four centres.
 RESTARTS = [
     (-0.7317086365368399, -1.7628963352893607), (1.9693375952864272, -1.603458695675816),
     (-0.8609456115113736, 0.09501216591092154), (1.024854072653738, 1.5085007195864208),

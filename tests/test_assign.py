@@ -125,3 +125,13 @@ def test_jvm_and_numpy_draws_are_identical(spark):
     rows = spark.range(1000).select(key.alias("key"), uniform(key, 42, 3).alias("u")).collect()
     keys = np.array([r.key for r in rows])
     assert (uniform_array(keys, 42, 3) == np.array([r.u for r in rows])).all()
+
+
+@pytest.mark.parametrize("bad", [None, float("nan"), float("inf")])
+@pytest.mark.parametrize("width", [2, 40])
+def test_unusable_features_are_an_error_in_small_and_large_models(spark, bad, width):
+    points = spark.createDataFrame([(1, [0.0] * width), (2, [bad] + [1.0] * (width - 1))], "record_id bigint, features array<double>")
+    centers = [[0.0] * width, [1.0] * width]
+    for run in (A.assign, A.evaluate_centers, lambda p, c: A.sse(p.selectExpr("*", "0 AS cluster"), c)):
+        with pytest.raises(PySparkException, match="finite|null|NaN"):
+            run(points, centers).collect()

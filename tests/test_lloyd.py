@@ -106,9 +106,19 @@ def test_empty_and_nonfinite_tables(make_points):
         L.lloyd_step(make_points(SQUARES), [(0, 0, 0)])
 
 
-def test_rounding_floor_of_the_stopping_rule():
-    assert L._settled(1e13, 1e13 + 1e-3, 1e-6)
-    assert not L._settled(1e6, 1e6 + 1e-5, 1e-6)
+def test_stopping_rule_is_the_plain_tolerance():
+    for error in (1.0, 1e6, 1e13):
+        assert not L._settled(error, error + 0.25, 0.2) and L._settled(error, error + 0.25, 0.25)
+    assert L._settled(1e13, 1e13 + 1e-2, 0.0, relative=1e-12)
+
+
+def test_stops_by_tolerance_before_the_limit(make_points):
+    points = make_points(SQUARES, partitions=2)
+    model = L.lloyd_fit(points, [(0, 0), (8, 8)], max_iterations=50, tolerance=0.25)
+    errors = [s.sse for s in model.history]
+    assert model.converged and 1 < model.iterations < 50
+    assert abs(errors[-1] - errors[-2]) <= 0.25 and all(abs(b - a) > 0.25 for a, b in zip(errors[:-2], errors[1:-1]))
+    assert not L.lloyd_fit(points, [(0, 0), (8, 8)], max_iterations=1, tolerance=1e12).converged
 
 
 def test_several_models_share_one_scan(make_points):

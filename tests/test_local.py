@@ -30,17 +30,24 @@ def test_buckets_do_not_depend_on_the_layout(make_points):
     assert result(1) == result(7)
 
 
-def test_large_partition_is_taken_in_bounded_groups(spark, make_points, monkeypatch):
-    monkeypatch.setattr(C, "GROUP_ROWS", 100)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
-    try:
-        points = make_points([(i, i) for i in range(1001)]).coalesce(1)
-        rows = C.partition_kmeans(points, 3).collect()
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert sum(r.record_count for r in rows) == 1001
-    assert len({r.bucket for r in rows}) == len(rows) > 5
-    assert max(r.record_count for r in rows) <= 140
+def test_groups_do_not_depend_on_arrow_batches(spark, make_points):
+    def result(batch_rows):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
+        try:
+            points = make_points([(i, i % 7) for i in range(1001)]).coalesce(1)
+            return C.partition_kmeans(points, 3, group_rows=100).collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+    results = [result(n) for n in (40, 333, 10_000)]
+    assert results[0] == results[1] == results[2]
+    assert [r.record_count for r in results[0]] == [100] * 9 + [101]
+
+
+def test_a_bucket_beyond_the_bounds_is_an_error(make_points, monkeypatch):
+    monkeypatch.setattr(C, "GROUP_BYTES", 8)
+    with pytest.raises(PySparkException, match="use more buckets"):
+        C.partition_kmeans(make_points(TWELVE), 2, n_buckets=1).collect()
 
 
 @pytest.mark.parametrize("n_buckets", [None, 2])
@@ -88,6 +95,8 @@ def test_first_of_equal_errors_wins():
         return C.SeededFit(seed, np.zeros((1, 1)), (1,), 1, True, 2.0)
 
     assert C.best_of([run(5), run(4)]).seed == 5
+    lower = C.SeededFit(6, np.zeros((1, 1)), (1,), 1, True, 2.0 - 1e-13)
+    assert C.best_of([run(5), lower]).seed == 6 and C.best_of([run(5), lower], tie_width=1e-12).seed == 5
     with pytest.raises(ValueError):
         C.best_of([])
 
@@ -107,9 +116,9 @@ def test_distributed_fit_equals_the_group_fit(make_points):
 
 
 def test_large_pools_take_the_distributed_path(make_points, monkeypatch):
-    small = C.aggregate_candidates(make_points(RESTARTS), 4, rows=16, dimensions=2, num_restarts=3)
+    small = C.aggregate_candidates(make_points(RESTARTS), 4, rows=16, dimensions=2, num_restarts=3, tie_width=1e-12)
     monkeypatch.setattr(C, "GROUP_ROWS", 8)
-    large = C.aggregate_candidates(make_points(RESTARTS), 4, rows=16, dimensions=2, num_restarts=3)
+    large = C.aggregate_candidates(make_points(RESTARTS), 4, rows=16, dimensions=2, num_restarts=3, tie_width=1e-12)
     assert large.sse == pytest.approx(small.sse) and large.seed == small.seed
 
 

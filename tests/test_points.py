@@ -117,3 +117,11 @@ def test_interval_is_widened_until_it_holds_the_rank(spark, monkeypatch):
 def test_sample_size_must_be_positive(spark):
     with pytest.raises(ValueError):
         P.exact_sample(spark.range(3).withColumnRenamed("id", "record_id"), 0)
+
+
+def test_repeated_ids_are_no_exact_sample(spark):
+    frame = spark.range(10_000).selectExpr("id % 10 AS record_id")
+    with pytest.raises(ValueError, match="repeat|occurs"):
+        P.exact_sample(frame, 100)
+    whole = P.exact_sample(spark.range(1000).selectExpr("id AS record_id"), 100)
+    assert whole.count() == 100

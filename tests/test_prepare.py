@@ -121,3 +121,16 @@ def test_saving_requires_all_classes(spark, tmp_path):
 def test_fixed_categories():
     assert len(kdd.COLUMNS) == 41 and len(kdd.ATTACK_CATEGORY) == 23
     assert sorted(k for k, v in kdd.ATTACK_CATEGORY.items() if v == "u2r") == ["buffer_overflow", "loadmodule", "perl", "rootkit"]
+
+
+def test_rows_without_a_class_are_not_dropped(spark):
+    frame = spark.createDataFrame([("a",), (None,), ("u",)], "category string")
+    kept = R.drop_class(frame, "category", "u")
+    assert {r.category for r in kept.collect()} == {"a", None}
+    assert kept.count() == R.drop_report(frame, "category", "u").first().rows_final
+
+
+def test_the_error_counts_all_unknown_labels(spark):
+    frame = spark.range(1500).selectExpr("concat('l', id) AS label", "CAST(null AS string) AS category")
+    with pytest.raises(ValueError, match="1500 unknown labels"):
+        R.require_mapped(frame, "label")

@@ -92,10 +92,20 @@ def test_metrics_scan_the_table_once(spark):
 
 def test_cross_check(spark, make_points):
     points = make_points([(0, 0), (1, 0), (10, 10), (11, 10)])
-    good = Q.run_fingerprint(assign(points, [(0, 0), (10, 10)]))
+    good = Q.run_fingerprint(assign(points, [(0, 0), (10, 10)]), 2)
     assert all(Q.cross_check(good, good).first())
-    moved = Q.run_fingerprint(assign(points, [(0, 0.5), (10, 10)]))
+    moved = Q.run_fingerprint(assign(points, [(0, 0.5), (10, 10)]), 2)
     row = Q.cross_check(good, moved).first()
     assert row.same_cluster_counts and not row.same_sse and not row.agree
     close = good.withColumn("sse", F.col("sse") * (1 + 1e-8))
     assert Q.cross_check(good, close).first().agree
+
+
+def test_cross_check_compares_cluster_numbers(spark):
+    def print_of(sizes):
+        rows = [([0.0], c, 1.0) for c, n in sizes.items() for _ in range(n)]
+        return Q.run_fingerprint(spark.createDataFrame(rows, "features array<double>, cluster int, distance_sq double"), 5)
+
+    assert print_of({0: 2, 1: 1}).first().cluster_counts == [2, 1, 0, 0, 0]
+    row = Q.cross_check(print_of({0: 2, 1: 1}), print_of({0: 2, 4: 1})).first()
+    assert row.same_sse and row.same_clusters and not row.same_cluster_counts and not row.agree

@@ -192,3 +192,16 @@ def test_sample_file(spark, make_points, tmp_path):
     rows = spark.read.option("header", True).csv(path).collect()
     assert len(rows) == 100
     assert all(len(r.f0.split(".")[1]) == 5 for r in rows)
+
+
+def test_ids_do_not_depend_on_later_splits(spark, tmp_path):
+    path = tmp_path / "points.csv"
+    path.write_text("".join(f"{i},{i % 7}\n" for i in range(20_000)))
+    points = S.read_points_csv(spark, str(path), 2)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        rows = points.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(r.record_id for r in rows) == list(range(20_000))
+    assert all(r.features[0] == r.record_id for r in rows)
