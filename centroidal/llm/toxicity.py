@@ -3,7 +3,7 @@
 Two zstandard dictionaries are trained from a bounded sample of labelled rows: one holds
 wording of toxic texts, the other wording of ordinary texts.  A window of a text (a word, or
 48 characters of a longer one) is compressed with both; the bytes that the toxic dictionary
-saves over the other are its distance.  A carrier, known to both, precedes every window, so
+saves over the other are its distance.  A carrier, known to both, surrounds every window, so
 that even a short match shows in the length.  A document is as toxic as its worst window,
 and a threshold calibrated on the sample turns that into a score.
 
@@ -17,12 +17,13 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +35,10 @@ TOXIC_ROWS, ORDINARY_ROWS = 2000, 4000  # most of each label to learn from
 LONGEST_SAMPLE = 50_000  # characters of a text to learn from
 THRESHOLD = 0.7
 LEAST_AFFIX, MOST_AFFIX = 4, 10  # characters of a beginning
-LEAST_DOCS, LEAST_Z, LEAST_RATIO = 4, 5.0, 8.0  # for a beginning to be marked
+SKETCH, SKETCH_SHARED = 24, 8  # to leave near copies out
+LEAST_DOCS, LEAST_Z, LEAST_RATIO = 4, 6.0, 8.0  # for a beginning to be marked
 DICTIONARY_BYTES = 48_000
+ALARM_WEIGHT = 4.0  # of a toxic verdict on an ordinary text
 ROUNDS = 3
 WINDOW = 48
 KNOWN_WINDOWS = 500_000
@@ -72,12 +75,12 @@ class Distance(dict):
     def _compressor(content: bytes) -> zstandard.ZstdCompressor:
         parameters = zstandard.ZstdCompressionParameters(
             compression_level=5,
-            strategy=zstandard.STRATEGY_BTOPT,
-            min_match=3,
+            strategy=zstandard.STRATEGY_LAZY2,
+            min_match=4,
             window_log=17,
             hash_log=15,
             chain_log=15,
-            search_log=5,
+            search_log=6,
             target_length=64,
             write_content_size=False,
             write_dict_id=False,
@@ -87,7 +90,8 @@ class Distance(dict):
         return zstandard.ZstdCompressor(compression_params=parameters, dict_data=held)
 
     def __missing__(self, window: str) -> int:
-        data = self.carrier + b" " + window.encode("utf-8", "surrogatepass") + b" "
+        # No match starts in the last bytes of the input, so the carrier also follows.
+        data = self.carrier + b" " + window.encode("utf-8", "surrogatepass") + b" " + self.carrier
         saved = len(self.ordinary.compress(data)) - len(self.toxic.compress(data))
         if len(self) >= KNOWN_WINDOWS:
             self.clear()
@@ -137,11 +141,28 @@ def _joined(words: list[str], size: int) -> bytes:
     return (" " + " ".join(words) + " ").encode()[-size:].rjust(size)
 
 
+def _unlike(texts: list[set[str]]) -> list[set[str]]:
+    """The sets of words without near copies of earlier ones, whose words would count too often.
+
+    Two texts are alike if they share SKETCH_SHARED of the SKETCH smallest hashes of their words.
+    """
+    holders: dict[int, list[int]] = defaultdict(list)
+    kept = []
+    for words in texts:
+        sketch = sorted(xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words)[:SKETCH]
+        shared = Counter(i for h in sketch for i in holders[h])
+        if max(shared.values(), default=0) < min(SKETCH_SHARED, max(1, len(sketch) // 2)):
+            for h in sketch:
+                holders[h].append(len(kept))
+            kept.append(words)
+    return kept
+
+
 def fit(rows: list[tuple[str, int]]) -> Model | None:
     """Learn from (text, label) rows; None if there is nothing to tell the labels apart."""
     distinct = dict(rows)
-    toxic = [windows(t) for t, label in distinct.items() if label == 1]
-    ordinary = [windows(t) for t, label in distinct.items() if label == 0]
+    toxic = _unlike([windows(t) for t, label in distinct.items() if label == 1])
+    ordinary = _unlike([windows(t) for t, label in distinct.items() if label == 0])
     marks = tuple(m.rstrip() for m in marked_beginnings(toxic, ordinary)) if toxic and ordinary else ()
     if not marks:
         return None
@@ -167,9 +188,11 @@ def fit(rows: list[tuple[str, int]]) -> Model | None:
 
 
 def _calibrated(toxic: list[int], ordinary: list[int]) -> float:
-    """The middle of the thresholds with the smallest sum of both error rates."""
+    """The middle of the thresholds with the smallest sum of both error rates, false alarms weighing more."""
+
     def errors(t: int) -> float:
-        return sum(x < t for x in toxic) / len(toxic) + sum(x >= t for x in ordinary) / len(ordinary)
+        alarms = sum(x >= t for x in ordinary) / len(ordinary)
+        return sum(x < t for x in toxic) / len(toxic) + ALARM_WEIGHT * alarms
 
     tried = range(1, max(2, *toxic, *ordinary) + 1)
     least = min(map(errors, tried))
