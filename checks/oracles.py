@@ -19,12 +19,17 @@ from checks.queries import (
     RESTARTS,
     ROWS_PER_BUCKET,
     SAMPLE_ROWS,
+    SETTLED,
     TIE_WIDTH,
 )
 from checks.tables import CLASS_NAMES, DROPPED_CLASS, PRIORITY_CLASS
 
 LINE_D, EMBEDDING_D = len(MEASURES), 64
 PRIME = 2147483647
+# Rounds that are written out: the limit of the group fits, and more than the pool's fits and
+# the fit with the stop rule take.  A fit that stops when nothing moves is followed by rounds
+# that change nothing, so rounds beyond its last one do not matter.
+POOL_SETTLED, GLOBAL_SETTLED = 30, 60
 
 
 # --- text builders ---------------------------------------------------------------------
@@ -163,8 +168,7 @@ POOL = (
     f"pool AS MATERIALIZED (SELECT CAST(g AS BIGINT) * {LINE_K} + cluster AS id, g AS bucket, cluster, c AS x FROM {_local_last}), "
     f"copies AS MATERIALIZED (SELECT CAST(r.g AS INTEGER) AS g, {key_of('id')} AS key, x FROM pool, range({RESTARTS}) AS r(g))"
 )
-# The limit on local rounds holds for the pool as well.
-_pool_fit, _pool_last, _pool_assigned = fit_groups("p", "copies", LINE_D, LINE_K, "(42 + g)", LOCAL_ROUNDS)
+_pool_fit, _pool_last, _pool_assigned = fit_groups("p", "copies", LINE_D, LINE_K, "(42 + g)", POOL_SETTLED)
 RESTART_STAGE = f"{LOCAL_STAGE}, {POOL}, {_pool_fit}, {group_totals('restart_totals', _pool_assigned)}"
 _global, _global_last = lloyd_rounds("w", "one", "seeded", LINE_D, GLOBAL_ROUNDS)
 FLAGSHIP = (
@@ -245,6 +249,22 @@ LINE_FIT = f"{with_start(LINES, LINE_K)}, {_line_rounds}"
 _emb_rounds, _emb_last = lloyd_rounds("w", "one", "c0", EMBEDDING_D, GLOBAL_ROUNDS)
 
 
+def settles() -> str:
+    """The first round whose error is within SETTLED of the one before, out of GLOBAL_SETTLED."""
+    rounds, _ = lloyd_rounds("w", "one", "c0", LINE_D, GLOBAL_SETTLED)
+    union = " UNION ALL ".join(f"SELECT {i} AS i, cluster, c, sse FROM w{i}" for i in range(1, GLOBAL_SETTLED + 1))
+    return (
+        f"{with_start(LINES, LINE_K)}, {rounds}, every AS MATERIALIZED ({union}), "
+        "totals AS (SELECT i, sum(sse) AS t FROM every GROUP BY i), "
+        "changes AS (SELECT i, t, lag(t) OVER (ORDER BY i) AS before FROM totals), "
+        f"stop AS (SELECT min(i) AS i FROM changes WHERE abs(t - before) <= {SETTLED} * greatest(t, before)), "
+        "chosen AS MATERIALIZED (SELECT 0 AS g, cluster, c, 0::BIGINT AS n, 0.0::DOUBLE AS sse FROM every"
+        " WHERE i = (SELECT i FROM stop)), "
+        f"{assignment('fin', 'one', 'chosen', LINE_D)}, model AS ({model_rows('chosen', LINE_D)[len(', '):].replace('sizes AS', 'WITH sizes AS', 1)})"
+        " SELECT *, CAST((SELECT i FROM stop) AS INTEGER) AS iterations, true AS converged FROM model"
+    )
+
+
 def history() -> str:
     rows = []
     previous = "c0"
@@ -406,6 +426,7 @@ def sql() -> dict[str, str]:
         "cluster_sizes": f"{embedding_assigned} SELECT c0.cluster, count(fin.d2) AS n FROM c0"
         " LEFT JOIN fin ON fin.cluster = c0.cluster GROUP BY c0.cluster",
         "lloyd_fit": f"{LINE_FIT}, {assignment('fin', 'one', _line_last, LINE_D)}" + model_rows(_line_last, LINE_D),
+        "lloyd_settles": settles(),
         "lloyd_history": history(),
         "lloyd_fit_embeddings": f"{with_start(EMBEDDINGS, EMBEDDING_K)}, {_emb_rounds}"
         + long_rows("cluster", "c", EMBEDDING_D, _emb_last),

@@ -39,9 +39,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 LINE_K = 5
 EMBEDDING_K = 10
-LOCAL_ROUNDS, GLOBAL_ROUNDS = 6, 8  # group and pool fits; distributed refinement
-WHOLE_ROUNDS = 8  # whole-table fits from several seeds
-RESTARTS = 3
+LOCAL_ROUNDS = 100  # group and pool fits; all settle before
+GLOBAL_ROUNDS = 20  # distributed refinement with the stop rule off, so that SQL can follow it round by round
+WHOLE_ROUNDS = 20  # whole-table fits from several seeds
+SETTLED = 1e-4  # relative change of the error at which the fit with the stop rule ends
+RESTARTS = 5
 TIE_WIDTH = 1e-12  # errors of restarts that differ only by the order of summation
 ROWS_PER_BUCKET = 20_000
 FAR_AWAY = [1e6, 1e6, 1e6, 1e6]
@@ -187,6 +189,14 @@ def lloyd_fit(spark, sf):
     return _model_frame(spark, fit.centers, fit.cluster_counts, fit.sse)
 
 
+def lloyd_settles(spark, sf):
+    """The stop rule: rounds until the error hardly changes, well below the limit."""
+    with cached_lines(spark, sf) as (pts, _):
+        fit = lloyd.lloyd_fit(pts, starting_centers(pts, LINE_K), tolerance=0.0, relative_tolerance=SETTLED)
+    frame = _model_frame(spark, fit.centers, fit.cluster_counts, fit.sse)
+    return frame.withColumns({"iterations": F.lit(fit.iterations), "converged": F.lit(fit.converged)})
+
+
 def lloyd_history(spark, sf):
     return (
         _lines_fit(spark, sf)
@@ -632,7 +642,7 @@ def prepare_kdd_files(spark, sf):
 
 def trial_runs(spark, sf):
     pts = embedding_points(spark, sf)
-    runs = run_trials(pts, EMBEDDING_K, dataset_name="vectors", repetitions=2, n_buckets=2, global_max_iterations=3)
+    runs = run_trials(pts, EMBEDDING_K, dataset_name="vectors", repetitions=2, n_buckets=2)
     members = F.aggregate("cluster_counts", F.lit(0).cast("bigint"), lambda total, n: total + n)
     return runs.select("experiment_id", "random_seed", "num_records", "num_features", "num_clusters", members.alias("members"))
 
@@ -719,7 +729,7 @@ def size_ladder(spark, sf):
 ALL: tuple[Query, ...] = (
     sq_distance, pack_unpack, uniform_draws, assign_nearest, assign_lines, cluster_means, cluster_statistics,
     lloyd_step, empty_cluster_kept, max_center_shift, sse_of_assignment, evaluate_centers, cluster_sizes,
-    lloyd_fit, lloyd_history, lloyd_fit_embeddings, kmeanspp_seeds, bucket_counts, partition_counts,
+    lloyd_fit, lloyd_settles, lloyd_history, lloyd_fit_embeddings, kmeanspp_seeds, bucket_counts, partition_counts,
     bucket_local_kmeans, candidate_pool, candidate_restarts, parallel_kmeans, parallel_kmeans_partitions,
     multi_init_kmeans, multi_init_distributed, best_of_runs, predict_labeled, labeled_run,
     contingency, purity, ari, nmi, cardinalities, quality_row, quality_of_text_labels, cross_check,
