@@ -49,6 +49,7 @@ HEADLINE = (
 )
 # rows, groups: the published sizes, 20 features and 5 clusters each
 PUBLISHED = {"blobs_10k": (10_000, 4), "blobs_50k": (50_000, 4), "blobs_1m": (1_000_000, 16)}
+ORDERED_PARTITIONS = 4  # the published layout: slices in the order of the clusters, not dealt out
 
 
 def timed(action: Callable[[], object]) -> float:
@@ -70,6 +71,10 @@ def published(spark: SparkSession) -> tuple[dict[str, float], dict[str, float]]:
     seconds, errors = {}, {}
     for name, (rows, groups) in PUBLISHED.items():
         blobs, _ = diagonal_blobs(spark, rows, 20, 5, partitions=groups)
+        ordered, _ = diagonal_blobs(spark, rows, 20, 5, partitions=ORDERED_PARTITIONS)
+        with materialized(ordered.select("record_id", "features"), rows) as (slices, _):
+            parallel_kmeans(slices, 5).release()
+            seconds[f"{name}_ordered_4"] = timed(lambda: parallel_kmeans(slices, 5).release())
         # Cluster-ordered rows are dealt out first, so that each group sees every cluster.
         with materialized(blobs.select("record_id", "features").repartition(groups), rows) as (points, _):
 
