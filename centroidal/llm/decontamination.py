@@ -1,5 +1,11 @@
 """Benchmark decontamination by canonical templates.
 
+``leaks`` is the plain form: one alignment at one distance, few-literal windows left out.
+``contaminated`` is what the query and the pipeline use, and does the whole job: names of several
+words are one slot, the windows of an item may be met at several distances in order, a run of
+RUN tokens is enough whatever the item's length, and a second, case-folded literal template
+finds exact copies of any item.
+
 Texts become templates: numbers, names (capitalised words) and units turn into typed
 placeholders, other words are lower-cased, punctuation goes.  Every window of WINDOW template
 tokens is hashed, and windows of documents are joined with windows of benchmark items.  A
@@ -33,6 +39,8 @@ LEAST_COVERAGE = 0.5  # of an item's windows
 LEAST_CONSISTENCY = 0.9  # of an alignment's slots
 MAP_BITS = 26  # the bit map has 2^26 bits, 8 MB
 KNOWN_TOKENS = 500_000
+RUN = 13  # matched tokens in a row that are a leak whatever the item's length
+DRIFT = 16  # tokens put in or left out between two windows of an ordered alignment
 
 # Units, by what they measure; one unit may replace another of its kind.
 UNITS = {
@@ -209,12 +217,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFram
     )
     leaked = judged.withColumn("coverage", F.col("n_matched") / F.col("n_windows"))
     leaked = leaked.filter((F.col("coverage") >= LEAST_COVERAGE) & (F.col("consistency") >= LEAST_CONSISTENCY))
-    best = F.max(F.struct("coverage", "consistency", (~F.col("reparameterised")).alias("same"), "n_matched", "n_windows"))
-    return (
-        leaked.groupBy("doc_id", "item_id")
-        .agg(best.alias("best"))
-        .select("doc_id", "item_id", "best.n_windows", "best.n_matched", "best.coverage", "best.consistency", (~F.col("best.same")).alias("reparameterised"))
-    )
+    return _best(leaked, ["doc_id", "item_id"])
 
 
 def _short_sizes(benchmark: DataFrame, size: int) -> tuple[int, ...]:
@@ -229,5 +232,255 @@ def _short_sizes(benchmark: DataFrame, size: int) -> tuple[int, ...]:
     return tuple(sorted(r["n"] for r in rows))
 
 
+# The whole form: operators are tokens too, names of several words are one slot.
+_WIDE_TOKEN = _TOKEN
+TEMPLATE, LITERAL = 0, 1  # kinds of windows
+_LITERAL_SALT = np.uint64(0x5851F42D4C957F2D)
+
+
+class _Pairs(dict):
+    """Row of each token in ``values``: its template and its case-folded literal."""
+
+    def __init__(self):
+        self.values = np.zeros((1024, 2), np.uint64)
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= KNOWN_TOKENS:
+            raise OverflowError
+        row = len(self)
+        if row == len(self.values):
+            self.values = np.concatenate([self.values, np.zeros_like(self.values)])
+        folded = token.casefold().encode("utf-8", "surrogatepass")
+        self.values[row] = _Tokens._read(token), xxhash.xxh3_64_intdigest(folded)
+        self[token] = row
+        return row
+
+
+_pairs = _Pairs()
+
+
+def _both(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Template and literal hash of each token."""
+    global _pairs
+    try:
+        rows = np.fromiter(map(_pairs.__getitem__, found), np.int64, len(found))
+    except OverflowError:
+        _pairs = _Pairs()
+        if len(set(found)) > KNOWN_TOKENS:  # a text with more distinct tokens than are remembered
+            half = len(found) // 2
+            return tuple(np.concatenate(x) for x in zip(_both(found[:half]), _both(found[half:])))
+        rows = np.fromiter(map(_pairs.__getitem__, found), np.int64, len(found))
+    values = _pairs.values[rows]
+    return values[:, 0], values[:, 1]
+
+
+def folded(found: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(template of the units, first token of each, literal of each token); a run of names is one unit."""
+    hashes, literals = _both(found)
+    for i in (np.flatnonzero(hashes[:-1] == np.uint64(NUMBER)) + 1).tolist():
+        if found[i] in _SHORT:
+            hashes[i] = _slot(f"unit {_KIND[found[i]]}")
+    name = hashes == np.uint64(_slot("name"))
+    firsts = np.flatnonzero(~(name & np.r_[False, name[:-1]])) if len(name) else np.zeros(0, np.int64)
+    return hashes[firsts], firsts, literals
+
+
+def _mixed(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Hash of every window."""
+    n = len(hashes) - size + 1
+    mixed = np.full(n, size, np.uint64)
+    for i in range(size):
+        mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + n]
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    return mixed ^ (mixed >> np.uint64(32))
+
+
+def _literals(hashes: np.ndarray, size: int) -> np.ndarray:
+    slots = np.r_[0, np.cumsum((hashes & np.uint64(1)).astype(np.int64))]
+    return size - (slots[size:] - slots[: len(hashes) - size + 1])
+
+
+def _slots_of(found: list[str], hashes: np.ndarray, firsts: np.ndarray, place: int, size: int) -> tuple[list[str], list[int]]:
+    ends = np.r_[firsts[1:], len(found)]
+    at = [k for k in range(place, place + size) if hashes[k] & np.uint64(1)]
+    return [" ".join(found[firsts[k] : ends[k]]).lower() for k in at], at
+
+
+_ITEM_WINDOWS = "item_id bigint, kind int, item_place int, hash bigint, item_slots array<string>, item_at array<int>, n_windows int, n_units int, size int, whole boolean"
+
+
+def _item_windows(items: DataFrame) -> DataFrame:
+    """Windows of every item, of both kinds.
+
+    Template windows hold LEAST_LITERALS literals.  An item that has no such window gives those
+    with any literal and must be met ``whole``, if it has two literals at all.  Literal windows
+    are not picked.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist()):
+                found = _WIDE_TOKEN.findall(text or "")
+                if not found:
+                    continue
+                hashes, firsts, literals = folded(found)
+                size = min(WINDOW, len(hashes))
+                many = _literals(hashes, size)
+                places, whole = np.flatnonzero(many >= LEAST_LITERALS), False
+                values = _mixed(hashes, size)[places].view(np.int64).tolist()
+                for place, value in zip(places.tolist(), values):
+                    slots, at = _slots_of(found, hashes, firsts, place, size)
+                    out.append((item, TEMPLATE, place, value, slots, at, len(places), len(hashes), size, whole))
+                size = min(WINDOW, len(literals))
+                values = (_mixed(literals, size) ^ _LITERAL_SALT).view(np.int64).tolist()
+                out += [(item, LITERAL, p, v, [], [], len(values), len(literals), size, False) for p, v in enumerate(values)]
+            columns = list(zip(*out)) or [()] * 10
+            i, n = pa.int32(), pa.int64()
+            kinds = (n, i, i, n, pa.list_(pa.string()), pa.list_(i), i, i, i, pa.bool_())
+            names = [c.split()[0] for c in _ITEM_WINDOWS.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+    return items.mapInArrow(run, _ITEM_WINDOWS)
+
+
+def _document_windows(texts: DataFrame, passing) -> DataFrame:
+    """``(doc_id, version, place, hash, slots)``: windows of documents whose hash is in the map."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, sizes = np.frombuffer(passing.value[0], np.uint8), passing.value[1]
+        for batch in batches:
+            for start, _, held in text_slices(batch):
+                out: list[tuple] = []
+                for row, text in enumerate(held, start):
+                    found = _WIDE_TOKEN.findall(text or "")
+                    if not found:
+                        continue
+                    hashes, firsts, literals = folded(found)
+                    key = None
+                    for kind, size in sizes:
+                        own = literals if kind == LITERAL else hashes
+                        if size > len(own):
+                            continue
+                        values = _mixed(own, size) ^ (_LITERAL_SALT if kind == LITERAL else np.uint64(0))
+                        places = np.flatnonzero(_in_map(bits, values))
+                        for place in places.tolist():
+                            key = key or (batch.column("doc_id")[row].as_py(), batch.column("version")[row].as_py())
+                            slots = [] if kind == LITERAL else _slots_of(found, hashes, firsts, place, size)[0]
+                            out.append((*key, place, int(values[place].view(np.int64)), slots))
+                columns = list(zip(*out)) or [()] * 5
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()))
+                names = ["doc_id", "version", "place", "hash", "slots"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+    return texts.mapInArrow(run, "doc_id bigint, version bigint, place int, hash bigint, slots array<string>")
+
+
+def chains(places: np.ndarray, item_places: np.ndarray) -> Iterator[list[int]]:
+    """Ordered alignments, each the longest of what the ones before left, then every single distance.
+
+    From one window to the next both places grow and their distance changes by DRIFT at most.
+    """
+    shifts = places - item_places
+    left = np.lexsort((item_places, places))
+    while len(left):
+        p, q, s = places[left], item_places[left], shifts[left]
+        best, back = np.ones(len(left), np.int64), np.full(len(left), -1)
+        for j in range(1, len(left)):
+            fits = (p[:j] < p[j]) & (q[:j] < q[j]) & (abs(s[:j] - s[j]) <= DRIFT)
+            if fits.any():
+                # Of the longest the one at the nearest distance: a plain run is not left for another.
+                score = np.where(fits, best[:j] * (2 * DRIFT) - abs(s[:j] - s[j]), -1)
+                back[j] = int(score.argmax())
+                best[j] = best[back[j]] + 1
+        j, chain = int(best.argmax()), []
+        while j >= 0:
+            chain.append(j)
+            j = int(back[j])
+        yield left[chain[::-1]].tolist()
+        left = np.delete(left, chain)
+    if len(np.unique(shifts)) > 1:
+        for shift in np.unique(shifts).tolist():
+            yield np.flatnonzero(shifts == shift).tolist()
+
+
+def _longest_run(hits: list[dict], size: int) -> int:
+    """Most tokens in a row that windows at one distance cover."""
+    best = run = 0
+    for before, hit in zip([None, *hits], hits):
+        step = hit["place"] - before["place"] if before else 0
+        joined = before and step == hit["item_place"] - before["item_place"] and step <= size
+        run = run + step if joined else size
+        best = max(best, run)
+    return best
+
+
+_JUDGED = "doc_id bigint, version bigint, item_id bigint, n_windows bigint, n_matched bigint, consistency double, reparameterised boolean"
+
+
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The alignments of a document's region and an item that are leaks."""
+    for batch in batches:
+        kept = []
+        for row in batch.to_pylist():
+            met = row["met"]
+            places, item_places = (np.array([m[c] for m in met], np.int64) for c in ("place", "item_place"))
+            for chain in chains(places, item_places):
+                hits = [met[k] for k in chain]
+                matched = len({h["item_place"] for h in hits})
+                enough = matched >= row["n_windows"] if row["whole"] else matched >= LEAST_COVERAGE * row["n_windows"]
+                if row["whole"] and len({h["place"] - h["item_place"] for h in hits}) > 1:
+                    continue
+                if not (enough or _longest_run(hits, row["size"]) >= RUN and not row["whole"]):
+                    continue
+                slots = {at: (old, new) for h in hits for at, old, new in zip(h["item_at"], h["item_slots"], h["slots"])}
+                # A name at either end of the item may be one with names of the text around it.
+                inner = [pair for at, pair in slots.items() if 0 < at < row["n_units"] - 1]
+                agreed = consistency(inner)
+                if agreed >= LEAST_CONSISTENCY:
+                    changed = any(old != new for old, new in slots.values())
+                    kept.append((row["doc_id"], row["version"], row["item_id"], row["n_windows"], matched, agreed, changed))
+        columns = list(zip(*kept)) or [()] * 7
+        kinds = (*[pa.int64()] * 5, pa.float64(), pa.bool_())
+        names = [c.split()[0] for c in _JUDGED.split(", ")]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``(doc_id, version, item_id, n_windows, n_matched, coverage, consistency, reparameterised)``.
+
+    One row for each text and item that leaked into it, with the best alignment.  ``version`` is
+    ``xxhash64(text)``: rows alike in id and text are one, others are judged apart; null ids
+    are ids.  A text is looked at in overlapping regions of twice an item's reach, so that
+    repeated passages make more rows, not larger ones.
+    """
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
+    items = written(_item_windows(items.filter("item_id is not null").dropDuplicates()), "benchmark-windows")
+    sizes = [(r["kind"], r["size"]) for r in items.select("kind", "size").distinct().collect()]
+    passing = docs.sparkSession.sparkContext.broadcast((_bit_map(items), sorted(sizes)))
+    texts = ids_and_texts(docs).withColumn("version", F.xxhash64("text"))
+    met = _document_windows(texts, passing).join(items, "hash").filter(F.size("slots") == F.size("item_slots"))
+    reach = F.col("n_units") * 2 + 2 * WINDOW
+    region = F.floor(F.col("place") / reach)
+    regions = met.withColumn("region", F.explode(F.array(region, region - 1)))
+    # An item id may have several texts.
+    keys = ["doc_id", "version", "item_id", "kind", "region", "n_windows", "n_units", "size", "whole"]
+    aligned = regions.groupBy(*keys).agg(F.collect_set(F.struct("place", "item_place", "item_slots", "item_at", "slots")).alias("met"))
+    leaked = aligned.drop("kind", "region").mapInArrow(_judged, _JUDGED)
+    leaked = leaked.withColumn("coverage", F.col("n_matched") / F.col("n_windows"))
+    return _best(leaked, ["doc_id", "version", "item_id"])
+
+
+def _best(leaked: DataFrame, keys: list[str]) -> DataFrame:
+    best = F.max(F.struct("coverage", "consistency", (~F.col("reparameterised")).alias("same"), "n_matched", "n_windows"))
+    return (
+        leaked.groupBy(*keys)
+        .agg(best.alias("best"))
+        .select(*keys, "best.n_windows", "best.n_matched", "best.coverage", "best.consistency", (~F.col("best.same")).alias("reparameterised"))
+    )
+
+
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:
-    return leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    found = contaminated(documents(spark, sf_dir).filter("doc_id is not null"), table(spark, sf_dir, "benchmark"))
+    return _best(found, ["doc_id", "item_id"])

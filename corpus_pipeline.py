@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from centroidal.llm.common import documents, table, written
-from centroidal.llm.decontamination import leaks
+from centroidal.llm.decontamination import contaminated
 from centroidal.llm.simhash import near_duplicates
 from centroidal.llm.streaming_bpe import VOCABULARY, bpe_round_trips
 from centroidal.llm.substring_dedup import deduplicated
@@ -52,8 +52,11 @@ def repeated_sentences_go(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def benchmark_leaks_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, also with other numbers, names or units, go."""
-    leaked = leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(written(leaked, "leaks"), "doc_id", "left_anti").select(docs.columns)
+    found = contaminated(docs, table(spark, sf_dir, "benchmark"))
+    leaked = written(found.select(F.col("doc_id").alias("leaked_id"), "version").distinct(), "leaks")
+    named = docs.withColumn("text_version", F.xxhash64(F.col("text").cast("string")))
+    same = named["doc_id"].cast("bigint").eqNullSafe(leaked["leaked_id"]) & (named["text_version"] == leaked["version"])
+    return named.join(leaked, same, "left_anti").select(docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
