@@ -233,7 +233,7 @@ def _short_sizes(benchmark: DataFrame, size: int) -> tuple[int, ...]:
 
 
 # The whole form: operators are tokens too, names of several words are one slot.
-_WIDE_TOKEN = _TOKEN
+_WIDE_TOKEN = re.compile(_TOKEN.pattern + r"|[+×÷=^−]|(?<=[\d ])[-*/](?= ?\d)")
 TEMPLATE, LITERAL = 0, 1  # kinds of windows
 _LITERAL_SALT = np.uint64(0x5851F42D4C957F2D)
 
@@ -329,6 +329,8 @@ def _item_windows(items: DataFrame) -> DataFrame:
                 size = min(WINDOW, len(hashes))
                 many = _literals(hashes, size)
                 places, whole = np.flatnonzero(many >= LEAST_LITERALS), False
+                if not len(places) and (hashes & np.uint64(1) == 0).sum() >= 2:
+                    places, whole = np.flatnonzero(many), True
                 values = _mixed(hashes, size)[places].view(np.int64).tolist()
                 for place, value in zip(places.tolist(), values):
                     slots, at = _slots_of(found, hashes, firsts, place, size)

@@ -38,6 +38,12 @@ ONE_MORE = " ".join([*MIDDLE[:18], "indeed", *MIDDLE[18:]])
         (" ".join(LONG.split()[20:34]), LONG),
         (ITEM.lower(), ITEM),
         (ITEM.upper(), ITEM),
+        (SUM, SUM),
+        (SUM.replace("48", "31").replace("12", "9"), SUM),
+        (TITLE, TITLE),
+        (TITLE.lower(), TITLE),
+        ("12 13 14", "12 13 14"),
+        ("Ann Bob", "Ann Bob"),
     ],
 )
 def test_leaks_that_a_single_alignment_misses(spark, text, item):
@@ -49,6 +55,7 @@ def test_what_is_no_leak(spark):
     docs = [
         (1, around(" ".join(half[20:30]))),  # a run below RUN of a long item
         (2, around("12 13 15")),
+        (3, around("What is 48 - 7 + 12 ?")),
         (4, around("Her Young Son And His Boat")),
         (5, around(ITEM.replace("New York", "Paris").replace("carries only", "brings just").replace("leaves", "starts").replace("people", "men").replace("slower", "next").replace("oldest", "best"))),
     ]
