@@ -1,7 +1,9 @@
 """Substring deduplication by sliding sentence spans.
 
-A sentence ends at any of ``. ! ? , ; :`` or at a line end, so a passage pasted into another
-sentence still has sentences of its own.  A span is the shortest run, from each sentence on,
+A sentence ends at any of ``. ! ? , ; :``, a mark of another script, or at a line end, so a
+passage pasted into another sentence still has sentences of its own.  Long sentences are cut
+further after words that a hash picks, so equal passages are cut equally wherever they stand,
+marks or none; in scripts without spaces letters are words.  A span is the shortest run, from each sentence on,
 of at least SENTENCES sentences and WORDS words.  Spans are hashed (128 bits, over the
 sentences without outer white space) and compared over the whole table.  The first
 occurrence of a span, by document id and place, stays; the sentences of all others go.  Every
@@ -25,7 +27,13 @@ from centroidal.llm.common import documents, ids_and_texts
 SENTENCES = 3
 WORDS = 12
 SHARD_BYTES = 16_000_000  # of text for a shard of the span index
-_SENTENCE = re.compile(r"[^.!?,;:\n]+[.!?,;:\n]*|[.!?,;:\n]+")
+_MARKS = r".!?,;:\n。！？，、；：．।॥؟؛،۔።፣…"
+_SENTENCE = re.compile(f"[^{_MARKS}]+[{_MARKS}]*|[{_MARKS}]+")
+# Thai, Lao, Myanmar, Khmer, kana and Han: letters that stand without spaces.
+_LETTERS = "฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿\U00020000-\U0003ffff"
+_WORD = re.compile(rf"^\s+|[{_LETTERS}]\s*|[^\s{_LETTERS}]+\s*")
+EDGE = 3  # words from a sentence's ends within which it is not cut
+KNOWN_WORDS = 500_000
 LAST = np.iinfo(np.int64).max  # where null ids stand
 
 # Odd multipliers, one for each half of the hash, and their inverses modulo 2^64.
@@ -36,9 +44,38 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(np.r_[np.uint64(1), np.full(max(0, n - 1), base, np.uint64)])[:n]
 
 
+class _Cuts(dict):
+    """Whether a long sentence is cut after a word: after one in four, of letters without spaces one in two."""
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        plain = word.strip()
+        one_in = 2 if len(plain) == 1 and not plain.isascii() else 4
+        self[word] = cut = xxhash.xxh3_64_intdigest(plain.encode("utf-8", "surrogatepass")) % one_in == 0
+        return cut
+
+
+_cut_after = _Cuts().__getitem__
+
+
 def sentences(text: str | None) -> list[str]:
     """The text in pieces that join to it again."""
-    return _SENTENCE.findall(text or "")
+    out = []
+    for part in _SENTENCE.findall(text or ""):
+        # So many words have so many characters at least.
+        words = _WORD.findall(part) if len(part) > 2 * EDGE else ()
+        if len(words) <= 2 * EDGE:
+            out.append(part)
+            continue
+        lead = words[0].isspace()
+        start = 0
+        for k, cut in enumerate(map(_cut_after, words[EDGE - 1 + lead : len(words) - EDGE]), EDGE + lead):
+            if cut:
+                out.append("".join(words[start:k]))
+                start = k
+        out.append("".join(words[start:]))
+    return out
 
 
 class Spans:
