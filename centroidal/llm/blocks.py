@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from centroidal.llm.common import quoted
+
 BLOCK_BYTES = 4_000_000  # of text in a block, on average
 LETTERS = "block int, shard int, letter binary"
 
@@ -41,7 +43,7 @@ def dealt(docs: DataFrame, total: int) -> DataFrame:
 
 def with_carried(docs: DataFrame, others: list[str]) -> DataFrame:
     """``(doc_id, text, carried)`` with the other columns in a struct."""
-    held = [F.col(f"`{c}`") for c in others] or [F.lit(True).alias("none")]
+    held = [F.col(quoted(c)) for c in others] or [F.lit(True).alias("none")]
     doc_id, text = F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")
     return docs.select(doc_id, text, F.struct(*held).alias("carried"))
 

@@ -10,7 +10,18 @@ from pyspark.sql import functions as F
 
 from centroidal.operators.layout import written
 
-__all__ = ["ASCII_LOWER", "documents", "ids_and_texts", "remainder", "table", "text_slices", "written"]
+__all__ = [
+    "ASCII_LOWER",
+    "documents",
+    "ids_and_texts",
+    "quoted",
+    "remainder",
+    "table",
+    "text_slices",
+    "text_version",
+    "unused",
+    "written",
+]
 
 # Bytes as they are, but A-Z in lower case.
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -31,6 +42,24 @@ def ids_and_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def text_version(text: Column) -> Column:
+    """A 64-bit hash that tells texts with the same id from one another; null has one of its own."""
+    return F.xxhash64(F.lit("version"), text.isNull(), text.cast("string"))
+
+
+def quoted(name: str) -> str:
+    """A column name as it is, whatever it contains."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """A column name that is not among ``columns``, however Spark compares them."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def remainder(doc_id: Column, divisor: int) -> Column:
     """crc32 of the id as text, modulo ``divisor``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % divisor

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from centroidal.llm.common import ASCII_LOWER, documents, ids_and_texts, text_slices, written
+from centroidal.llm.common import ASCII_LOWER, documents, ids_and_texts, text_slices, text_version, written
 from centroidal.llm.components import components
 
 BITS = 64
@@ -67,17 +67,24 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
-    """``(doc_id, fingerprint bigint)``: the 64 bits as a signed number."""
+def _printed(docs: DataFrame, words: int, seed: int) -> DataFrame:
+    """``(doc_id, version bigint, fingerprint bigint)``; the version is a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, end, texts in text_slices(batch):
                 found = pa.array([_signed(fingerprint(t, words, seed)) for t in texts], pa.int64())
-                ids = batch.column("doc_id").slice(start, end - start)
-                yield pa.RecordBatch.from_arrays([ids, found], ["doc_id", "fingerprint"])
+                rows = batch.slice(start, end - start)
+                columns = [rows.column("doc_id"), rows.column("version"), found]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "version", "fingerprint"])
+
+    versions = ids_and_texts(docs).withColumn("version", text_version(F.col("text")))
+    return versions.mapInArrow(run, "doc_id bigint, version bigint, fingerprint bigint")
+
 
-    return ids_and_texts(docs).mapInArrow(run, "doc_id bigint, fingerprint bigint")
+def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
+    """``(doc_id, fingerprint bigint)``: the 64 bits as a signed number."""
+    return _printed(docs, words, seed).select("doc_id", "fingerprint")
 
 
 def flips(bits: range, most: int) -> np.ndarray:
@@ -204,25 +211,42 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return met.mapInArrow(run, "a bigint, b bigint")
 
 
+def _grouped(docs: DataFrame, words: int, radius: int, seed: int) -> DataFrame:
+    """``(doc_id, version, fingerprint, first)``; ``first`` is the group's smallest id and version, null ids last."""
+    printed = written(_printed(docs, words, seed), "simhash")
+    own = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "version")
+    distinct = written(printed.groupBy("fingerprint").agg(F.min(own).alias("own_first")), "simhash-distinct")
+    roots = components(links(distinct.select("fingerprint"), radius)).withColumnRenamed("node", "fingerprint")
+    root = F.coalesce("root", "fingerprint").alias("root")
+    rooted = written(distinct.join(roots, "fingerprint", "left").select("fingerprint", "own_first", root), "simhash-roots")
+    named = written(rooted.groupBy("root").agg(F.min("own_first").alias("first")), "simhash-names")
+    member = written(rooted.join(named, "root").select("fingerprint", "first"), "simhash-members")
+    return printed.join(member, "fingerprint")
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
     """``(doc_id, fingerprint, component_id)``, one row per row of ``docs``.
 
     Documents are linked when their fingerprints differ in at most ``radius`` bits; the
     component is named by the smallest id that can be reached.  A null or empty text has
     the fingerprint zero.  A null id takes part, but names a component only if all its ids
-    are null.
+    are null.  Columns other than id and text are not read; an empty table gives no rows.
     """
-    printed = written(fingerprints(docs, words, seed), "simhash")
-    distinct = written(printed.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
-    roots = components(links(distinct.select("fingerprint"), radius)).withColumnRenamed("node", "fingerprint")
-    root = F.coalesce("root", "fingerprint").alias("root")
-    rooted = written(distinct.join(roots, "fingerprint", "left").select("fingerprint", "first_id", root), "simhash-roots")
-    named = written(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "simhash-names")
-    member = written(rooted.join(named, "root").select("fingerprint", "component_id"), "simhash-members")
-    return printed.join(member, "fingerprint").select(
-        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
+    return _grouped(docs, words, radius, seed).select(
+        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id")
     )
 
 
+def superfluous(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
+    """``(doc_id, version)`` of the texts of which another one of their group stays.
+
+    A text is named by its id and ``text_version``, so that of texts under one id, or without
+    an id, each is decided by itself.  The text with the smallest id stays, then the one with
+    the smallest version; null ids come last.  Rows alike in both are one text.
+    """
+    stays = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.version") == F.col("version"))
+    return _grouped(docs, words, radius, seed).filter(~stays).select("doc_id", "version").distinct()
+
+
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))

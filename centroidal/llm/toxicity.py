@@ -271,10 +271,13 @@ def without_toxic(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [score(model, t) < THRESHOLD for _, _, texts in text_slices(batch) for t in texts]
+            kept = [score(model, t) < THRESHOLD for _, _, texts in text_slices(batch, text) for t in texts]
             yield batch.filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    # Python tasks do not take every column name that Spark does.
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    text = plain.columns[docs.columns.index("text")]
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -50,6 +50,53 @@ def test_odd_rows_in_every_stage(spark, stage):
     assert stage(spark, docs.limit(0), SF_DIR).collect() == []
 
 
+DOC = " ".join(f"word{i}" for i in range(60))
+OTHER = " ".join(f"thing{i}" for i in range(60))
+THIRD = " ".join(f"item{i}" for i in range(60))
+
+
+def test_texts_under_one_id_are_decided_apart(spark):
+    """A clean text stays although its id also names a near copy; so do clean texts without an id."""
+    rows = [(3, DOC), (5, DOC), (5, OTHER), (None, DOC), (None, THIRD), (None, THIRD)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = pipeline.one_of_each_group_stays(spark, docs, SF_DIR).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(3, DOC), (5, OTHER), (None, THIRD)], key=str)
+
+
+def test_leaks_are_decided_apart(spark):
+    item = table(spark, SF_DIR, "benchmark").orderBy("item_id").first().text
+    rows = [(5, f"{DOC}\n{item}\n{OTHER}"), (5, DOC), (None, f"{DOC}\n{item}\n{OTHER}"), (None, THIRD)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = pipeline.benchmark_leaks_go(spark, docs, SF_DIR).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(5, DOC), (None, THIRD)], key=str)
+
+
+@pytest.mark.parametrize("stage", [f for _, f in pipeline.STAGES[:-1]])
+def test_columns_of_any_name_stay_as_they_are(spark, stage):
+    names = ["doc_id", "text", "text_version", "version", "row", "id", "digest", "carried", "a`b", "gone_id", "its_id", "n_removed", "c.d"]
+    rows = [(1, DOC, *"abcdefghijk"), (2, OTHER, *"lmnopqrstuv")]
+    docs = spark.createDataFrame(rows, names)
+    found = stage(spark, docs, SF_DIR)
+    assert found.schema == docs.schema or [(f.name, f.dataType) for f in found.schema] == [(f.name, f.dataType) for f in docs.schema]
+    assert sorted(map(tuple, found.collect())) == rows
+
+
+def test_which_of_rows_alike_in_id_and_text_stays(spark):
+    rows = [(1, DOC, "z", None), (1, DOC, "b", 2), (1, DOC, "b", 1), (None, OTHER, "q", 3), (None, OTHER, "p", 4)]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id bigint, text string, lang string, n_chars bigint").repartition(3)
+        kept = pipeline.one_of_each_group_stays(spark, docs, SF_DIR).collect()
+        assert sorted(map(tuple, kept), key=str) == [(1, DOC, "b", 1), (None, OTHER, "p", 4)]
+
+
+def test_encoding_of_odd_rows(spark):
+    rows = [(1, None, 1), (1, None, 1), (2, "", 2), (None, "no id", 3), (3, "long " * 300_000, 4), (4, "\n\n  <|endoftext|>", 5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_tokens int")
+    found = pipeline.encoded(spark, docs, SF_DIR).collect()
+    assert sorted(map(tuple, found), key=str) == sorted([(d, *wanted_digests(t)) for d, t, _ in rows], key=str)
+    assert pipeline.encoded(spark, docs.limit(0), SF_DIR).collect() == []
+
+
 def test_removed_sentences_update_the_length(spark):
     text = "".join(f"Sentence number {i} is here. " for i in range(9))
     docs = spark.createDataFrame([(1, text, len(text)), (2, "Own start here. " + text, 0)], "doc_id bigint, text string, n_chars bigint")
