@@ -1,17 +1,18 @@
 """A corpus cleaned and encoded in five stages, each of which calls one corpus operator.
 
-Every stage but the last returns the columns of ``documents``.  Rows without an id cannot be
-named in a decision that is joined by id, so such decisions leave them in.
+Every stage but the last returns the columns of ``documents``.  A decision names a row by its
+id and a hash of its text, also where the id is null, so texts that share an id are decided
+one by one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from centroidal.llm.common import documents, table, written
+from centroidal.llm.common import documents, quoted, table, text_version, unused, written
 from centroidal.llm.decontamination import contaminated
-from centroidal.llm.simhash import near_duplicates
+from centroidal.llm.simhash import superfluous
 from centroidal.llm.streaming_bpe import VOCABULARY, bpe_round_trips
 from centroidal.llm.substring_dedup import deduplicated
 from centroidal.llm.tokenizer import vocabulary_file
@@ -26,14 +27,48 @@ def toxic_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return without_toxic(docs, fit(sample(docs, table(spark, sf_dir, "labels"))))
 
 
-def one_of_each_group_stays(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near duplicates the document with the smallest id stays; rows alike in id and text are one."""
-    found = near_duplicates(docs).filter("doc_id is not null")
-    goes = found.filter("doc_id != component_id").select("doc_id").distinct()
-    dealt = docs.repartition("doc_id").filter("doc_id is not null").dropDuplicates(["doc_id", "text"])
-    return dealt.join(written(goes, "near-duplicates"), "doc_id", "left_anti").select(docs.columns).union(
-        docs.filter("doc_id is null")
+def _without(docs: DataFrame, decided: DataFrame, version: Column) -> DataFrame:
+    """The rows of ``docs`` whose id and text version are not among those ``decided`` upon."""
+    own = unused("text_version", docs.columns)
+    gone = decided.toDF("gone_id", "gone_version")
+    same = docs["doc_id"].cast("bigint").eqNullSafe(gone["gone_id"]) & (F.col(own) == gone["gone_version"])
+    return docs.withColumn(own, version).join(gone, same, "left_anti").select(*map(quoted, docs.columns))
+
+
+def _one_of_alike(docs: DataFrame) -> DataFrame:
+    """Of rows alike in id and text the first in the order of their other columns, written as JSON.
+
+    Only rows that have a like are grouped; each task sends on one of a group.
+    """
+    names = docs.columns
+    keyed = docs.select(
+        F.struct(*[F.col(quoted(c)) for c in names]).alias("row"),
+        F.col("doc_id").cast("bigint").alias("id"),
+        text_version(F.col("text")).alias("version"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("digest"),
+    )
+    keys = ["id", "version", "digest"]
+    repeated = keyed.select(*keys).groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    repeated = written(repeated, "alike").toDF("its_id", "its_version", "its_digest")
+    same = (
+        keyed["id"].eqNullSafe(repeated["its_id"])
+        & (keyed["version"] == repeated["its_version"])
+        & keyed["digest"].eqNullSafe(repeated["its_digest"])
     )
+    others = [F.col(f"row.{quoted(c)}") for c in names if c not in ("doc_id", "text")]
+    order = F.to_json(F.struct(*others)) if others else F.lit("")
+    first = keyed.join(repeated, same, "left_semi").groupBy(*keys).agg(F.min_by("row", order).alias("row"))
+    single = keyed.join(repeated, same, "left_anti")
+    return single.select("row").union(first.select("row")).select("row.*")
+
+
+def one_of_each_group_stays(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near duplicates the text with the smallest id stays; rows alike in id and text are one.
+
+    Null ids come after all others.  Texts under one id are judged apart.
+    """
+    goes = written(superfluous(docs), "near-duplicates")
+    return _one_of_alike(_without(docs, goes, text_version(F.col("text"))))
 
 
 def repeated_sentences_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,10 +76,10 @@ def repeated_sentences_go(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     found = deduplicated(docs).filter("n_removed = 0 or n_removed < n_sentences")
     changed = F.col("n_removed") > 0
 
-    def column(name: str):
+    def column(name: str) -> Column:
         if name in ("doc_id", "text"):
-            return F.col(name)
-        own = F.col(f"carried.`{name}`")
+            return F.col(name).cast(docs.schema[name].dataType).alias(name)
+        own = F.col(f"carried.{quoted(name)}")
         return (F.when(changed, F.length("text")).otherwise(own) if name == "n_chars" else own).cast(docs.schema[name].dataType).alias(name)
 
     return found.select([column(c) for c in docs.columns])
@@ -53,10 +88,8 @@ def repeated_sentences_go(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def benchmark_leaks_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, also with other numbers, names or units, go."""
     found = contaminated(docs, table(spark, sf_dir, "benchmark"))
-    leaked = written(found.select(F.col("doc_id").alias("leaked_id"), "version").distinct(), "leaks")
-    named = docs.withColumn("text_version", F.xxhash64(F.col("text").cast("string")))
-    same = named["doc_id"].cast("bigint").eqNullSafe(leaked["leaked_id"]) & (named["text_version"] == leaked["version"])
-    return named.join(leaked, same, "left_anti").select(docs.columns)
+    leaked = written(found.select("doc_id", "version").distinct(), "leaks")
+    return _without(docs, leaked, F.xxhash64(F.col("text").cast("string")))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
