@@ -1,7 +1,8 @@
 """Distributed Lloyd iterations: one scan and one small shuffle per round.
 
-Each task folds its Arrow batches into k partial statistics; Spark adds the
-partials by (cluster, coordinate) and only the k new centres reach the driver.
+Each task folds its Arrow batches into k rows, one vector of sums per cluster.  The rows
+are added in two levels, first those of FAN_IN tasks, then what is left of each cluster, and
+only the k new centres reach the driver.
 Every round starts from plain arrays, so lineage does not grow.
 """
 
@@ -12,36 +13,77 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from centroidal.functions.kernels import Statistics, max_shift, nearest, sums_by, to_matrix
 from centroidal.operators.assign import Centers, as_centers, centers_frame
 
-_COUNT, _ERROR = -1, -2  # pseudo coordinates that carry the member count and the squared error
-_PARTIAL = "cluster int, dim int, value double"
+_PARTIAL = "part int, slot int, cluster int, n bigint, sse double, sums array<double>"
+FAN_IN = 256  # tasks whose partial statistics are added in one place first
 
 
-def _long_batch(clusters: np.ndarray, dims: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+def _partial_batch(
+    part: int, slot: int | np.ndarray, clusters: np.ndarray, n: np.ndarray, sse: np.ndarray, sums: np.ndarray
+) -> pa.RecordBatch:
+    rows, width = sums.shape
     return pa.RecordBatch.from_arrays(
-        [pa.array(clusters.astype(np.int32)), pa.array(dims.astype(np.int32)), pa.array(values.astype(np.float64))],
-        names=["cluster", "dim", "value"],
+        [
+            pa.array(np.broadcast_to(np.asarray(part, np.int32), rows)),
+            pa.array(np.broadcast_to(np.asarray(slot, np.int32), rows)),
+            pa.array(clusters.astype(np.int32)),
+            pa.array(n.astype(np.int64)),
+            pa.array(sse.astype(np.float64)),
+            pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * width, pa.int32()), pa.array(sums.ravel())),
+        ],
+        names=["part", "slot", "cluster", "n", "sse", "sums"],
     )
 
 
-def _statistics_batch(statistics: Statistics, clusters: np.ndarray, with_sums: bool) -> pa.RecordBatch:
-    table = np.column_stack([statistics.counts, statistics.sse, statistics.sums])
-    dims = np.concatenate([[_COUNT, _ERROR], np.arange(statistics.sums.shape[1])])
-    if not with_sums:
-        table, dims = table[:, :2], dims[:2]
-    held = statistics.counts > 0
-    return _long_batch(np.repeat(clusters[held], len(dims)), np.tile(dims, int(held.sum())), table[held].ravel())
+def _task_batch(clusters: np.ndarray, n: np.ndarray, sse: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+    """What a task adds up: one row per cluster that has members in it."""
+    task = TaskContext.get().partitionId()
+    held = n > 0
+    return _partial_batch(task, task // FAN_IN, clusters[held], n[held], sse[held], sums[held])
+
+
+def _adder(by_slot: bool):
+    """Add the rows of each cluster (of each slot), in the order of the parts they come from."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [batch for batch in batches if batch.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        part, slot, cluster, n, sse = (table.column(i).to_numpy() for i in range(5))
+        sums = table.column("sums").combine_chunks().flatten().to_numpy().reshape(len(part), -1)
+        group = slot if by_slot else np.zeros_like(slot)
+        order = np.lexsort((part, cluster, group))
+        cluster, group = cluster[order], group[order]
+        starts = np.flatnonzero(np.r_[True, (cluster[1:] != cluster[:-1]) | (group[1:] != group[:-1])])
+        added = [np.add.reduceat(x[order], starts, axis=0) for x in (n, sse, sums)]
+        yield _partial_batch(group[starts], group[starts], cluster[starts], *added)
+
+    return add
+
+
+def _merged(partials: DataFrame) -> DataFrame:
+    """``(cluster, n, sse, sums)``: partial rows added in two levels.
+
+    A slot adds the rows of FAN_IN tasks, so the last exchange moves one row per slot and
+    cluster whatever the number of tasks.  The order of every addition is fixed.
+    """
+    slots = partials.repartition("slot").mapInArrow(_adder(True), _PARTIAL)
+    added = slots.repartition("cluster").mapInArrow(_adder(False), _PARTIAL)
+    return added.select("cluster", "n", "sse", "sums")
 
 
 def partial_statistics(points: DataFrame, models: np.ndarray, with_sums: bool = True) -> DataFrame:
-    """Summed ``(cluster, dim, value)`` statistics of r models from one scan.
+    """``(cluster, n, sse, sums)`` of the non-empty clusters of r models, from one scan.
 
-    ``models`` is (r, k, d); cluster ``run * k + i`` is centre i of a run.
+    ``models`` is (r, k, d); cluster ``run * k + i`` is centre i of a run.  Without sums the
+    arrays are empty.
     """
     runs, k, dimensions = models.shape
 
@@ -54,49 +96,43 @@ def partial_statistics(points: DataFrame, models: np.ndarray, with_sums: bool =
             for model, total in zip(models, totals):
                 labels, distances = nearest(block, model)
                 total.add(block, labels, distances)
-        for run, total in enumerate(totals):
-            yield _statistics_batch(total, run * k + np.arange(k), with_sums)
+        sums = np.concatenate([t.sums for t in totals])
+        yield _task_batch(
+            np.arange(runs * k),
+            np.concatenate([t.counts for t in totals]),
+            np.concatenate([t.sse for t in totals]),
+            sums if with_sums else sums[:, :0],
+        )
 
-    partials = points.select("features").mapInArrow(fold, _PARTIAL)
-    return partials.groupBy("cluster", "dim").agg(F.sum("value").alias("value"))
+    return _merged(points.select("features").mapInArrow(fold, _PARTIAL))
 
 
 def gather_statistics(points: DataFrame, models: np.ndarray, with_sums: bool = True) -> list[Statistics]:
     """Statistics of each of r models; k * (d + 2) numbers per model reach the driver."""
     runs, k, dimensions = models.shape
     table = partial_statistics(points, models, with_sums).toArrow()
-    cluster, dim, value = (table.column(i).to_numpy() for i in range(3))
-    counts, errors = np.zeros(runs * k), np.zeros(runs * k)
-    sums = np.zeros((runs * k, dimensions))
-    counts[cluster[dim == _COUNT]] = value[dim == _COUNT]
-    errors[cluster[dim == _ERROR]] = value[dim == _ERROR]
-    sums[cluster[dim >= 0], dim[dim >= 0]] = value[dim >= 0]
-    if not counts.any():
+    if not table.num_rows:
         raise ValueError("the point table must not be empty")
+    cluster = table.column("cluster").to_numpy()
+    counts, errors = np.zeros(runs * k, dtype=np.int64), np.zeros(runs * k)
+    sums = np.zeros((runs * k, dimensions))
+    counts[cluster] = table.column("n").to_numpy()
+    errors[cluster] = table.column("sse").to_numpy()
+    if with_sums:
+        sums[cluster] = to_matrix(table.column("sums"))
     if not np.isfinite(errors).all():
         raise ValueError("features contain NaN or infinite values")
     return [
-        Statistics(part.astype(np.int64), error, total)
+        Statistics(part, error, total)
         for part, error, total in zip(
             counts.reshape(runs, k), errors.reshape(runs, k), sums.reshape(runs, k, dimensions)
         )
     ]
 
 
-def _assemble(summed: DataFrame) -> DataFrame:
-    """``(cluster, n, sse, sums)`` from summed ``(cluster, dim, value)`` rows."""
-    coordinate = F.when(F.col("dim") >= 0, F.struct("dim", "value"))
-    ordered = F.array_sort(F.collect_list(coordinate))  # at most d entries per cluster
-    return summed.groupBy("cluster").agg(
-        F.max(F.when(F.col("dim") == _COUNT, F.col("value"))).cast("bigint").alias("n"),
-        F.max(F.when(F.col("dim") == _ERROR, F.col("value"))).alias("sse"),
-        F.transform(ordered, lambda entry: entry["value"]).alias("sums"),
-    )
-
-
 def cluster_statistics(points: DataFrame, centers: Centers) -> DataFrame:
     """``(cluster int, n bigint, sse double, sums array<double>)`` of non-empty clusters."""
-    return _assemble(partial_statistics(points, as_centers(centers)[None]))
+    return partial_statistics(points, as_centers(centers)[None])
 
 
 def cluster_means(points: DataFrame, cluster: str = "cluster") -> DataFrame:
@@ -113,13 +149,10 @@ def cluster_means(points: DataFrame, cluster: str = "cluster") -> DataFrame:
             for key, row in zip(ids.tolist(), rows):
                 totals[key] = totals[key] + row if key in totals else row
         if totals:
-            width = len(next(iter(totals.values())))
-            dims = np.concatenate([[_COUNT], np.arange(width - 1)])
-            clusters = np.repeat(np.fromiter(totals, dtype=np.int64), width)
-            yield _long_batch(clusters, np.tile(dims, len(totals)), np.concatenate(list(totals.values())))
+            rows = np.stack(list(totals.values()))
+            yield _task_batch(np.fromiter(totals, dtype=np.int64), rows[:, 0], np.zeros(len(rows)), rows[:, 1:])
 
-    partials = points.select(F.col(cluster).cast("int"), "features").mapInArrow(fold, _PARTIAL)
-    summed = _assemble(partials.groupBy("cluster", "dim").agg(F.sum("value").alias("value")))
+    summed = _merged(points.select(F.col(cluster).cast("int"), "features").mapInArrow(fold, _PARTIAL))
     return summed.select("cluster", "n", F.transform("sums", lambda s: s / F.col("n")).alias("center"))
 
 

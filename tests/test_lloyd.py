@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -144,3 +145,37 @@ def test_cluster_means_of_given_ids(make_points):
     assert [(r.cluster, r.n) for r in rows] == [(3, 4), (8, 4)]
     assert np.allclose([r.center for r in rows], [[1, 1], [9, 9]])
     assert frame.where(F.col("label") > 99).transform(lambda d: L.cluster_means(d, "label")).count() == 0
+
+
+def test_the_last_exchange_moves_one_row_per_slot_and_cluster(make_points, monkeypatch):
+    """Partial rows carry whole vectors and are added for FAN_IN tasks at a time, then by cluster."""
+    monkeypatch.setattr(L, "FAN_IN", 4)
+    points = make_points([(float(i % 7), float(i % 5)) for i in range(240)], partitions=12)
+    centers = np.array([(0.0, 0.0), (3.0, 3.0), (6.0, 1.0)])
+    found = L.cluster_statistics(points, centers)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(slot" in plan and "hashpartitioning(cluster" in plan and "dim" not in plan
+
+    rows = {r.cluster: r for r in found.collect()}
+    block = np.array([(float(i % 7), float(i % 5)) for i in range(240)])
+    nearest = ((block[:, None] - centers) ** 2).sum(axis=2)
+    labels = nearest.argmin(axis=1)
+    assert {c: r.n for c, r in rows.items()} == dict(enumerate(np.bincount(labels).tolist()))
+    for c, r in rows.items():
+        assert np.allclose(r.sums, block[labels == c].sum(axis=0)) and r.sse == pytest.approx(nearest[labels == c, c].sum())
+
+
+def test_added_rows_do_not_depend_on_their_order():
+    rng = np.random.default_rng(3)
+    part, cluster = np.repeat(np.arange(40), 3), np.tile(np.arange(3), 40)
+    sums = rng.normal(size=(120, 5)) * 1e6
+    rows = [L._partial_batch(int(p), int(p) // 4, np.array([c]), np.array([2]), np.array([0.1 * p]), s[None]) for p, c, s in zip(part, cluster, sums)]
+    results = []
+    for order in (range(120), rng.permutation(120).tolist()):
+        (slots,) = L._adder(True)(iter([rows[i] for i in order]))
+        assert slots.num_rows == 30  # ten slots, three clusters
+        (whole,) = L._adder(False)(iter([slots.take(pa.array(rng.permutation(30)))]))
+        results.append(whole)
+    assert results[0].equals(results[1]) and results[0].column("n").to_pylist() == [80] * 3
+    assert np.allclose(np.array(results[0].column("sums").to_pylist()), [sums[cluster == c].sum(axis=0) for c in range(3)])
+    assert list(L._adder(True)(iter([]))) == []
