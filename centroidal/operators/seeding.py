@@ -6,13 +6,18 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from centroidal.functions.kernels import nearest, to_matrix
-from centroidal.functions.keys import row_key, uniform_array
+from centroidal.functions.keys import row_key, uniform, uniform_array
+from centroidal.operators.layout import written
 
-_OFFER = "run int, rank int, score double, key bigint, features array<double>"
+# What a row offers in a draw: the lowest (rank, score, key) of each run wins.
+_STATE = "key bigint, features array<double>, spread array<double>, rank array<int>, score array<double>"
+_AHEAD, _COINCIDES, _TAKEN = 0, 1, 2  # ranks: apart from all chosen rows, equal to one, chosen
+LINEAGE_DRAWS = 16  # draws after which the state is written, so that lineage stays short
 
 
 def keyed(points: DataFrame) -> DataFrame:
@@ -21,78 +26,204 @@ def keyed(points: DataFrame) -> DataFrame:
     return points.select(key.alias("key"), "features")
 
 
-def _offers(
-    draw: int, seeds: Sequence[int], chosen: np.ndarray | None, taken: np.ndarray
-):
-    """Best row of each task for each run; rank 1 marks the fallback for all-zero distances."""
+def _lists(matrix: np.ndarray) -> pa.Array:
+    rows, width = matrix.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * width, pa.int32()), pa.array(matrix.ravel()))
 
-    def race(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, tuple] = {}
+
+def _advance(draw: int, seeds: list[int], newest: list[tuple[np.ndarray, np.ndarray]] | None):
+    """Measure every row against the ``newest`` (keys, rows) of each run and make its offers of this draw.
+
+    ``spread`` is the squared distance to the nearest chosen row, -1 for chosen rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             block = to_matrix(batch.column(1))
-            for run, seed in enumerate(seeds):
+            known = batch.num_columns > 2
+            spread = to_matrix(batch.column(2)).copy() if known else np.full((len(keys), len(seeds)), np.inf)
+            rank = np.full(spread.shape, _AHEAD, np.int32)
+            score = np.empty(spread.shape)
+            for i, seed in enumerate(seeds):
                 u = uniform_array(keys, seed, draw)
-                free = ~np.isin(keys, taken[run])
-                if draw == 0:
-                    offers = [(0, free, u)]
-                else:
-                    spread = nearest(block, chosen[run])[1]
-                    ahead = free & (spread > 0)
-                    score = -np.log(u) / np.where(ahead, spread, 1.0)
-                    offers = [(0, ahead, score), (1, free & ~ahead, u)]
-                for rank, eligible, score in offers:
-                    rows = np.flatnonzero(eligible)
-                    if not len(rows):
-                        continue
-                    row = rows[np.lexsort((keys[rows], score[rows]))[0]]
-                    offer = (rank, float(score[row]), int(keys[row]))
-                    if run not in best or offer < best[run][0]:
-                        best[run] = (offer, block[row].copy())
-                    break
-        if best:
+                if newest is None:
+                    score[:, i] = u
+                    continue
+                own = spread[:, i]
+                chosen_keys, rows = newest[i]
+                if len(rows):
+                    np.copyto(own, np.minimum(own, nearest(block, rows)[1]), where=own != -1)
+                    own[np.isin(keys, chosen_keys)] = -1
+                ahead = own > 0
+                rank[:, i] = np.where(ahead, _AHEAD, np.where(own == -1, _TAKEN, _COINCIDES))
+                score[:, i] = np.where(ahead, -np.log(u) / np.where(ahead, own, 1.0), u)
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(list(best), pa.int32()),
-                    pa.array([offer[0] for offer, _ in best.values()], pa.int32()),
-                    pa.array([offer[1] for offer, _ in best.values()], pa.float64()),
-                    pa.array([offer[2] for offer, _ in best.values()], pa.int64()),
-                    pa.array([vector.tolist() for _, vector in best.values()], pa.list_(pa.float64())),
-                ],
-                names=["run", "rank", "score", "key", "features"],
+                [batch.column(0), batch.column(1), _lists(spread), _lists(rank), _lists(score)],
+                names=["key", "features", "spread", "rank", "score"],
             )
 
-    return race
+    return run
 
 
-def kmeanspp_seeds(points: DataFrame, k: int, seeds: Sequence[int]) -> np.ndarray:
-    """(r, k, d) starting centres, one k-means++ sequence per seed.
+def _winners(state: DataFrame, runs: int, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The winning (key, row) of each run; one row of them reaches the driver."""
+    row = F.struct("key", "features")
+    best = [
+        F.min_by(row, F.when(F.col("rank")[i] < _TAKEN, F.struct(F.col("rank")[i], F.col("score")[i], F.col("key")))).alias(f"run{i}")
+        for i in range(runs)
+    ]
+    found = state.agg(*best).first()
+    if any(found[i] is None for i in range(runs)):
+        raise ValueError(f"k={k} exceeds the number of points")
+    return [(np.array([w["key"]]), np.array([w["features"]])) for w in found]
 
-    A draw is an exponential race: each task offers its best row per run and Spark
-    keeps the lowest, so one scan per draw serves every seed and no row order or
-    running total is involved.
-    """
+
+class _States:
+    """The rows with their distances, draw after draw; only the last state is held."""
+
+    def __init__(self, points: DataFrame, seeds: list[int]):
+        self.source, self.seeds, self.draw = keyed(points), seeds, 0
+        self.held: DataFrame | None = None
+        self.last: DataFrame | None = None
+        self.current = self.source.mapInArrow(_advance(0, seeds, None), _STATE)
+
+    def advance(self, newest: list[tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+        self.draw += 1
+        before = self.source if self.held is None else self.held.select("key", "features", "spread")
+        state = before.mapInArrow(_advance(self.draw, self.seeds, newest), _STATE)
+        if self.draw % LINEAGE_DRAWS == 0:
+            state = written(state, "seeding")
+        state = state.persist(StorageLevel.MEMORY_AND_DISK)
+        self.current, self.last, self.held = state, self.held, state
+        return state
+
+    def settle(self) -> None:
+        """The state before the last one is not needed once the last one is held."""
+        if self.last is not None:
+            self.last.unpersist()
+            self.last = None
+
+    def release(self) -> None:
+        self.settle()
+        if self.held is not None:
+            self.held.unpersist()
+
+
+def _check(k: int, seeds: Sequence[int]) -> None:
     if k <= 0:
         raise ValueError("k must be positive")
     if not seeds:
         raise ValueError("at least one seed is required")
-    source = keyed(points)
-    runs = len(seeds)
-    taken = np.empty((runs, 0), dtype=np.int64)
-    chosen: np.ndarray | None = None
+
+
+def kmeanspp_seeds(points: DataFrame, k: int, seeds: Sequence[int]) -> np.ndarray:
+    """(r, k, d) starting centres, one k-means++ sequence per seed.
+
+    A draw is an exponential race: the lowest score of each run wins, so one scan per draw
+    serves every seed and no row order or running total is involved.  Rows keep their
+    distance to the nearest chosen row from draw to draw, so each draw measures them against
+    one new row per seed only.
+    """
+    _check(k, seeds)
+    states = _States(points, list(seeds))
+    chosen: list[list[tuple[np.ndarray, np.ndarray]]] = []
+    try:
+        for draw in range(k):
+            state = states.advance(chosen[-1]) if draw else states.current
+            chosen.append(_winners(state, len(seeds), k))
+            states.settle()
+    finally:
+        states.release()
+    return np.stack([np.concatenate([rows[run][1] for rows in chosen]) for run in range(len(seeds))])
+
+
+def oversampled_seeds(
+    points: DataFrame, k: int, seeds: Sequence[int], *, rounds: int = 5, oversampling: float | None = None
+) -> np.ndarray:
+    """(r, k, d) starting centres from few scans, however large k is.
+
+    After one first row, every round takes each row with probability ``oversampling * d2 / sum(d2)``
+    (2k by default), independently, so about so many rows of a round reach the driver.  The
+    rows taken are weighted by the number of points nearest to them, and a weighted
+    k-means++ race among them gives the centres; should a run have taken fewer than k, all
+    get plain k-means++ draws.  All draws are functions of seed and record id.
+    """
+    _check(k, seeds)
+    if rounds <= 0 or (oversampling is not None and oversampling <= 0):
+        raise ValueError("rounds and oversampling must be positive")
+    wanted = 2.0 * k if oversampling is None else oversampling
+    runs = range(len(seeds))
+    states = _States(points, list(seeds))
+    try:
+        newest = _winners(states.current, len(seeds), k)
+        taken = [[pair] for pair in newest]
+        for draw in range(1, rounds + 1):
+            state = states.advance(newest)
+            open_ = [F.greatest(F.col("spread")[i], F.lit(0.0)) for i in runs]
+            totals = state.agg(*[F.sum(d) for d in open_]).first()
+            states.settle()
+            chance = [
+                (F.col("rank")[i] == _AHEAD)
+                & (uniform(F.col("key"), seeds[i], draw) * F.lit(totals[i] or 0.0) < F.lit(wanted) * F.col("spread")[i])
+                for i in runs
+            ]
+            hits = F.array(*chance)
+            rows = state.filter(F.exists(hits, lambda hit: hit)).select("key", "features", hits.alias("hits")).collect()
+            rows.sort(key=lambda row: row["key"])
+            newest = []
+            for i in runs:
+                own = [row for row in rows if row["hits"][i]]
+                newest.append((np.array([r["key"] for r in own], np.int64), np.array([r["features"] for r in own])))
+                if own:
+                    taken[i].append(newest[i])
+        pools = [tuple(np.concatenate(parts) for parts in zip(*own)) for own in taken]
+        weights = _weights(states.source, [rows for _, rows in pools])
+    finally:
+        states.release()
+    if any(len(rows) < k for _, rows in pools):
+        return kmeanspp_seeds(points, k, seeds)
+    return np.stack([_weighted_race(*pool, weight, k, seed) for pool, weight, seed in zip(pools, weights, seeds)])
+
+
+def _weights(source: DataFrame, pools: list[np.ndarray]) -> list[np.ndarray]:
+    """How many points are nearest to each row of each pool, the first of equals, from one scan."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = [np.zeros(len(pool), np.int64) for pool in pools]
+        for batch in batches:
+            if batch.num_rows:
+                block = to_matrix(batch.column(0))
+                for own, pool in zip(counts, pools):
+                    own += np.bincount(nearest(block, pool)[0], minlength=len(pool))
+        for i, own in enumerate(counts):
+            at = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(at), i, np.int32)), pa.array(at.astype(np.int32)), pa.array(own[at])], ["run", "place", "n"]
+            )
+
+    counted = source.select("features").mapInArrow(run, "run int, place int, n bigint").groupBy("run", "place").agg(F.sum("n").alias("n"))
+    found = [np.zeros(len(pool)) for pool in pools]
+    for row in counted.collect():  # one row for each row of the pools
+        found[row["run"]][row["place"]] = row["n"]
+    return found
+
+
+def _weighted_race(keys: np.ndarray, rows: np.ndarray, weights: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k-means++ among weighted rows: the lowest ``-ln(u) / (weight * d2)`` wins; rows of no weight come last."""
+    chosen: list[int] = []
+    spread = np.ones(len(rows))
     for draw in range(k):
-        winners = (
-            source.mapInArrow(_offers(draw, list(seeds), chosen, taken), _OFFER)
-            .groupBy("run")
-            .agg(F.min_by(F.struct("key", "features"), F.struct("rank", "score", "key")).alias("row"))
-            .collect()  # one row per seed
-        )
-        if len(winners) < runs:
-            raise ValueError(f"k={k} exceeds the number of points")
-        winners = [w["row"] for w in sorted(winners, key=lambda w: w["run"])]
-        taken = np.column_stack([taken, [w["key"] for w in winners]])
-        picked = np.array([w["features"] for w in winners])[:, None, :]
-        chosen = picked if chosen is None else np.concatenate([chosen, picked], axis=1)
-    return chosen
+        u = uniform_array(keys, seed, draw)
+        free = ~np.isin(np.arange(len(rows)), chosen)
+        mass = weights * spread
+        ahead = free & (mass > 0)
+        score = np.where(ahead, -np.log(u) / np.where(ahead, mass, 1.0), np.where(free, u, np.inf))
+        rank = np.where(ahead, _AHEAD, np.where(free, _COINCIDES, _TAKEN))
+        winner = int(np.lexsort((keys, score, rank))[0])
+        chosen.append(winner)
+        distance = nearest(rows, rows[winner : winner + 1])[1]
+        spread = distance if draw == 0 else np.minimum(spread, distance)
+    return rows[chosen]

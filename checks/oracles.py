@@ -14,6 +14,7 @@ from checks.queries import (
     LINE_K,
     LOCAL_ROUNDS,
     MEASURES,
+    OVERSAMPLING_ROUNDS,
     WHOLE_ROUNDS,
     PREFIX_PARTS,
     RESTARTS,
@@ -144,6 +145,43 @@ def seeds_of(prefix: str, points: str, d: int, k: int, seed: str) -> tuple[str,
     return ", ".join(parts), f"{prefix}s"
 
 
+def oversampled_seeds(points: str, d: int, k: int, seed: str, rounds: int) -> tuple[str, str]:
+    """Sampled rows of each group of ``points`` (g, key, x), and a weighted race among them."""
+    first = f"row_number() OVER (PARTITION BY g ORDER BY {uniform('key', seed, 0)}, key) = 1"
+    parts = [
+        f"o0 AS MATERIALIZED (SELECT g, key, x FROM {points} QUALIFY {first})",
+        f"od0 AS MATERIALIZED (SELECT p.g, p.key, p.x, {sq('p.x', 's.x', d)} AS d2 FROM {points} p JOIN o0 s ON p.g = s.g)",
+    ]
+    for j in range(1, rounds + 1):
+        chance = f"{uniform('key', seed, j)} * (sum(d2) OVER (PARTITION BY g)) < {2.0 * k} * d2"
+        parts.append(f"o{j} AS MATERIALIZED (SELECT g, key, x FROM od{j - 1} QUALIFY d2 > 0 AND {chance})")
+        parts.append(
+            f"od{j} AS MATERIALIZED (SELECT p.g, p.key, p.x, least(p.d2, coalesce(list_min(list_transform(l.cs, lambda c: {sq('p.x', 'c', d)})), p.d2)) AS d2"
+            f" FROM od{j - 1} p LEFT JOIN (SELECT g, list(x) AS cs FROM o{j} GROUP BY g) l ON l.g = p.g)"
+        )
+    union = " UNION ALL ".join(f"SELECT {j} AS r, g, key, x FROM o{j}" for j in range(rounds + 1))
+    parts.append(
+        "opool AS MATERIALIZED (SELECT g, key, x AS c, CAST(row_number() OVER (PARTITION BY g ORDER BY r, key) - 1 AS INTEGER) AS cluster"
+        f" FROM ({union}))"
+    )
+    parts.append(assignment("oa", points, "opool", d))
+    parts.append("ow AS MATERIALIZED (SELECT p.g, p.key, p.c AS x, (SELECT count(*) FROM oa WHERE oa.g = p.g AND oa.cluster = p.cluster) AS w FROM opool p)")
+    previous = "(SELECT *, 1.0::DOUBLE AS d2 FROM ow)"
+    for j in range(k):
+        if j:
+            known = "p.d2" if j > 1 else "'infinity'::DOUBLE"
+            parts.append(
+                f"owd{j} AS MATERIALIZED (SELECT p.g, p.key, p.x, p.w, least({known}, {sq('p.x', 's.x', d)}) AS d2"
+                f" FROM {previous} p JOIN os{j - 1} s ON p.g = s.g)"
+            )
+            previous = f"owd{j}"
+        race = f"row_number() OVER (PARTITION BY g ORDER BY -ln({uniform('key', seed, j)}) / (w * d2), key) = 1"
+        parts.append(f"os{j} AS MATERIALIZED (SELECT g, key, x FROM {previous} WHERE w * d2 > 0 QUALIFY {race})")
+    final = " UNION ALL ".join(f"SELECT g, {j} AS cluster, x AS c FROM os{j}" for j in range(k))
+    parts.append(f"osum AS MATERIALIZED ({final})")
+    return ", ".join(parts), "osum"
+
+
 def fit_groups(prefix: str, points: str, d: int, k: int, seed: str, rounds: int) -> tuple[str, str, str]:
     """Seeds, rounds and a final assignment; returns (text, centres, assignment)."""
     seeding, start = seeds_of(prefix, points, d, k, seed)
@@ -391,6 +429,7 @@ def sql() -> dict[str, str]:
         f" SELECT 0, {LINE_K}, {far}, 0::BIGINT, 0.0::DOUBLE)"
     )
     seed_runs = runs_of(EMBEDDINGS)
+    over_seeds, over_start = oversampled_seeds("runs", EMBEDDING_D, EMBEDDING_K, "(42 + g)", OVERSAMPLING_ROUNDS)
     emb_seeds, emb_start = seeds_of("e", "runs", EMBEDDING_D, EMBEDDING_K, "(42 + g)")
 
     queries = {
@@ -432,6 +471,8 @@ def sql() -> dict[str, str]:
         + long_rows("cluster", "c", EMBEDDING_D, _emb_last),
         "kmeanspp_seeds": f"{seed_runs}, {emb_seeds}"
         + long_rows("CAST(42 + g AS INTEGER) AS seed, cluster", "c", EMBEDDING_D, emb_start),
+        "oversampled_seeds": f"{seed_runs}, {over_seeds}"
+        + long_rows("CAST(42 + g AS INTEGER) AS seed, cluster", "c", EMBEDDING_D, over_start),
         "bucket_counts": f"SELECT {bucket_of(LINE_ID, BUCKETS)} AS bucket, count(*) AS n FROM lineitem GROUP BY 1",
         "partition_counts": f"WITH found AS (SELECT {bucket_of(LINE_ID, BUCKETS)} AS b, count(*) AS n FROM lineitem GROUP BY 1)"
         f" SELECT CAST(i AS INTEGER) AS partition, coalesce(n, 0) AS records FROM range({BUCKETS}) AS r(i)"

@@ -44,6 +44,7 @@ GLOBAL_ROUNDS = 20  # distributed refinement with the stop rule off, so that SQL
 WHOLE_ROUNDS = 20  # whole-table fits from several seeds
 SETTLED = 1e-4  # relative change of the error at which the fit with the stop rule ends
 RESTARTS = 5
+OVERSAMPLING_ROUNDS = 3
 TIE_WIDTH = 1e-12  # errors of restarts that differ only by the order of summation
 ROWS_PER_BUCKET = 20_000
 FAR_AWAY = [1e6, 1e6, 1e6, 1e6]
@@ -224,6 +225,15 @@ def kmeanspp_seeds(spark, sf):
     return _long(frame, "seed", "cluster")
 
 
+def oversampled_seeds(spark, sf):
+    """Starting centres from few scans: sampled rows, weighted by the points nearest to them."""
+    seeds = [42 + i for i in range(RESTARTS)]
+    found = seeding.oversampled_seeds(embedding_points(spark, sf), EMBEDDING_K, seeds, rounds=OVERSAMPLING_ROUNDS)
+    rows = [(seed, c, v.tolist()) for seed, run in zip(seeds, found) for c, v in enumerate(run)]
+    frame = spark.createDataFrame(rows, "seed int, cluster int, center array<double>")
+    return _long(frame, "seed", "cluster")
+
+
 def bucket_counts(spark, sf):
     lines = raw_lines(spark, sf)
     n = _buckets(lines.count())
@@ -729,7 +739,8 @@ def size_ladder(spark, sf):
 ALL: tuple[Query, ...] = (
     sq_distance, pack_unpack, uniform_draws, assign_nearest, assign_lines, cluster_means, cluster_statistics,
     lloyd_step, empty_cluster_kept, max_center_shift, sse_of_assignment, evaluate_centers, cluster_sizes,
-    lloyd_fit, lloyd_settles, lloyd_history, lloyd_fit_embeddings, kmeanspp_seeds, bucket_counts, partition_counts,
+    lloyd_fit, lloyd_settles, lloyd_history, lloyd_fit_embeddings, kmeanspp_seeds, oversampled_seeds,
+    bucket_counts, partition_counts,
     bucket_local_kmeans, candidate_pool, candidate_restarts, parallel_kmeans, parallel_kmeans_partitions,
     multi_init_kmeans, multi_init_distributed, best_of_runs, predict_labeled, labeled_run,
     contingency, purity, ari, nmi, cardinalities, quality_row, quality_of_text_labels, cross_check,

@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from centroidal.functions.kernels import fit_group
 from centroidal.operators import local as C
-from centroidal.operators.seeding import keyed, kmeanspp_seeds
+from centroidal.functions.kernels import nearest, race_seeds
+from centroidal.operators import seeding
+from centroidal.operators.seeding import keyed, kmeanspp_seeds, oversampled_seeds
 from tests.fixtures import TWELVE, RESTARTS, RESTARTS_SSE, STEP
 
 
@@ -134,3 +136,52 @@ def test_suggested_buckets_stay_bounded():
     assert C.suggested_buckets(10_000_001, 5, 20) == 101
     assert C.suggested_buckets(10**12, 10, 20) * C.GROUP_ROWS >= 10**12
     assert C.suggested_buckets(1000, 10, 10**9) == 3  # never so many that a bucket could fall below k
+
+
+def test_seeds_equal_those_of_one_group(make_points, monkeypatch):
+    """Distances kept from draw to draw give the rows that measuring all chosen rows gives, also over written states."""
+    monkeypatch.setattr(seeding, "LINEAGE_DRAWS", 3)
+    rng = np.random.default_rng(8)
+    points = make_points(rng.normal(size=(300, 3)).tolist(), partitions=5)
+    rows = keyed(points).toArrow()
+    block, keys = np.array(rows.column("features").to_pylist()), rows.column("key").to_numpy()
+    found = kmeanspp_seeds(points, 9, [1, 7])
+    for run, seed in zip(found, (1, 7)):
+        assert run.tolist() == race_seeds(block, keys, 9, seed).tolist()
+
+
+def test_a_draw_measures_against_the_newest_row_only(make_points, monkeypatch):
+    measured = []
+    advance = seeding._advance
+
+    def watched(draw, seeds, newest):
+        measured.append([] if newest is None else [len(rows) for _, rows in newest])
+        return advance(draw, seeds, newest)
+
+    monkeypatch.setattr(seeding, "_advance", watched)
+    kmeanspp_seeds(make_points([(float(i), float(i % 5)) for i in range(60)]), 6, [3, 4])
+    assert measured == [[], *[[1, 1]] * 5]
+
+
+def test_oversampled_seeds(make_points, monkeypatch):
+    rng = np.random.default_rng(9)
+    block = np.concatenate([rng.normal(c, 0.05, size=(80, 2)) for c in range(0, 40, 4)])
+    points = make_points(block.tolist(), partitions=4)
+    found = oversampled_seeds(points, 10, [5, 6], rounds=4)
+    for run in found:
+        assert len(np.unique(run, axis=0)) == 10 and all(row in block.tolist() for row in run.tolist())
+        assert nearest(block, run)[1].max() < 1.0  # a centre in every blob
+    again = oversampled_seeds(points.repartition(3), 10, [5, 6], rounds=4)
+    assert again.tolist() == found.tolist()
+    scans = []
+    monkeypatch.setattr(seeding, "_advance", lambda *a, real=seeding._advance: scans.append(a[0]) or real(*a))
+    oversampled_seeds(points, 10, [5], rounds=3)
+    assert scans == [0, 1, 2, 3]  # not one for each of the ten centres
+
+
+def test_oversampling_a_table_of_few_different_rows(make_points):
+    points = make_points([(1.0, 1.0)] * 30 + [(2.0, 2.0)] * 3, partitions=3)
+    (run,) = oversampled_seeds(points, 3, [1])
+    assert len(run) == 3 and {tuple(r) for r in run} == {(1.0, 1.0), (2.0, 2.0)}
+    with pytest.raises(ValueError):
+        oversampled_seeds(points, 3, [1], rounds=0)
