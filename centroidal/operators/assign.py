@@ -79,6 +79,12 @@ def assign(points: DataFrame, centers: Centers) -> DataFrame:
     )
 
 
+def assign_models(points: DataFrame, models: np.ndarray) -> DataFrame:
+    """Add ``assigned``: for each of r models (r, k, d) a struct ``(distance_sq, cluster)``; one scan, no shuffle."""
+    best = [best_center(F.col("features"), as_centers(model)) for model in models]
+    return points.withColumn("assigned", F.array(*best))
+
+
 def _gap_by_arrow(centers: np.ndarray):
     @arrow_udf("double")
     def gap(features: pa.Array, cluster: pa.Array) -> pa.Array:
@@ -131,20 +137,32 @@ def cluster_sizes(points: DataFrame, centers: Centers) -> DataFrame:
     return evaluate_centers(points, centers).select("cluster", "n")
 
 
+def require_unique(points: DataFrame, record_id: str = "record_id") -> None:
+    """Raise ValueError for a record id that occurs twice; one exchange of the ids."""
+    repeated = points.groupBy(record_id).agg(F.count(F.lit(1)).alias("n")).where("n > 1").take(1)
+    if repeated:
+        raise ValueError(f"record id {repeated[0][0]} occurs {repeated[0]['n']} times")
+
+
 def predict(
-    points: DataFrame, centers: Centers, *, record_id: str = "record_id", check: bool = True
+    points: DataFrame,
+    centers: Centers,
+    *,
+    record_id: str = "record_id",
+    check: bool = True,
+    unique_ids: bool = False,
 ) -> DataFrame:
     """Assignments keyed by record id; ids, labels and other columns travel with the row.
 
     ``check`` verifies, with two aggregates, that points are valid and match the
-    centres, that ``k <= n`` and that record ids are unique.
+    centres, that ``k <= n`` and that record ids are unique.  ``unique_ids`` says that the
+    latter is known already, which saves an exchange of all ids.
     """
     model = as_centers(centers)
     if check:
         summary = validate_points(points, expected_features=model.shape[1])
         if len(model) > summary["rows"]:
             raise ValueError(f"{len(model)} clusters exceed {summary['rows']} records")
-        repeated = points.groupBy(record_id).agg(F.count(F.lit(1)).alias("n")).where("n > 1").take(1)
-        if repeated:
-            raise ValueError(f"record id {repeated[0][0]} occurs {repeated[0]['n']} times")
+        if not unique_ids:
+            require_unique(points, record_id)
     return assign(points, model)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from centroidal.functions.kernels import LocalFit, fit_group, max_shift, to_matrix
-from centroidal.functions.keys import hash_bucket, row_key
+from centroidal.functions.keys import hash_bucket, row_key, uniform_array
 from centroidal.operators.lloyd import check_loop_arguments, gather_statistics
 from centroidal.operators.seeding import keyed, kmeanspp_seeds
 
@@ -21,9 +21,10 @@ GROUP_ROWS = 100_000
 GROUP_BYTES = 64 << 20
 
 _CHUNK_STEP = 1 << 31
+_SUBDIVISION = 1 << 20  # number of the draw that places a record in a part of its bucket
 _LOCAL = (
     "bucket bigint, record_count bigint, centers array<array<double>>,"
-    " iterations int, converged boolean, sse double"
+    " iterations int, converged boolean, sse double, distinct_keys bigint"
 )
 _RESTART = (
     "seed bigint, record_count bigint, centers array<array<double>>, cluster_counts array<bigint>,"
@@ -58,6 +59,14 @@ def _result_columns(records: int, fit: LocalFit) -> dict[str, pa.Array]:
     }
 
 
+def _group_row(group: int, keys: np.ndarray, block: np.ndarray, fit: LocalFit) -> dict[str, pa.Array]:
+    return {
+        "bucket": pa.array([group], pa.int64()),
+        **_result_columns(len(block), fit),
+        "distinct_keys": pa.array([len(np.unique(keys))], pa.int64()),
+    }
+
+
 def partition_kmeans(
     points: DataFrame,
     k: int,
@@ -67,6 +76,7 @@ def partition_kmeans(
     tolerance: float = 1e-6,
     random_seed: int = 42,
     group_rows: int | None = None,
+    subdivide: bool = False,
 ) -> DataFrame:
     """One row per non-empty group with the k centres of its own k-means.
 
@@ -74,9 +84,14 @@ def partition_kmeans(
     more than ``group_rows`` rows (by default what the group bounds allow) gives several
     groups, cut after exactly so many rows; the last has at least k.  With ``n_buckets``
     the groups are hash buckets of the record id, which costs one shuffle of the
-    features and makes the result independent of the physical layout; a bucket beyond the group bounds is
-    an error.  A group of
-    fewer than k records is an error naming the group.
+    features and makes the result independent of the physical layout.  A bucket of more
+    than ``group_rows`` rows is an error, unless ``subdivide`` is set: then it is cut into as
+    few groups as the bounds allow by a second hash of the id, which is independent of the
+    layout as well; group g of a bucket is numbered ``bucket + g * 2^31``.  A group of fewer
+    than k records is an error naming the group.
+
+    ``distinct_keys`` counts the different record ids of a group, by their keys; equal ids
+    share a bucket, so buckets whose counts add up to the records hold no id twice.
     """
     check_fit_arguments(k, max_iterations, tolerance)
     if n_buckets is None:
@@ -84,24 +99,38 @@ def partition_kmeans(
     if n_buckets <= 0:
         raise ValueError("the number of buckets must be positive")
 
-    def fit(key: tuple[pa.Scalar], group: pa.Table) -> pa.Table:
-        bucket = key[0].as_py()
-        _require_rows(f"bucket {bucket}", group.num_rows, k)
-        block = to_matrix(group.column("features"))
-        if len(block) > GROUP_ROWS or block.nbytes > GROUP_BYTES:
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A partition holds one bucket, so it is that bucket.
+        held = [batch for batch in batches if batch.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        bucket = table.column("bucket")[0].as_py()
+        _require_rows(f"bucket {bucket}", table.num_rows, k)
+        for number, keys, block in parts(bucket, table.column("key").to_numpy(), to_matrix(table.column("features"))):
+            _require_rows(f"part {number} of bucket {bucket}", len(block), k)
+            group = bucket + number * _CHUNK_STEP
+            found = fit_group(block, keys, k, max_iterations, tolerance, random_seed + group)
+            yield pa.RecordBatch.from_pydict(_group_row(group, keys, block, found))
+
+    def parts(bucket: int, keys: np.ndarray, block: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        limit = group_rows or min(GROUP_ROWS, max(1, GROUP_BYTES // (8 * block.shape[1])))
+        if len(block) <= limit:
+            yield 0, keys, block
+            return
+        if not subdivide:
             raise ValueError(
                 f"bucket {bucket} has {len(block)} records of {block.shape[1]} features, more than one task should hold;"
-                " use more buckets (see suggested_buckets)"
+                " use more buckets (see suggested_buckets) or subdivide them"
             )
-        keys = group.column("key").to_numpy()
-        found = fit_group(block, keys, k, max_iterations, tolerance, random_seed + bucket)
-        return pa.table({"bucket": pa.array([bucket], pa.int64()), **_result_columns(len(block), found)})
+        n = -(-len(block) // limit)
+        part = np.minimum((uniform_array(keys, random_seed, _SUBDIVISION) * n).astype(np.int64), n - 1)
+        for number in range(n):
+            yield number, keys[part == number], block[part == number]
 
     record_id = F.col("record_id")
     bucketed = points.select(hash_bucket(record_id, n_buckets).alias("bucket"), row_key(record_id).alias("key"), "features")
-    # One partition per bucket: no two fits queue in one task, and the grouping below
-    # needs no further shuffle.
-    return bucketed.repartitionById(n_buckets, F.col("bucket")).groupBy("bucket").applyInArrow(fit, _LOCAL)
+    return bucketed.repartitionById(n_buckets, F.col("bucket")).mapInArrow(fit, _LOCAL)
 
 
 def _fit_partitions(
@@ -113,8 +142,7 @@ def _fit_partitions(
         def result(number: int, keys: np.ndarray, block: np.ndarray) -> pa.RecordBatch:
             group = partition + number * _CHUNK_STEP
             found = fit_group(block, keys, k, max_iterations, tolerance, random_seed + group)
-            columns = {"bucket": pa.array([group], pa.int64()), **_result_columns(len(block), found)}
-            return pa.RecordBatch.from_pydict(columns)
+            return pa.RecordBatch.from_pydict(_group_row(group, keys, block, found))
 
         number, held_keys, held, rows = 0, [], [], 0
         for batch in batches:

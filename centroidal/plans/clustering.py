@@ -8,10 +8,10 @@ from time import perf_counter
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from centroidal.operators.assign import centers_frame, predict
+from centroidal.operators.assign import assign_models, centers_frame, predict, require_unique
 from centroidal.operators.lloyd import LloydModel, check_loop_arguments, finish, iterate
 from centroidal.operators.local import (
     SeededFit,
@@ -36,6 +36,7 @@ class ParallelModel:
     cluster_counts: tuple[int, ...]
     num_records: int
     num_groups: int
+    unique_ids: bool | None  # True where the fit has seen that no id repeats, None where it cannot know
     local: DataFrame = field(repr=False)
     candidates: DataFrame = field(repr=False)
     candidate_count: int
@@ -60,6 +61,7 @@ def parallel_kmeans(
     global_max_iterations: int = 100,
     local_tolerance: float = 1e-6,
     global_cost_tolerance: float | None = 1e-6,
+    global_relative_tolerance: float = 0.0,
     random_seed: int = 42,
     aggregation_restarts: int = 5,
     tie_width: float = 0.0,
@@ -71,7 +73,7 @@ def parallel_kmeans(
     3. distributed Lloyd rounds until the error stops changing, then one
        measurement of the returned centres.
 
-    ``points`` needs ``record_id`` and ``features``; no other column is read.  Its
+    See ``lloyd_fit`` for the two tolerances of stage 3.  ``points`` needs ``record_id`` and ``features``; no other column is read.  Its
     validity rules are enforced inside stage 1, which saves a separate scan.  The
     caller decides whether ``points`` is cached.
     """
@@ -95,6 +97,7 @@ def parallel_kmeans(
         totals = local.agg(
             F.count(F.lit(1)).alias("groups"),
             F.sum("record_count").alias("records"),
+            F.sum("distinct_keys").alias("distinct"),
             F.min(width).alias("narrowest"),
             F.max(width).alias("widest"),
         ).first()
@@ -119,7 +122,7 @@ def parallel_kmeans(
         seeded = perf_counter()
 
         history, converged = iterate(
-            points, initialization.centers, global_max_iterations, global_cost_tolerance
+            points, initialization.centers, global_max_iterations, global_cost_tolerance, global_relative_tolerance
         )
         refined = perf_counter()
         refinement = finish(points, history, converged)
@@ -135,6 +138,7 @@ def parallel_kmeans(
         cluster_counts=refinement.cluster_counts,
         num_records=totals["records"],
         num_groups=totals["groups"],
+        unique_ids=True if n_buckets is not None and totals["distinct"] == totals["records"] else None,
         local=local,
         candidates=candidates,
         candidate_count=totals["groups"] * k,
@@ -206,22 +210,87 @@ class LabeledRun:
     cluster_counts: tuple[int, ...]
 
 
+def _require_agreement(model: ParallelModel, rows: list[Row]) -> tuple[float, tuple[int, ...]]:
+    """Error and sizes measured from assigned rows (at most k of them), which must be the model's."""
+    k = len(model.centers)
+    found = {row["cluster"]: row for row in rows}
+    counts = tuple(found[c]["n"] if c in found else 0 for c in range(k))
+    error = math.fsum(row["sse"] for row in rows)
+    if sum(counts) != model.num_records or counts != model.cluster_counts:
+        raise RuntimeError(f"independent sizes {counts} differ from {model.cluster_counts}")
+    if not math.isclose(error, model.sse, rel_tol=1e-7, abs_tol=1e-6):
+        raise RuntimeError(f"independent squared error {error} differs from {model.sse}")
+    return error, counts
+
+
 def labeled_run(points: DataFrame, k: int, *, label: str = "label", **options) -> LabeledRun:
     """Cluster without looking at labels, predict by record id, and check both agree.
 
     The predictions are measured from the assigned rows, independently of the
-    fitting job; sizes must match exactly and squared errors to 1e-7 relative.
+    fitting job; sizes must match exactly and squared errors to 1e-7 relative.  With
+    ``n_buckets`` the fit brings equal ids together, so it also tells that none repeats, and
+    no further exchange is needed for that.
     """
     model = parallel_kmeans(points.select("record_id", "features"), k, **options)
-    predictions = predict(points.select("record_id", "features", label), model.centers)
+    known = bool(model.unique_ids)
+    predictions = predict(points.select("record_id", "features", label), model.centers, unique_ids=known)
     measured = predictions.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("n"), F.sum("distance_sq").alias("sse")
     )
-    rows = {row["cluster"]: row for row in measured.collect()}  # at most k rows
-    counts = tuple(rows[c]["n"] if c in rows else 0 for c in range(k))
-    error = math.fsum(row["sse"] for row in rows.values())
-    if sum(counts) != model.num_records or counts != model.cluster_counts:
-        raise RuntimeError(f"independent sizes {counts} differ from {model.cluster_counts}")
-    if not math.isclose(error, model.sse, rel_tol=1e-7, abs_tol=1e-6):
-        raise RuntimeError(f"independent squared error {error} differs from {model.sse}")
+    error, counts = _require_agreement(model, measured.collect())
     return LabeledRun(model, predictions.drop("features"), error, counts)
+
+
+@dataclass(frozen=True)
+class RepeatedRuns:
+    """One model per seed and the assignments of all of them, one row per record and repetition."""
+
+    models: tuple[ParallelModel, ...]
+    predictions: DataFrame = field(repr=False)
+
+    def release(self) -> None:
+        for model in self.models:
+            model.release()
+
+
+def labeled_repetitions(
+    points: DataFrame,
+    k: int,
+    *,
+    dataset_name: str,
+    repetitions: int = 3,
+    random_seed: int = 42,
+    label: str = "label",
+    **options,
+) -> RepeatedRuns:
+    """The labelled run once for each of ``repetitions`` consecutive seeds, as a prediction table.
+
+    Every model is fitted without labels; all of them assign the records in one scan, and
+    another one measures that sizes and errors are those of the fits.  The predictions are in
+    the layout of ``write_predictions``: dataset, repetition from 1, seed, record id, true
+    label, predicted cluster.
+    """
+    if repetitions <= 0:
+        raise ValueError("the number of repetitions must be positive")
+    features = points.select("record_id", "features")
+    models = tuple(parallel_kmeans(features, k, random_seed=random_seed + r, **options) for r in range(repetitions))
+    if not models[0].unique_ids:
+        require_unique(points)
+    assigned = assign_models(points.select("record_id", "features", label), np.stack([m.centers for m in models]))
+    measured = (
+        assigned.select(F.posexplode("assigned"))
+        .groupBy("pos", F.col("col.cluster").alias("cluster"))
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("col.distance_sq").alias("sse"))
+        .collect()  # at most k rows for each model
+    )
+    for run, model in enumerate(models):
+        _require_agreement(model, [row for row in measured if row["pos"] == run])
+    predictions = assigned.select("record_id", label, F.posexplode("assigned")).select(
+        F.lit(dataset_name).alias("dataset_name"),
+        (F.col("pos") + 1).alias("repetition"),
+        (F.col("pos") + F.lit(random_seed).cast("bigint")).alias("random_seed"),
+        "record_id",
+        F.col(label).alias("true_label"),
+        F.col("col.cluster").alias("predicted_cluster"),
+    )
+    return RepeatedRuns(models, predictions)

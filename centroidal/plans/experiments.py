@@ -58,6 +58,8 @@ def run_trials(
     local_tolerance: float = 1e-6,
     global_cost_tolerance: float = 1e-6,
     aggregation_restarts: int = 5,
+    global_relative_tolerance: float = 0.0,
+    tie_width: float = 0.0,
 ) -> DataFrame:
     """Trial rows of runs with seeds ``random_seed, random_seed + 1, ...``; warm-ups leave none.
 
@@ -72,12 +74,14 @@ def run_trials(
         "global_cost_tolerance": global_cost_tolerance,
         "aggregation_restarts": aggregation_restarts,
     }
+    # What the trial table has no column for.
+    further = {"n_buckets": n_buckets, "global_relative_tolerance": global_relative_tolerance, "tie_width": tie_width}
     for _ in range(warmups):
-        parallel_kmeans(points, k, n_buckets=n_buckets, random_seed=random_seed, **settings).release()
+        parallel_kmeans(points, k, random_seed=random_seed, **settings, **further).release()
     trials = None
     for repetition in range(repetitions):
         seed = random_seed + repetition
-        model = parallel_kmeans(points, k, n_buckets=n_buckets, random_seed=seed, **settings)
+        model = parallel_kmeans(points, k, random_seed=seed, **settings, **further)
         model.release()
         experiment = f"{dataset_name}-n{model.num_records}-k{k}-r{repetition + 1}"
         row = trial_frame(points.sparkSession, model, experiment, dataset_name, random_seed=seed, **settings)
