@@ -22,6 +22,14 @@ from centroidal.operators.assign import Centers, as_centers, centers_frame
 
 _PARTIAL = "part int, slot int, cluster int, n bigint, sse double, sums array<double>"
 FAN_IN = 256  # tasks whose partial statistics are added in one place first
+DRIVER_SLOTS = 16  # slots whose rows the driver can add itself
+
+
+@dataclass
+class Layout:
+    """What rounds over one table learn from each other: how many slots its tasks fill."""
+
+    slots: int | None = None
 
 
 def _partial_batch(
@@ -41,11 +49,11 @@ def _partial_batch(
     )
 
 
-def _task_batch(clusters: np.ndarray, n: np.ndarray, sse: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+def _task_batch(fan_in: int, clusters: np.ndarray, n: np.ndarray, sse: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
     """What a task adds up: one row per cluster that has members in it."""
     task = TaskContext.get().partitionId()
     held = n > 0
-    return _partial_batch(task, task // FAN_IN, clusters[held], n[held], sse[held], sums[held])
+    return _partial_batch(task, task // fan_in, clusters[held], n[held], sse[held], sums[held])
 
 
 def _adder(by_slot: bool):
@@ -63,29 +71,33 @@ def _adder(by_slot: bool):
         cluster, group = cluster[order], group[order]
         starts = np.flatnonzero(np.r_[True, (cluster[1:] != cluster[:-1]) | (group[1:] != group[:-1])])
         added = [np.add.reduceat(x[order], starts, axis=0) for x in (n, sse, sums)]
-        yield _partial_batch(group[starts], group[starts], cluster[starts], *added)
+        highest = np.maximum.reduceat(slot[order], starts)
+        yield _partial_batch(highest, highest, cluster[starts], *added)
 
     return add
 
 
+def _by_slot(partials: DataFrame) -> DataFrame:
+    return partials.repartition("slot").mapInArrow(_adder(True), _PARTIAL)
+
+
+def _by_cluster(slots: DataFrame) -> DataFrame:
+    return slots.repartition("cluster").mapInArrow(_adder(False), _PARTIAL)
+
+
 def _merged(partials: DataFrame) -> DataFrame:
     """``(cluster, n, sse, sums)``: partial rows added in two levels.
 
     A slot adds the rows of FAN_IN tasks, so the last exchange moves one row per slot and
     cluster whatever the number of tasks.  The order of every addition is fixed.
     """
-    slots = partials.repartition("slot").mapInArrow(_adder(True), _PARTIAL)
-    added = slots.repartition("cluster").mapInArrow(_adder(False), _PARTIAL)
-    return added.select("cluster", "n", "sse", "sums")
-
+    return _by_cluster(_by_slot(partials)).select("cluster", "n", "sse", "sums")
 
-def partial_statistics(points: DataFrame, models: np.ndarray, with_sums: bool = True) -> DataFrame:
-    """``(cluster, n, sse, sums)`` of the non-empty clusters of r models, from one scan.
 
-    ``models`` is (r, k, d); cluster ``run * k + i`` is centre i of a run.  Without sums the
-    arrays are empty.
-    """
+def _task_statistics(points: DataFrame, models: np.ndarray, with_sums: bool) -> DataFrame:
+    """The partial rows of every task, before any are added."""
     runs, k, dimensions = models.shape
+    fan_in = FAN_IN
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = [Statistics.empty(k, dimensions) for _ in range(runs)]
@@ -98,19 +110,42 @@ def partial_statistics(points: DataFrame, models: np.ndarray, with_sums: bool =
                 total.add(block, labels, distances)
         sums = np.concatenate([t.sums for t in totals])
         yield _task_batch(
+            fan_in,
             np.arange(runs * k),
             np.concatenate([t.counts for t in totals]),
             np.concatenate([t.sse for t in totals]),
             sums if with_sums else sums[:, :0],
         )
 
-    return _merged(points.select("features").mapInArrow(fold, _PARTIAL))
+    return points.select("features").mapInArrow(fold, _PARTIAL)
+
+
+def partial_statistics(points: DataFrame, models: np.ndarray, with_sums: bool = True) -> DataFrame:
+    """``(cluster, n, sse, sums)`` of the non-empty clusters of r models, from one scan.
+
+    ``models`` is (r, k, d); cluster ``run * k + i`` is centre i of a run.  Without sums the
+    arrays are empty.
+    """
+    return _merged(_task_statistics(points, models, with_sums))
 
 
-def gather_statistics(points: DataFrame, models: np.ndarray, with_sums: bool = True) -> list[Statistics]:
-    """Statistics of each of r models; k * (d + 2) numbers per model reach the driver."""
+def gather_statistics(
+    points: DataFrame, models: np.ndarray, with_sums: bool = True, layout: Layout | None = None
+) -> list[Statistics]:
+    """Statistics of each of r models; k * (d + 2) numbers per model reach the driver.
+
+    Rounds over one table share a ``layout``: once it says that there are few slots, the
+    driver adds their rows itself, in the same order, which saves the last exchange.
+    """
     runs, k, dimensions = models.shape
-    table = partial_statistics(points, models, with_sums).toArrow()
+    slots = _by_slot(_task_statistics(points, models, with_sums))
+    if layout and layout.slots is not None and layout.slots <= DRIVER_SLOTS:
+        rows = slots.toArrow()
+        table = pa.Table.from_batches(_adder(False)(iter(rows.to_batches()))) if rows.num_rows else rows
+    else:
+        table = _by_cluster(slots).toArrow()
+        if layout and table.num_rows:
+            layout.slots = int(table.column("slot").to_numpy().max()) + 1
     if not table.num_rows:
         raise ValueError("the point table must not be empty")
     cluster = table.column("cluster").to_numpy()
@@ -137,6 +172,7 @@ def cluster_statistics(points: DataFrame, centers: Centers) -> DataFrame:
 
 def cluster_means(points: DataFrame, cluster: str = "cluster") -> DataFrame:
     """``(cluster int, n bigint, center array<double>)``: mean of the points of each given id."""
+    fan_in = FAN_IN
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
@@ -150,7 +186,7 @@ def cluster_means(points: DataFrame, cluster: str = "cluster") -> DataFrame:
                 totals[key] = totals[key] + row if key in totals else row
         if totals:
             rows = np.stack(list(totals.values()))
-            yield _task_batch(np.fromiter(totals, dtype=np.int64), rows[:, 0], np.zeros(len(rows)), rows[:, 1:])
+            yield _task_batch(fan_in, np.fromiter(totals, dtype=np.int64), rows[:, 0], np.zeros(len(rows)), rows[:, 1:])
 
     summed = _merged(points.select(F.col(cluster).cast("int"), "features").mapInArrow(fold, _PARTIAL))
     return summed.select("cluster", "n", F.transform("sums", lambda s: s / F.col("n")).alias("center"))
@@ -198,10 +234,10 @@ def _step(statistics: Statistics, centers: np.ndarray) -> Step:
     return Step(moved, counts, float(statistics.sse.sum()), max_shift(centers, moved))
 
 
-def lloyd_step(points: DataFrame, centers: Centers) -> Step:
+def lloyd_step(points: DataFrame, centers: Centers, layout: Layout | None = None) -> Step:
     """Assign, re-average and measure in one job; empty clusters keep their centre."""
     model = as_centers(centers)
-    return _step(gather_statistics(points, model[None])[0], model)
+    return _step(gather_statistics(points, model[None], layout=layout)[0], model)
 
 
 @dataclass(frozen=True)
@@ -246,8 +282,9 @@ def iterate(
     centers = as_centers(initial)
     history: list[Step] = []
     converged = False
+    layout = Layout()
     while len(history) < max_iterations and not converged:
-        step = lloyd_step(points, centers)
+        step = lloyd_step(points, centers, layout)
         if tolerance is not None and history:
             converged = _settled(history[-1].sse, step.sse, tolerance, relative_tolerance)
         history.append(step)

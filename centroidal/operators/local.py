@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from centroidal.functions.kernels import LocalFit, fit_group, max_shift, to_matrix
 from centroidal.functions.keys import hash_bucket, row_key, uniform_array
-from centroidal.operators.lloyd import check_loop_arguments, gather_statistics
+from centroidal.operators.lloyd import Layout, check_loop_arguments, gather_statistics
 from centroidal.operators.seeding import keyed, kmeanspp_seeds
 
 # What one task holds at a time: at most this many rows and this many feature bytes.
@@ -266,16 +266,17 @@ def _fit_seeds_distributed(
     models = kmeanspp_seeds(points, k, seeds)
     iterations = np.zeros(len(seeds), dtype=int)
     converged = np.zeros(len(seeds), dtype=bool)
+    layout = Layout()
     while True:
         active = np.flatnonzero(~converged & (iterations < max_iterations))
         if not len(active):
             break
-        for run, statistics in zip(active, gather_statistics(points, models[active])):
+        for run, statistics in zip(active, gather_statistics(points, models[active], layout=layout)):
             moved = statistics.means(models[run])
             converged[run] = max_shift(models[run], moved) <= tolerance
             models[run] = moved
             iterations[run] += 1
-    final = gather_statistics(points, models, with_sums=False)
+    final = gather_statistics(points, models, with_sums=False, layout=layout)
     return [
         SeededFit(
             seed,

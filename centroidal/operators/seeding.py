@@ -14,10 +14,14 @@ from centroidal.functions.kernels import nearest, to_matrix
 from centroidal.functions.keys import row_key, uniform, uniform_array
 from centroidal.operators.layout import written
 
-# What a row offers in a draw: the lowest (rank, score, key) of each run wins.
-_STATE = "key bigint, features array<double>, spread array<double>, rank array<int>, score array<double>"
-_AHEAD, _COINCIDES, _TAKEN = 0, 1, 2  # ranks: apart from all chosen rows, equal to one, chosen
-LINEAGE_DRAWS = 16  # draws after which the state is written, so that lineage stays short
+_OFFER = "run int, rank int, score double, key bigint, features array<double>"
+_STATE = "key bigint, features array<double>, spread array<double>"
+REFRESH = 16  # draws after which the distances to the chosen rows are kept with the rows
+LINEAGE = 4  # kept states after which one is written, so that lineage stays short
+_TAKEN = -1.0  # in place of the distance of a chosen row
+
+# Keys and rows that were chosen for one run.
+Chosen = tuple[np.ndarray, np.ndarray]
 
 
 def keyed(points: DataFrame) -> DataFrame:
@@ -31,85 +35,112 @@ def _lists(matrix: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * width, pa.int32()), pa.array(matrix.ravel()))
 
 
-def _advance(draw: int, seeds: list[int], newest: list[tuple[np.ndarray, np.ndarray]] | None):
-    """Measure every row against the ``newest`` (keys, rows) of each run and make its offers of this draw.
+def _spread(batch: pa.RecordBatch, recent: Sequence[Chosen]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, rows and (n, r) squared distances to the nearest chosen row, measured against ``recent`` ones only."""
+    keys = batch.column(0).to_numpy(zero_copy_only=False)
+    block = to_matrix(batch.column(1))
+    spread = to_matrix(batch.column(2)).copy() if batch.num_columns > 2 else np.full((len(keys), len(recent)), np.inf)
+    for own, (chosen, rows) in zip(spread.T, recent):
+        if len(rows):
+            np.copyto(own, np.minimum(own, nearest(block, rows)[1]), where=own != _TAKEN)
+            own[np.isin(keys, chosen)] = _TAKEN
+    return keys, block, spread
 
-    ``spread`` is the squared distance to the nearest chosen row, -1 for chosen rows.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _offers(draw: int, seeds: list[int], recent: Sequence[Chosen]):
+    """Best row of each task for each run; rank 1 marks the fallback for all-zero distances."""
+
+    def race(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            block = to_matrix(batch.column(1))
-            known = batch.num_columns > 2
-            spread = to_matrix(batch.column(2)).copy() if known else np.full((len(keys), len(seeds)), np.inf)
-            rank = np.full(spread.shape, _AHEAD, np.int32)
-            score = np.empty(spread.shape)
-            for i, seed in enumerate(seeds):
+            keys, block, spread = _spread(batch, recent)
+            for run, (seed, own) in enumerate(zip(seeds, spread.T)):
                 u = uniform_array(keys, seed, draw)
-                if newest is None:
-                    score[:, i] = u
-                    continue
-                own = spread[:, i]
-                chosen_keys, rows = newest[i]
-                if len(rows):
-                    np.copyto(own, np.minimum(own, nearest(block, rows)[1]), where=own != -1)
-                    own[np.isin(keys, chosen_keys)] = -1
-                ahead = own > 0
-                rank[:, i] = np.where(ahead, _AHEAD, np.where(own == -1, _TAKEN, _COINCIDES))
-                score[:, i] = np.where(ahead, -np.log(u) / np.where(ahead, own, 1.0), u)
+                if draw == 0:
+                    offers = [(0, own != _TAKEN, u)]
+                else:
+                    ahead = own > 0
+                    score = -np.log(u) / np.where(ahead, own, 1.0)
+                    offers = [(0, ahead, score), (1, ~ahead & (own != _TAKEN), u)]
+                for rank, eligible, score in offers:
+                    rows = np.flatnonzero(eligible)
+                    if not len(rows):
+                        continue
+                    row = rows[np.lexsort((keys[rows], score[rows]))[0]]
+                    offer = (rank, float(score[row]), int(keys[row]))
+                    if run not in best or offer < best[run][0]:
+                        best[run] = (offer, block[row].copy())
+                    break
+        if best:
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), _lists(spread), _lists(rank), _lists(score)],
-                names=["key", "features", "spread", "rank", "score"],
+                [
+                    pa.array(list(best), pa.int32()),
+                    pa.array([offer[0] for offer, _ in best.values()], pa.int32()),
+                    pa.array([offer[1] for offer, _ in best.values()], pa.float64()),
+                    pa.array([offer[2] for offer, _ in best.values()], pa.int64()),
+                    pa.array([vector.tolist() for _, vector in best.values()], pa.list_(pa.float64())),
+                ],
+                names=["run", "rank", "score", "key", "features"],
             )
 
-    return run
+    return race
+
 
+def _kept(recent: Sequence[Chosen]):
+    """The rows with their distances, brought up to date."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                spread = _spread(batch, recent)[2]
+                width = pa.array(np.arange(len(spread) + 1) * spread.shape[1], pa.int32())
+                lists = pa.ListArray.from_arrays(width, pa.array(spread.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["key", "features", "spread"])
 
-def _winners(state: DataFrame, runs: int, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The winning (key, row) of each run; one row of them reaches the driver."""
-    row = F.struct("key", "features")
-    best = [
-        F.min_by(row, F.when(F.col("rank")[i] < _TAKEN, F.struct(F.col("rank")[i], F.col("score")[i], F.col("key")))).alias(f"run{i}")
-        for i in range(runs)
-    ]
-    found = state.agg(*best).first()
-    if any(found[i] is None for i in range(runs)):
-        raise ValueError(f"k={k} exceeds the number of points")
-    return [(np.array([w["key"]]), np.array([w["features"]])) for w in found]
+    return run
 
 
 class _States:
-    """The rows with their distances, draw after draw; only the last state is held."""
+    """The rows and what is known of their distances; the newest kept state and the one before it are cached."""
 
     def __init__(self, points: DataFrame, seeds: list[int]):
-        self.source, self.seeds, self.draw = keyed(points), seeds, 0
-        self.held: DataFrame | None = None
-        self.last: DataFrame | None = None
-        self.current = self.source.mapInArrow(_advance(0, seeds, None), _STATE)
-
-    def advance(self, newest: list[tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-        self.draw += 1
-        before = self.source if self.held is None else self.held.select("key", "features", "spread")
-        state = before.mapInArrow(_advance(self.draw, self.seeds, newest), _STATE)
-        if self.draw % LINEAGE_DRAWS == 0:
+        self.source, self.seeds, self.kept = keyed(points), seeds, 0
+        self.current = self.source
+        self.cached: list[DataFrame] = []
+
+    def keep(self, recent: Sequence[Chosen]) -> DataFrame:
+        state = self.current.mapInArrow(_kept(recent), _STATE)
+        self.kept += 1
+        if self.kept % LINEAGE == 0:
             state = written(state, "seeding")
-        state = state.persist(StorageLevel.MEMORY_AND_DISK)
-        self.current, self.last, self.held = state, self.held, state
-        return state
+        self.current = state.persist(StorageLevel.MEMORY_AND_DISK)
+        self.cached.append(self.current)
+        return self.current
+
+    def winners(self, draw: int, recent: Sequence[Chosen], k: int) -> list[Chosen]:
+        """The winning row of each run; one row per seed reaches the driver."""
+        found = (
+            self.current.mapInArrow(_offers(draw, self.seeds, recent), _OFFER)
+            .groupBy("run")
+            .agg(F.min_by(F.struct("key", "features"), F.struct("rank", "score", "key")).alias("row"))
+            .collect()
+        )
+        if len(found) < len(self.seeds):
+            raise ValueError(f"k={k} exceeds the number of points")
+        self.settle()
+        rows = [w["row"] for w in sorted(found, key=lambda w: w["run"])]
+        return [(np.array([row["key"]]), np.array([row["features"]])) for row in rows]
 
     def settle(self) -> None:
-        """The state before the last one is not needed once the last one is held."""
-        if self.last is not None:
-            self.last.unpersist()
-            self.last = None
+        """Once a state is computed, the one before it is not needed."""
+        while len(self.cached) > 1:
+            self.cached.pop(0).unpersist()
 
     def release(self) -> None:
-        self.settle()
-        if self.held is not None:
-            self.held.unpersist()
+        while self.cached:
+            self.cached.pop().unpersist()
 
 
 def _check(k: int, seeds: Sequence[int]) -> None:
@@ -119,25 +150,37 @@ def _check(k: int, seeds: Sequence[int]) -> None:
         raise ValueError("at least one seed is required")
 
 
+def _joined(parts: Sequence[Sequence[Chosen]], runs: int) -> list[Chosen]:
+    """What was chosen in several steps, by run."""
+    if not parts:
+        return [(np.empty(0, np.int64), np.empty((0, 0)))] * runs
+    return [tuple(np.concatenate([step[run][i] for step in parts]) for i in (0, 1)) for run in range(runs)]
+
+
 def kmeanspp_seeds(points: DataFrame, k: int, seeds: Sequence[int]) -> np.ndarray:
     """(r, k, d) starting centres, one k-means++ sequence per seed.
 
-    A draw is an exponential race: the lowest score of each run wins, so one scan per draw
-    serves every seed and no row order or running total is involved.  Rows keep their
-    distance to the nearest chosen row from draw to draw, so each draw measures them against
-    one new row per seed only.
+    A draw is an exponential race: each task offers its best row per run and Spark keeps the
+    lowest, so one scan per draw serves every seed and no row order or running total is
+    involved.  Every REFRESH draws the rows are kept with their distance to the nearest
+    chosen row, so a draw measures them against at most REFRESH rows, however large k is.
     """
     _check(k, seeds)
+    runs = len(seeds)
     states = _States(points, list(seeds))
-    chosen: list[list[tuple[np.ndarray, np.ndarray]]] = []
+    chosen: list[list[Chosen]] = []
+    recent = 0  # of the chosen rows, since distances were last kept
     try:
         for draw in range(k):
-            state = states.advance(chosen[-1]) if draw else states.current
-            chosen.append(_winners(state, len(seeds), k))
-            states.settle()
+            if recent == REFRESH:
+                states.keep(_joined(chosen[-recent:], runs))
+                recent = 0
+            newest = chosen[len(chosen) - recent :]
+            chosen.append(states.winners(draw, _joined(newest, runs), k))
+            recent += 1
     finally:
         states.release()
-    return np.stack([np.concatenate([rows[run][1] for rows in chosen]) for run in range(len(seeds))])
+    return np.stack([rows for _, rows in _joined(chosen, runs)])
 
 
 def oversampled_seeds(
@@ -158,15 +201,15 @@ def oversampled_seeds(
     runs = range(len(seeds))
     states = _States(points, list(seeds))
     try:
-        newest = _winners(states.current, len(seeds), k)
+        newest = states.winners(0, _joined([], len(seeds)), k)
         taken = [[pair] for pair in newest]
         for draw in range(1, rounds + 1):
-            state = states.advance(newest)
+            state = states.keep(newest)
             open_ = [F.greatest(F.col("spread")[i], F.lit(0.0)) for i in runs]
             totals = state.agg(*[F.sum(d) for d in open_]).first()
             states.settle()
             chance = [
-                (F.col("rank")[i] == _AHEAD)
+                (F.col("spread")[i] > 0)
                 & (uniform(F.col("key"), seeds[i], draw) * F.lit(totals[i] or 0.0) < F.lit(wanted) * F.col("spread")[i])
                 for i in runs
             ]
@@ -221,7 +264,7 @@ def _weighted_race(keys: np.ndarray, rows: np.ndarray, weights: np.ndarray, k: i
         mass = weights * spread
         ahead = free & (mass > 0)
         score = np.where(ahead, -np.log(u) / np.where(ahead, mass, 1.0), np.where(free, u, np.inf))
-        rank = np.where(ahead, _AHEAD, np.where(free, _COINCIDES, _TAKEN))
+        rank = np.where(ahead, 0, np.where(free, 1, 2))
         winner = int(np.lexsort((keys, score, rank))[0])
         chosen.append(winner)
         distance = nearest(rows, rows[winner : winner + 1])[1]

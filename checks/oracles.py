@@ -9,13 +9,12 @@ from __future__ import annotations
 from centroidal.operators.generate import uniform_centers
 from checks.queries import (
     EMBEDDING_K,
+    CENTERS_REST,
     FAR_AWAY,
-    GLOBAL_ROUNDS,
     LINE_K,
     LOCAL_ROUNDS,
     MEASURES,
     OVERSAMPLING_ROUNDS,
-    WHOLE_ROUNDS,
     PREFIX_PARTS,
     RESTARTS,
     ROWS_PER_BUCKET,
@@ -30,7 +29,7 @@ PRIME = 2147483647
 # Rounds that are written out: the limit of the group fits, and more than the pool's fits and
 # the fit with the stop rule take.  A fit that stops when nothing moves is followed by rounds
 # that change nothing, so rounds beyond its last one do not matter.
-POOL_SETTLED, GLOBAL_SETTLED = 30, 60
+POOL_SETTLED, FLAGSHIP_SETTLED, GLOBAL_SETTLED, EMBEDDING_SETTLED, SEEDS_SETTLED = 30, 40, 60, 40, 40
 
 
 # --- text builders ---------------------------------------------------------------------
@@ -197,24 +196,66 @@ def group_totals(name: str, assigned: str) -> str:
 POINTS_AS_ONE_GROUP = "one AS MATERIALIZED (SELECT 0 AS g, * FROM pts)"
 
 BUCKETS = f"(SELECT greatest(4, count(*) // {ROWS_PER_BUCKET}) FROM lineitem)"
-_local, _local_last, _local_assigned = fit_groups("b", "bucketed", LINE_D, LINE_K, "(42 + g)", LOCAL_ROUNDS)
-LOCAL_STAGE = (
-    f"WITH {LINES}, bucketed AS MATERIALIZED (SELECT {bucket_of('id', BUCKETS)} AS g, {key_of('id')} AS key, x FROM pts), "
-    f"{_local}, {group_totals('bucket_totals', _local_assigned)}"
-)
+
+
+def settled_fit(start: str, written: int) -> str:
+    """Rounds over ``one`` from ``start``; the ``chosen`` one is the first whose error is within SETTLED of the one before."""
+    rounds, _ = lloyd_rounds("w", "one", start, LINE_D, written)
+    union = " UNION ALL ".join(f"SELECT {i} AS i, cluster, c, n, sse FROM w{i}" for i in range(1, written + 1))
+    return (
+        f"{rounds}, every AS MATERIALIZED ({union}), "
+        "totals AS (SELECT i, sum(sse) AS t FROM every GROUP BY i), "
+        "changes AS (SELECT i, t, lag(t) OVER (ORDER BY i) AS before FROM totals), "
+        f"stop AS MATERIALIZED (SELECT min(i) AS i FROM changes WHERE abs(t - before) <= {SETTLED} * greatest(t, before)), "
+        "chosen AS MATERIALIZED (SELECT 0 AS g, cluster, c, 0::BIGINT AS n, 0.0::DOUBLE AS sse FROM every"
+        " WHERE i = (SELECT i FROM stop)), "
+        + assignment("fin", "one", "chosen", LINE_D)
+    )
+
+
+ITERATIONS = "CAST((SELECT i FROM stop) AS INTEGER) AS iterations, true AS converged"
+
+
+def local_stage(random_seed: int = 42) -> tuple[str, str]:
+    local, last, assigned_ = fit_groups("b", "bucketed", LINE_D, LINE_K, f"({random_seed} + g)", LOCAL_ROUNDS)
+    return (
+        f"WITH {LINES}, bucketed AS MATERIALIZED (SELECT {bucket_of('id', BUCKETS)} AS g, {key_of('id')} AS key, x FROM pts), "
+        f"{local}, {group_totals('bucket_totals', assigned_)}"
+    ), last
+
+
+LOCAL_STAGE, _local_last = local_stage()
 POOL = (
     f"pool AS MATERIALIZED (SELECT CAST(g AS BIGINT) * {LINE_K} + cluster AS id, g AS bucket, cluster, c AS x FROM {_local_last}), "
     f"copies AS MATERIALIZED (SELECT CAST(r.g AS INTEGER) AS g, {key_of('id')} AS key, x FROM pool, range({RESTARTS}) AS r(g))"
 )
-_pool_fit, _pool_last, _pool_assigned = fit_groups("p", "copies", LINE_D, LINE_K, "(42 + g)", POOL_SETTLED)
-RESTART_STAGE = f"{LOCAL_STAGE}, {POOL}, {_pool_fit}, {group_totals('restart_totals', _pool_assigned)}"
-_global, _global_last = lloyd_rounds("w", "one", "seeded", LINE_D, GLOBAL_ROUNDS)
-FLAGSHIP = (
-    f"{RESTART_STAGE}, winner AS (SELECT min(g) AS g FROM restart_totals WHERE sse <= (SELECT min(sse) FROM restart_totals) * (1 + 1e-12)), "
-    f"seeded AS MATERIALIZED (SELECT 0 AS g, cluster, c, 0::BIGINT AS n, 0.0::DOUBLE AS sse"
-    f" FROM {_pool_last} WHERE g = (SELECT g FROM winner)), {POINTS_AS_ONE_GROUP}, {_global}, "
-    + assignment("fin", "one", _global_last, LINE_D)
-)
+
+
+def restart_stage(random_seed: int = 42) -> tuple[str, str]:
+    fit, last, assigned_ = fit_groups("p", "copies", LINE_D, LINE_K, f"({random_seed} + g)", POOL_SETTLED)
+    return f"{local_stage(random_seed)[0]}, {POOL}, {fit}, {group_totals('restart_totals', assigned_)}", last
+
+
+RESTART_STAGE, _pool_last = restart_stage()
+
+
+def flagship(random_seed: int = 42) -> str:
+    return (
+        f"{restart_stage(random_seed)[0]}, winner AS (SELECT min(g) AS g FROM restart_totals"
+        f" WHERE sse <= (SELECT min(sse) FROM restart_totals) * (1 + {TIE_WIDTH})), "
+        f"seeded AS MATERIALIZED (SELECT 0 AS g, cluster, c, 0::BIGINT AS n, 0.0::DOUBLE AS sse"
+        f" FROM {_pool_last} WHERE g = (SELECT g FROM winner)), {POINTS_AS_ONE_GROUP}, {settled_fit('seeded', FLAGSHIP_SETTLED)}"
+    )
+
+
+FLAGSHIP = flagship()
+
+
+def every_seed(rows: str) -> str:
+    """The statement for each of two seeds, with its repetition in place of {r} and its seed of {seed}."""
+    return " UNION ALL ".join(
+        f"SELECT * FROM ({flagship(42 + i)} {rows.replace('{r}', str(i + 1)).replace('{seed}', str(42 + i))})" for i in range(2)
+    )
 
 
 def runs_of(points: str) -> str:
@@ -225,15 +266,39 @@ def runs_of(points: str) -> str:
     )
 
 
-def best_of_seeds(points: str, d: int, k: int) -> str:
-    fit, last, assigned_ = fit_groups("e", "runs", d, k, "(42 + g)", WHOLE_ROUNDS)
+def _seed_rows(last: str, assigned_: str, further: str) -> str:
     return (
-        f"{runs_of(points)}, {fit}, {group_totals('totals', assigned_)},"
+        f", {group_totals('totals', assigned_)},"
         f" sized AS (SELECT c.g, c.cluster, count(f.d2) AS n FROM {last} c LEFT JOIN {assigned_} f"
         " ON f.g = c.g AND f.cluster = c.cluster GROUP BY c.g, c.cluster)"
         f" SELECT CAST(42 + t.g AS BIGINT) AS seed, {rnd('t.sse')} AS sse,"
         " (SELECT string_agg(CAST(s.n AS VARCHAR), ';' ORDER BY s.cluster) FROM sized s WHERE s.g = t.g) AS cluster_counts,"
-        f" t.g = (SELECT min(g) FROM totals WHERE sse <= (SELECT min(sse) FROM totals) * (1 + {TIE_WIDTH})) AS best FROM totals t"
+        f" t.g = (SELECT min(g) FROM totals WHERE sse <= (SELECT min(sse) FROM totals) * (1 + {TIE_WIDTH})) AS best,"
+        f" true AS converged{further} FROM totals t"
+    )
+
+
+def best_of_seeds(points: str, d: int, k: int) -> str:
+    """Fits that end when nothing moves: rounds beyond the last one do not matter."""
+    fit, last, assigned_ = fit_groups("e", "runs", d, k, "(42 + g)", EMBEDDING_SETTLED)
+    return f"{runs_of(points)}, {fit}{_seed_rows(last, assigned_, '')}"
+
+
+def best_of_resting_seeds(points: str, d: int, k: int) -> str:
+    """Fits that end with the first round in which no centre moves more than CENTERS_REST."""
+    seeding, start = seeds_of("e", "runs", d, k, "(42 + g)")
+    rounds, _ = lloyd_rounds("er", "runs", start, d, SEEDS_SETTLED)
+    union = " UNION ALL ".join(
+        [f"SELECT 0 AS i, g, cluster, c FROM {start}", *(f"SELECT {i}, g, cluster, c FROM er{i}" for i in range(1, SEEDS_SETTLED + 1))]
+    )
+    return (
+        f"{runs_of(points)}, {seeding}, {rounds}, every AS MATERIALIZED ({union}), "
+        f"moves AS (SELECT n.g, n.i, max({sq('n.c', 'o.c', d)}) AS moved FROM every n JOIN every o"
+        " ON o.g = n.g AND o.cluster = n.cluster AND o.i = n.i - 1 GROUP BY n.g, n.i), "
+        f"stop AS MATERIALIZED (SELECT g, min(i) AS i FROM moves WHERE moved <= {CENTERS_REST} GROUP BY g), "
+        "chosen AS MATERIALIZED (SELECT e.g, e.cluster, e.c, 0::BIGINT AS n, 0.0::DOUBLE AS sse FROM every e JOIN stop s ON s.g = e.g AND s.i = e.i), "
+        + assignment("ef", "runs", "chosen", d)
+        + _seed_rows("chosen", "ef", ", CAST((SELECT s.i FROM stop s WHERE s.g = t.g) AS INTEGER) AS iterations")
     )
 
 
@@ -266,11 +331,11 @@ def assigned(points: str, k: int, d: int) -> str:
     return f"{with_start(points, k)}, {assignment('fin', 'one', 'c0', d)}"
 
 
-def model_rows(last: str, d: int) -> str:
+def model_rows(last: str, d: int, further: str = "") -> str:
     return (
         ", sizes AS (SELECT cluster, count(*) AS n FROM fin GROUP BY cluster)"
         f" SELECT c.cluster, coalesce(s.n, 0) AS n, {coordinates('c.c', d)},"
-        f" {rnd('(SELECT sum(d2) FROM fin)', 4)} AS total_sse"
+        f" {rnd('(SELECT sum(d2) FROM fin)', 4)} AS total_sse{further}"
         f" FROM {last} c LEFT JOIN sizes s ON c.cluster = s.cluster"
     )
 
@@ -282,31 +347,14 @@ def long_rows(keys: str, vector: str, d: int, source: str) -> str:
     )
 
 
-_line_rounds, _line_last = lloyd_rounds("w", "one", "c0", LINE_D, GLOBAL_ROUNDS)
-LINE_FIT = f"{with_start(LINES, LINE_K)}, {_line_rounds}"
-_emb_rounds, _emb_last = lloyd_rounds("w", "one", "c0", EMBEDDING_D, GLOBAL_ROUNDS)
-
-
-def settles() -> str:
-    """The first round whose error is within SETTLED of the one before, out of GLOBAL_SETTLED."""
-    rounds, _ = lloyd_rounds("w", "one", "c0", LINE_D, GLOBAL_SETTLED)
-    union = " UNION ALL ".join(f"SELECT {i} AS i, cluster, c, sse FROM w{i}" for i in range(1, GLOBAL_SETTLED + 1))
-    return (
-        f"{with_start(LINES, LINE_K)}, {rounds}, every AS MATERIALIZED ({union}), "
-        "totals AS (SELECT i, sum(sse) AS t FROM every GROUP BY i), "
-        "changes AS (SELECT i, t, lag(t) OVER (ORDER BY i) AS before FROM totals), "
-        f"stop AS (SELECT min(i) AS i FROM changes WHERE abs(t - before) <= {SETTLED} * greatest(t, before)), "
-        "chosen AS MATERIALIZED (SELECT 0 AS g, cluster, c, 0::BIGINT AS n, 0.0::DOUBLE AS sse FROM every"
-        " WHERE i = (SELECT i FROM stop)), "
-        f"{assignment('fin', 'one', 'chosen', LINE_D)}, model AS ({model_rows('chosen', LINE_D)[len(', '):].replace('sizes AS', 'WITH sizes AS', 1)})"
-        " SELECT *, CAST((SELECT i FROM stop) AS INTEGER) AS iterations, true AS converged FROM model"
-    )
+LINE_FIT = f"{with_start(LINES, LINE_K)}, {settled_fit('c0', GLOBAL_SETTLED)}"
+_emb_rounds, _emb_last = lloyd_rounds("w", "one", "c0", EMBEDDING_D, EMBEDDING_SETTLED)
 
 
 def history() -> str:
     rows = []
     previous = "c0"
-    for i in range(1, GLOBAL_ROUNDS + 1):
+    for i in range(1, GLOBAL_SETTLED + 1):
         rows.append(
             f"SELECT {i} AS iteration, {rnd('sum(n.sse)', 4)} AS sse,"
             f" {rnd('max(' + sq('o.c', 'n.c', LINE_D) + ')')} AS max_center_shift,"
@@ -314,7 +362,7 @@ def history() -> str:
             f" FROM w{i} n JOIN {previous} o ON o.cluster = n.cluster"
         )
         previous = f"w{i}"
-    return f"{LINE_FIT} " + " UNION ALL ".join(rows)
+    return f"{LINE_FIT} SELECT * FROM ({' UNION ALL '.join(rows)}) WHERE iteration <= (SELECT i FROM stop)"
 
 
 def quality(source: str, label: str, cluster: str) -> str:
@@ -464,11 +512,11 @@ def sql() -> dict[str, str]:
         " FROM far LEFT JOIN fin ON fin.cluster = far.cluster GROUP BY far.cluster",
         "cluster_sizes": f"{embedding_assigned} SELECT c0.cluster, count(fin.d2) AS n FROM c0"
         " LEFT JOIN fin ON fin.cluster = c0.cluster GROUP BY c0.cluster",
-        "lloyd_fit": f"{LINE_FIT}, {assignment('fin', 'one', _line_last, LINE_D)}" + model_rows(_line_last, LINE_D),
-        "lloyd_settles": settles(),
+        "lloyd_fit": LINE_FIT + model_rows("chosen", LINE_D, f", {ITERATIONS}"),
+        "lloyd_settles": LINE_FIT + model_rows("chosen", LINE_D, f", {ITERATIONS}"),
         "lloyd_history": history(),
         "lloyd_fit_embeddings": f"{with_start(EMBEDDINGS, EMBEDDING_K)}, {_emb_rounds}"
-        + long_rows("cluster", "c", EMBEDDING_D, _emb_last),
+        + long_rows("cluster, true AS converged", "c", EMBEDDING_D, _emb_last),
         "kmeanspp_seeds": f"{seed_runs}, {emb_seeds}"
         + long_rows("CAST(42 + g AS INTEGER) AS seed, cluster", "c", EMBEDDING_D, emb_start),
         "oversampled_seeds": f"{seed_runs}, {over_seeds}"
@@ -484,15 +532,18 @@ def sql() -> dict[str, str]:
         f" t.n AS record_count, {coordinates('x', LINE_D)} FROM pool JOIN bucket_totals t ON t.g = pool.bucket",
         "candidate_restarts": f"{RESTART_STAGE} SELECT CAST(42 + g AS BIGINT) AS seed, n AS record_count,"
         f" {rnd('sse')} AS sse FROM restart_totals",
-        "parallel_kmeans": FLAGSHIP + model_rows(_global_last, LINE_D),
-        "parallel_kmeans_partitions": FLAGSHIP + model_rows(_global_last, LINE_D),
+        "parallel_kmeans": FLAGSHIP + model_rows("chosen", LINE_D, f", {ITERATIONS}"),
+        "parallel_kmeans_partitions": FLAGSHIP + model_rows("chosen", LINE_D, f", {ITERATIONS}"),
         "multi_init_kmeans": best_of_seeds(EMBEDDINGS, EMBEDDING_D, EMBEDDING_K),
-        "multi_init_distributed": best_of_seeds(LINES, LINE_D, LINE_K),
+        "multi_init_distributed": best_of_resting_seeds(LINES, LINE_D, LINE_K),
         "best_of_runs": f"WITH {EVENTS}, runs AS (SELECT size AS run, round(avg(sse), 1) AS sse FROM trials GROUP BY size)"
         " SELECT run, sse FROM runs ORDER BY sse, run LIMIT 1",
         "predict_labeled": f"{embedding_assigned} SELECT id AS record_id, label, cluster FROM fin",
-        "labeled_run": f"{FLAGSHIP} SELECT p.label, f.cluster, count(*) AS n FROM fin f JOIN pts p ON p.id = f.id"
-        " GROUP BY p.label, f.cluster",
+        "labeled_run": f"{FLAGSHIP} SELECT f.label, f.cluster, count(*) AS n, {ITERATIONS} FROM fin f GROUP BY f.label, f.cluster",
+        "labeled_predictions": every_seed(
+            "SELECT 'lines' AS dataset_name, {r} AS repetition, {seed}::BIGINT AS random_seed, id AS record_id, label AS true_label,"
+            " cluster AS predicted_cluster FROM fin"
+        ),
         "contingency": f"{line_assigned} SELECT label, cluster, count(*) AS n FROM fin GROUP BY label, cluster",
         "purity": f"{EMBEDDING_QUALITY} SELECT {rnd('purity')} AS purity FROM q",
         "ari": f"{EMBEDDING_QUALITY} SELECT {rnd('ari')} AS ari FROM q",
@@ -581,9 +632,17 @@ def sql() -> dict[str, str]:
         f" SELECT CAST(label AS BIGINT) AS label, count(*) AS n, {rnd('avg(abs(a) + abs(b) + abs(c) + abs(e))')} AS mean_size,"
         f" {rnd('avg(a)')} AS m0, {rnd('avg(b)')} AS m1, {rnd('avg(c)')} AS m2, 0.0::DOUBLE AS m3, {rnd('avg(e)')} AS m4"
         " FROM z GROUP BY label",
-        "trial_runs": f"SELECT 'vectors-n' || count(*) || '-k{EMBEDDING_K}-r' || (i + 1) AS experiment_id,"
-        " CAST(42 + i AS BIGINT) AS random_seed, count(*) AS num_records, 64 AS num_features,"
-        f" {EMBEDDING_K} AS num_clusters, count(*) AS members FROM embeddings, range(2) AS r(i) GROUP BY i",
+        "trial_runs": every_seed(
+            ", member AS (SELECT c.cluster, count(f.d2) AS m, coalesce(sum(f.d2), 0.0) AS e FROM chosen c LEFT JOIN fin f"
+            " ON f.cluster = c.cluster GROUP BY c.cluster), whole AS (SELECT CAST(sum(m) AS BIGINT) AS n, sum(e) AS e,"
+            " string_agg(CAST(m AS VARCHAR), ';' ORDER BY cluster) AS cluster_counts FROM member),"
+            " parts AS (SELECT CAST(count(*) AS INTEGER) AS p FROM bucket_totals)"
+            f" SELECT 'lines-n' || n || '-k{LINE_K}-r{{r}}' AS experiment_id, 'lines' AS dataset_name, n AS num_records,"
+            f" {LINE_D} AS num_features, {LINE_K} AS num_clusters, p AS num_partitions,"
+            f" {{seed}}::BIGINT AS random_seed, {LOCAL_ROUNDS} AS local_max_iterations, 100 AS global_max_iterations,"
+            f" {RESTARTS} AS aggregation_restarts, n AS materialized_record_count, true AS converged,"
+            f" CAST(i AS INTEGER) AS iterations, {rnd('e', 4)} AS sse, cluster_counts FROM whole, parts, stop"
+        ),
         "trial_summary": f"WITH {EVENTS} SELECT configuration, count(*) AS repetitions,"
         " count(*) FILTER (converged) AS converged_runs,"
         f" {rnd('avg(CAST(converged AS INTEGER))')} AS convergence_rate, {mean_std('iterations')}, {mean_std('sse')},"

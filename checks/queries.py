@@ -12,7 +12,7 @@ from centroidal.functions.keys import row_key, uniform
 from centroidal.functions.vectors import nearest_center, pack, squared_euclidean, unpack
 from centroidal.operators import assign as assigning
 from centroidal.operators import generate, lloyd, local, points, prepare, quality, seeding, trials
-from centroidal.operators.layout import count_partition_records, scratch_path, with_bucket
+from centroidal.operators.layout import count_partition_records, materialized, scratch_path, with_bucket
 from centroidal.operators.layout import exact_partitions as exactly
 from centroidal.plans import clustering
 from centroidal.plans.experiments import run_trials
@@ -40,9 +40,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 LINE_K = 5
 EMBEDDING_K = 10
 LOCAL_ROUNDS = 100  # group and pool fits; all settle before
-GLOBAL_ROUNDS = 20  # distributed refinement with the stop rule off, so that SQL can follow it round by round
-WHOLE_ROUNDS = 20  # whole-table fits from several seeds
-SETTLED = 1e-4  # relative change of the error at which the fit with the stop rule ends
+SETTLED = 1e-4  # relative change of the error at which distributed refinement ends, well below its 100 rounds
+CENTERS_REST = 1e-3  # squared movement of a centre at which distributed fits from several seeds end
 RESTARTS = 5
 OVERSAMPLING_ROUNDS = 3
 TIE_WIDTH = 1e-12  # errors of restarts that differ only by the order of summation
@@ -180,22 +179,23 @@ def _model_frame(spark, centers, counts, error) -> DataFrame:
     )
 
 
-def _lines_fit(spark, sf):
+def _lines_fit(spark, sf, **options):
     with cached_lines(spark, sf) as (pts, _):
-        return lloyd.lloyd_fit(pts, starting_centers(pts, LINE_K), max_iterations=GLOBAL_ROUNDS, tolerance=None)
+        return lloyd.lloyd_fit(pts, starting_centers(pts, LINE_K), relative_tolerance=SETTLED, **options)
+
+
+def _settled_frame(spark, fit) -> DataFrame:
+    frame = _model_frame(spark, fit.centers, fit.cluster_counts, fit.sse)
+    return frame.withColumns({"iterations": F.lit(fit.iterations), "converged": F.lit(fit.converged)})
 
 
 def lloyd_fit(spark, sf):
-    fit = _lines_fit(spark, sf)
-    return _model_frame(spark, fit.centers, fit.cluster_counts, fit.sse)
+    return _settled_frame(spark, _lines_fit(spark, sf))
 
 
 def lloyd_settles(spark, sf):
     """The stop rule: rounds until the error hardly changes, well below the limit."""
-    with cached_lines(spark, sf) as (pts, _):
-        fit = lloyd.lloyd_fit(pts, starting_centers(pts, LINE_K), tolerance=0.0, relative_tolerance=SETTLED)
-    frame = _model_frame(spark, fit.centers, fit.cluster_counts, fit.sse)
-    return frame.withColumns({"iterations": F.lit(fit.iterations), "converged": F.lit(fit.converged)})
+    return _settled_frame(spark, _lines_fit(spark, sf, tolerance=0.0))
 
 
 def lloyd_history(spark, sf):
@@ -213,8 +213,8 @@ def lloyd_history(spark, sf):
 
 def lloyd_fit_embeddings(spark, sf):
     pts = embedding_points(spark, sf)
-    fit = lloyd.lloyd_fit(pts, starting_centers(pts, EMBEDDING_K), max_iterations=GLOBAL_ROUNDS, tolerance=None)
-    return _long(assigning.centers_frame(spark, fit.centers), "cluster")
+    fit = lloyd.lloyd_fit(pts, starting_centers(pts, EMBEDDING_K), tolerance=0.0)
+    return _long(assigning.centers_frame(spark, fit.centers), "cluster").withColumn("converged", F.lit(fit.converged))
 
 
 def kmeanspp_seeds(spark, sf):
@@ -275,9 +275,9 @@ def candidate_restarts(spark, sf):
 
 FLAGSHIP = {
     "local_max_iterations": LOCAL_ROUNDS,
-    "global_max_iterations": GLOBAL_ROUNDS,
     "local_tolerance": 0.0,
-    "global_cost_tolerance": None,
+    "global_cost_tolerance": 0.0,
+    "global_relative_tolerance": SETTLED,
     "aggregation_restarts": RESTARTS,
     "tie_width": TIE_WIDTH,
 }
@@ -287,39 +287,41 @@ def parallel_kmeans(spark, sf):
     with cached_lines(spark, sf) as (pts, rows):
         model = clustering.parallel_kmeans(pts, LINE_K, n_buckets=_buckets(rows), **FLAGSHIP)
     model.release()
-    return _model_frame(spark, model.centers, model.cluster_counts, model.sse)
+    return _settled_frame(spark, model)
 
 
 def parallel_kmeans_partitions(spark, sf):
     """The shuffle-free form: groups are the partitions as they lie, here one for each bucket."""
-    with cached_lines(spark, sf) as (pts, rows):
-        n = _buckets(rows)
-        placed = with_bucket(pts, n).repartitionById(n, F.col("bucket"))
+    n = _buckets(table(spark, sf, "lineitem").count())
+    with materialized(with_bucket(line_points(spark, sf), n).repartitionById(n, F.col("bucket"))) as (placed, _):
         model = clustering.parallel_kmeans(placed, LINE_K, **FLAGSHIP)
     model.release()
-    return _model_frame(spark, model.centers, model.cluster_counts, model.sse)
+    return _settled_frame(spark, model)
 
 
 def multi_init_kmeans(spark, sf):
-    return _multi_init(spark, embedding_points(spark, sf), EMBEDDING_K)
+    found, model = _multi_init(spark, embedding_points(spark, sf), EMBEDDING_K, tolerance=0.0)
+    return found
 
 
 def multi_init_distributed(spark, sf):
     """The same by distributed rounds over the lines, each of which serves all seeds."""
     with cached_lines(spark, sf) as (pts, _):
-        return _multi_init(spark, pts, LINE_K, distributed=True)
+        found, model = _multi_init(spark, pts, LINE_K, tolerance=CENTERS_REST, distributed=True)
+    rounds = spark.createDataFrame([(fit.seed, fit.iterations) for fit in model.runs], "seed bigint, iterations int")
+    return found.join(rounds, "seed")
 
 
 def _multi_init(spark, pts, k, **options):
-    model = clustering.multi_init_kmeans(
-        pts, k, num_initializations=RESTARTS, max_iterations=WHOLE_ROUNDS, tolerance=0.0, tie_width=TIE_WIDTH, **options
-    )
-    return model.runs_frame(spark).select(
+    model = clustering.multi_init_kmeans(pts, k, num_initializations=RESTARTS, tie_width=TIE_WIDTH, **options)
+    found = model.runs_frame(spark).select(
         "seed",
         _r("sse").alias("sse"),
         F.concat_ws(";", F.col("cluster_counts").cast("array<string>")).alias("cluster_counts"),
         (F.col("seed") == model.best.seed).alias("best"),
+        "converged",
     )
+    return found, model
 
 
 def best_of_runs(spark, sf):
@@ -337,7 +339,20 @@ def labeled_run(spark, sf):
     with cached_lines(spark, sf) as (pts, rows):
         run = clustering.labeled_run(pts, LINE_K, n_buckets=_buckets(rows), **FLAGSHIP)
     run.model.release()
-    return run.predictions.groupBy("label", "cluster").agg(F.count(F.lit(1)).alias("n"))
+    sizes = run.predictions.groupBy("label", "cluster").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.withColumns({"iterations": F.lit(run.model.iterations), "converged": F.lit(run.model.converged)})
+
+
+def labeled_predictions(spark, sf):
+    """The labelled run from two seeds, written as one prediction table and read back."""
+    path = scratch_path(spark, "predictions")
+    with cached_lines(spark, sf) as (pts, rows):
+        runs = clustering.labeled_repetitions(
+            pts, LINE_K, dataset_name="lines", repetitions=2, n_buckets=_buckets(rows), **FLAGSHIP
+        )
+        writers.write_predictions(runs.predictions, path, records=rows, repetitions=2)
+    runs.release()
+    return spark.read.parquet(path)
 
 
 # --- quality ---------------------------------------------------------------------------
@@ -651,10 +666,15 @@ def prepare_kdd_files(spark, sf):
 
 
 def trial_runs(spark, sf):
-    pts = embedding_points(spark, sf)
-    runs = run_trials(pts, EMBEDDING_K, dataset_name="vectors", repetitions=2, n_buckets=2)
-    members = F.aggregate("cluster_counts", F.lit(0).cast("bigint"), lambda total, n: total + n)
-    return runs.select("experiment_id", "random_seed", "num_records", "num_features", "num_clusters", members.alias("members"))
+    """Everything that a trial records but its seconds."""
+    with cached_lines(spark, sf) as (pts, rows):
+        n = _buckets(rows)
+        runs = run_trials(pts, LINE_K, dataset_name="lines", repetitions=2, n_buckets=n, **FLAGSHIP)
+    return runs.select(
+        "experiment_id", "dataset_name", "num_records", "num_features", "num_clusters", "num_partitions", "random_seed",
+        "local_max_iterations", "global_max_iterations", "aggregation_restarts", "materialized_record_count", "converged",
+        "iterations", _r("sse", 4).alias("sse"), F.concat_ws(";", F.col("cluster_counts").cast("array<string>")).alias("cluster_counts"),
+    )
 
 
 def trial_summary(spark, sf):
@@ -742,7 +762,7 @@ ALL: tuple[Query, ...] = (
     lloyd_fit, lloyd_settles, lloyd_history, lloyd_fit_embeddings, kmeanspp_seeds, oversampled_seeds,
     bucket_counts, partition_counts,
     bucket_local_kmeans, candidate_pool, candidate_restarts, parallel_kmeans, parallel_kmeans_partitions,
-    multi_init_kmeans, multi_init_distributed, best_of_runs, predict_labeled, labeled_run,
+    multi_init_kmeans, multi_init_distributed, best_of_runs, predict_labeled, labeled_run, labeled_predictions,
     contingency, purity, ari, nmi, cardinalities, quality_row, quality_of_text_labels, cross_check,
     cross_check_renumbered,
     normalize_label, map_category, unmapped_labels, drop_class, drop_report, ordinal_encode, encode_label,

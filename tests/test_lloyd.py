@@ -179,3 +179,20 @@ def test_added_rows_do_not_depend_on_their_order():
     assert results[0].equals(results[1]) and results[0].column("n").to_pylist() == [80] * 3
     assert np.allclose(np.array(results[0].column("sums").to_pylist()), [sums[cluster == c].sum(axis=0) for c in range(3)])
     assert list(L._adder(True)(iter([]))) == []
+
+
+def test_few_slots_are_added_by_the_driver_with_the_same_sums(make_points, monkeypatch):
+    rng = np.random.default_rng(5)
+    points = make_points((rng.normal(size=(200, 3)) * 1e5).tolist(), partitions=6)
+    models = rng.normal(size=(2, 3, 3)) * 1e5
+    monkeypatch.setattr(L, "FAN_IN", 2)
+    layout = L.Layout()
+    first = L.gather_statistics(points, models, layout=layout)
+    assert layout.slots == 3
+    second = L.gather_statistics(points, models, layout=layout)
+    monkeypatch.setattr(L, "DRIVER_SLOTS", 2)
+    third = L.gather_statistics(points, models, layout=layout)
+    for a, b, c in zip(first, second, third):
+        assert a.sums.tolist() == b.sums.tolist() == c.sums.tolist() and a.sse.tolist() == b.sse.tolist() == c.sse.tolist()
+    with pytest.raises(ValueError, match="empty"):
+        L.gather_statistics(points.limit(0), models, layout=L.Layout(1))

@@ -3,9 +3,8 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from centroidal.functions.kernels import fit_group
+from centroidal.functions.kernels import fit_group, nearest, race_seeds
 from centroidal.operators import local as C
-from centroidal.functions.kernels import nearest, race_seeds
 from centroidal.operators import seeding
 from centroidal.operators.seeding import keyed, kmeanspp_seeds, oversampled_seeds
 from tests.fixtures import TWELVE, RESTARTS, RESTARTS_SSE, STEP
@@ -140,7 +139,8 @@ def test_suggested_buckets_stay_bounded():
 
 def test_seeds_equal_those_of_one_group(make_points, monkeypatch):
     """Distances kept from draw to draw give the rows that measuring all chosen rows gives, also over written states."""
-    monkeypatch.setattr(seeding, "LINEAGE_DRAWS", 3)
+    monkeypatch.setattr(seeding, "REFRESH", 2)
+    monkeypatch.setattr(seeding, "LINEAGE", 3)
     rng = np.random.default_rng(8)
     points = make_points(rng.normal(size=(300, 3)).tolist(), partitions=5)
     rows = keyed(points).toArrow()
@@ -150,17 +150,18 @@ def test_seeds_equal_those_of_one_group(make_points, monkeypatch):
         assert run.tolist() == race_seeds(block, keys, 9, seed).tolist()
 
 
-def test_a_draw_measures_against_the_newest_row_only(make_points, monkeypatch):
+def test_a_draw_measures_against_few_rows(make_points, monkeypatch):
     measured = []
-    advance = seeding._advance
+    offers = seeding._offers
 
-    def watched(draw, seeds, newest):
-        measured.append([] if newest is None else [len(rows) for _, rows in newest])
-        return advance(draw, seeds, newest)
+    def watched(draw, seeds, recent):
+        measured.append([len(rows) for _, rows in recent])
+        return offers(draw, seeds, recent)
 
-    monkeypatch.setattr(seeding, "_advance", watched)
-    kmeanspp_seeds(make_points([(float(i), float(i % 5)) for i in range(60)]), 6, [3, 4])
-    assert measured == [[], *[[1, 1]] * 5]
+    monkeypatch.setattr(seeding, "_offers", watched)
+    monkeypatch.setattr(seeding, "REFRESH", 3)
+    kmeanspp_seeds(make_points([(float(i), float(i % 5)) for i in range(60)]), 8, [3, 4])
+    assert measured == [[n, n] for n in (0, 1, 2, 0, 1, 2, 0, 1)]
 
 
 def test_oversampled_seeds(make_points, monkeypatch):
@@ -174,9 +175,9 @@ def test_oversampled_seeds(make_points, monkeypatch):
     again = oversampled_seeds(points.repartition(3), 10, [5, 6], rounds=4)
     assert again.tolist() == found.tolist()
     scans = []
-    monkeypatch.setattr(seeding, "_advance", lambda *a, real=seeding._advance: scans.append(a[0]) or real(*a))
+    monkeypatch.setattr(seeding, "_kept", lambda recent, real=seeding._kept: scans.append(1) or real(recent))
     oversampled_seeds(points, 10, [5], rounds=3)
-    assert scans == [0, 1, 2, 3]  # not one for each of the ten centres
+    assert len(scans) == 3  # not one for each of the ten centres
 
 
 def test_oversampling_a_table_of_few_different_rows(make_points):
