@@ -42,12 +42,12 @@ def exact_partitions(df: DataFrame, n: int) -> DataFrame:
     return df.repartition(n) if current < n else df
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
+def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint for a side of known row count, withheld above the bound.
 
     Without the hint Spark picks the join from the size it sees at run time.
     """
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    return F.broadcast(df) if rows <= most else df
 
 
 def spread(df: DataFrame) -> DataFrame:

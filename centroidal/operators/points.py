@@ -7,7 +7,7 @@ import math
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from centroidal.functions.keys import salted_key
@@ -16,7 +16,13 @@ from centroidal.operators.layout import small, written
 _KEY_RANGE = (1 << 56) - 1
 # Widest interval, in square roots of the sample size, for the hash of the last row drawn.
 _MOST_DEVIATIONS = 5000.0
-_POSITION_MASK = (1 << 33) - 1
+# A generated id is the partition in front of so many bits for the place in it.
+_POSITION_BITS = 33
+_POSITION_MASK = (1 << _POSITION_BITS) - 1
+# Partitions whose counts are added up together first.
+_BLOCKS_PER_GROUP = 1024
+# Most partitions whose blocks are broadcast: some 100 bytes each, and 500 TB in splits of 128 MB.
+SPLIT_ROWS = 4_000_000
 
 
 def points_summary(points: DataFrame, label: str | None = None) -> DataFrame:
@@ -96,33 +102,70 @@ def class_histogram(df: DataFrame, label: str = "label") -> DataFrame:
     return df.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("rows"))
 
 
-def number_blocks(df: DataFrame, blocks: Sequence[Column], name: str = "record_id") -> DataFrame:
-    """0-based contiguous row numbers over consecutive blocks of rows.
+def place_in_blocks(df: DataFrame, blocks: Sequence[Column], skip: Column | None = None) -> DataFrame:
+    """Add ``_place, _inside, _number`` to consecutive blocks of rows.
 
     A block is a run of rows inside one partition, named by the ``blocks`` columns
-    and ordered by them.  Where the blocks begin depends on how the table is split when
+    and ordered by them; ``skip`` of its first rows are not numbered.  ``_place`` is a row's
+    0-based place in its block, ``_inside`` the rows that precede it under the same first block
+    column (in its file, say), ``_number`` its number among the numbered rows of the table,
+    null for skipped ones.
+
+    Where the blocks begin depends on how the table is split when
     it is read, so the rows are written once with their block and place, and everything
-    follows from that copy: the ids cannot change or get lost when ``df`` would be split
-    in another way later.  Only one count per block reaches the driver; the rows are
+    follows from that copy: the numbers cannot change or get lost when ``df`` would be split
+    in another way later.  Spark adds up the block sizes in two levels, within a file or a
+    group of partitions and then over these.  Every row finds its block by the partition in its
+    place of the copy, from a broadcast table of one row per partition, so rows are
     numbered where they lie, without a shuffle.
     """
     names = [f"_block{i}" for i in range(len(blocks))]
     tagged = written(
-        df.select("*", *[b.alias(n) for b, n in zip(blocks, names)], F.monotonically_increasing_id().alias("_row")),
+        df.select(
+            "*",
+            *[b.alias(n) for b, n in zip(blocks, names)],
+            (F.lit(0) if skip is None else skip).cast("int").alias("_skip"),
+            F.monotonically_increasing_id().alias("_row"),
+        ),
         "numbered",
     )
-    sizes = tagged.groupBy(*names).agg(F.count(F.lit(1)).alias("n"), F.min("_row").alias("first")).collect()
-    offset, shifts = 0, []
-    for size in sorted(sizes, key=lambda row: tuple(row[n] for n in names)):
-        shifts.append((*[size[n] for n in names], offset - size["first"]))
-        offset += size["n"]
-    fields = [tagged.schema[n].dataType.simpleString() for n in names]
-    schema = ", ".join(f"{n} {t}" for n, t in zip(names, fields)) + ", _shift bigint"
-    lookup = df.sparkSession.createDataFrame(shifts, schema)
-    numbered = tagged.join(small(lookup, len(shifts)), names, "left")
-    kept = [F.col(f"`{c}`") for c in df.columns]
+    sizes = tagged.groupBy(*names).agg(
+        F.count(F.lit(1)).alias("rows"), F.min("_row").alias("first"), F.min("_skip").alias("skip")
+    )
+    outer = F.col(names[0]) if len(names) > 1 else F.floor(F.col(names[0]) / _BLOCKS_PER_GROUP)
+    sizes = sizes.withColumn("outer", outer).withColumn("numbered", F.greatest(F.col("rows") - F.col("skip"), F.lit(0)))
+    before = Window.partitionBy("outer").orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.orderBy("outer").rowsBetween(Window.unboundedPreceding, -1)  # one row per file or group
+    starts = sizes.groupBy("outer").agg(F.sum("numbered").alias("n"))
+    starts = starts.select("outer", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("start"))
+    placed = sizes.withColumns(
+        {"inside": F.coalesce(F.sum("rows").over(before), F.lit(0)), "below": F.coalesce(F.sum("numbered").over(before), F.lit(0))}
+    ).join(starts, "outer")
+    entry = F.struct("first", "inside", (F.col("start") + F.col("below") - F.col("skip")).alias("number"), "skip")
+    lookup = placed.groupBy(F.shiftright("first", _POSITION_BITS).alias("_partition")).agg(
+        F.sort_array(F.collect_list(entry)).alias("_blocks")  # as many as files or splits meet in a partition
+    )
+    lookup = written(lookup, "blocks")
+    found = tagged.withColumn("_partition", F.shiftright("_row", _POSITION_BITS)).join(
+        small(lookup, lookup.count(), SPLIT_ROWS), "_partition", "left"
+    )
+    several = F.element_at(F.filter("_blocks", lambda b: b["first"] <= F.col("_row")), -1)
+    own = F.when(F.size("_blocks") == 1, F.get("_blocks", F.lit(0))).otherwise(several)
     lost = F.raise_error(F.lit("a row is in none of the counted blocks")).cast("bigint")
-    return numbered.select(F.coalesce(F.col("_row") + F.col("_shift"), lost).alias(name), *kept)
+    found = found.withColumn("_own", own).withColumn("_place", F.coalesce(F.col("_row") - F.col("_own.first"), lost))
+    number = F.when(F.col("_place") >= F.col("_own.skip"), F.col("_own.number") + F.col("_place"))
+    return found.select(
+        *[F.col(f"`{c}`") for c in df.columns],
+        "_place",
+        (F.col("_own.inside") + F.col("_place")).alias("_inside"),
+        number.alias("_number"),
+    )
+
+
+def number_blocks(df: DataFrame, blocks: Sequence[Column], name: str = "record_id") -> DataFrame:
+    """0-based contiguous row numbers over consecutive blocks of rows (see ``place_in_blocks``)."""
+    kept = [F.col(f"`{c}`") for c in df.columns]
+    return place_in_blocks(df, blocks).select(F.col("_number").alias(name), *kept)
 
 
 def assign_record_id(

@@ -592,12 +592,10 @@ def sql() -> dict[str, str]:
         " ON s.v = kept.o_orderstatus) SELECT record_id, "
         + ", ".join(f"{rnd(scaled(c))} AS c{i}" for i, c in enumerate(("status", "o_totalprice", "year", "constant")))
         + f", CAST({LABEL_ID} AS BIGINT) AS label FROM coded",
-        "points_csv_round_trip": "SELECT "
-        + ", ".join(f"{m} AS f{i}" for i, m in enumerate(MEASURES))
-        + f", count(*) AS n FROM lineitem GROUP BY {LINE_COLUMNS}",
-        "labeled_csv_round_trip": f"WITH {EMBEDDINGS} SELECT CAST(label AS BIGINT) AS label, count(*) AS n, "
-        + ", ".join(f"{rnd(f'sum(x[{i + 1}])', 4)} AS s{i}" for i in range(4))
-        + " FROM pts GROUP BY label",
+        "points_csv_round_trip": "SELECT row_number() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber,"
+        " l_extendedprice) - 1 AS record_id, " + ", ".join(f"{m} AS f{i}" for i, m in enumerate(MEASURES)) + " FROM lineitem",
+        "labeled_csv_round_trip": f"WITH {EMBEDDINGS}, placed AS (SELECT row_number() OVER (ORDER BY id % 2, id) - 1 AS record_id,"
+        " CAST(label AS BIGINT) AS label, x FROM pts)" + long_rows("record_id, label", "x", EMBEDDING_D, "placed"),
         "parquet_round_trip": f"WITH {EMBEDDINGS} SELECT CAST(label AS BIGINT) AS label, CAST(i - 1 AS INTEGER) AS dim,"
         f" count(*) AS n, {rnd('sum(x[i])')} AS total FROM pts, range(1, {EMBEDDING_D + 1}) AS r(i) GROUP BY label, i",
         "features_labels_split": f"WITH {LINES} SELECT id AS record_id, {coordinates('x', LINE_D)}, label FROM pts",

@@ -76,6 +76,77 @@ def test_labeled_file_rules(spark, tmp_path, text, message):
         S.read_labeled_csv(spark, write(tmp_path, text)).collect()
 
 
+def write_files(folder, **texts):
+    folder.mkdir()
+    for name, text in texts.items():
+        (folder / f"{name}.csv").write_text(text)
+    return str(folder)
+
+
+def test_files_whose_columns_stand_in_another_order(spark, tmp_path):
+    path = write_files(
+        tmp_path / "several",
+        a="x,y,label\n1,2,0\n",
+        b="y,x,label\n20,10,1\n40,30,2\n",
+        c="label,y,x\n3,60,50\n",
+        d="x,y,label\n70,80,4\n",
+    )
+    rows = S.read_labeled_csv(spark, path).orderBy("record_id").collect()
+    assert [(r.record_id, r.features, r.label) for r in rows] == [
+        (0, [1, 2], 0), (1, [10, 20], 1), (2, [30, 40], 2), (3, [50, 60], 3), (4, [70, 80], 4),
+    ]
+
+
+@pytest.mark.parametrize(
+    "second, message",
+    [
+        ("x,z,label\n1,2,0\n", "b.csv: the header does not have the columns of .*a.csv"),
+        ("x,label\n1,0\n", "b.csv: the header"),
+        ("x,y,label,w\n1,2,0,4\n", "b.csv: the header"),
+        ("y,x,label\n1,2,0\n1,nope,0\n", "b.csv: invalid or non-finite feature in column x in row 3"),
+        ("y,x,label\n1,2\n", "b.csv: malformed row in row 2"),
+    ],
+)
+def test_files_that_do_not_belong_together(spark, tmp_path, second, message):
+    path = write_files(tmp_path / "several", a="x,y,label\n1,2,0\n", b=second)
+    with pytest.raises(ValueError, match=message):
+        S.read_labeled_csv(spark, path).collect()
+
+
+def test_ids_over_files_in_many_splits(spark, tmp_path):
+    """No exchange of rows, and ids in file order, however the files are split."""
+    texts = {f"f{k}": ("x,label\n" if k % 2 else "label,x\n") + "".join(f"{i},{i}\n" for i in range(900 * k, 900 * k + 900)) for k in range(5)}
+    path = write_files(tmp_path / "several", **texts)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    try:
+        found = S.read_labeled_csv(spark, path)
+        assert found.rdd.getNumPartitions() > 5
+        rows = found.orderBy("record_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [(r.record_id, r.features[0], r.label) for r in rows] == [(i, float(i), i) for i in range(4500)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" in plan and "hashpartitioning" not in plan and "rangepartitioning" not in plan
+
+
+def test_quality_files_in_another_order(spark, tmp_path):
+    names = [entry.split(" ")[0] for entry in S.QUALITY_SCHEMA.split(", ")]
+    row = dict(zip(names, ["d", "parallel_kmeans", "local[1]", "10", "2", "3", "1.5", "0.5", "0.25", "0.125", "5;5", "2.0", "4", "True"]))
+    texts = {n: ",".join(order) + "\n" + ",".join(row[c] for c in order) + "\n" for n, order in (("a", names), ("b", names[::-1]))}
+    first, second = S.read_quality_table(spark, write_files(tmp_path / "several", **texts)).collect()
+    assert first == second and (first.purity, first.cluster_counts, first.converged) == (0.5, [5, 5], True)
+
+
+def test_dataset_that_cannot_be_read_is_not_missing(spark, tmp_path):
+    (tmp_path / "d.parquet").mkdir()
+    (tmp_path / "d.parquet" / "part.parquet").write_text("this is no parquet file at all")
+    with pytest.raises(Exception) as caught:
+        S.load_dataset(spark, "d", str(tmp_path)).collect()
+    assert not isinstance(caught.value, FileNotFoundError)
+
+
 def test_dataset_round_trip(spark, make_points, tmp_path):
     points = make_points([[i / 3 + j for j in range(12)] for i in range(50)], [i % 4 for i in range(50)])
     W.save_dataset(points, "d", str(tmp_path), 12)
