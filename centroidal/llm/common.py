@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +16,7 @@ __all__ = [
     "ids_and_texts",
     "quoted",
     "remainder",
+    "sole_memory",
     "table",
     "text_slices",
     "text_version",
@@ -65,6 +66,20 @@ def remainder(doc_id: Column, divisor: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % divisor
 
 
+_REMEMBERED: dict[str, Callable[[], object]] = {}
+
+
+def sole_memory(owner: str, forget: Callable[[], object]) -> None:
+    """Say that this worker remembers words for ``owner``; what it remembers for others is forgotten.
+
+    Python workers live longer than a stage, and what one operator has remembered would
+    add to what the next one does.
+    """
+    for other in [o for o in _REMEMBERED if o != owner]:
+        _REMEMBERED.pop(other)()
+    _REMEMBERED[owner] = forget
+
+
 def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, int, list[str | None]]]:
     """(first row, end row, texts) of consecutive rows with a bounded amount of text."""
     texts = batch.column(column)

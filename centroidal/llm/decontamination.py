@@ -21,6 +21,7 @@ the join, whatever the size of either side.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from centroidal.llm.common import documents, ids_and_texts, table, text_slices, written
+from centroidal.llm.common import documents, ids_and_texts, sole_memory, table, text_slices, written
 
 WINDOW = 8
 LEAST_LITERALS = 4  # of a window's tokens, that are no placeholders
@@ -259,6 +260,11 @@ class _Pairs(dict):
 _pairs = _Pairs()
 
 
+def _forget() -> None:
+    global _pairs
+    _pairs = _Pairs()
+
+
 def _both(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Template and literal hash of each token."""
     global _pairs
@@ -351,6 +357,7 @@ def _document_windows(texts: DataFrame, passing) -> DataFrame:
     """``(doc_id, version, place, hash, slots)``: windows of documents whose hash is in the map."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_memory("decontamination", _forget)
         bits, sizes = np.frombuffer(passing.value[0], np.uint8), passing.value[1]
         for batch in batches:
             for start, _, held in text_slices(batch):
@@ -379,14 +386,25 @@ def _document_windows(texts: DataFrame, passing) -> DataFrame:
     return texts.mapInArrow(run, "doc_id bigint, version bigint, place int, hash bigint, slots array<string>")
 
 
-def chains(places: np.ndarray, item_places: np.ndarray) -> Iterator[list[int]]:
-    """Ordered alignments, each the longest of what the ones before left, then every single distance.
+def diagonals(places: np.ndarray, item_places: np.ndarray) -> Iterator[list[int]]:
+    """The pairs of each distance, in order, the most numerous distance first."""
+    shifts = places - item_places
+    order = np.lexsort((places, shifts))
+    starts = np.flatnonzero(np.r_[True, np.diff(shifts[order]) != 0])
+    parts = np.split(order, starts[1:])
+    for part in sorted(parts, key=lambda x: (-len(x), int(shifts[x[0]]))):
+        yield part.tolist()
+
+
+def chains(places: np.ndarray, item_places: np.ndarray, least: int = 1) -> Iterator[list[int]]:
+    """Ordered alignments of several distances, each the longest of what the ones before left.
 
     From one window to the next both places grow and their distance changes by DRIFT at most.
+    Alignments only get shorter; those of fewer than ``least`` pairs are left out.
     """
     shifts = places - item_places
     left = np.lexsort((item_places, places))
-    while len(left):
+    while len(left) >= least:
         p, q, s = places[left], item_places[left], shifts[left]
         best, back = np.ones(len(left), np.int64), np.full(len(left), -1)
         for j in range(1, len(left)):
@@ -400,11 +418,18 @@ def chains(places: np.ndarray, item_places: np.ndarray) -> Iterator[list[int]]:
         while j >= 0:
             chain.append(j)
             j = int(back[j])
+        if len(chain) < least:
+            return
         yield left[chain[::-1]].tolist()
         left = np.delete(left, chain)
-    if len(np.unique(shifts)) > 1:
-        for shift in np.unique(shifts).tolist():
-            yield np.flatnonzero(shifts == shift).tolist()
+
+
+def alignments(row: dict, places: np.ndarray, item_places: np.ndarray) -> Iterator[list[int]]:
+    """What a region and an item may be judged by: single distances first, then what bends between them."""
+    yield from diagonals(places, item_places)
+    if not row["whole"] and len(np.unique(places - item_places)) > 1:
+        least = min(math.ceil(LEAST_COVERAGE * row["n_windows"]), math.ceil(RUN / row["size"]))
+        yield from chains(places, item_places, max(1, least))
 
 
 def _longest_run(hits: list[dict], size: int) -> int:
@@ -428,12 +453,12 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in batch.to_pylist():
             met = row["met"]
             places, item_places = (np.array([m[c] for m in met], np.int64) for c in ("place", "item_place"))
-            for chain in chains(places, item_places):
+            # No alignment has more windows than the region or the item has among the pairs.
+            most = min(len(np.unique(places)), len(np.unique(item_places)))
+            for chain in alignments(row, places, item_places):
                 hits = [met[k] for k in chain]
                 matched = len({h["item_place"] for h in hits})
                 enough = matched >= row["n_windows"] if row["whole"] else matched >= LEAST_COVERAGE * row["n_windows"]
-                if row["whole"] and len({h["place"] - h["item_place"] for h in hits}) > 1:
-                    continue
                 if not (enough or _longest_run(hits, row["size"]) >= RUN and not row["whole"]):
                     continue
                 slots = {at: (old, new) for h in hits for at, old, new in zip(h["item_at"], h["item_slots"], h["slots"])}
@@ -443,6 +468,8 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if agreed >= LEAST_CONSISTENCY:
                     changed = any(old != new for old, new in slots.values())
                     kept.append((row["doc_id"], row["version"], row["item_id"], row["n_windows"], matched, agreed, changed))
+                    if matched >= most and agreed == 1 and not changed:
+                        break  # none can be better
         columns = list(zip(*kept)) or [()] * 7
         kinds = (*[pa.int64()] * 5, pa.float64(), pa.bool_())
         names = [c.split()[0] for c in _JUDGED.split(", ")]

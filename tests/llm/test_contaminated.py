@@ -74,3 +74,29 @@ def test_regions(spark):
     for start in range(0, 120, 17):
         docs = [(1, "word " * start + text * 40 + ONE_MORE), (2, "word " * start + ONE_MORE)]
         assert set(find(spark, docs, [(7, ITEM)])) == {(1, 7), (2, 7)}
+
+
+def test_repetitive_items_and_texts(spark):
+    """Equal tokens match everywhere; the plain distance that covers all of them settles it."""
+    import time
+
+    items = [(1, "la " * 200), (2, "0 " * 200), (3, "spam eggs " * 60)]
+    rows = [(1, "x y z " + "la " * 230), (2, "la " * 150 + "and something else"), (3, "la " * 20), (4, "eggs spam " * 400), (5, "0 " * 300)]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    start = time.perf_counter()
+    found = {(r.doc_id, r.item_id) for r in dec.contaminated(docs, benchmark).collect()}
+    assert {(1, 1), (2, 1), (4, 3)} <= found and not {(3, 3), (4, 1), (1, 3)} & found
+    assert time.perf_counter() - start < 120
+
+
+def test_alignments_of_a_repetitive_region_are_judged_in_time():
+    import time
+
+    import numpy as np
+
+    places, item_places = (x.ravel() for x in np.meshgrid(np.arange(193), np.arange(193)))
+    start = time.perf_counter()
+    first = next(dec.alignments({"whole": False, "n_windows": 193, "size": 8}, places, item_places))
+    assert time.perf_counter() - start < 1
+    assert [(int(places[i]), int(item_places[i])) for i in first] == [(i, i) for i in range(193)]
