@@ -27,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from centroidal.llm.common import documents, ids_and_texts, text_slices
+from centroidal.llm.common import documents, ids_and_texts, sole_memory, text_slices
 from centroidal.llm.tokenizer import PRE_TOKEN, Vocabulary, pieces, vocabulary, vocabulary_file
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -315,6 +315,7 @@ def bpe_round_trips(docs: DataFrame, content: bytes) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(content)  # one vocabulary file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_memory("streaming_bpe", _codec.cache_clear)
         codec = _codec(shared.value)
         for batch in batches:
             for start, end, texts in text_slices(batch):

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 from centroidal.llm.blocks import answered, block_rows, dealt, letters_of, partitions_of, read_back, text_bytes, with_carried
-from centroidal.llm.common import documents, ids_and_texts
+from centroidal.llm.common import documents, ids_and_texts, sole_memory
 
 SENTENCES = 3
 WORDS = 12
@@ -56,7 +56,8 @@ class _Cuts(dict):
         return cut
 
 
-_cut_after = _Cuts().__getitem__
+_cuts = _Cuts()
+_cut_after = _cuts.__getitem__
 
 
 def sentences(text: str | None) -> list[str]:
@@ -109,6 +110,7 @@ class _Block:
     """A block's texts, their spans, and its distinct spans by shard."""
 
     def __init__(self, rows: pa.Table, shards: int, least_sentences: int, least_words: int):
+        sole_memory("substring_dedup", _cuts.clear)
         self.order, self.ids, self.texts = block_rows(rows)
         self.parts = [sentences(t) for t in self.texts]
         self.spans = [Spans(p, least_sentences, least_words) for p in self.parts]

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from centroidal.llm.common import documents, ids_and_texts, remainder, table, text_slices
+from centroidal.llm.common import documents, ids_and_texts, remainder, sole_memory, table, text_slices
 
 FOLDS, HELD_OUT = 3, 1
 TOXIC_ROWS, ORDINARY_ROWS = 2000, 4000  # most of each label to learn from
@@ -229,6 +229,10 @@ def _distance(model: Model) -> Distance:
     return Distance(model.carrier, model.toxic, model.ordinary)
 
 
+def _forget() -> None:
+    _distance.cache_clear()
+
+
 def score(model: Model | None, text: str | None) -> float:
     """0 to 1, THRESHOLD exactly at the calibrated threshold; without a model 0."""
     if model is None:
@@ -244,6 +248,7 @@ def toxicity(docs: DataFrame, model: Model | None) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_memory("toxicity", _forget)
         for batch in batches:
             for start, end, texts in text_slices(batch):
                 scores = [score(model, t) for t in texts]
@@ -270,6 +275,7 @@ def without_toxic(docs: DataFrame, model: Model | None) -> DataFrame:
     """The rows of ``docs`` that are not predicted to be toxic, with all their columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_memory("toxicity", _forget)
         for batch in batches:
             kept = [score(model, t) < THRESHOLD for _, _, texts in text_slices(batch, text) for t in texts]
             yield batch.filter(pa.array(kept, pa.bool_()))
