@@ -138,3 +138,38 @@ def test_plan_of_the_partition_stage_has_no_shuffle(make_points):
     assert "Exchange" not in plan and "MapInArrow" in plan
     plan = partition_kmeans(make_points(DEMO), 2, n_buckets=3)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_ids_that_the_fit_has_seen_are_not_exchanged_again(make_points, monkeypatch):
+    from centroidal.operators import assign as assigning
+    from centroidal.plans import clustering
+
+    def forbidden(*_):
+        raise AssertionError("the fit has told that no id repeats")
+
+    points = make_points([(float(i % 9), float(i % 4)) for i in range(80)], [i % 3 for i in range(80)])
+    monkeypatch.setattr(assigning, "require_unique", forbidden)
+    run = clustering.labeled_run(points, 2, n_buckets=2)
+    assert run.model.unique_ids and sum(run.cluster_counts) == 80
+    monkeypatch.undo()
+    repeated = points.union(points.limit(1))
+    assert clustering.parallel_kmeans(repeated, 2, n_buckets=2).unique_ids is None
+    with pytest.raises(ValueError, match="occurs 2 times"):
+        clustering.labeled_run(repeated, 2, n_buckets=2)
+    with pytest.raises(ValueError, match="occurs 2 times"):
+        clustering.labeled_repetitions(repeated, 2, dataset_name="d", repetitions=1, n_buckets=2)
+
+
+def test_repetitions_equal_single_runs(make_points):
+    from centroidal.plans import clustering
+
+    points = make_points([(float(i % 9), float(i * i % 7)) for i in range(90)], [i % 3 for i in range(90)])
+    runs = clustering.labeled_repetitions(points, 3, dataset_name="d", repetitions=2, random_seed=5, n_buckets=2)
+    rows = runs.predictions.collect()
+    assert len(rows) == 180 and {(r.repetition, r.random_seed, r.dataset_name) for r in rows} == {(1, 5, "d"), (2, 6, "d")}
+    for repetition in (1, 2):
+        single = clustering.labeled_run(points, 3, random_seed=4 + repetition, n_buckets=2)
+        wanted = {r.record_id: (r.label, r.cluster) for r in single.predictions.collect()}
+        assert {r.record_id: (r.true_label, r.predicted_cluster) for r in rows if r.repetition == repetition} == wanted
+    with pytest.raises(ValueError):
+        clustering.labeled_repetitions(points, 3, dataset_name="d", repetitions=0)

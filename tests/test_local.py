@@ -186,3 +186,16 @@ def test_oversampling_a_table_of_few_different_rows(make_points):
     assert len(run) == 3 and {tuple(r) for r in run} == {(1.0, 1.0), (2.0, 2.0)}
     with pytest.raises(ValueError):
         oversampled_seeds(points, 3, [1], rounds=0)
+
+
+def test_an_overfull_bucket_is_cut_by_a_second_hash(make_points):
+    rng = np.random.default_rng(2)
+    points = make_points(rng.normal(size=(400, 2)).tolist(), partitions=3)
+    with pytest.raises(PySparkException, match="subdivide"):
+        C.partition_kmeans(points, 3, n_buckets=2, group_rows=90).collect()
+    found = C.partition_kmeans(points, 3, n_buckets=2, group_rows=90, subdivide=True).orderBy("bucket")
+    rows = found.collect()
+    assert sum(r.record_count for r in rows) == sum(r.distinct_keys for r in rows) == 400
+    assert len(rows) > 4 and {r.bucket % (1 << 31) for r in rows} == {0, 1}
+    again = C.partition_kmeans(points.repartition(5), 3, n_buckets=2, group_rows=90, subdivide=True).orderBy("bucket")
+    assert again.collect() == rows
