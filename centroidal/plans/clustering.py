@@ -73,9 +73,9 @@ def parallel_kmeans(
     3. distributed Lloyd rounds until the error stops changing, then one
        measurement of the returned centres.
 
-    See ``lloyd_fit`` for the two tolerances of stage 3.  ``points`` needs ``record_id`` and ``features``; no other column is read.  Its
-    validity rules are enforced inside stage 1, which saves a separate scan.  The
-    caller decides whether ``points`` is cached.
+    See ``lloyd_fit`` for the two tolerances of stage 3.  ``points`` needs ``record_id`` and
+    ``features``; no other column is read.  Its validity rules are enforced inside stage 1,
+    which saves a separate scan.  The caller decides whether ``points`` is cached.
     """
     check_fit_arguments(k, local_max_iterations, local_tolerance)
     check_loop_arguments(global_max_iterations, global_cost_tolerance)
