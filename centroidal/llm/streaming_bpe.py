@@ -1,13 +1,17 @@
 """BPE as a streaming transducer with bounded lookahead, and its inverse.
 
 Encoding reads text in chunks and writes token ids as soon as no later text can change
-them.  Two bounds make that possible with constant memory:
-
-* The pre-token scanner decides on the next boundary with at most a few characters ahead.
-* Inside one endless pre-token, a token is stable once ``lookahead`` bytes follow it.  That
-  number is computed from the merge list: going through the merges in rank order, it follows
-  how far to the left the presence of a token can depend on what is to its right.  Text after
-  a token boundary is encoded as if it stood alone, so the window restarts there.
+them.  Three bounds make that possible with constant memory:
+
+* White space after another character always begins a pre-token, so what stands before the
+  last such place of a chunk is decided at once.  Pieces between single spaces leave the
+  transducer in its first state; what short ones gave is remembered.
+* In a longer piece without such a place, the next boundary is decided with at most a few
+  characters ahead.
+* Inside one endless pre-token, of any characters, a token is stable once ``lookahead`` bytes
+  follow it.  That number is computed from the merge list: going through the merges in rank
+  order, it follows how far to the left the presence of a token can depend on what is to its
+  right.  Text after a token boundary is encoded as if it stood alone, so the window restarts there.
 
 Decoding is a state machine from token bytes to text, whose state is an unfinished
 character of at most three bytes.
@@ -113,10 +117,14 @@ class Merger:
 
 
 class Encoder:
-    """Encodes one text, fed in chunks; ``feed`` and ``finish`` return the ids that are stable."""
+    """Encodes one text, fed in chunks; ``feed`` and ``finish`` return the ids that are stable.
+
+    ``push`` gives them packed.  What it keeps of the text is at most ``window`` bytes of an
+    undecided piece and the start of a special string.
+    """
 
-    def __init__(self, words: Vocabulary, merger: Merger, lookahead: int):
-        self.words, self.merger, self.lookahead = words, merger, lookahead
+    def __init__(self, words: Vocabulary, merger: Merger, lookahead: int, known: _Known):
+        self.words, self.merger, self.lookahead, self.known = words, merger, lookahead, known.__getitem__
         self.longest_special = max(map(len, words.specials), default=1)
         self.window = 2 * lookahead + 2 * words.longest_token
         self.text = ""
@@ -124,23 +132,26 @@ class Encoder:
         self.kind: str | None = None  # what that pre-token goes on with
 
     def feed(self, chunk: str) -> list[int]:
-        self.text += chunk
-        return self._run(last=False)
+        return _unpacked(self.push(chunk, False))
 
     def finish(self) -> list[int]:
-        return self._run(last=True)
+        return _unpacked(self.push("", True))
 
-    def _run(self, last: bool) -> list[int]:
-        out: list[int] = []
-        *whole, rest = self._split_specials(last)
+    def push(self, chunk: str, last: bool) -> bytes:
+        """The packed ids that have become stable."""
+        self.text += chunk
+        out: list[bytes] = []
+        *whole, (rest, held) = self._split_specials(last)
         for part in whole:
-            if isinstance(part, int):
-                out.append(part)
-            else:
-                out += self._plain(part, True)[0]
-        ids, self.text = self._plain(rest[0], last)
-        self.text += rest[1]
-        return out + ids
+            if isinstance(part, str):
+                out.append(self._plain(part, True)[0])
+                continue
+            if self.kind is not None:
+                out.append(self._plain("", True)[0])
+            out.append(_packed([part]))
+        packed, rest = self._plain(rest, last)
+        self.text = rest + held
+        return b"".join([*out, packed])
 
     def _split_specials(self, last: bool) -> list:
         """Finished parts, then the unfinished one as (text, text that may begin a special string)."""
@@ -152,36 +163,68 @@ class Encoder:
             held = max((k for k in ends if any(s.startswith(tail[-k:]) for s in self.words.specials)), default=0)
         return [*parts, (tail[: len(tail) - held], tail[len(tail) - held :])]
 
-    def _plain(self, text: str, last: bool) -> tuple[list[int], str]:
-        """Ids of what is decided, and the text that is not."""
-        out: list[int] = []
-        at = 0
+    def _plain(self, text: str, last: bool) -> tuple[bytes, str]:
+        """Packed ids of what is decided, and the text that is not."""
+        out: list[bytes] = []
         if self.kind is not None:
-            at = _run_length(self.kind, text, 0)
-            self.open += _utf8(text[:at])
-            if at == len(text) and not last:
-                return out + self._stable(), ""
-            out += self.merger.encode(self.open)
+            end = _RUNS[self.kind].match(text).end()
+            goes_on = end == len(text) and not last
+            # The last white space of a run goes with the next word, if there is one.
+            taken = end - 1 if self.kind == "spaces" and not (end == len(text) and last) else end
+            self.open += _utf8(text[:taken])
+            text = text[taken:]
+            if goes_on:
+                return self._stable(), text
+            out.append(_packed(self.merger.encode(self.open)))
             self.open, self.kind = b"", None
+        if last:
+            return b"".join([*out, self._closed(text)]), ""
+        # White space after another character begins a pre-token, whatever comes next.
+        if found := _BOUNDARY.search(text):
+            out.append(self._closed(text[: found.start()]))
+            text = text[found.start() :]
+        if len(text) > self.window:
+            packed, text = self._endless(text)
+            out.append(packed)
+        return b"".join(out), text
+
+    def _closed(self, text: str) -> bytes:
+        """All ids of a text at whose ends pre-tokens end."""
+        if not text:
+            return b""
+        lead = " " if text[0] == " " and not text[1:2].isspace() else ""
+        first, *others = pieces(text[len(lead) :])
+        return self.known(lead + first) + b"".join(map(self.known, map(" ".__add__, others)))
+
+    def _endless(self, text: str) -> tuple[bytes, str]:
+        """The same for a long piece: whole pre-tokens, then the stable part of one that goes on."""
+        out: list[bytes] = []
+        at = 0
         while at < len(text):
             end = PRE_TOKEN.match(text, at).end()
             # What follows may still move the boundary: a run goes on, a contraction completes,
             # or the last white space goes with the next word.
-            if not last and end + 3 >= len(text):
-                kind = _kind(text, at, end)
-                if kind is None or end - at <= self.window:
-                    return out, text[at:]
-                self.kind = kind
-                self.open = _utf8(text[at:end])
-                rest = text[end:]
-                stable = out + self._stable()
-                more, rest = self._plain(rest, False) if rest else ([], "")
-                return stable + more, rest
-            out += self.merger.encode(_utf8(text[at:end]))
-            at = end
-        return out, ""
-
-    def _stable(self) -> list[int]:
+            if end + 3 < len(text):
+                out.append(self.known(text[at:end]))
+                at = end
+                continue
+            kind = _kind(text, at, end)
+            if kind is None or end - at <= self.window:
+                break
+            run = len(text) if kind == "spaces" else end
+            if run < len(text):  # the run has ended, as others can only go on at the end of the text
+                out.append(self.known(text[at:end]))
+                at = end
+                continue
+            self.kind = kind
+            taken = run - 1 if kind == "spaces" else run
+            self.open = _utf8(text[at:taken])
+            out.append(self._stable())
+            at = taken
+            break
+        return b"".join(out), text[at:]
+
+    def _stable(self) -> bytes:
         """Emit the tokens that end ``lookahead`` bytes before the end of the window."""
         out: list[int] = []
         if len(self.open) > self.window:
@@ -194,27 +237,27 @@ class Encoder:
                 out.append(i)
                 used += size
             self.open = self.open[used:]
-        return out
+        return _packed(out)
 
 
+_BOUNDARY = regex.compile(r"(?r)(?<=\P{White_Space})\p{White_Space}")  # the last one
 _RUNS = {
     "letters": regex.compile(r"\p{L}*"),
     "numbers": regex.compile(r"\p{N}*"),
     "others": regex.compile(r"[^\p{White_Space}\p{L}\p{N}]*"),
+    "spaces": regex.compile(r"\p{White_Space}*"),
 }
 
 
 def _kind(text: str, start: int, end: int) -> str | None:
-    """The class of characters with which a pre-token can go on; white space is not one.
+    """The class of characters with which a pre-token can go on at the end of the text.
 
-    A run of white space is one pre-token but for its last character, so its tokens wait
-    for the end of the run.
+    A run of white space is one pre-token but for its last character, so that one is held
+    back while the run goes on.
     """
-    return next((k for k, run in _RUNS.items() if run.match(text, end - 1).end() >= end), None)
-
-
-def _run_length(kind: str, text: str, start: int) -> int:
-    return _RUNS[kind].match(text, start).end()
+    if _RUNS["spaces"].match(text, start).end() == len(text):
+        return "spaces"
+    return next((k for k, run in _RUNS.items() if k != "spaces" and run.match(text, end - 1).end() == end), None)
 
 
 def _utf8(text: str) -> bytes:
@@ -233,39 +276,22 @@ class Decoder:
 
 
 class Codec:
-    """Both directions for many texts.
-
-    A piece of text between single spaces is encoded independently of the rest: at its end
-    the transducer is back in its first state.  So what it writes for a short piece is
-    remembered; everything else goes through it.
-    """
+    """Both directions for many texts; the encoders share what closed pieces are known to give."""
 
     def __init__(self, content: bytes, known_pieces: int = KNOWN_PIECES):
         self.words = vocabulary(content)
         self.merger = Merger(self.words)
         self.lookahead = sufficient_lookahead(self.words)
-        self.known = _Known(self, known_pieces)
+        self.known = _Known(self.merger, known_pieces)
 
     def encoder(self) -> Encoder:
-        return Encoder(self.words, self.merger, self.lookahead)
+        return Encoder(self.words, self.merger, self.lookahead, self.known)
 
-    def through(self, text: str) -> Iterator[bytes]:
+    def encode(self, text: str) -> Iterator[bytes]:
         """The ids of a text, as little-endian unsigned 32-bit integers, chunk by chunk."""
         encoder = self.encoder()
         for start in range(0, len(text), TEXT_CHUNK):
-            yield _packed(encoder.feed(text[start : start + TEXT_CHUNK]))
-        yield _packed(encoder.finish())
-
-    def encode(self, text: str) -> Iterator[bytes]:
-        known = self.known.__getitem__
-        for segment in self.words.segments(text):
-            if isinstance(segment, int):
-                yield _packed([segment])
-                continue
-            first, *rest = pieces(segment)
-            yield known(first)
-            for start in range(0, len(rest), TEXT_CHUNK):
-                yield b"".join(map(known, map(" ".__add__, rest[start : start + TEXT_CHUNK])))
+            yield encoder.push(text[start : start + TEXT_CHUNK], start + TEXT_CHUNK >= len(text))
 
     def digests(self, text: str | None) -> tuple[int, str, str]:
         """The number of ids, and the digests of the ids and of the text decoded from them."""
@@ -281,20 +307,17 @@ class Codec:
 
 
 class _Known(dict):
-    """Ids by piece, filled by the transducer; emptied when full."""
+    """Packed ids of closed pieces: after one the encoder is in its first state. Emptied when full."""
 
-    def __init__(self, codec: Codec, most: int):
-        self.codec, self.most = codec, most
+    def __init__(self, merger: Merger, most: int):
+        self.merger, self.most = merger, most
 
     def __missing__(self, piece: str) -> bytes:
-        if len(piece) > LONGEST_KNOWN:
-            return b"".join(self.codec.through(piece))
-        # Shorter than the transducer's window: every pre-token is held until it ends.
-        encode = self.codec.merger.encode
-        packed = _packed([i for token in PRE_TOKEN.findall(piece) for i in encode(_utf8(token))])
-        if len(self) >= self.most:
-            self.clear()
-        self[piece] = packed
+        packed = b"".join(_packed(self.merger.encode(_utf8(token[0]))) for token in PRE_TOKEN.finditer(piece))
+        if len(piece) <= LONGEST_KNOWN:
+            if len(self) >= self.most:
+                self.clear()
+            self[piece] = packed
         return packed
 
 
@@ -302,6 +325,10 @@ def _packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+def _unpacked(packed: bytes) -> list[int]:
+    return [i for (i,) in struct.iter_unpack("<I", packed)]
+
+
 @lru_cache(maxsize=1)
 def _codec(content: bytes) -> Codec:
     return Codec(content)

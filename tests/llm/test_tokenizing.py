@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import tracemalloc
 
 import pytest
 from hypothesis import given, settings
@@ -10,7 +11,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 import public_tokenizers
-from centroidal.llm.streaming_bpe import Codec, Merger, bpe_round_trips, sufficient_lookahead
+from centroidal.llm.streaming_bpe import Codec, Decoder, Merger, bpe_round_trips, sufficient_lookahead
 from centroidal.llm.token_counts import VOCABULARY, TokenCounter, token_counts
 from centroidal.llm.tokenizer import Vocabulary, vocabulary_file
 
@@ -114,6 +115,40 @@ def test_endless_words_stream(letters):
     assert out + encoder.finish() == ids_of(text)
 
 
+UNITS = ["a", "7", "=", " ", "\n", "　", "ab'll ", "'s", "<|endoftext|>", "<|end", "é漢", "word ", " x", "!!'"]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(UNITS), st.sampled_from([1, 2, 3, 700, 2500])), max_size=8), st.integers(0, 10**6))
+def test_long_runs_next_to_one_another(parts, seed):
+    """Runs longer than the window, special strings after them, cut anywhere."""
+    rng = random.Random(seed)
+    text = "".join(unit * times for unit, times in parts)
+    sizes = iter(lambda: rng.choice([1, 17, 300, 2000]), None)
+    assert streamed(CODEC, text, sizes) == ids_of(text)
+
+
+@pytest.mark.parametrize("unit", ["a", " ", "\n ", "0", "=", "word ", "<|endoftext|>", "ab1"])
+def test_memory_does_not_grow_with_the_text(unit):
+    """The peak while a text of 40 chunks is encoded and its ids are decoded is that of a few chunks."""
+    codec = Codec(CONTENT, known_pieces=100)
+    chunk = unit * (10_000 // len(unit))
+
+    def peak(chunks):
+        encoder, decoder, back = codec.encoder(), Decoder(codec.words), 0
+        tracemalloc.start()
+        for i in range(chunks + 1):
+            ids = encoder.feed(chunk) if i < chunks else encoder.finish()
+            back += len(decoder.feed(ids, last=i == chunks))
+        found = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert back == chunks * len(chunk)
+        return found
+
+    peak(2)
+    assert peak(40) < 1.5 * peak(4) + 100_000
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(0, 10**6))
 def test_lookahead_of_random_merge_lists(seed):
