@@ -125,15 +125,21 @@ class _Block:
         first[order] = fresh
         self.goes = ~first  # a later one of the same block
         self.hashes = hashes
-        self.first = np.flatnonzero(first)  # in the order of rows and places
-        self.shard = (hashes[self.first, 0] % np.uint64(shards)).astype(np.int64)
+        own = np.flatnonzero(first)  # in the order of rows and places
+        shard = (hashes[own, 0] % np.uint64(shards)).astype(np.int64)
+        by_shard = np.argsort(shard, kind="stable")
+        self.first, shard = own[by_shard], shard[by_shard]
+        self.shards, starts = np.unique(shard, return_index=True)
+        self.bounds = np.r_[starts, len(shard)]
 
     def of_shard(self, shard: int) -> np.ndarray:
-        return self.first[self.shard == shard]
+        """The block's first spans in a shard that it has spans of, in the order of rows and places."""
+        at = np.searchsorted(self.shards, shard)
+        return self.first[self.bounds[at] : self.bounds[at + 1]]
 
     def letters(self) -> Iterator[tuple[int, bytes]]:
         ids = np.array([LAST if i is None else i for i in self.ids], np.int64)
-        for shard in np.unique(self.shard).tolist():
+        for shard in self.shards.tolist():
             own = self.of_shard(shard)
             yield shard, self.hashes[own].tobytes() + ids[self.owner[own]].tobytes()
 

@@ -1,7 +1,10 @@
 """Spans against brute force, and the edge cases."""
 
 import random
+import time
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -81,3 +84,22 @@ def test_small_table_of_documents(spark):
 @given(st.text(alphabet="ab .!,\n;"))
 def test_sentences_join_to_the_text(text):
     assert "".join(dedup.sentences(text)) == text
+
+
+def test_letters_do_not_depend_on_the_number_of_shards():
+    """A block sorts its spans by shard once: many shards cost hardly more than few, and hold the same spans."""
+    rng = random.Random(2)
+    texts = [" ".join(f"{rng.choice('abcdefgh')}{rng.randrange(500)}{rng.choice(['', '', '.'])}" for _ in range(400)) for _ in range(200)]
+    rows = pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts})
+    seconds, held = {}, {}
+    for shards in (32, 62_500):
+        block = dedup._Block(rows, shards, 3, 12)
+        began = time.process_time()
+        letters = dict(block.letters())
+        found = [block.of_shard(s) for s in letters]
+        seconds[shards] = time.process_time() - began
+        held[shards] = sorted(np.concatenate(found).tolist())
+        assert [len(x) // 24 for x in letters.values()] == list(map(len, found))
+        assert all((block.hashes[own, 0] % np.uint64(shards) == s).all() for s, own in zip(letters, found))
+    assert held[32] == held[62_500] and len(held[32]) > 5000
+    assert seconds[62_500] < 1.0
