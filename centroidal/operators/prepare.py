@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from centroidal.operators.layout import small
+from centroidal.operators.moments import Moments, band_moments, gathered
 from centroidal.operators.points import assign_record_id
 
 # A category dictionary up to this many entries travels as a small local table and
@@ -119,45 +120,50 @@ def encode_label(category: Column, names: Sequence[str]) -> Column:
     return F.when(position > 0, (position - 1).cast("bigint"))
 
 
-def column_moments(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """``(by..., column int, mean, std, low, high)``, population deviation, one scan.
-
-    ``column`` is the position in ``columns``.  One row per value feeds four aggregates
-    with partial results per column; four aggregates per column side by side would be
-    more code than the JVM compiles well for a wide table.
-    """
-    values = F.array(*[F.col(c).cast("double") for c in columns])
-    return (
-        df.select(*by, F.posexplode(values).alias("column", "value"))
-        .groupBy(*by, "column")
-        .agg(
-            F.avg("value").alias("mean"),
-            F.stddev_pop("value").alias("std"),
-            F.min("value").alias("low"),
-            F.max("value").alias("high"),
-        )
-    )
-
-
 def standardize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """z-score with the population deviation; constant columns become 0.
 
     A constant column is recognised by its range: the mean of equal doubles need not
     equal them in the last bit.
     """
-    moments = {columns[row["column"]]: row for row in column_moments(df, columns).collect()}  # one row per column
-    if not moments:
+    if not columns:
+        return df
+    found = gathered(band_moments(df, columns))
+    if not found:
         return df
+    moments = dict(zip(columns, found[0].columns()))
 
     def scaled(c: str) -> Column:
-        found, value = moments[c], F.col(f"`{c}`").cast("double")
-        if found["low"] == found["high"] or not found["std"]:
+        mean, deviation, low, high = moments[c]
+        value = F.col(f"`{c}`").cast("double")
+        if low == high or not deviation:
             return F.when(value.isNotNull(), F.lit(0.0))
-        return (value - F.lit(found["mean"])) / F.lit(found["std"])
+        return (value - F.lit(mean)) / F.lit(deviation)
 
     return df.select(*[scaled(c).alias(c) if c in moments else F.col(f"`{c}`") for c in df.columns])
 
 
+def prefix_moments(
+    df: DataFrame, sizes: Sequence[int], columns: Sequence[str], *, record_id: str = "record_id"
+) -> dict[int, Moments]:
+    """The moments of every prefix ``record_id < size`` that has rows, from one scan of the largest.
+
+    A row counts once, in the band of the smallest prefix that holds it; a prefix is the sum
+    of its own band and all smaller ones.
+    """
+    ordered = sorted(set(sizes))
+    band = sum((F.when(F.col(record_id) >= s, 1).otherwise(0) for s in ordered[:-1]), F.lit(0))
+    bands = gathered(band_moments(df.where(F.col(record_id) < ordered[-1]), columns, band))
+    found: dict[int, Moments] = {}
+    total: Moments | None = None
+    for i, size in enumerate(ordered):
+        if i in bands:
+            total = bands[i] if total is None else total.plus(bands[i])
+        if total is not None:
+            found[size] = total
+    return found
+
+
 def nested_prefixes(
     df: DataFrame, sizes: Sequence[int], columns: Sequence[str], *, record_id: str = "record_id"
 ) -> DataFrame:
@@ -171,10 +177,11 @@ def nested_prefixes(
     largest = df.where(F.col(record_id) < max(sizes))
     member = F.explode(F.filter(F.array(*[F.lit(s).cast("bigint") for s in sorted(sizes)]), lambda s: F.col(record_id) < s))
     tagged = largest.select(member.alias("size"), "*")
-    per_size = (
-        column_moments(tagged, columns, ["size"])
-        .groupBy("size")
-        .agg(F.array_sort(F.collect_list(F.struct("column", "mean", "std", "low", "high"))).alias("_moments"))
+    if not columns:
+        return tagged
+    per_size = df.sparkSession.createDataFrame(
+        [(size, m.columns()) for size, m in prefix_moments(df, sizes, columns, record_id=record_id).items()],
+        "size bigint, _moments array<struct<mean double, std double, low double, high double>>",
     )
 
     def scaled(position: int, c: str) -> Column:

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from centroidal.operators import moments as M
 from centroidal.operators import prepare as R
 from centroidal.plans.preparation import prepare_kdd, preprocess_kdd
 from centroidal.sources import kdd
@@ -134,3 +135,43 @@ def test_the_error_counts_all_unknown_labels(spark):
     frame = spark.range(1500).selectExpr("concat('l', id) AS label", "CAST(null AS string) AS category")
     with pytest.raises(ValueError, match="1500 unknown labels"):
         R.require_mapped(frame, "label")
+
+
+def test_moments_are_those_of_numpy_whatever_the_layout(spark, monkeypatch):
+    monkeypatch.setattr(M, "FAN_IN", 3)
+    values = np.random.default_rng(3).normal(1e6, 2.0, size=(4000, 3))
+    rows = [(i, float(a), None if i % 7 == 0 else float(b), float(c), None) for i, (a, b, c) in enumerate(values)]
+    frame = spark.createDataFrame(rows, "record_id bigint, a double, b double, `c.d` double, none double")
+    columns = ["a", "b", "c.d", "none"]
+    wanted = [values[:, 0], values[np.arange(4000) % 7 != 0, 1], values[:, 2]]
+    for parts in (1, 10):
+        found = M.gathered(M.band_moments(frame.repartition(parts), columns))[0].columns()
+        for (mean, std, low, high), column in zip(found, wanted):
+            assert (low, high) == (column.min(), column.max())
+            assert mean == pytest.approx(column.mean(), rel=1e-14) and std == pytest.approx(column.std(), rel=1e-9)
+        assert found[3] == (None,) * 4
+    assert M.gathered(M.band_moments(frame.limit(0), columns)) == {}
+
+
+def test_prefixes_are_sums_of_bands(spark):
+    values = np.random.default_rng(4).normal(size=300)
+    frame = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "record_id bigint, x double").repartition(5)
+    found = R.prefix_moments(frame, [300, 10, 50, 50, 900], ["x"])
+    assert list(found) == [10, 50, 300, 900]
+    for size, moments in found.items():
+        mean, std, low, high = moments.columns()[0]
+        own = values[:size]
+        assert moments.n[0] == len(own) and (low, high) == (own.min(), own.max())
+        assert mean == pytest.approx(own.mean()) and std == pytest.approx(own.std())
+    late = R.prefix_moments(frame.where("record_id >= 50"), [10, 100], ["x"])
+    assert list(late) == [100] and late[100].n[0] == 50
+
+
+def test_statistics_are_vectors_per_task_and_nothing_is_exploded(spark):
+    frame = spark.range(0, 1000, 1, 8).select("id", *[(F.col("id") % (i + 2)).alias(f"f{i}") for i in range(20)])
+    names = [f"f{i}" for i in range(20)]
+    moments = M.band_moments(frame, names)
+    assert "Generate" not in moments._jdf.queryExecution().executedPlan().toString()
+    assert M.partial_moments(frame, names).count() == 8  # one row per task, whatever the width
+    band = F.when(F.col("id") < 500, 0).otherwise(1)
+    assert M.partial_moments(frame, names, band).count() == 8 and M.band_moments(frame, names, band).count() == 2
