@@ -18,6 +18,7 @@ from centroidal.sources import kdd
 _BAD_RECORD, _ROW = "_bad_record", "_row_of_file"
 # Orders in which the columns of one table may stand in its files.
 MOST_HEADERS = 1000
+_DATASET_ENDS = (".parquet", ".csv.gz")
 
 
 def _numbered(scan: DataFrame) -> DataFrame:
@@ -164,24 +165,36 @@ def read_kdd_csv(spark: SparkSession, path: str, *, n_partitions: int | None = N
     return table if n_partitions is None else table.repartition(n_partitions)
 
 
-def _is_absent(error: AnalysisException) -> bool:
+def is_absent(error: AnalysisException) -> bool:
+    """Whether an error says that a path does not exist."""
     return error.getCondition() == "PATH_NOT_FOUND"
 
 
+def list_datasets(spark: SparkSession, directory: str) -> list[str]:
+    """Sorted names of the datasets that ``load_dataset`` finds in a folder; a missing folder has none."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(place):
+        return []
+    found = [status.getPath().getName() for status in files.listStatus(place)]
+    return sorted({name.removesuffix(end) for name in found for end in _DATASET_ENDS if name.endswith(end)})
+
+
 def load_dataset(spark: SparkSession, name: str, directory: str) -> DataFrame:
     """``(features array<double>, label bigint)`` of a saved dataset; parquet first, then csv.gz."""
     try:
         table = spark.read.parquet(f"{directory}/{name}.parquet")
     except AnalysisException as absent:
-        if not _is_absent(absent):
+        if not is_absent(absent):
             raise
         try:
             table = spark.read.option("header", True).csv(f"{directory}/{name}.csv.gz")
         except AnalysisException as error:
-            if not _is_absent(error):
+            if not is_absent(error):
                 raise
+            there = ", ".join(list_datasets(spark, directory)) or "none"
             raise FileNotFoundError(
-                f"dataset {name} is not in {directory}; write it with save_dataset or prepare_kdd"
+                f"dataset {name} is not in {directory} (there: {there}); write it with save_dataset or prepare_kdd"
             ) from error
     features = sorted((c for c in table.columns if re.fullmatch(r"f\d+", c)), key=lambda c: int(c[1:]))
     return table.select(pack(*features).alias("features"), F.col("label").cast("bigint").alias("label"))

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from centroidal.functions.vectors import unpack
+from centroidal.operators.layout import written
 from centroidal.operators.points import exact_sample, validate_points
 from centroidal.operators.trials import TRIAL_SCHEMA
+from centroidal.sources.readers import is_absent, read_trials
 
 PREDICTION_COLUMNS = ("dataset_name", "repetition", "random_seed", "record_id", "true_label", "predicted_cluster")
 
@@ -56,6 +59,34 @@ def append_trial(trials: DataFrame, path: str, format: str = "parquet") -> str:
     return path
 
 
+def append_trials_once(trials: DataFrame, path: str, format: str = "parquet") -> int:
+    """Append the trials whose ``experiment_id`` the table does not have yet; returns how many.
+
+    The measurements are staged in the shared folder first, so they are made once; then the
+    ids that are there already are left out.  Files appear in the table whole, so a job that is
+    run again, also after it was lost half-way through its commit, adds what is missing and
+    nothing twice.  Ids must be unique and not null.  Two jobs with the same ids must not
+    run at the same time.
+    """
+    spark = trials.sparkSession
+    staged = written(trials.select(*[entry.split(" ")[0] for entry in TRIAL_SCHEMA.split(", ")]), "trials")
+    ids = staged.groupBy("experiment_id").agg(F.count(F.lit(1)).alias("rows"))
+    bad = ids.where("experiment_id IS NULL OR rows > 1").orderBy("experiment_id").take(1)
+    if bad:
+        raise ValueError(f"experiment ids must be unique and not null; {bad[0][0]} has {bad[0][1]} rows")
+    fresh = staged
+    try:
+        known = read_trials(spark, path, format).select("experiment_id")
+        fresh = written(staged.join(known, "experiment_id", "left_anti"), "trials")
+    except AnalysisException as absent:
+        if not is_absent(absent):
+            raise
+    added = fresh.count()
+    if added:
+        append_trial(fresh, path, format)
+    return added
+
+
 def predictions_table(runs: Mapping[tuple[int, int], DataFrame], dataset_name: str, *, label: str = "label") -> DataFrame:
     """Union of assigned tables keyed by ``(repetition, random_seed)`` in the prediction layout."""
     parts = [

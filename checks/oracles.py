@@ -604,6 +604,15 @@ def sql() -> dict[str, str]:
         "trials_round_trip": f"WITH {EVENTS} SELECT configuration AS dataset_name, 2 * count(*) AS n,"
         f" 2 * count(*) FILTER (converged) AS converged_runs, {rnd('2 * sum(total_runtime_seconds)', 4)} AS seconds,"
         " CAST(2 * sum(iterations) AS BIGINT) AS last_counts FROM trials GROUP BY configuration",
+        "trials_appended_once": "SELECT CAST(event_id AS VARCHAR) AS experiment_id, event_type AS dataset_name,"
+        " event_id AS num_records, 4::INTEGER AS num_features, 3::INTEGER AS num_clusters, 8::INTEGER AS num_partitions,"
+        " 'local[1]' AS spark_master, user_id AS random_seed, 100::INTEGER AS local_max_iterations,"
+        " 50::INTEGER AS global_max_iterations, 1e-6::DOUBLE AS local_tolerance, 1e-4::DOUBLE AS global_cost_tolerance,"
+        " 5::INTEGER AS aggregation_restarts, event_id AS materialized_record_count, value < 100 AS converged,"
+        " CAST(user_id AS INTEGER) AS iterations, value * value AS sse, user_id || ';0;' || event_id AS cluster_counts,"
+        " value AS partition_clustering_seconds, value / 2 AS center_aggregation_seconds,"
+        " value / 4 AS initialization_seconds, value * 2 AS global_clustering_seconds,"
+        " value / 8 AS final_evaluation_seconds, value * 4 AS total_runtime_seconds FROM events",
         "write_predictions": f"WITH {EMBEDDINGS}, {POINTS_AS_ONE_GROUP}, {start_centers(EMBEDDING_K, 42, 'c42')},"
         f" {start_centers(EMBEDDING_K, 43, 'c43')}, {assignment('f1', 'one', 'c42', EMBEDDING_D)},"
         f" {assignment('f2', 'one', 'c43', EMBEDDING_D)}"

@@ -598,6 +598,28 @@ def trials_round_trip(spark, sf):
     )
 
 
+def trials_appended_once(spark, sf):
+    """Half of the measurements, then all, then all again: each is there once, in all its columns."""
+    path = scratch_path(spark, "trials")
+    seconds, event, user = F.col("value"), F.col("event_id"), F.col("user_id")
+    columns = {
+        "experiment_id": event, "dataset_name": F.col("event_type"), "num_records": event, "num_features": F.lit(4),
+        "num_clusters": F.lit(3), "num_partitions": F.lit(8), "spark_master": F.lit("local[1]"), "random_seed": user,
+        "local_max_iterations": F.lit(100), "global_max_iterations": F.lit(50), "local_tolerance": F.lit(1e-6),
+        "global_cost_tolerance": F.lit(1e-4), "aggregation_restarts": F.lit(5), "materialized_record_count": event,
+        "converged": seconds < 100, "iterations": user, "sse": seconds * seconds,
+        "cluster_counts": F.array(user, F.lit(0), event), "partition_clustering_seconds": seconds,
+        "center_aggregation_seconds": seconds / 2, "initialization_seconds": seconds / 4,
+        "global_clustering_seconds": seconds * 2, "final_evaluation_seconds": seconds / 8,
+        "total_runtime_seconds": seconds * 4,
+    }
+    trials = table(spark, sf, "events").select(*[value.alias(name) for name, value in columns.items()])
+    for rows in (trials.where(F.col("num_records") % 2 == 0), trials, trials):
+        writers.append_trials_once(rows, path, format="csv")
+    back = readers.read_trials(spark, path, format="csv")
+    return back.withColumn("cluster_counts", F.concat_ws(";", F.col("cluster_counts").cast("array<string>")))
+
+
 def write_predictions(spark, sf):
     pts = embedding_points(spark, sf)
     runs = {
@@ -770,7 +792,7 @@ ALL: tuple[Query, ...] = (
     normalize_label, map_category, unmapped_labels, drop_class, drop_report, ordinal_encode, encode_label,
     standardize, validate_points, class_histogram, nested_prefixes, exact_sample, record_ids, prep_summary,
     prepare_orders, points_csv_round_trip, labeled_csv_round_trip, parquet_round_trip, features_labels_split,
-    write_sample, trials_round_trip, write_predictions, exact_partitions, quality_table_round_trip,
+    write_sample, trials_round_trip, trials_appended_once, write_predictions, exact_partitions, quality_table_round_trip,
     prepare_kdd_files, trial_runs, trial_summary, convergence_rate, speedup,
     quality_comparison, balanced_sizes, zero_spread_blobs, diagonal_blobs, uniform_blobs, size_ladder,
 )

@@ -207,6 +207,34 @@ def test_trials_append(spark, tmp_path, format):
         assert sum(t.count("5;0;5") for t in texts) == 2
 
 
+@pytest.mark.parametrize("format", ["csv", "parquet"])
+def test_trials_appended_again_add_nothing(spark, tmp_path, format):
+    path = str(tmp_path / "once" / "trials")
+    first, second = trial(spark), trial(spark, experiment_id="e2", sse=7.5)
+    assert W.append_trials_once(first, path, format) == 1
+    assert W.append_trials_once(first, path, format) == 0
+    # A job that was lost after some of its rows, run again with all of them.
+    assert W.append_trials_once(first.union(second), path, format) == 1
+    assert W.append_trials_once(first.limit(0), path, format) == 0
+    rows = S.read_trials(spark, path, format).orderBy("experiment_id").collect()
+    assert rows == first.union(second).orderBy("experiment_id").collect()
+    for bad in (first.union(first), trial(spark, experiment_id=None)):
+        with pytest.raises(ValueError, match="unique and not null"):
+            W.append_trials_once(bad, path, format)
+    assert S.read_trials(spark, path, format).count() == 2
+
+
+def test_datasets_are_listed(spark, make_points, tmp_path):
+    assert S.list_datasets(spark, str(tmp_path / "missing")) == []
+    W.save_dataset(make_points([(1.0, 2.0)], [0]), "b", str(tmp_path), 2)
+    frame = spark.createDataFrame([(1.5, 3)], "f0 double, label bigint").write.option("header", True)
+    frame.csv(str(tmp_path / "a.csv.gz"))
+    (tmp_path / "notes.txt").write_text("x")
+    assert S.list_datasets(spark, str(tmp_path)) == ["a", "b"]
+    with pytest.raises(FileNotFoundError, match="there: a, b"):
+        S.load_dataset(spark, "c", str(tmp_path))
+
+
 HEADER = "dataset,algorithm,master,records,features,clusters,sse,purity,ari,nmi,cluster_counts,elapsed_seconds,iterations,converged\n"
 ROW = "s,parallel_kmeans,local[1],1000,20,5,1032.37,1.0,1.0,1.0,218;191;206;192;193,1.6055,3,True\n"
 
