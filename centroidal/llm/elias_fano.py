@@ -1,4 +1,4 @@
-"""Elias-Fano sequences and the n-gram trie made of them, as arrays that can be memory-mapped."""
+"""Elias-Fano sequences and the n-gram trie made of them, as memory-mapped arrays."""
 
 from __future__ import annotations
 
@@ -115,33 +115,75 @@ class EliasFano:
         return (place - at).astype(np.uint64) << np.uint64(self.width) | self._low(at)
 
 
-class Trie:
-    """Two levels: contexts, and the words seen after each with a one-byte code.
+class Level:
+    """Words seen after each context, in order, with a one-byte code each.
 
-    A context's words are the local numbers of words, moved up by the context's own number
-    times the number of words, so the whole level is one rising sequence; a word is searched
-    as the successor of its number within its context's range.
+    Monotone pointers bound a context's range of places.  A range holds the local numbers of
+    its words above the last element of the range before it, so that the whole level is one
+    rising sequence over a small universe; a word is the successor of its number, counted
+    from where its context begins.
     """
 
-    def __init__(self, contexts: np.ndarray, owner: np.ndarray, words: np.ndarray, codes: np.ndarray):
-        """``contexts`` sorted and distinct; pairs (owner, word) sorted, each with its code."""
-        self.contexts = EliasFano(contexts)
+    def __init__(self, contexts: int, owner: np.ndarray, words: np.ndarray, codes: np.ndarray):
+        """Pairs (owner, word) sorted and distinct, owners below ``contexts``, each with its code."""
         known = np.unique(words)
         self.words = EliasFano(known)
-        self.size = len(known)
-        self.pointers = EliasFano(np.r_[0, np.cumsum(np.bincount(owner, minlength=len(contexts)))])
-        local = np.searchsorted(known, words).astype(np.uint64)
-        self.level = EliasFano(owner.astype(np.uint64) * np.uint64(self.size) + local)
+        local = np.searchsorted(known, words)
+        sizes = np.bincount(owner, minlength=contexts)
+        pointers = np.r_[0, np.cumsum(sizes)]
+        self.pointers = EliasFano(pointers)
+        tops = np.zeros(contexts, np.int64)
+        used = np.flatnonzero(sizes)
+        tops[used] = local[pointers[used + 1] - 1] + 1
+        self.elements = EliasFano((np.cumsum(tops) - tops)[owner] + local)
         self.codes = mapped(codes)
 
-    def lookup(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """The code of each pair, 0 where it was not seen."""
-        found = np.zeros(len(words), np.uint8)
-        owner, known_context = self.contexts.successor(contexts)
-        local, known_word = self.words.successor(words)
-        own = np.flatnonzero(known_context & known_word)
-        if len(own):
-            relative = owner[own].astype(np.uint64) * np.uint64(self.size) + local[own].astype(np.uint64)
-            at, equal = self.level.successor(relative)
-            found[own[equal]] = self.codes[at[equal]]
+    def ranges(self, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place behind each context's range, and what its elements are counted from."""
+        start, end = self.pointers.access(owner).astype(np.int64), self.pointers.access(owner + 1).astype(np.int64)
+        base = np.zeros(len(owner), np.int64)
+        later = np.flatnonzero(start)
+        base[later] = self.elements.access(start[later] - 1).astype(np.int64) + 1
+        return end, base
+
+    def find(self, owner: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The place of each word after its context; -1 where it was not seen or the context is -1.
+
+        Neighbours with the same context share the look-up of its range.
+        """
+        places = np.full(len(words), -1, np.int64)
+        local, known = self.words.successor(words)
+        own = np.flatnonzero(known & (owner >= 0))
+        if not len(own):
+            return places
+        context = owner[own]
+        first = np.r_[True, context[1:] != context[:-1]]
+        end, base = (x[np.cumsum(first) - 1] for x in self.ranges(context[first]))
+        at, equal = self.elements.successor((base + local[own]).astype(np.uint64))
+        hit = equal & (at < end)
+        places[own[hit]] = at[hit]
+        return places
+
+    def code(self, places: np.ndarray) -> np.ndarray:
+        """The codes at these places, 0 for -1."""
+        found = np.zeros(len(places), np.uint8)
+        there = places >= 0
+        found[there] = self.codes[places[there]]
         return found
+
+
+class Trie:
+    """Contexts of one word, the words seen after each, and the words seen after such pairs.
+
+    The contexts of the third level are the places of the second.
+    """
+
+    def __init__(self, contexts: np.ndarray, pairs: Level, triples: Level):
+        """``contexts`` sorted and distinct."""
+        self.contexts = EliasFano(contexts)
+        self.pairs, self.triples = pairs, triples
+
+    def context(self, words: np.ndarray) -> np.ndarray:
+        """The number of each word as a context, -1 if it is none."""
+        at, equal = self.contexts.successor(words)
+        return np.where(equal, at, -1)

@@ -1,15 +1,19 @@
 """Language-model scores from Elias-Fano n-gram tries.
 
-The model interpolates bigrams with the smoothed word frequencies:
-P(w | v) = (c(v w) + K P(w)) / (c(v) + K).  The higher-order term c(v w) / (c(v) + K) is
-kept in tries, quantised to one byte on a logarithmic scale; the rest follows from the exact
-counts of v and w.  Counts cover all training texts: nothing is pruned.
+The model interpolates trigrams with bigrams and those with the smoothed word frequencies:
+P(w | v) = (c(v w) + K P(w)) / (c(v) + K), and P(w | u v) = (c(u v w) + K P(w | v)) / (c(u v) + K).
+The shares c(v w) / (c(v) + K) and c(u v w) / (c(u v) + K) and the back-off weights
+K / (c(u v) + K) are quantised to one byte on a logarithmic scale; K / (c(v) + K) and P(w)
+follow from the exact counts of v and w.  Counts cover all training texts: nothing is pruned.
+A text begins with a mark that is a context but no token; its first token has no trigram.
 
 The model is as large as the corpus makes it, so it is never in one place.  It is cut into
-shards by context; a context with more occurrences than a shard should hold is cut further by
-the following word.  Each block of texts sends every shard its distinct words and bigrams,
-with their counts in training texts (see ``blocks``).  The shard adds the counts up, builds
-its trie, and answers with the count of every word and the code of every bigram.
+shards by the first word; a word with more occurrences than a shard should hold is cut
+further by the second.  Trigrams lie where their first two words lie, so a shard is a whole
+trie.  Each block of texts sends every shard its distinct words, bigrams and trigrams, with
+their counts in training texts (see ``blocks``).  The shard adds the counts up, builds its
+trie, and answers with the count of every word, the code and back-off weight of every bigram
+and the code of every trigram.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -24,14 +29,15 @@ from pyspark.sql import functions as F
 
 from centroidal.llm.blocks import answered, block_rows, dealt, letters_of, partitions_of, read_back, text_bytes
 from centroidal.llm.common import ASCII_LOWER, documents, ids_and_texts, remainder, text_slices, written
-from centroidal.llm.elias_fano import Trie
+from centroidal.llm.elias_fano import Level, Trie
 
 FOLDS, HELD_OUT = 5, 1
 K = 4.0
 SHARD_BYTES = 16_000_000  # of text for a shard of the model
 KNOWN_WORDS = 400_000
 START, END = 1, 2  # stand for the places before and after a text
-WORD_BITS = 40  # of a following word's hash
+WORD_BITS = 40  # of a second word's hash
+THIRD_BITS = 32  # of a third word's hash; pairs are followed by fewer words than words are
 STEP = 9.5 / 254  # of log10 between two codes; code 255 is 1
 
 
@@ -75,8 +81,14 @@ def counted(docs: DataFrame) -> DataFrame:
     return training.mapInArrow(run, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
 
 
+def _small(counts: np.ndarray) -> list[np.ndarray]:
+    """Counts in one byte each, followed by those that need more."""
+    large = counts >= 255
+    return [np.minimum(counts, 255).astype(np.uint8), counts[large].astype(np.int64)]
+
+
 class _Block:
-    """A block's tokens, its distinct words and bigrams, and their shards."""
+    """A block's tokens, its distinct words, bigrams and trigrams, and their shards."""
 
     def __init__(self, rows: pa.Table, shards: int, hot: np.ndarray):
         self.order, self.ids, texts = block_rows(rows)
@@ -84,61 +96,84 @@ class _Block:
         self.held_out = np.array([held_out[i] for i in self.order], bool)
         hashes = [words(t) for t in texts]
         self.sizes = np.array([len(h) + 1 for h in hashes], np.int64)
-        stop, start = np.array([END], np.uint64), np.array([START], np.uint64)
-        tokens = np.concatenate([x for h in hashes for x in (h, stop)])
-        before = np.concatenate([x for h in hashes for x in (start, h)])
-        self.words = np.unique(np.r_[tokens, start])
-        self.token = np.searchsorted(self.words, tokens)
-        context = np.searchsorted(self.words, before)
-        trained = np.repeat(~self.held_out, self.sizes)
-        self.counts = np.bincount(self.token[trained], minlength=len(self.words))
-        self.counts[np.searchsorted(self.words, np.uint64(START))] = (~self.held_out).sum()
-        keys, self.pair = np.unique(context * len(self.words) + self.token, return_inverse=True)
-        self.context, following = keys // len(self.words), keys % len(self.words)
-        pair_counts = np.bincount(self.pair[trained], minlength=len(keys))
-        after = self.words[following] >> np.uint64(64 - WORD_BITS)
+        start, stop = np.array([START], np.uint64), np.array([END], np.uint64)
+        number, kinds = pd.factorize(np.concatenate([x for h in hashes for x in (start, h, stop)]))
+        # Words are numbered by home shard, and in it by hash.
+        by_home = np.lexsort((kinds, kinds % np.uint64(shards)))
+        self.words = kinds[by_home]
+        n = len(self.words)
         home = (self.words % np.uint64(shards)).astype(np.int64)
+        rank = np.empty(n, np.int64)
+        rank[by_home] = np.arange(n)
+        line = rank[number]
+        begins = np.cumsum(self.sizes + 1) - self.sizes - 1
+        is_token = np.ones(len(line), bool)
+        is_token[begins] = False
+        at = np.flatnonzero(is_token)
+        self.token, self.before = line[at], line[at - 1]
+        trained = np.repeat(~self.held_out, self.sizes)
+        self.counts = np.bincount(self.token[trained], minlength=n)
+        self.counts[line[begins[0]]] = (~self.held_out).sum()
+
+        keys, self.pair = np.unique(self.before * n + self.token, return_inverse=True)
+        self.context, following = keys // n, keys % n
         shard = home[self.context]
-        split = np.isin(self.words[self.context], hot)
-        shard[split] = ((self.words[self.context[split]] ^ after[split] * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(shards)).astype(np.int64)
+        split = np.flatnonzero(np.isin(self.words[self.context], hot))
+        mixed = self.words[self.context[split]] ^ (self.words[following[split]] >> np.uint64(64 - WORD_BITS)) * np.uint64(0x9E3779B97F4A7C15)
+        shard[split] = (mixed % np.uint64(shards)).astype(np.int64)
+        pairs = np.argsort(shard, kind="stable")
+        moved = np.empty(len(pairs), np.int64)
+        moved[pairs] = np.arange(len(pairs))
+        self.pair = moved[self.pair]  # bigrams are in the order of their shards from here
+        self.context, self.shard = self.context[pairs], shard[pairs]
+        self.after = self.words[following[pairs]] >> np.uint64(64 - WORD_BITS)
+        self.pair_counts = np.bincount(self.pair[trained], minlength=len(pairs))
+
+        # A trigram is a bigram's place and the next word; the first token of a text has none.
+        self.has_two = np.ones(len(at), bool)
+        self.has_two[begins - np.arange(len(begins))] = False
+        third = np.flatnonzero(self.has_two)
+        keys, self.triple = np.unique(self.pair[third - 1] * n + self.token[third], return_inverse=True)
+        owner = keys // n
+        self.third = (self.words[keys % n] >> np.uint64(64 - THIRD_BITS)).astype(np.uint32)
+        self.triple_counts = np.bincount(self.triple[trained[third]], minlength=len(keys))
+        self.thirds = np.bincount(owner, minlength=len(pairs))
+        self.third_ends = np.r_[0, np.cumsum(self.thirds)]
+
         # Heads: every word in its home shard, and every context wherever it has bigrams.
-        n = len(self.words)
-        self.heads = np.unique(np.r_[home * n + np.arange(n), shard * n + self.context])
+        self.heads = np.unique(np.r_[home * n + np.arange(n), self.shard * n + self.context])
         self.at_home = home[self.heads % n] == self.heads // n
-        self.by_shard = np.lexsort((after, self.context, shard))
-        self.shard, self.after, self.pair_counts = shard[self.by_shard], after[self.by_shard], pair_counts[self.by_shard]
-        owner = np.searchsorted(self.heads, self.shard * n + self.context[self.by_shard])
-        self.following = np.bincount(owner, minlength=len(self.heads))
+        self.following = np.bincount(np.searchsorted(self.heads, self.shard * n + self.context), minlength=len(self.heads))
         self.n, self.shards = n, shards
 
-    def of_shard(self, shard: int) -> tuple[slice, slice]:
-        """Its heads and its bigrams."""
-        heads = np.searchsorted(self.heads, [shard * self.n, (shard + 1) * self.n])
+    def of_shard(self, shard: int) -> tuple[slice, slice, slice]:
+        """Its heads, bigrams and trigrams."""
+        heads = np.searchsorted(self.heads, [shard * self.n, (shard + 1) * self.n]).tolist()
         pairs = np.searchsorted(self.shard, [shard, shard + 1])
-        return slice(*heads.tolist()), slice(*pairs.tolist())
+        return slice(*heads), slice(*pairs.tolist()), slice(*self.third_ends[pairs].tolist())
 
     def letters(self) -> Iterator[tuple[int, bytes]]:
         word = self.heads % self.n
         counts = np.where(self.at_home, self.counts[word], 0)
         for shard in np.unique(self.heads // self.n).tolist():
-            heads, pairs = self.of_shard(shard)
+            heads, pairs, triples = self.of_shard(shard)
             after = self.after[pairs]
             parts = [
-                np.array([heads.stop - heads.start, pairs.stop - pairs.start], np.int64),
+                np.array([x.stop - x.start for x in (heads, pairs, triples)], np.int64),
                 self.words[word[heads]],
-                counts[heads].astype(np.uint32),
-                self.following[heads].astype(np.uint32),
                 (after & np.uint64(0xFFFFFFFF)).astype(np.uint32),
-                self.pair_counts[pairs].astype(np.uint32),
                 (after >> np.uint64(32)).astype(np.uint8),
+                self.third[triples],
             ]
+            for some in (counts[heads], self.following[heads], self.pair_counts[pairs], self.thirds[pairs], self.triple_counts[triples]):
+                parts += _small(some)
             yield shard, b"".join(p.tobytes() for p in parts)
 
 
 class _Letter:
     def __init__(self, data: bytes):
-        heads, pairs = np.frombuffer(data, np.int64, 2).tolist()
-        at = 16
+        heads, pairs, triples = np.frombuffer(data, np.int64, 3).tolist()
+        at = 24
 
         def read(kind, n):
             nonlocal at
@@ -146,33 +181,60 @@ class _Letter:
             at += part.nbytes
             return part
 
-        self.head, self.count, self.following = read(np.uint64, heads), read(np.uint32, heads), read(np.uint32, heads)
-        low, self.pair_count, high = read(np.uint32, pairs), read(np.uint32, pairs), read(np.uint8, pairs)
+        def read_counts(n):
+            counts = read(np.uint8, n).astype(np.int64)
+            large = np.flatnonzero(counts == 255)
+            counts[large] = read(np.int64, len(large))
+            return counts
+
+        self.head = read(np.uint64, heads)
+        low, high = read(np.uint32, pairs), read(np.uint8, pairs)
         self.after = high.astype(np.uint64) << np.uint64(32) | low
+        self.third = read(np.uint32, triples)
+        self.count, self.following = read_counts(heads), read_counts(heads)
+        self.pair_count, self.thirds, self.triple_count = read_counts(pairs), read_counts(pairs), read_counts(triples)
+
 
-    def contexts(self) -> np.ndarray:
-        return np.repeat(self.head, self.following)
+def _summed(owner: np.ndarray, words: np.ndarray, seen: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (owner, word) in order and their counts, of those seen in training."""
+    kept = np.flatnonzero(seen)
+    keys, place = np.unique(owner[kept].astype(np.uint64) << np.uint64(bits) | words[kept], return_inverse=True)
+    counts = np.bincount(place, seen[kept], len(keys)).astype(np.int64)
+    return (keys >> np.uint64(bits)).astype(np.int64), keys & np.uint64((1 << bits) - 1), counts
 
 
 def _shard_answers(letters: list[bytes], hot: np.ndarray, hot_counts: np.ndarray, k: float) -> list[bytes]:
-    """Counts of the words and codes of the bigrams of each letter."""
+    """Counts of the words, codes and back-off weights of the bigrams, codes of the trigrams of each letter."""
     read = [_Letter(x) for x in letters]
     heads, place = np.unique(np.concatenate([x.head for x in read]), return_inverse=True)
     counts = np.bincount(place, np.concatenate([x.count for x in read]), len(heads)).astype(np.int64)
     if len(hot):
         at = np.minimum(np.searchsorted(hot, heads), len(hot) - 1)
         counts = np.where(hot[at] == heads, hot_counts[at], counts)
-    owner = np.searchsorted(heads, np.concatenate([x.contexts() for x in read]))
-    after = np.concatenate([x.after for x in read])
-    seen = np.concatenate([x.pair_count for x in read])
-    kept = np.flatnonzero(seen)
-    keys, place = np.unique(owner[kept].astype(np.uint64) << np.uint64(WORD_BITS) | after[kept], return_inverse=True)
-    pair_counts = np.bincount(place, seen[kept], len(keys))
-    context = (keys >> np.uint64(WORD_BITS)).astype(np.int64)
-    codes = quantised(pair_counts / (counts[context] + k)) if len(keys) else np.zeros(0, np.uint8)
-    trie = Trie(heads, context, keys & np.uint64((1 << WORD_BITS) - 1), codes)
-    del owner, after, seen, keys
-    return [counts[np.searchsorted(heads, x.head)].tobytes() + trie.lookup(x.contexts(), x.after).tobytes() for x in read]
+
+    owner = np.repeat(place, np.concatenate([x.following for x in read]))
+    after, seen = np.concatenate([x.after for x in read]), np.concatenate([x.pair_count for x in read])
+    context, word, pair_counts = _summed(owner, after, seen, WORD_BITS)
+    pairs = Level(len(heads), context, word, quantised(pair_counts / (counts[context] + k)))
+    weights = quantised(k / (pair_counts + k))
+    places = [pairs.find(np.repeat(at, x.following), x.after) for at, x in zip(np.split(place, np.cumsum([len(x.head) for x in read])[:-1]), read)]
+    del owner, after, seen
+
+    owner = np.concatenate([np.repeat(at, x.thirds) for at, x in zip(places, read)])
+    third, seen = np.concatenate([x.third for x in read]), np.concatenate([x.triple_count for x in read])
+    context, word, triple_counts = _summed(owner, third, seen, THIRD_BITS)
+    triples = Level(len(pair_counts), context, word, quantised(triple_counts / (pair_counts[context] + k)))
+    trie = Trie(heads, pairs, triples)
+    del owner, third, seen
+
+    def reply(letter: _Letter, at: np.ndarray) -> bytes:
+        weight = np.full(len(at), 255, np.uint8)
+        weight[at >= 0] = weights[at[at >= 0]]
+        found = trie.triples.find(np.repeat(at, letter.thirds), letter.third.astype(np.uint64))
+        parts = [counts[trie.context(letter.head)], trie.pairs.code(at), weight, trie.triples.code(found)]
+        return b"".join(p.tobytes() for p in parts)
+
+    return [reply(x, at) for x, at in zip(read, places)]
 
 
 def scores(docs: DataFrame, k: float = K) -> DataFrame:
@@ -203,17 +265,20 @@ def scores(docs: DataFrame, k: float = K) -> DataFrame:
     def read(block: int, rows: pa.Table, answers: dict[int, bytes]) -> pa.Table:
         own = _Block(rows, shards, hot)
         counts = np.zeros(own.n, np.int64)
-        ordered = np.zeros(len(own.by_shard), np.uint8)
+        pair_codes, weights = np.zeros(len(own.context), np.uint8), np.full(len(own.context), 255, np.uint8)
+        triple_codes = np.zeros(len(own.third), np.uint8)
         for shard, reply in answers.items():
-            heads, pairs = own.of_shard(shard)
-            size = heads.stop - heads.start
+            heads, pairs, triples = own.of_shard(shard)
+            size, two, three = (x.stop - x.start for x in (heads, pairs, triples))
             counts[(own.heads % own.n)[heads]] = np.frombuffer(reply, np.int64, size)
-            ordered[pairs] = np.frombuffer(reply, np.uint8, offset=8 * size)
-        codes = np.empty_like(ordered)
-        codes[own.by_shard] = ordered
+            codes = np.frombuffer(reply, np.uint8, 2 * two + three, 8 * size)
+            pair_codes[pairs], weights[pairs], triple_codes[triples] = np.split(codes, [two, 2 * two])
         single = (counts + 0.5) / (n + 0.5 * (kinds + 1))
-        context, token = own.context[own.pair], own.token
-        both = SHARES[codes[own.pair]] + k / (counts[context] + k) * single[token]
+        token = own.token
+        shares = SHARES[pair_codes[own.pair]] + k / (counts[own.before] + k) * single[token]
+        third = np.flatnonzero(own.has_two)
+        weight = SHARES[weights[own.pair[third - 1]]]
+        shares[third] = SHARES[triple_codes[own.triple]] + weight * np.minimum(shares[third], 1.0)
         starts = np.cumsum(own.sizes) - own.sizes
         columns = {
             "doc_id": pa.array(own.ids, pa.int64()),
@@ -222,7 +287,7 @@ def scores(docs: DataFrame, k: float = K) -> DataFrame:
             "n_known": pa.array(np.add.reduceat((counts[token] > 0).astype(np.int64), starts)),
             "train_tokens": pa.array([n] * len(own.ids), pa.int64()),
             "base_score": pa.array(np.add.reduceat(np.log10(single)[token], starts)),
-            "score": pa.array(np.add.reduceat(np.log10(np.minimum(both, 1.0)), starts)),
+            "score": pa.array(np.add.reduceat(np.log10(np.minimum(shares, 1.0)), starts)),
         }
         return pa.table(columns)
 
