@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 import numpy as np
+import pandas as pd
 
 _WORD = np.uint64(64)
 # Place of the n-th set bit of each byte value; 8 if there is none.
@@ -52,7 +53,8 @@ class EliasFano:
         np.bitwise_or.at(words, set_bits >> 6, np.uint64(1) << (set_bits & 63).astype(np.uint64))
         self.high = mapped(words)
         zeros = 64 - np.bitwise_count(words).astype(np.int64)
-        self.zeros = mapped(np.r_[0, np.cumsum(zeros)])
+        zeros = np.r_[0, np.cumsum(zeros)]
+        self.zeros, self.ones = mapped(zeros), mapped(np.arange(len(zeros)) * 64 - zeros)
 
     def _low(self, at: np.ndarray) -> np.ndarray:
         bit = at.astype(np.uint64) * np.uint64(self.width)
@@ -103,9 +105,8 @@ class EliasFano:
         """The elements with these numbers."""
         if not len(at):
             return np.zeros(0, np.uint64)
-        ones = np.arange(len(self.zeros)) * 64 - self.zeros
-        word = np.searchsorted(ones, at, "right") - 1
-        left = at - ones[word]
+        word = np.searchsorted(self.ones, at, "right") - 1
+        left = at - self.ones[word]
         taken = self.high[word].view(np.uint8).reshape(-1, 8)
         counts = np.bitwise_count(taken)
         before = np.cumsum(counts, axis=1, dtype=np.int64) - counts
@@ -149,10 +150,12 @@ class Level:
     def find(self, owner: np.ndarray, words: np.ndarray) -> np.ndarray:
         """The place of each word after its context; -1 where it was not seen or the context is -1.
 
-        Neighbours with the same context share the look-up of its range.
+        Neighbours with the same context share the look-up of its range, equal words that of
+        their number.
         """
         places = np.full(len(words), -1, np.int64)
-        local, known = self.words.successor(words)
+        kind, kinds = pd.factorize(words)
+        local, known = (x[kind] for x in self.words.successor(kinds))
         own = np.flatnonzero(known & (owner >= 0))
         if not len(own):
             return places

@@ -24,6 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,11 +34,10 @@ from centroidal.llm.elias_fano import Level, Trie
 
 FOLDS, HELD_OUT = 5, 1
 K = 4.0
-SHARD_BYTES = 16_000_000  # of text for a shard of the model
+SHARD_BYTES = 8_000_000  # of text for a shard of the model
 KNOWN_WORDS = 400_000
 START, END = 1, 2  # stand for the places before and after a text
-WORD_BITS = 40  # of a second word's hash
-THIRD_BITS = 32  # of a third word's hash; pairs are followed by fewer words than words are
+WORD_BITS, THIRD_BITS = 32, 24  # of a second and a third word's hash; fewer words follow a pair than a word
 STEP = 9.5 / 254  # of log10 between two codes; code 255 is 1
 
 
@@ -81,6 +81,10 @@ def counted(docs: DataFrame) -> DataFrame:
     return training.mapInArrow(run, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
 
 
+def _bytes(parts: list[np.ndarray]) -> bytes:
+    return b"".join(p.tobytes() for p in parts)
+
+
 def _small(counts: np.ndarray) -> list[np.ndarray]:
     """Counts in one byte each, followed by those that need more."""
     large = counts >= 255
@@ -157,17 +161,16 @@ class _Block:
         counts = np.where(self.at_home, self.counts[word], 0)
         for shard in np.unique(self.heads // self.n).tolist():
             heads, pairs, triples = self.of_shard(shard)
-            after = self.after[pairs]
             parts = [
                 np.array([x.stop - x.start for x in (heads, pairs, triples)], np.int64),
                 self.words[word[heads]],
-                (after & np.uint64(0xFFFFFFFF)).astype(np.uint32),
-                (after >> np.uint64(32)).astype(np.uint8),
-                self.third[triples],
+                self.after[pairs].astype(np.uint32),
+                self.third[triples].view(np.uint8).reshape(-1, 4)[:, : THIRD_BITS // 8],
             ]
+            small = []
             for some in (counts[heads], self.following[heads], self.pair_counts[pairs], self.thirds[pairs], self.triple_counts[triples]):
-                parts += _small(some)
-            yield shard, b"".join(p.tobytes() for p in parts)
+                small += _small(some)
+            yield shard, _bytes(parts) + zstandard.compress(_bytes(small), 1)
 
 
 class _Letter:
@@ -176,7 +179,7 @@ class _Letter:
         at = 24
 
         def read(kind, n):
-            nonlocal at
+            nonlocal at  # ``data`` too is what it is at the time
             part = np.frombuffer(data, kind, n, at)
             at += part.nbytes
             return part
@@ -187,54 +190,73 @@ class _Letter:
             counts[large] = read(np.int64, len(large))
             return counts
 
-        self.head = read(np.uint64, heads)
-        low, high = read(np.uint32, pairs), read(np.uint8, pairs)
-        self.after = high.astype(np.uint64) << np.uint64(32) | low
-        self.third = read(np.uint32, triples)
+        self.head, self.after = read(np.uint64, heads), read(np.uint32, pairs)
+        third = np.zeros((triples, 4), np.uint8)
+        third[:, : THIRD_BITS // 8] = read(np.uint8, triples * (THIRD_BITS // 8)).reshape(triples, -1)
+        self.third = third.view(np.uint32).ravel()
+        data, at = zstandard.decompress(data[at:]), 0
         self.count, self.following = read_counts(heads), read_counts(heads)
         self.pair_count, self.thirds, self.triple_count = read_counts(pairs), read_counts(pairs), read_counts(triples)
 
 
-def _summed(owner: np.ndarray, words: np.ndarray, seen: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (owner, word) in order and their counts, of those seen in training."""
-    kept = np.flatnonzero(seen)
-    keys, place = np.unique(owner[kept].astype(np.uint64) << np.uint64(bits) | words[kept], return_inverse=True)
-    counts = np.bincount(place, seen[kept], len(keys)).astype(np.int64)
-    return (keys >> np.uint64(bits)).astype(np.int64), keys & np.uint64((1 << bits) - 1), counts
+class _Asked:
+    """The distinct (context, word) that the letters of a shard ask for, in order."""
+
+    def __init__(self, owner: np.ndarray, words: np.ndarray, seen: np.ndarray, bits: int):
+        keys, self.inverse = np.unique(owner.astype(np.uint64) << np.uint64(bits) | words, return_inverse=True)
+        self.owner, self.words = (keys >> np.uint64(bits)).astype(np.int64), keys & np.uint64((1 << bits) - 1)
+        self.seen = np.bincount(self.inverse, seen, len(keys)).astype(np.int64)
+
+    def level(self, context_counts: np.ndarray, k: float) -> tuple[Level, np.ndarray]:
+        """A level of those seen in training, and their counts."""
+        kept = np.flatnonzero(self.seen)
+        owner, counts = self.owner[kept], self.seen[kept]
+        return Level(len(context_counts), owner, self.words[kept], quantised(counts / (context_counts[owner] + k))), counts
+
+    def places(self, level: Level) -> np.ndarray:
+        return level.find(self.owner, self.words)[self.inverse]
 
 
 def _shard_answers(letters: list[bytes], hot: np.ndarray, hot_counts: np.ndarray, k: float) -> list[bytes]:
     """Counts of the words, codes and back-off weights of the bigrams, codes of the trigrams of each letter."""
     read = [_Letter(x) for x in letters]
-    heads, place = np.unique(np.concatenate([x.head for x in read]), return_inverse=True)
-    counts = np.bincount(place, np.concatenate([x.count for x in read]), len(heads)).astype(np.int64)
+
+    def joined(name: str) -> np.ndarray:
+        return np.concatenate([getattr(x, name) for x in read])
+
+    def cuts(name: str) -> np.ndarray:
+        return np.cumsum([len(getattr(x, name)) for x in read])[:-1]
+
+    heads, place = np.unique(joined("head"), return_inverse=True)
+    counts = np.bincount(place, joined("count"), len(heads)).astype(np.int64)
     if len(hot):
         at = np.minimum(np.searchsorted(hot, heads), len(hot) - 1)
         counts = np.where(hot[at] == heads, hot_counts[at], counts)
 
-    owner = np.repeat(place, np.concatenate([x.following for x in read]))
-    after, seen = np.concatenate([x.after for x in read]), np.concatenate([x.pair_count for x in read])
-    context, word, pair_counts = _summed(owner, after, seen, WORD_BITS)
-    pairs = Level(len(heads), context, word, quantised(pair_counts / (counts[context] + k)))
-    weights = quantised(k / (pair_counts + k))
-    places = [pairs.find(np.repeat(at, x.following), x.after) for at, x in zip(np.split(place, np.cumsum([len(x.head) for x in read])[:-1]), read)]
-    del owner, after, seen
-
-    owner = np.concatenate([np.repeat(at, x.thirds) for at, x in zip(places, read)])
-    third, seen = np.concatenate([x.third for x in read]), np.concatenate([x.triple_count for x in read])
-    context, word, triple_counts = _summed(owner, third, seen, THIRD_BITS)
-    triples = Level(len(pair_counts), context, word, quantised(triple_counts / (pair_counts[context] + k)))
+    asked = _Asked(np.repeat(place, joined("following")), joined("after"), joined("pair_count"), WORD_BITS)
+    pairs, pair_counts = asked.level(counts, k)
+    places = asked.places(pairs)
+    del asked
+
+    # A trigram can have been seen only if its first two words were.
+    owner = np.repeat(places, joined("thirds"))
+    possible = np.flatnonzero(owner >= 0)
+    asked = _Asked(owner[possible], joined("third")[possible], joined("triple_count")[possible], THIRD_BITS)
+    triples, _ = asked.level(pair_counts, k)
+    triple_codes = np.zeros(len(owner), np.uint8)
+    triple_codes[possible] = triples.code(asked.places(triples))
+    del asked, owner, possible
+
+    weights = np.full(len(places), 255, np.uint8)
+    known = places >= 0
+    weights[known] = quantised(k / (pair_counts + k))[places[known]]
     trie = Trie(heads, pairs, triples)
-    del owner, third, seen
-
-    def reply(letter: _Letter, at: np.ndarray) -> bytes:
-        weight = np.full(len(at), 255, np.uint8)
-        weight[at >= 0] = weights[at[at >= 0]]
-        found = trie.triples.find(np.repeat(at, letter.thirds), letter.third.astype(np.uint64))
-        parts = [counts[trie.context(letter.head)], trie.pairs.code(at), weight, trie.triples.code(found)]
-        return b"".join(p.tobytes() for p in parts)
-
-    return [reply(x, at) for x, at in zip(read, places)]
+    by_letter = zip(
+        np.split(counts[trie.context(heads)][place], cuts("head")),
+        *(np.split(x, cuts("after")) for x in (trie.pairs.code(places), weights)),
+        np.split(triple_codes, cuts("third")),
+    )
+    return [zstandard.compress(_bytes(parts), 1) for parts in by_letter]
 
 
 def scores(docs: DataFrame, k: float = K) -> DataFrame:
@@ -268,6 +290,7 @@ def scores(docs: DataFrame, k: float = K) -> DataFrame:
         pair_codes, weights = np.zeros(len(own.context), np.uint8), np.full(len(own.context), 255, np.uint8)
         triple_codes = np.zeros(len(own.third), np.uint8)
         for shard, reply in answers.items():
+            reply = zstandard.decompress(reply)
             heads, pairs, triples = own.of_shard(shard)
             size, two, three = (x.stop - x.start for x in (heads, pairs, triples))
             counts[(own.heads % own.n)[heads]] = np.frombuffer(reply, np.int64, size)
