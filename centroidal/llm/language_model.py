@@ -192,7 +192,7 @@ class _Letter:
 
         self.head, self.after = read(np.uint64, heads), read(np.uint32, pairs)
         third = np.zeros((triples, 4), np.uint8)
-        third[:, : THIRD_BITS // 8] = read(np.uint8, triples * (THIRD_BITS // 8)).reshape(triples, -1)
+        third[:, : THIRD_BITS // 8] = read(np.uint8, triples * (THIRD_BITS // 8)).reshape(triples, THIRD_BITS // 8)
         self.third = third.view(np.uint32).ravel()
         data, at = zstandard.decompress(data[at:]), 0
         self.count, self.following = read_counts(heads), read_counts(heads)
