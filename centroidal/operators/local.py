@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from centroidal.functions.kernels import LocalFit, fit_group, max_shift, to_matrix
 from centroidal.functions.keys import hash_bucket, row_key, uniform_array
 from centroidal.operators.lloyd import Layout, check_loop_arguments, gather_statistics
-from centroidal.operators.seeding import keyed, kmeanspp_seeds
+from centroidal.operators.packed import keyed, packed
+from centroidal.operators.seeding import kmeanspp_seeds
 
 # What one task holds at a time: at most this many rows and this many feature bytes.
 GROUP_ROWS = 100_000
@@ -257,13 +258,14 @@ def fit_seeds(
             )
             for s in seeds
         ]
-    return _fit_seeds_distributed(points, k, seeds, max_iterations, tolerance)
+    with packed(points, with_keys=True, rows=rows, dimensions=dimensions) as blocks:
+        return _fit_seeds_distributed(blocks, k, seeds, max_iterations, tolerance)
 
 
 def _fit_seeds_distributed(
-    points: DataFrame, k: int, seeds: list[int], max_iterations: int, tolerance: float
+    blocks: DataFrame, k: int, seeds: list[int], max_iterations: int, tolerance: float
 ) -> list[SeededFit]:
-    models = kmeanspp_seeds(points, k, seeds)
+    models = kmeanspp_seeds(blocks, k, seeds)
     iterations = np.zeros(len(seeds), dtype=int)
     converged = np.zeros(len(seeds), dtype=bool)
     layout = Layout()
@@ -271,12 +273,12 @@ def _fit_seeds_distributed(
         active = np.flatnonzero(~converged & (iterations < max_iterations))
         if not len(active):
             break
-        for run, statistics in zip(active, gather_statistics(points, models[active], layout=layout)):
+        for run, statistics in zip(active, gather_statistics(blocks, models[active], layout=layout)):
             moved = statistics.means(models[run])
             converged[run] = max_shift(models[run], moved) <= tolerance
             models[run] = moved
             iterations[run] += 1
-    final = gather_statistics(points, models, with_sums=False, layout=layout)
+    final = gather_statistics(blocks, models, with_sums=False, layout=layout)
     return [
         SeededFit(
             seed,

@@ -10,9 +10,10 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from centroidal.functions.kernels import nearest, to_matrix
-from centroidal.functions.keys import row_key, uniform, uniform_array
+from centroidal.functions.kernels import lowest, nearest, to_matrix
+from centroidal.functions.keys import uniform, uniform_array
 from centroidal.operators.layout import written
+from centroidal.operators.packed import keyed, keyed_matrices
 
 _OFFER = "run int, rank int, score double, key bigint, features array<double>"
 _STATE = "key bigint, features array<double>, spread array<double>"
@@ -24,27 +25,21 @@ _TAKEN = -1.0  # in place of the distance of a chosen row
 Chosen = tuple[np.ndarray, np.ndarray]
 
 
-def keyed(points: DataFrame) -> DataFrame:
-    """``(key, features)``: what seeding needs of a point table."""
-    key = F.col("key") if "key" in points.columns else row_key(F.col("record_id"))
-    return points.select(key.alias("key"), "features")
-
-
 def _lists(matrix: np.ndarray) -> pa.Array:
     rows, width = matrix.shape
     return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * width, pa.int32()), pa.array(matrix.ravel()))
 
 
-def _spread(batch: pa.RecordBatch, recent: Sequence[Chosen]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, rows and (n, r) squared distances to the nearest chosen row, measured against ``recent`` ones only."""
-    keys = batch.column(0).to_numpy(zero_copy_only=False)
-    block = to_matrix(batch.column(1))
-    spread = to_matrix(batch.column(2)).copy() if batch.num_columns > 2 else np.full((len(keys), len(recent)), np.inf)
-    for own, (chosen, rows) in zip(spread.T, recent):
-        if len(rows):
-            np.copyto(own, np.minimum(own, nearest(block, rows)[1]), where=own != _TAKEN)
-            own[np.isin(keys, chosen)] = _TAKEN
-    return keys, block, spread
+def _spread(batch: pa.RecordBatch, recent: Sequence[Chosen]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Keys, rows and (r, n) squared distances to the nearest chosen row, measured against ``recent`` ones only."""
+    known = to_matrix(batch.column("spread")).T if "spread" in batch.schema.names and batch.num_rows else None
+    for keys, block in keyed_matrices(batch):
+        spread = np.full((len(recent), len(keys)), np.inf) if known is None else np.array(known, order="C")
+        for own, (chosen, rows) in zip(spread, recent):
+            if len(rows):
+                np.copyto(own, np.minimum(own, nearest(block, rows)[1]), where=own != _TAKEN)
+                own[np.isin(keys, chosen)] = _TAKEN
+        yield keys, block, spread
 
 
 def _offers(draw: int, seeds: list[int], recent: Sequence[Chosen]):
@@ -52,11 +47,8 @@ def _offers(draw: int, seeds: list[int], recent: Sequence[Chosen]):
 
     def race(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, tuple] = {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys, block, spread = _spread(batch, recent)
-            for run, (seed, own) in enumerate(zip(seeds, spread.T)):
+        for keys, block, spread in (found for batch in batches for found in _spread(batch, recent)):
+            for run, (seed, own) in enumerate(zip(seeds, spread)):
                 u = uniform_array(keys, seed, draw)
                 if draw == 0:
                     offers = [(0, own != _TAKEN, u)]
@@ -68,7 +60,7 @@ def _offers(draw: int, seeds: list[int], recent: Sequence[Chosen]):
                     rows = np.flatnonzero(eligible)
                     if not len(rows):
                         continue
-                    row = rows[np.lexsort((keys[rows], score[rows]))[0]]
+                    row = rows[lowest(score[rows], keys[rows])]
                     offer = (rank, float(score[row]), int(keys[row]))
                     if run not in best or offer < best[run][0]:
                         best[run] = (offer, block[row].copy())
@@ -92,12 +84,9 @@ def _kept(recent: Sequence[Chosen]):
     """The rows with their distances, brought up to date."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                spread = _spread(batch, recent)[2]
-                width = pa.array(np.arange(len(spread) + 1) * spread.shape[1], pa.int32())
-                lists = pa.ListArray.from_arrays(width, pa.array(spread.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["key", "features", "spread"])
+        for keys, block, spread in (found for batch in batches for found in _spread(batch, recent)):
+            columns = [pa.array(keys), _lists(block), _lists(spread.T)]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "features", "spread"])
 
     return run
 
@@ -164,6 +153,7 @@ def kmeanspp_seeds(points: DataFrame, k: int, seeds: Sequence[int]) -> np.ndarra
     lowest, so one scan per draw serves every seed and no row order or running total is
     involved.  Every REFRESH draws the rows are kept with their distance to the nearest
     chosen row, so a draw measures them against at most REFRESH rows, however large k is.
+    ``points`` may be packed with keys.
     """
     _check(k, seeds)
     runs = len(seeds)

@@ -22,6 +22,7 @@ from centroidal.operators.local import (
     fit_seeds,
     partition_kmeans,
 )
+from centroidal.operators.packed import packed
 from centroidal.operators.points import validate_points
 
 
@@ -75,7 +76,8 @@ def parallel_kmeans(
 
     See ``lloyd_fit`` for the two tolerances of stage 3.  ``points`` needs ``record_id`` and
     ``features``; no other column is read.  Its validity rules are enforced inside stage 1,
-    which saves a separate scan.  The caller decides whether ``points`` is cached.
+    which saves a separate scan.  ``points`` is read once by stage 1 and once by stage 3, whose
+    rounds read cached blocks; the caller decides whether it is cached.
     """
     check_fit_arguments(k, local_max_iterations, local_tolerance)
     check_loop_arguments(global_max_iterations, global_cost_tolerance)
@@ -121,12 +123,13 @@ def parallel_kmeans(
         )
         seeded = perf_counter()
 
-        history, converged = iterate(
-            points, initialization.centers, global_max_iterations, global_cost_tolerance, global_relative_tolerance
-        )
-        refined = perf_counter()
-        refinement = finish(points, history, converged)
-        measured = perf_counter()
+        with packed(points, rows=totals["records"], dimensions=totals["widest"]) as blocks:
+            history, converged = iterate(
+                blocks, initialization.centers, global_max_iterations, global_cost_tolerance, global_relative_tolerance
+            )
+            refined = perf_counter()
+            refinement = finish(blocks, history, converged)
+            measured = perf_counter()
     except BaseException:
         local.unpersist()
         raise
