@@ -103,3 +103,27 @@ def test_removed_sentences_update_the_length(spark):
     found = {r.doc_id: r for r in pipeline.repeated_sentences_go(spark, docs, SF_DIR).collect()}
     assert found[1].n_chars == len(text) and found[2].n_chars == len(found[2].text) < len(text)
     assert len(sentences(found[2].text)) < 4
+
+
+def test_only_marked_texts_are_shuffled(spark):
+    """Texts that surely stay are told by a bit map, also where the decisions are too many to broadcast."""
+    texts = [f"{i} {DOC[i:]}" for i in range(300)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(7, texts[7]), (None, texts[9]), (None, None), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    version = pipeline.text_version(pipeline.F.col("text"))
+    marked = docs.filter("doc_id < 5 OR text IS NULL").select(version.alias("v"))
+    stay, asked = pipeline._parted(docs, version, marked)
+    found = [tuple(r) for r in asked.collect()]
+    assert {(i, texts[i]) for i in range(5) if i != 2} | {(2, texts[2]), (2, None), (None, None)} == set(found)
+    assert sorted(found + [tuple(r) for r in stay.collect()], key=str) == sorted(rows, key=str)
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        gone = docs.filter("doc_id < 5").select("doc_id", version.alias("version"))
+        left = pipeline._without(docs, gone, version)
+        kept = [r.doc_id for r in left.collect()]
+        assert sorted(kept, key=str) == sorted((i for i, _ in rows if i is None or i >= 5), key=str)
+        assert "BroadcastHashJoin" in left._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
